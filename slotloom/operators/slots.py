@@ -93,7 +93,9 @@ def only_target(context: Column | str, slot_index: Column | str, other: str = "
 def spoken_words(events: DataFrame) -> DataFrame:
     """Words and slots of a track in order, with their times: track_id, position, unit, time_s."""
     units = F.regexp_extract_all(T.normalize_mask("text"), F.lit(T.UNIT), 1)
-    rows = events.select("track_id", "event_index", "start_ms", "dur_ms", F.posexplode(units).alias("k", "unit"), F.size(units).alias("n"))
+    # explode over one element: the units are found once an event, not anew for each of them
+    held = events.select("track_id", "event_index", "start_ms", "dur_ms", F.explode(F.array(units)).alias("units"))
+    rows = held.select("track_id", "event_index", "start_ms", "dur_ms", F.posexplode("units").alias("k", "unit"), F.size("units").alias("n"))
     order = Window.partitionBy("track_id").orderBy("event_index", "k")
     return rows.select("track_id", (F.row_number().over(order) - 1).alias("position"), "unit", ((F.col("start_ms") + F.col("dur_ms") * F.col("k") / F.col("n")) / 1000.0).alias("time_s"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotloom.plans import data_queries, metric_queries, mining_queries, rule_queries, text_queries
+from slotloom.plans import align_queries, data_queries, metric_queries, mining_queries, rule_queries, stream_queries, text_queries
 
-PARTS = [text_queries, rule_queries, metric_queries, mining_queries, data_queries]
+PARTS = [stream_queries, text_queries, rule_queries, align_queries, metric_queries, mining_queries, data_queries]
 
 
 def queries() -> dict:
