@@ -49,21 +49,23 @@ def has_timed_ground_truth(masked: DataFrame, occurrences: DataFrame, drift_ms:
     return left.join(right, ["track_id", "bucket"]).where(near).select("track_id").distinct()
 
 
-def components(slots: DataFrame, occurrences: DataFrame, drift_ms: int) -> DataFrame:
-    """Slots and occurrences cut where no padded event interval covers the time: no pair crosses such an instant, so
-    an assignment splits there and a long track is never one task."""
-    events = slots.select("track_id", F.col("time_ms").alias("a"), F.col("time_ms").alias("b"), F.lit("s").alias("side"), F.col("token_index").alias("k"), F.lit(None).cast("string").alias("word"))
-    occ = occurrences.select("track_id", (F.col("start_ms") - drift_ms).alias("a"), (F.col("end_ms") + drift_ms).alias("b"), F.lit("o").alias("side"), F.col("occ_index").alias("k"), "word")
+def components(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
+    """Slots and occurrences, once for each drift, cut where no padded event interval covers the time: no pair crosses
+    such an instant, so an assignment splits there and a long track is never one task."""
+    drift = F.explode(F.array(*map(F.lit, drifts_ms))).alias("drift")
+    events = slots.select(drift, "track_id", F.col("time_ms").alias("a"), F.col("time_ms").alias("b"), F.lit("s").alias("side"), F.col("token_index").alias("k"), F.lit(None).cast("string").alias("word"))
+    occ = occurrences.select(drift, "track_id", "start_ms", "end_ms", "occ_index", "word").select("drift", "track_id", (F.col("start_ms") - F.col("drift")).alias("a"), (F.col("end_ms") + F.col("drift")).alias("b"), F.lit("o").alias("side"), F.col("occ_index").alias("k"), "word")
     both = events.unionByName(occ)
-    order = Window.partitionBy("track_id").orderBy("a", "b", "side", "k")
+    order = Window.partitionBy("drift", "track_id").orderBy("a", "b", "side", "k")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = both.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
     return cut.withColumn("component", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def _assign(part: pd.DataFrame, drift: int) -> pd.DataFrame:
+def _assign(part: pd.DataFrame) -> pd.DataFrame:
     """Most matches in order, then the least total time difference; a best chain over the pairs within the drift, with a
     tree of prefix maxima over the occurrences."""
+    drift = int(part.drift.iloc[0])
     s = part[part.side == "s"].sort_values(["a", "k"])
     o = part[part.side == "o"].sort_values(["a", "k"])
     n, m = len(s), len(o)
@@ -101,24 +103,27 @@ def _assign(part: pd.DataFrame, drift: int) -> pd.DataFrame:
             chain.append((i, j, far))
         chain.reverse()
     si, oi = s.iloc[[c[0] for c in chain]], o.iloc[[c[1] for c in chain]]
-    return pd.DataFrame({"track_id": si.track_id.to_numpy(), "token_index": si.k.to_numpy(np.int64), "occ_index": oi.k.to_numpy(np.int64), "word": oi.word.to_numpy(object), "distance_ms": np.array([c[2] for c in chain], np.int64)})
+    return pd.DataFrame({"drift": si.drift.to_numpy(np.int32), "track_id": si.track_id.to_numpy(), "token_index": si.k.to_numpy(np.int64), "occ_index": oi.k.to_numpy(np.int64), "word": oi.word.to_numpy(object), "distance_ms": np.array([c[2] for c in chain], np.int64)})
+
+
+def align_drifts(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
+    """E3 for several drifts in one job."""
+    kind = slots.schema["track_id"].dataType.simpleString()
+    cut = components(slots, occurrences, drifts_ms)
+    return cut.groupBy("drift", "track_id", "component").applyInPandas(_assign, f"drift int, track_id {kind}, token_index bigint, occ_index bigint, word string, distance_ms bigint")
 
 
 def align_time(slots: DataFrame, occurrences: DataFrame, drift_ms: int) -> DataFrame:
     """Monotone assignment of slots (track_id, token_index, time_ms) to occurrences within the drift, component by
     component."""
-    kind = slots.schema["track_id"].dataType.simpleString()
-    cut = components(slots, occurrences, drift_ms)
-    return cut.groupBy("track_id", "component").applyInPandas(lambda part: _assign(part, drift_ms), f"track_id {kind}, token_index bigint, occ_index bigint, word string, distance_ms bigint")
+    return align_drifts(slots, occurrences, (drift_ms,)).drop("drift")
 
 
 def align_time_stable(slots: DataFrame, occurrences: DataFrame, drifts: tuple[int, ...] = (1500, 2000, 3000)) -> DataFrame:
-    """Slots that get the same word at every drift."""
-    parts = None
-    for d in drifts:
-        one = align_time(slots, occurrences, d).select("track_id", "token_index", "word", F.when(F.lit(d == drifts[0]), F.col("occ_index")).alias("occ_index"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("track_id", "token_index").agg(F.count("*").alias("n"), F.count_distinct("word").alias("words"), F.min("word").alias("word"), F.max("occ_index").alias("occ_index")).where((F.col("n") == len(drifts)) & (F.col("words") == 1)).select("track_id", "token_index", "occ_index", "word")
+    """Slots that get the same word at every drift; the occurrence is that of the first."""
+    parts = align_drifts(slots, occurrences, drifts)
+    first = F.max(F.when(F.col("drift") == drifts[0], F.col("occ_index"))).alias("occ_index")
+    return parts.groupBy("track_id", "token_index").agg(F.count("*").alias("n"), F.count_distinct("word").alias("words"), F.min("word").alias("word"), first).where((F.col("n") == len(drifts)) & (F.col("words") == 1)).select("track_id", "token_index", "occ_index", "word")
 
 
 def context_scores(slots: DataFrame, tokens: DataFrame, around_ms: int = 10_000) -> DataFrame:
