@@ -156,7 +156,7 @@ def ranks(path: str) -> Ranks:
 class Encoder:
     """Encodes chunks of texts; remembers words between chunks. ``new_words(blob, size)`` gives ids of unseen words."""
 
-    def __init__(self, new_words, most: int = 1 << 21):
+    def __init__(self, new_words, most: int = 1 << 20):
         self.new_words = new_words
         self.memo = Memo(most)
         self.clear()
@@ -207,7 +207,7 @@ class Encoder:
         self.count[rows] = counts
         self.used += len(ids)
 
-    def __call__(self, texts: list[str | None], together: int = 8) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def __call__(self, texts: list[str | None], together: int = 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For one range of texts after the other: its bounds, the ids of its texts laid end to end, their offsets."""
         spans = list(chunks(texts))
         for k in range(0, len(spans), together):

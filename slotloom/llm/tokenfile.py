@@ -64,7 +64,7 @@ class LibraryWords:
 @functools.lru_cache(2)
 def library_encoder(path: str) -> tuple[Encoder, LibraryWords]:
     words = LibraryWords(path)
-    return Encoder(words), words
+    return Encoder(words, 1 << 19), words
 
 
 class ShardWriter:
@@ -212,4 +212,5 @@ def token_index(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Documents of all shards with their start among all ids. The window runs over one row a shard."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return read_documents(shards.repartition(F.col("shard")), id_type).join(F.broadcast(base), "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    n = max(1, shards.count())  # one row a shard; spread so that each is read by a task of its own
+    return read_documents(shards.repartition(n, "shard"), id_type).join(F.broadcast(base), "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

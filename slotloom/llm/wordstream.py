@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Words longer than this are hashed as a whole; shorter ones by the rolling sum.
 LONG_WORD = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
