@@ -115,8 +115,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
-def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 5) -> Model:
-    """rows: (buckets, shares) of each text; y: 0 or 1."""
+def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, updates: int = 800, seed: int = 5) -> Model:
+    """rows: (buckets, shares) of each text; y: 0 or 1. Small samples get more epochs, for ``updates`` steps at least."""
     rng = np.random.default_rng(seed)
     n = len(y)
     mean, scale = stats.mean(0), stats.std(0) + 1e-9
@@ -137,7 +137,7 @@ def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, s
         s = xb @ v
         return b + xb @ w + 0.5 * (s**2 - (xb**2) @ v**2).sum(1), s
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-updates * 64 // max(1, len(taught))))):
         taught = rng.permutation(taught)
         for lo in range(0, len(taught), 64):
             at = taught[lo : lo + 64]
