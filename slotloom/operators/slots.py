@@ -21,8 +21,10 @@ def lexicon_pattern(lexicon: DataFrame, word: str = "word") -> str:
 
 def mask_lexicon(tracks: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """C11: the tracks with lexicon words replaced by the marker, ``slots`` counted, only those with a slot."""
-    masked = F.regexp_replace(F.col(text), lexicon_pattern(lexicon), T.MARK)
-    return tracks.withColumn("original", F.col(text)).withColumn(text, masked).withColumn("slots", T.count_mask(text)).where("slots > 0")
+    masked = F.regexp_replace("original", lexicon_pattern(lexicon), T.MARK)
+    # explode over one element: the pattern runs once a text, not anew for each later use of the masked text
+    rows = tracks.withColumnRenamed(text, "original").select("*", F.explode(F.array(masked)).alias(text))
+    return rows.withColumn("slots", T.count_mask(text)).where("slots > 0")
 
 
 def line_events(tracks: DataFrame, text: str = "text", ms_per_word: int = 300) -> DataFrame:
@@ -159,18 +161,20 @@ def merge_intervals(slots: DataFrame, before: int = 35, after: int = 30) -> Data
     return island.groupBy("track_id", "island").agg(F.min("a").alias("start_s"), F.max("b").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text") -> DataFrame:
-    """H1: one row a slot with the rule words at each offset around it as ``tokens`` (map offset -> token), padded."""
-    words = T.rule_words(text)
-    rows = tracks.select(*[c for c in tracks.columns if c != text], F.explode(F.array(words)).alias("words"))
-    rows = rows.select("*", F.posexplode("words").alias("at", "word")).where(F.col("word") == T.MARK)
-    order = Window.partitionBy("track_id").orderBy("at")
+def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text", hidden: str | None = None) -> DataFrame:
+    """H1: one row a slot: token_index, at (its word position), features: array of (off, tok) around it, padded; and
+    expected, if ``hidden`` names an array of the slots' words. Only slots leave the text's row, never all its words."""
+    keep = [c for c in tracks.columns if c not in (text, hidden)]
+    labels = [hidden] if hidden else []
+    rows = tracks.select(*keep, *labels, F.explode(F.array(T.rule_words(text))).alias("words"))
     offsets = [o for o in range(-before, after + 1) if o]
-    size = F.size("words")
 
-    def token(o: int) -> Column:
-        i = F.col("at") + o
-        return F.when(i < 0, "<BOS>").when(i >= size, "<EOS>").otherwise(F.get("words", i))
+    def token(i: Column) -> Column:
+        return F.when(i < 0, "<BOS>").when(i >= F.size("words"), "<EOS>").otherwise(F.get("words", i))
 
-    rows = rows.withColumn("token_index", F.row_number().over(order) - 1)
-    return rows.select(*[c for c in rows.columns if c not in ("words", "word")], F.array(*[F.struct(F.lit(o).alias("off"), token(o).alias("tok")) for o in offsets]).alias("features"))
+    def slot(i: Column, k: Column) -> Column:
+        around = F.array(*[F.struct(F.lit(o).alias("off"), token(i + o).alias("tok")) for o in offsets])
+        return F.struct(k.alias("token_index"), i.alias("at"), around.alias("features"), *([F.get(hidden, k).alias("expected")] if hidden else []))
+
+    places = F.filter(F.transform("words", lambda w, i: F.when(w == T.MARK, i)), lambda i: i.isNotNull())
+    return rows.select(*keep, F.explode(F.transform(places, slot)).alias("s")).select(*keep, "s.*")

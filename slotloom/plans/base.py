@@ -21,6 +21,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents as tracks: track_id, text, creator, pair_class."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("track_id"), "text", F.col("source").alias("creator"))
+    docs = docs.repartition("track_id")  # windows by track find their partitioning here
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality")
     kind = F.when(F.col("quality") == 1, "manual-auto").when(F.col("quality") == 0, "synthetic").otherwise("unknown")
     return docs.join(labels, "track_id", "left").select("track_id", "text", "creator", kind.alias("pair_class"))
@@ -40,9 +41,9 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str, before: int = 2, after: int = 2) -> DataFrame:
     """Slots with features around them and the hidden word: track_id, creator, pair_class, token_index, at, features, expected."""
-    rows = S.slot_features(masked(spark, sf_dir), before, after)
     words = F.regexp_extract_all(F.lower("original"), F.lit(r"\b(" + "|".join(sorted(LEXICON)) + r")\b"), 1)
-    return rows.withColumn("expected", F.get(words, F.col("token_index"))).select("track_id", "creator", "pair_class", F.col("token_index").cast("int").alias("token_index"), F.col("at").cast("int").alias("at"), "features", "expected")
+    texts = masked(spark, sf_dir).select("track_id", "creator", "pair_class", "text", words.alias("hidden"))
+    return S.slot_features(texts, before, after, hidden="hidden").select("track_id", "creator", "pair_class", "token_index", "at", "features", "expected")
 
 
 _PAT = r"\b(from|that|this|with)\b"
