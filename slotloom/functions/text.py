@@ -59,16 +59,16 @@ def blank(text: Column | str, pattern: str) -> Column:
 def discovery_tokens(text: Column | str) -> Column:
     """array<struct<token, offset>> of the white-space tokens after tags are blanked in place."""
     clean = blank(text, r"<[^<>]*>")
+    space = lambda c: c.rlike(r"^\s$")
+
+    def starts(chars: Column) -> Column:
+        first = lambda c, i: F.when((c != "") & ~space(c) & ((i == 0) | space(F.get(chars, i - 1))), i)
+        return F.filter(F.transform(chars, first), lambda i: i.isNotNull())
+
+    # Bound to a lambda's variable, the characters are split off once a text and looked up in constant time.
+    places = F.get(F.transform(F.array(F.split(clean, "")), starts), F.lit(0))
     words = F.filter(F.split(clean, r"\s"), lambda w: F.length(w) > 0)
-    gaps = F.split(clean, r"\S+", -1)
-    step = F.zip_with(gaps, words, lambda g, w: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), w.alias("token")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,offset:int>>").alias("out"))
-    fold = F.aggregate(
-        F.filter(step, lambda s: s["token"].isNotNull()),
-        start,
-        lambda a, s: F.struct((a["at"] + s["gap"] + F.length(s["token"])).alias("at"), F.concat(a["out"], F.array(F.struct(s["token"].alias("token"), (a["at"] + s["gap"]).alias("offset")))).alias("out")),
-    )
-    return fold["out"]
+    return F.zip_with(words, places, lambda w, p: F.struct(w.alias("token"), p.cast("int").alias("offset")))
 
 
 def normalize_variants(text: Column | str, variants: list[tuple[str, str]]) -> Column:
