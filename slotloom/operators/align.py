@@ -6,8 +6,11 @@ start_ms, end_ms of lexicon words in the unmasked track. Interval joins meet in
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from operator import itemgetter, sub
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,55 +65,79 @@ def components(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, .
     return cut.withColumn("component", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def _assign(part: pd.DataFrame) -> pd.DataFrame:
-    """Most matches in order, then the least total time difference; a best chain over the pairs within the drift, with a
-    tree of prefix maxima over the occurrences."""
-    drift = int(part.drift.iloc[0])
-    s = part[part.side == "s"].sort_values(["a", "k"])
-    o = part[part.side == "o"].sort_values(["a", "k"])
-    n, m = len(s), len(o)
-    chain: list[tuple[int, int, int]] = []
-    if n and m:
-        t, lo, hi = s.a.to_numpy(), o.a.to_numpy() + drift, o.b.to_numpy() - drift
-        longest = int((hi - lo).max())
-        tree: list[tuple[int, int]] = [(0, -1)] * (m + 1)
-        pairs: list[tuple[int, int, int, int]] = []  # slot, occurrence, distance, pair before
-        for i in range(n):
-            first, last = np.searchsorted(lo, [t[i] - drift - longest, t[i] + drift + 1])
-            fresh = []
-            for j in range(int(first), int(last)):
-                far = int(max(lo[j] - t[i], t[i] - hi[j], 0))
-                if far <= drift:
-                    best, k = (0, -1), j
-                    while k:
-                        best = max(best, tree[k], key=lambda x: x[0])
-                        k -= k & -k
-                    fresh.append((best[0] + (1 << 40) - far, j, far, best[1]))
-            for score, j, far, before in fresh:
-                pairs.append((i, j, far, before))
-                k = j + 1
-                while k <= m:
-                    if tree[k][0] < score:
-                        tree[k] = (score, len(pairs) - 1)
-                    k += k & -k
-        at, k = (0, -1), m
+def _chain(slots: list[tuple], occurrences: list[tuple], drift: int) -> list[tuple[int, int, int]]:
+    """(slot, occurrence, distance) of the assignment with most matches in order, then the least total time difference: a
+    best chain over the pairs within the drift, with a tree of prefix maxima over the occurrences. Both come by time."""
+    lo, hi = [x[0] + drift for x in occurrences], [x[1] - drift for x in occurrences]
+    longest, m = max(map(sub, hi, lo)), len(lo)
+    tree: list[tuple[int, int]] = [(0, -1)] * (m + 1)
+    pairs: list[tuple[int, int, int, int]] = []  # slot, occurrence, distance, pair before
+
+    def best_until(k: int) -> tuple[int, int]:
+        best = (0, -1)
         while k:
-            at = max(at, tree[k], key=lambda x: x[0])
+            best = max(best, tree[k], key=itemgetter(0))
             k -= k & -k
-        p = at[1]
-        while p >= 0:
-            i, j, far, p = pairs[p]
-            chain.append((i, j, far))
-        chain.reverse()
-    si, oi = s.iloc[[c[0] for c in chain]], o.iloc[[c[1] for c in chain]]
-    return pd.DataFrame({"drift": si.drift.to_numpy(np.int32), "track_id": si.track_id.to_numpy(), "token_index": si.k.to_numpy(np.int64), "occ_index": oi.k.to_numpy(np.int64), "word": oi.word.to_numpy(object), "distance_ms": np.array([c[2] for c in chain], np.int64)})
+        return best
+
+    for i, (t, *_) in enumerate(slots):
+        fresh = []
+        for j in range(bisect_left(lo, t - drift - longest), bisect_right(lo, t + drift)):
+            far = max(lo[j] - t, t - hi[j], 0)
+            if far <= drift:
+                score, before = best_until(j)
+                fresh.append((score + (1 << 40) - far, j, far, before))
+        for score, j, far, before in fresh:
+            pairs.append((i, j, far, before))
+            k = j + 1
+            while k <= m:
+                if tree[k][0] < score:
+                    tree[k] = (score, len(pairs) - 1)
+                k += k & -k
+    chain, p = [], best_until(m)[1]
+    while p >= 0:
+        i, j, far, p = pairs[p]
+        chain.append((i, j, far))
+    return chain[::-1]
+
+
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come component by component, slots and occurrences by time; one component is held at a time."""
+    names = ["drift", "track_id", "token_index", "occ_index", "word", "distance_ms"]
+    group, kind, sides, out = None, None, {"s": [], "o": []}, []
+
+    def close() -> None:
+        slots, occurrences = sides["s"], sides["o"]
+        if slots and occurrences:
+            drift, track, _ = group
+            out.extend((drift, track, slots[i][2], occurrences[j][2], occurrences[j][3], far) for i, j, far in _chain(slots, occurrences, drift))
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = (pa.int32(), kind, pa.int64(), pa.int64(), pa.string(), pa.int64())
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        out.clear()
+        return done
+
+    for batch in batches:
+        kind = batch.column(1).type
+        for *key, side, a, b, k, word in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != group:
+                close()
+                group, sides = key, {"s": [], "o": []}
+            sides[side].append((a, b, k, word))
+        if out:
+            yield batch_of()
+    close()
+    if out:
+        yield batch_of()
 
 
 def align_drifts(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
-    """E3 for several drifts in one job."""
+    """E3 for several drifts in one job. Components are dealt one by one, so a long track's are spread over tasks."""
     kind = slots.schema["track_id"].dataType.simpleString()
-    cut = components(slots, occurrences, drifts_ms)
-    return cut.groupBy("drift", "track_id", "component").applyInPandas(_assign, f"drift int, track_id {kind}, token_index bigint, occ_index bigint, word string, distance_ms bigint")
+    keys = ["drift", "track_id", "component"]
+    dealt = components(slots, occurrences, drifts_ms).repartition(*keys).sortWithinPartitions(*keys, "side", "a", "k")
+    return dealt.select(*keys, "side", "a", "b", "k", "word").mapInArrow(_assign, f"drift int, track_id {kind}, token_index bigint, occ_index bigint, word string, distance_ms bigint")
 
 
 def align_time(slots: DataFrame, occurrences: DataFrame, drift_ms: int) -> DataFrame:
