@@ -153,30 +153,53 @@ def align_time_stable(slots: DataFrame, occurrences: DataFrame, drifts: tuple[in
     return parts.groupBy("track_id", "token_index").agg(F.count("*").alias("n"), F.count_distinct("word").alias("words"), F.min("word").alias("word"), first).where((F.col("n") == len(drifts)) & (F.col("words") == 1)).select("track_id", "token_index", "occ_index", "word")
 
 
-def context_scores(slots: DataFrame, tokens: DataFrame, around_ms: int = 10_000) -> DataFrame:
-    """Scores of candidate occurrences by agreeing neighbours. slots: track_id, token_index, time_ms, lefts, rights
-    (nearest first); tokens: track_id, occ_index, time_ms, word, lefts, rights."""
-    left = slots.select("track_id", "token_index", "time_ms", F.col("lefts").alias("sl"), F.col("rights").alias("sr"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("time_ms") / around_ms) + i)).alias("bucket"))
-    right = tokens.select("track_id", "occ_index", F.col("time_ms").alias("ot"), "word", "lefts", "rights", F.floor(F.col("time_ms") / around_ms).alias("bucket"))
-    pairs = left.join(right, ["track_id", "bucket"]).where(F.abs(F.col("time_ms") - F.col("ot")) <= around_ms)
+def _agree(a: str, b: str) -> Column:
+    """Length of the common prefix of two arrays."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    other = F.array_position(same, False).cast("int")
+    return F.when(other == 0, F.size(same)).otherwise(other - 1)
+
+
+def common_subsequence(a: str, b: str) -> Column:
+    """Length of the longest common subsequence of two arrays: one row of lengths per element of ``a``."""
+    places = F.sequence(F.lit(1), F.size(b))
 
-    def agree(a: str, b: str) -> Column:
-        """Length of the common prefix."""
-        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct(F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & x).alias("on")))["n"]
+    def step(row: Column, x: Column) -> Column:
+        longer = lambda out, j: F.when(x == F.element_at(F.col(b), j), F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(out, -1)))
+        return F.aggregate(places, F.array(F.lit(0)), lambda out, j: F.concat(out, F.array(longer(out, j))))
 
-    exact = pairs.withColumn("xl", agree("sl", "lefts")).withColumn("xr", agree("sr", "rights"))
-    # Shared words beyond the exact ones stand for the longest common subsequence of the few neighbours.
-    common = F.size(F.array_intersect("sl", "lefts")) + F.size(F.array_intersect("sr", "rights"))
-    score = 5 * (F.col("xl") + F.col("xr")) + common + F.when((F.col("xl") > 0) & (F.col("xr") > 0), 3).otherwise(0) - 0.05 * F.abs(F.col("time_ms") - F.col("ot")) / 1000.0
-    return exact.select("track_id", "token_index", "occ_index", "word", "xl", "xr", score.alias("score"))
+    length = F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), step), -1)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(length)
+
+
+def context_pairs(slots: DataFrame, tokens: DataFrame, around_ms: int = 10_000) -> DataFrame:
+    """Slots with the words around their time, agreeing neighbours counted from the slot outwards. slots: track_id,
+    token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms, word (null: no label),
+    lefts, rights. ``base`` is the score without common subsequences, ``most`` a bound of what those can add."""
+    left = slots.select("track_id", "token_index", "time_ms", F.col("lefts").alias("sl"), F.col("rights").alias("sr"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("time_ms") / around_ms) + i)).alias("bucket"))
+    right = tokens.select("track_id", "occ_index", F.col("time_ms").alias("ot"), "word", "lefts", "rights", F.floor(F.col("time_ms") / around_ms).alias("bucket"))
+    far = F.abs(F.col("time_ms") - F.col("ot"))
+    pairs = left.where((F.size("sl") > 0) & (F.size("sr") > 0)).join(right, ["track_id", "bucket"]).where(far <= around_ms)
+    exact = pairs.withColumn("xl", _agree("sl", "lefts")).withColumn("xr", _agree("sr", "rights"))
+    base = 5 * (F.col("xl") + F.col("xr")) + F.when((F.col("xl") > 0) & (F.col("xr") > 0), 3).otherwise(0) - 0.05 * far / 1000.0
+    held = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(F.col(b), x)))
+    most = held("sl", "lefts") + held("sr", "rights")
+    return exact.withColumn("base", base).withColumn("most", most)
 
 
 def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0) -> DataFrame:
-    """The best candidate, if it leads by the margin and agrees on both sides."""
-    w = Window.partitionBy("track_id", "token_index").orderBy(F.desc("score"), "occ_index")
-    ranked = context_scores(slots, tokens).withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
-    return ranked.where("k = 1 AND xl > 0 AND xr > 0").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)).select("track_id", "token_index", "occ_index", "word", "score")
+    """The best candidate, if it has a label, leads by the margin and agrees on both sides. A winner agrees with two
+    words at least; pairs that cannot come within the margin of its least score leave before the shuffle, those that
+    cannot come within the margin of the slot's best before the costly common subsequences."""
+    slot = Window.partitionBy("track_id", "token_index")
+    around_ms = 10_000
+    least = 5 * 2 + 3 + 2 - 0.05 * around_ms / 1000.0
+    near = context_pairs(slots, tokens, around_ms).where(F.col("base") + F.col("most") > least - margin)
+    near = near.withColumn("top", F.max("base").over(slot)).where(F.col("base") + F.col("most") >= F.col("top") - margin)
+    scored = near.withColumn("score", F.col("base") + common_subsequence("sl", "lefts") + common_subsequence("sr", "rights"))
+    w = slot.orderBy(F.desc("score"), "occ_index")
+    ranked = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
+    return ranked.where("k = 1 AND xl > 0 AND xr > 0 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)).select("track_id", "token_index", "occ_index", "word", "score")
 
 
 def merge_alignments(by_context: DataFrame, by_time: DataFrame, fixed: DataFrame) -> DataFrame:

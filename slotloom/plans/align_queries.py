@@ -29,13 +29,13 @@ def timed_slots(spark, d):
     return S.slot_times(B.slots(spark, d)).select("track_id", F.col("token_index").cast("bigint").alias("token_index"), F.round(F.col("time_s") * 1000).cast("bigint").alias("time_ms"))
 
 
-def _around(words, keep):
-    """Words with their three neighbours on each side, nearest first."""
+def _around(words, reach, keep):
+    """Words with up to ``reach`` neighbours on each side, nearest first."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("track_id").orderBy("position")
     low = words.withColumn("unit", F.lower("unit"))
-    lefts, rights = F.array(*[F.lag("unit", i).over(w) for i in (1, 2, 3)]), F.array(*[F.lead("unit", i).over(w) for i in (1, 2, 3)])
+    lefts, rights = F.reverse(F.collect_list("unit").over(w.rowsBetween(-reach, -1))), F.collect_list("unit").over(w.rowsBetween(1, reach))
     rows = low.select("track_id", "position", "unit", F.round(F.col("time_s") * 1000).cast("bigint").alias("time_ms"), lefts.alias("lefts"), rights.alias("rights"))
     return rows.where(keep)
 
@@ -43,13 +43,14 @@ def _around(words, keep):
 def context_slots(spark, d):
     from pyspark.sql import Window
 
-    rows = _around(S.spoken_words(B.events(spark, d)), "unit = '[__]'")
+    rows = _around(S.spoken_words(B.events(spark, d)), 10, "unit = '[__]'")
     return rows.withColumn("token_index", (F.row_number().over(Window.partitionBy("track_id").orderBy("position")) - 1).cast("bigint"))
 
 
 def context_tokens(spark, d):
-    rows = _around(S.spoken_words(plain_events(spark, d)), F.col("unit").isin(B.LEXICON))
-    return rows.select("track_id", F.col("position").cast("bigint").alias("occ_index"), "time_ms", F.col("unit").alias("word"), "lefts", "rights")
+    """All words of the plain tracks; those of the lexicon are labels."""
+    rows = _around(S.spoken_words(plain_events(spark, d)), 15, F.lit(True))
+    return rows.select("track_id", F.col("position").cast("bigint").alias("occ_index"), "time_ms", F.when(F.col("unit").isin(B.LEXICON), F.col("unit")).alias("word"), "lefts", "rights")
 
 
 @R.add()
