@@ -54,7 +54,7 @@ def has_timed_ground_truth(masked: DataFrame, occurrences: DataFrame, drift_ms:
 
 def components(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
     """Slots and occurrences, once for each drift, cut where no padded event interval covers the time: no pair crosses
-    such an instant, so an assignment splits there and a long track is never one task."""
+    such an instant, so an assignment splits there. The windows that find the cuts hold one track's rows each."""
     drift = F.explode(F.array(*map(F.lit, drifts_ms))).alias("drift")
     events = slots.select(drift, "track_id", F.col("time_ms").alias("a"), F.col("time_ms").alias("b"), F.lit("s").alias("side"), F.col("token_index").alias("k"), F.lit(None).cast("string").alias("word"))
     occ = occurrences.select(drift, "track_id", "start_ms", "end_ms", "occ_index", "word").select("drift", "track_id", (F.col("start_ms") - F.col("drift")).alias("a"), (F.col("end_ms") + F.col("drift")).alias("b"), F.lit("o").alias("side"), F.col("occ_index").alias("k"), "word")
