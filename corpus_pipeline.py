@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import bpe, decontam, langid, quality, simhash
+from slotloom.llm import bpe, decontam, langid, nearcopies, quality
 from slotloom.llm.store import cut
 
 
@@ -33,8 +33,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one whose id names the group. Without an id: all stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    """One document of each group linked by fingerprints or by a Jaccard of 0.8 or more over five-word shingles: the one
+    whose id names the group. Without an id: all stay."""
+    groups = nearcopies.near_copies(docs.where("doc_id IS NOT NULL"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
