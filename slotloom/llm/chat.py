@@ -2,8 +2,10 @@
 
 A renderer is any function from a list of (role, text) to a string. A conversation's turns are rendered as successive
 prefixes; when output k starts with output k - 1, the rest is turn k's span, else the template rewrites history and the
-turn is marked so. Turns are streamed in order and rendered in chunks of at most ``chunk`` turns, whose outputs follow
-each other; a conversation is never held whole, and its cost grows with its length.
+turn is marked so. A conversation is held and rendered whole, at a cost that grows with the square of its turns. Only
+for a template declared ``turn_local`` (its output is that of its turns one by one, as the default template's) turns are
+streamed in order and rendered in chunks of at most ``chunk`` turns, whose outputs follow each other; such a conversation
+is never held whole, its cost grows with its length, and a template that is not turn-local at a seam raises an error.
 
 The default template marks turns by ``### Role: `` and `` </turn>`` and escapes both strings, and its escape sign, in
 texts with a backslash, reversibly. The loss mask holds the spans of assistant texts.
@@ -45,6 +47,9 @@ def render(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{_ROLE.sub(lambda m: chr(92) + m[0], role)}{MIDDLE}{escape(text)}{CLOSE}" for role, text in turns)
 
 
+render.turn_local = True
+
+
 def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> tuple[str, list[tuple[int, int, bool]]]:
     """(whole output, span of each turn in it and whether the template kept what came before)."""
     last, spans = "", []
@@ -68,9 +73,22 @@ def text_span(turn: str, role: str, text: str) -> tuple[int, int]:
     return (at, at + len(own)) if at >= 0 else (len(turn), len(turn))
 
 
+def text_spans(turns: list[Turn], whole: str, template: Callable[[list[Turn]], str]) -> list[tuple[int, int] | None]:
+    """Where each text stands in the whole output of any template: what differs when a sign found nowhere else takes the
+    text's place. None if the template leaves the text out, repeats it, or changes other parts with it."""
+    sign = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in whole and not any(c in r or c in t for r, t in turns))
+    out: list[tuple[int, int] | None] = []
+    for k, (role, _) in enumerate(turns):
+        parts = template([*turns[:k], (role, sign), *turns[k + 1 :]]).split(sign)
+        fits = len(parts) == 2 and len(whole) >= len(parts[0]) + len(parts[1]) and whole.startswith(parts[0]) and whole.endswith(parts[1])
+        out.append((len(parts[0]), len(whole) - len(parts[1])) if fits else None)
+    return out
+
+
 def format_chats(turns: DataFrame, template: Callable[[list[Turn]], str] = render, chunk: int = CHUNK, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv, chunk, formatted, spans(start, end, role, text_start, text_end, loss, kept): outputs of a conversation's
-    chunks, to be read one after the other."""
+    chunks, to be read one after the other (one chunk a conversation, unless the template is turn-local)."""
+    local = getattr(template, "turn_local", False)
     kind = turns.schema[conv_col].dataType.simpleString()
     one = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = one.repartition(F.col("conv")).sortWithinPartitions(F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").select("conv", "role", "text")
@@ -84,9 +102,13 @@ def format_chats(turns: DataFrame, template: Callable[[list[Turn]], str] = rende
         def close() -> None:
             text, spans = locate(held, template)
             rows = []
-            for (role, own), (a, b, kept) in zip(held, spans):
-                lo, hi = text_span(text[a:b], role, own)
-                rows.append({"start": a, "end": b, "role": role, "text_start": a + lo, "text_end": a + hi, "loss": role == "assistant", "kept": kept})
+            if template is render:
+                at = [tuple([a + x for x in text_span(text[a:b], role, own)]) for (role, own), (a, b, _) in zip(held, spans)]
+            else:
+                at = text_spans(held, text, template)
+            for (role, _), (a, b, kept), found in zip(held, spans, at):
+                lo, hi = found or (min(b, len(text)),) * 2
+                rows.append({"start": a, "end": b, "role": role, "text_start": lo, "text_end": hi, "loss": role == "assistant", "kept": kept})
             out.append((conv, number, text, rows))
 
         def batch_of(kind: pa.DataType) -> pa.RecordBatch:
@@ -98,7 +120,9 @@ def format_chats(turns: DataFrame, template: Callable[[list[Turn]], str] = rende
         for batch in batches:
             id_kind = batch.column(0).type
             for c, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if began and (c != conv or len(held) == chunk):
+                if began and (c != conv or local and len(held) == chunk):
+                    if c == conv and template([held[-1], (role, text)]) != template(held[-1:]) + template([(role, text)]):
+                        raise ValueError("the template is declared turn-local but is not")
                     close()
                     number = number + 1 if c == conv else 0
                     held = []
