@@ -215,21 +215,21 @@ def two_fold_gate(choices: DataFrame) -> DataFrame:
     return good.groupBy("pattern", "tier").agg(F.count_distinct("half").alias("halves"), F.count_distinct("word").alias("words"), F.min("word").alias("word"), F.sum("n").alias("n")).where("halves = 2 AND words = 1").select("pattern", "tier", "word", "n")
 
 
-def greedy_select(hits: DataFrame, most: int = 20, least: int = 2, keep=None) -> DataFrame:
+def greedy_select(hits: DataFrame, most: int | None = None, least: int = 2, keep=None) -> DataFrame:
     """Patterns taken one by one by correct - 3 * wrong over rows not covered yet, until the best is under
-    ``least``. hits: pattern, word, row_id, expected. The loop is bounded by ``most``, its state is one row a round, and
-    covered rows are left out by an anti join on the chosen patterns' rows; ``keep`` cuts lineage (e.g. a checkpoint)."""
+    ``least`` (or, if given, after ``most``). hits: pattern, word, row_id, expected. The loop's state is one row a round,
+    and covered rows are left out by an anti join on the chosen patterns' rows, so lineage does not grow; ``keep`` cuts it
+    once before the loop (e.g. a checkpoint)."""
+    hits = keep(hits) if keep is not None else hits
     spark, chosen, left = hits.sparkSession, [], hits
-    for k in range(most):
+    while most is None or len(chosen) < most:
         scores = left.groupBy("pattern", "word").agg(F.count_if(F.col("expected") == F.col("word")).alias("correct"), F.count_if(~F.col("expected").eqNullSafe(F.col("word"))).alias("wrong"))
         best = scores.withColumn("score", F.col("correct") - 3 * F.col("wrong")).orderBy(F.desc("score"), "pattern").first()
         if best is None or best["score"] < least:
             break
-        chosen.append((k, best["pattern"], best["word"], best["correct"], best["wrong"]))
-        covered = left.where(F.col("pattern") == best["pattern"]).select("row_id").distinct()
-        left = left.join(covered, "row_id", "left_anti")
-        if keep is not None:
-            left = keep(left)
+        chosen.append((len(chosen), best["pattern"], best["word"], best["correct"], best["wrong"]))
+        covered = hits.where(F.col("pattern").isin([c[1] for c in chosen])).select("row_id").distinct()
+        left = hits.join(covered, "row_id", "left_anti")
     return spark.createDataFrame(chosen, "rank int, pattern string, word string, correct bigint, wrong bigint")
 
 

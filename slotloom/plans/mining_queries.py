@@ -214,10 +214,12 @@ def h21_two_fold_gate(spark, d):
     return H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5))
 
 
-def _selected(spark, d, most=3):
+def _selected(spark, d):
+    """Patterns that pass the gate in both halves, chosen until the best score is under 2."""
     pats = _patterns(spark, d).select("pattern", "row_id", "expected")
-    tops = H.word_choice(_patterns(spark, d), share=0.5).where("passes AND half = 0 AND tier = 'discovery'").select("pattern", "word")
-    return H.greedy_select(pats.join(tops, "pattern"), most=most, least=-1000)
+    tops = H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5)).select("pattern", "word").distinct()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return H.greedy_select(pats.join(tops, "pattern"), keep=lambda df: df.checkpoint() if shared else df.localCheckpoint())
 
 
 @R.add()
