@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements (comments, scripts, styles and other raw parts left out). For every node i with C
-characters, T tags, LC characters and LT tags in links, the composite text density is
+A page becomes a tree of block elements (comments, scripts, styles and other raw parts left out; inline elements such as
+``b`` or ``a`` count as tags and links of the block that holds them). For every node i with C characters, T tags, LC
+characters and LT tags in links, the composite text density is
 
     (C / T) * log_b(C * T / (LC * LT)),   b = ln(C * LC / (C - LC) + LC_body * C / C_body + e)
 
 with zero counts read as one. A node's density sum adds up its children's densities. The node with the largest sum
-gives the threshold: the least density on its path to the body. From the body downwards, each node that reaches the
-threshold yields its subtree's node of the largest sum. An enclosing ``article`` or ``main`` is taken whole. Menus,
-headers, footers, sidebars, notices, adverts, forms and comment sections are told by element name, role, class and id.
+(ties: the first on the page) is the article, and the least density on its path to the body is the threshold. From the
+body downwards, each other node that reaches the threshold yields its subtree's node of the largest sum; those whose sum
+is at least ``SHARE`` of the article's are further parts of it. Density decides alone, without regard to ``article``,
+``main`` or telling names. Elements that are told by tag, role, class or id to be menus, headers, footers, sidebars,
+notices, adverts, forms or comment sections count nothing. Where such names leave no text at all, they are disregarded.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and misnested tags are closed where the next
-block needs it. Very long pages are read whole. Repeated rows each get their row.
+block needs it; a quote that is not closed within a few thousand signs is an ordinary sign. Very long pages are read
+whole. Repeated rows each get their row; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A node whose density sum is this share of the article's, or more, is a part of it.
+SHARE = 0.25
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z]+|\d+")
 
@@ -52,11 +58,14 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
+    def block(self) -> bool:
+        return self.tag in BLOCK
 
-def _is_other(tag: str, attrs: str, inside_article: bool) -> bool:
+
+def _is_other(tag: str, attrs: str, inside_article: bool, names: bool) -> bool:
     if tag in OTHER_TAGS or tag == "header" and not inside_article:
         return True
-    if tag in ("body", "html", "article", "main") or not attrs:
+    if tag in ("body", "html", "article", "main") or not attrs or not names:
         return False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
@@ -67,8 +76,9 @@ def _is_other(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree below an ``html`` node; text is held as strings among the children."""
+def parse(page: str, names: bool = True) -> Node:
+    """The tree below an ``html`` node; text is held as strings among the children. names: whether roles, classes and ids
+    tell other matter."""
     root = Node("html", None)
     at, body, end = root, Node("body", root), 0
     root.kids.append(body)
@@ -120,7 +130,7 @@ def parse(page: str) -> Node:
             elif x.tag in BLOCK and x.tag != "p":
                 break
             x = x.up
-        node = Node(tag, at, _is_other(tag, m[3], articles > 0))
+        node = Node(tag, at, _is_other(tag, m[3], articles > 0, names))
         at.kids.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             at = node
@@ -128,8 +138,22 @@ def parse(page: str) -> Node:
     return body
 
 
+def children(x: Node) -> list[Node]:
+    """The block nodes right below x: inline elements are looked through."""
+    out, stack = [], list(reversed(x.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str) or k.other:
+            continue
+        if k.block():
+            out.append(k)
+        else:
+            stack += reversed(k.kids)
+    return out
+
+
 def measure(body: Node) -> None:
-    """Counts and densities of all nodes, children first."""
+    """Counts of all nodes, densities and sums of the blocks, children first."""
     order, stack = [], [body]
     while stack:
         x = stack.pop()
@@ -149,20 +173,21 @@ def measure(body: Node) -> None:
     share = body.link_chars / max(1, body.chars)
     for x in reversed(order):
         c, t = x.chars, max(1, x.tags)
-        if c:
+        if c and x.block():
             lc, lt, rest = max(1, x.link_chars), max(1, x.link_tags), max(1, c - x.link_chars)
             base = math.log(c * lc / rest + share * c + math.e)
-            x.density = c / t * max(0.0, math.log(c * t / (lc * lt))) / math.log(base) if base > 1 and c * t > lc * lt else 0.0
-        x.sum = sum(k.density for k in x.kids if not isinstance(k, str) and not k.other)
+            x.density = c / t * math.log(c * t / (lc * lt)) / math.log(base) if base > 1 and c * t > lc * lt else 0.0
+            x.sum = sum(k.density for k in children(x))
 
 
 def _best(x: Node) -> Node:
+    """The block below x, or x, of the largest sum; the first of equals."""
     best, stack = x, [x]
     while stack:
         y = stack.pop()
         if y.sum > best.sum:
             best = y
-        stack += [k for k in reversed(y.kids) if not isinstance(k, str) and not k.other]
+        stack += reversed(children(y))
     return best
 
 
@@ -170,43 +195,27 @@ def select(body: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
     measure(body)
     best = _best(body)
-    threshold, x = best.density, best
-    while x is not None and x is not body:
-        threshold = min(threshold, x.density)
+    path, x = set(), best
+    while x is not None:
+        path.add(id(x))
+        x = x.up
+    threshold = min(best.density, body.density)
+    x = best
+    while x is not body:
+        threshold = min(threshold, x.density) if x.block() else threshold
         x = x.up
     found, stack = [], [body]
     while stack:
         x = stack.pop()
-        if x is not body and x.density >= threshold and x.density > 0 or x is best:
-            found.append(_best(x) if x is not best else best)
+        if x is best:
+            found.append(x)
+        elif id(x) not in path and x.density >= threshold:
+            part = _best(x)
+            if max(part.sum, part.density if not children(part) else 0.0) >= SHARE * best.sum:
+                found.append(part)
         else:
-            stack += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.other]
-    if best not in found:
-        found.append(best)
-    out: list[Node] = []
-    for x in found:
-        y, whole = x, None
-        while y is not None and y is not body:
-            if y.tag in ("article", "main"):
-                whole = y
-                if y.tag == "article":
-                    break
-            y = y.up
-        x = whole or (x if x.tag in BLOCK or x.up is None else x.up)
-        if x not in out:
-            out.append(x)
-    if any(x.tag in ("article", "main") for x in out):  # loose blocks beside an article are not part of it
-        out = [x for x in out if x.tag in ("article", "main")]
-
-    def inside(x: Node) -> bool:
-        y = x.up
-        while y is not None:
-            if y in out:
-                return True
-            y = y.up
-        return False
-
-    return [x for x in out if not inside(x)]
+            stack += reversed(children(x))
+    return found
 
 
 def blocks(roots: list[Node]) -> list[str]:
@@ -240,7 +249,9 @@ def blocks(roots: list[Node]) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    return "\n\n".join(blocks(select(parse(page)))) if page else ""
+    if not page:
+        return ""
+    return "\n\n".join(blocks(select(parse(page))) or blocks(select(parse(page, names=False))))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
