@@ -2,13 +2,17 @@
 
 Score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), then a logistic calibration:
 the sum-of-squares identity makes the pairwise part linear in the number of features. Features of a text: the shares of
-its hashed lower-cased words, statistics of its letters, words and lines, and its length as metadata (size classes).
-Numbers also enter as quantile classes, one feature each.
-
-Training takes about ``sample`` labelled rows (a documented bound) chosen by a hash of the id; their features are made
-on the executors. Null texts count as empty; empty texts get the score of empty features. Rows with a null label are
-not learned from; with labels of one class or none every score is their share (0.5 without labels). Very long texts are
-read whole. Repeated rows and extra columns do not matter.
+its hashed lower-cased words, statistics of its letters, words and lines, and metadata: the recorded length, given by a
+numeric column (null, negative or absent: the text's own), and how far it is from the text's own. Numbers also enter as
+quantile classes, one feature each.
+
+Training takes about ``sample`` labelled rows (a documented bound) chosen by a hash of id and text; rows that repeat text
+and label count once, so no hot id can bring more. Features are made on the executors. The calibration is fitted on
+out-of-fold scores of all these rows, with a prior that holds its slope near 1 and steps that are halved until the loss
+falls. Null texts count as empty; empty texts get the score of empty features. Rows with a null label are not learned
+from; with labels of one class or none every score is their share (0.5 without labels). Very long texts are read whole.
+Repeated rows each get their row, equal texts of equal metadata the same score; an empty table gives no rows; extra
+columns, also such as are named like the results, do not matter.
 """
 
 from __future__ import annotations
@@ -27,10 +31,13 @@ WORDS, FACTORS, CLASSES = 1 << 12, 8, 8
 SAMPLE = 6000
 THRESHOLD = 0.7
 STATS = ["chars", "words", "lines", "word_len", "line_len", "upper", "letter", "digit", "space", "sign", "ascii_sign", "bang", "pipe", "comma", "dot", "distinct_words", "distinct_lines", "long_words", "short_words", "top_line", "first_upper", "sign_words", "sign_ends"]
+META = ["recorded", "recorded_off"]
+FOLDS = 4
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word bucket, share of the text's words; statistics, one row a text)."""
+def features(texts: list[str | None], recorded: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word bucket, share of the text's words; statistics and metadata, one row a text). recorded: lengths as
+    recorded, NaN where there is none."""
     raw = Stream(texts)
     n, codes, cls = len(texts), raw.codes, raw.cls
     sizes = np.diff(raw.text_at).astype(np.float64)
@@ -72,12 +79,16 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     by = lambda v: np.bincount(owner, weights=v, minlength=n)
     sign = (cls != SPACE) & (cls > NUMBER)
     has_sign = np.concatenate([[0], np.cumsum(sign)])
+    if recorded is None:
+        recorded = np.full(n, np.nan)
+    noted = np.where(recorded >= 0, np.nan_to_num(recorded), sizes)
     stats = np.column_stack([
         np.log1p(sizes), np.log1p(words), np.log1p(lines), by(size) / w, np.log1p(sizes / np.maximum(lines, 1)), total(upper) / some,
         total(cls == LETTER) / some, total(cls == NUMBER) / some, total(cls == SPACE) / some, total(sign) / some, total(sign & (codes < 128)) / some,
         total(codes == 33) / some, total(codes == 124) / some, total(codes == 44) / some, total(codes == 46) / some, distinct / w, distinct_lines / np.maximum(lines, 1),
         by(size > 12) / w, by(size < 3) / w, longest / some, by(upper[begin]) / w if len(begin) else np.zeros(n),
         by(has_sign[end] - has_sign[begin] > 1) / w if len(begin) else np.zeros(n), by(sign[end - 1]) / w if len(begin) else np.zeros(n),
+        np.log1p(noted), np.log1p(noted) - np.log1p(sizes),
     ])
     return text, bucket, count / w[text], stats
 
@@ -101,8 +112,8 @@ class Model:
         np.put_along_axis(one, k[:, :, None], 0.5, 2)
         return np.concatenate([z, one.reshape(len(stats), -1)], 1)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        text, bucket, share, stats = features(texts)
+    def score(self, texts: list[str | None], recorded: np.ndarray | None = None) -> np.ndarray:
+        text, bucket, share, stats = features(texts, recorded)
         n, x = len(texts), np.sqrt(share)
         d = self.dense(stats)
         w, v = self.weight, self.factor
@@ -115,34 +126,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
-def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, updates: int = 800, seed: int = 5) -> Model:
-    """rows: (buckets, shares) of each text; y: 0 or 1. Small samples get more epochs, for ``updates`` steps at least."""
+def _learn(x: np.ndarray, y: np.ndarray, epochs: int, updates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.float32]:
+    """(weights, factors, bias) by adaptive gradient steps on batches of 64 rows."""
     rng = np.random.default_rng(seed)
-    n = len(y)
-    mean, scale = stats.mean(0), stats.std(0) + 1e-9
-    cuts = np.quantile(stats, np.arange(1, CLASSES) / CLASSES, axis=0).T
-    model = Model(0.0, np.zeros(0), np.zeros((0, 0)), mean, scale, cuts, 1.0, 0.0)
-    dense = model.dense(stats)
-    size = WORDS + dense.shape[1]
-    x = np.zeros((n, size), np.float32)
-    for i, (at, share) in enumerate(rows):
-        x[i, at] = np.sqrt(share)
-    x[:, WORDS:] = dense
-    order = rng.permutation(n)
-    checked, taught = order[: n // 5], order[n // 5 :]
-    w, v, b = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32), np.float32(np.log(y.mean() / (1 - y.mean())))
+    size, taught = x.shape[1], np.arange(len(y))
+    share = np.clip(y.mean(), 0.5 / len(y), 1 - 0.5 / len(y))
+    w, v, b = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32), np.float32(np.log(share / (1 - share)))
     gw, gv, gb = np.full(size, 1e-6, np.float32), np.full((size, FACTORS), 1e-6, np.float32), np.float32(1e-6)
-
-    def forward(xb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = xb @ v
-        return b + xb @ w + 0.5 * (s**2 - (xb**2) @ v**2).sum(1), s
-
-    for _ in range(max(epochs, -(-updates * 64 // max(1, len(taught))))):
+    for _ in range(max(epochs, -(-updates * 64 // len(taught)))):
         taught = rng.permutation(taught)
         for lo in range(0, len(taught), 64):
             at = taught[lo : lo + 64]
             xb = x[at]
-            z, s = forward(xb)
+            s = xb @ v
+            z = b + xb @ w + 0.5 * (s**2 - (xb**2) @ v**2).sum(1)
             g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / len(at)).astype(np.float32)
             dw = xb.T @ g + 1e-5 * w
             dv = xb.T @ (g[:, None] * s) - ((xb**2).T @ g)[:, None] * v + 1e-4 * v
@@ -153,32 +150,90 @@ def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, u
             w -= 0.1 * dw / np.sqrt(gw)
             v -= 0.03 * dv / np.sqrt(gv)
             b -= 0.05 * db / np.sqrt(gb)
-    held = checked if len(checked) >= 50 and 0 < y[checked].sum() < len(checked) else order
-    z = forward(x[held])[0].astype(np.float64)
-    slope, shift, t = 1.0, 0.0, (y[held] * (y[held].sum() + 1) / (y[held].sum() + 2) + (1 - y[held]) / ((1 - y[held]).sum() + 2))
-    for _ in range(200):  # logistic calibration by damped Newton steps
-        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        r, q = p - t, p * (1 - p) + 1e-6
-        a, bq, c = (q * z * z).sum() + 1e-3, (q * z).sum(), q.sum()
-        g1, g0 = (r * z).sum(), r.sum()
-        det = a * c - bq * bq + 1e-9
-        slope, shift = slope - 0.5 * (c * g1 - bq * g0) / det, shift - 0.5 * (a * g0 - bq * g1) / det
-    return Model(float(b), w.astype(np.float64), v.astype(np.float64), mean, scale, cuts, max(float(slope), 0.05), float(shift))
-
-
-def train(rows: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """rows: labelled rows that may be learned from, one or more a document."""
-    known = rows.where(F.col(label_col).isin(0, 1))
+    return w, v, b
+
+
+def calibrate(z: np.ndarray, y: np.ndarray, prior: float = 4.0) -> tuple[float, float]:
+    """(slope, shift) of a logistic curve through scores z: Newton steps, each halved until the loss falls, with smoothed
+    targets and a prior on the slope that counts like ``prior`` rows, so neither can run off."""
+    up, down = y.sum(), (1 - y).sum()
+    t = y * (up + 1) / (up + 2) + (1 - y) / (down + 2)
+    spread = max(float(np.abs(z).mean()), 1e-9)
+
+    def loss(a: float, b: float) -> float:
+        m = a * z + b
+        return float((np.logaddexp(0, m) - t * m).sum() + 0.5 * prior * spread**2 * (a - 1) ** 2 + 0.5e-3 * b * b)
+
+    a, b = 1.0, 0.0
+    now = loss(a, b)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        q, r = p * (1 - p), p - t
+        g = np.array([(r * z).sum() + prior * spread**2 * (a - 1), r.sum() + 1e-3 * b])
+        h = np.array([[(q * z * z).sum() + prior * spread**2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-3]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        a, b = a - size * step[0], b - size * step[1]
+        last, now = now, loss(a, b)
+        if last - now < 1e-9 * max(1.0, abs(now)):
+            break
+    return max(a, 0.05), b
+
+
+def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, updates: int = 800, seed: int = 5) -> Model:
+    """rows: (buckets, shares) of each text; y: 0 or 1, both present. Small samples get more epochs, for ``updates`` steps
+    at least. The model learns from all rows; its calibration from scores of models that have not seen the row."""
+    n = len(y)
+    mean, scale = stats.mean(0), stats.std(0) + 1e-9
+    cuts = np.quantile(stats, np.arange(1, CLASSES) / CLASSES, axis=0).T
+    model = Model(0.0, np.zeros(0), np.zeros((0, 0)), mean, scale, cuts, 1.0, 0.0)
+    dense = model.dense(stats)
+    x = np.zeros((n, WORDS + dense.shape[1]), np.float32)
+    for i, (at, share) in enumerate(rows):
+        x[i, at] = np.sqrt(share)
+    x[:, WORDS:] = dense
+    # Folds that hold both classes alike.
+    fold = np.empty(n, np.int64)
+    order = np.random.default_rng(seed).permutation(n)
+    for k in (0, 1):
+        own = order[y[order] == k]
+        fold[own] = np.arange(len(own)) % FOLDS
+    z = np.zeros(n)
+    for k in range(FOLDS):
+        out = fold == k
+        if out.any() and not out.all():
+            w, v, b = _learn(x[~out], y[~out], epochs, updates, seed + k)
+            s = x[out] @ v
+            z[out] = b + x[out] @ w + 0.5 * (s**2 - (x[out] ** 2) @ v**2).sum(1)
+    slope, shift = calibrate(z, y)
+    w, v, b = _learn(x, y, epochs, updates, seed)
+    return Model(float(b), w.astype(np.float64), v.astype(np.float64), mean, scale, cuts, slope, shift)
+
+
+def _recorded(df: DataFrame, length_col: str | None):
+    return (F.col(f"`{length_col}`") if length_col else F.lit(None)).cast("double")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def train(rows: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None, sample: int = SAMPLE) -> Model:
+    """rows: labelled rows that may be learned from, one or more a document. length_col: a column of recorded lengths."""
+    known = rows.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("y"), _recorded(rows, length_col).alias("n"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("id"))
     n = known.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(draw < sample / max(n, 1)).select(F.col(label_col).cast("int").alias("y"), F.coalesce(text_col, F.lit("")).alias("text"))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.where(draw < sample / max(n, 1)).groupBy("y", "text").agg(F.max("n").alias("n")).select("y", "n", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, noted = batch.column(2).to_pylist(), _numbers(batch.column(1))
             at, shares, stats = [], [], []
             for lo, hi in chunks(texts):
-                text, bucket, share, s = features(texts[lo:hi])
+                text, bucket, share, s = features(texts[lo:hi], noted[lo:hi])
                 cuts = np.searchsorted(text, np.arange(hi - lo + 1))
                 at += [bucket[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
                 shares += [share[a:b].astype(np.float32) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -190,42 +245,66 @@ def train(rows: DataFrame, label_col: str = "quality", text_col: str = "text", i
     y = np.array(table["y"].to_pylist(), np.float64)
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.5
-        z = np.zeros(len(STATS))
-        size = WORDS + len(STATS) * (1 + CLASSES)
-        return Model(float(np.log((p + 1e-6) / (1 - p + 1e-6))), np.zeros(size), np.zeros((size, FACTORS)), z, z + 1, np.zeros((len(STATS), CLASSES - 1)), 1.0, 0.0)
+        width = len(STATS) + len(META)
+        z, size = np.zeros(width), WORDS + width * (1 + CLASSES)
+        return Model(float(np.log((p + 1e-6) / (1 - p + 1e-6))), np.zeros(size), np.zeros((size, FACTORS)), z, z + 1, np.zeros((width, CLASSES - 1)), 1.0, 0.0)
     rows_ = list(zip(lists("at"), lists("share")))
     stats = np.array(table["stats"].to_pylist())
     order = np.lexsort((*stats.T, y))  # whatever order the rows came in
     return fit([rows_[i] for i in order], stats[order], y[order])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` (or the columns ``keep``), quality_score and predicted of every row."""
-    keep = keep or [id_col]
+def _scores(docs: DataFrame, model: Model):
+    """A function from texts and recorded lengths to scores, for use in tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields) + ", quality_score double, predicted int"
+
+    def run(texts: list[str | None], noted: np.ndarray) -> np.ndarray:
+        return np.concatenate([shared.value.score(texts[lo:hi], noted[lo:hi]) for lo, hi in chunks(texts)]) if texts else np.zeros(0)
+
+    return run
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``id_col``, quality_score and predicted (1 from THRESHOLD on) of every row."""
+    score = _scores(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            p = np.concatenate([model.score(texts[lo:hi]) for lo, hi in chunks(texts)]) if texts else np.zeros(0)
-            columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, "quality_score", "predicted"])
+            p = score(batch.column(2).to_pylist(), _numbers(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], names=[id_col, "quality_score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`"), _recorded(docs, length_col).alias("n"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, quality_score double, predicted int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Documents outside the held-out fold with their label."""
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows, all columns, whose score reaches THRESHOLD."""
+    score = _scores(docs, model)
+    at, noted = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.full(batch.num_rows, np.nan) if noted is None else _numbers(batch.column(noted))
+            yield batch.filter(pa.array(score(batch.column(at).to_pylist(), lengths) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """Documents outside the held-out fold (id, text, recorded length) with their label."""
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
-    return docs.where(fold != 2).select(id_col, "text").join(labels.select(id_col, label_col).distinct(), id_col)
+    own = docs.where(fold != 2).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _recorded(docs, length_col).alias("n_chars"))
+    return own.join(labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("quality")).distinct(), "doc_id")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", length_col: str | None = None) -> Model:
+    """Model from the labels of documents outside the held-out fold."""
+    return train(labelled(docs, labels, id_col, label_col, text_col, length_col), length_col="n_chars")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """id, held_out, score, predicted of every document."""
     from slotloom.llm.langid import held_out
 
-    model = train(labelled(docs, labels, id_col), id_col=id_col, text_col=text_col)
-    return predict(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
+    model = learn(docs, labels, id_col, text_col, length_col=length_col)
+    return predict(docs, model, id_col, text_col, length_col).select(id_col, held_out(id_col).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
