@@ -3,7 +3,8 @@
 Words are runs of other characters than space and tab to carriage return, after A-Z are lower-cased; a shingle is
 ``width`` words joined by one space (all words, if fewer). Bit i of a fingerprint is 1 if it is set in over half of the
 shingles' XXH64 hashes (repeats count). Null, empty and blank texts have no shingle: fingerprint zero, linked like any
-other. Repeated rows each get their row. Ids may be null: such rows are linked but never name a component.
+other. Very long texts are hashed in steps. Repeated rows each get their row; an empty table gives no rows; extra
+columns do not matter. Ids may be null: such rows are linked but never name a component.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.graph import components
-from slotloom.llm.store import cut
+from slotloom.llm.store import cut, join_unique
 
 #: Blocks of more fingerprints than this are linked through shared one-bit neighbours instead of pairs.
 PAIRED = 32
@@ -73,32 +74,33 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 5, paired: int = PAIR
     bits, which holds just for those within the distance (distance must be 2 there).
     """
     choices = masks(distance, blocks)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in choices])).alias("block", "key"))
-    size = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    held = keyed.join(size, ["block", "key"])
-    held = cut(held, "blocks")
+    keyed = cut(fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in choices])).alias("block", "key")).withColumn("at", F.struct("block", "key")).select("fp", "block", "at"), "blocks")
+    size = cut(keyed.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "block-sizes")
+    held = join_unique(keyed, size, "at", size, keyed.count())
     few, many = held.where(F.col("n") <= paired), held.where(F.col("n") > paired)
-    other = few.select("block", "key", F.col("fp").alias("b"))
-    near = few.join(other, ["block", "key"]).where(F.col("fp") > F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).select(F.col("fp").alias("a"), "b")
+    other = few.select("at", F.col("fp").alias("b"))
+    near = few.join(other, "at").where(F.col("fp") > F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).select(F.col("fp").alias("a"), "b")
     if distance != 2:
         raise ValueError("crowded blocks are linked for a distance of 2")
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("bigint") for i in range(64)])
     mask = F.element_at(F.array(*[F.lit(m).cast("bigint") for m in choices]), F.col("block") + 1)
     # Only bits outside the block's mask can differ inside a block.
     neighbours = many.select("block", "fp", mask.alias("mask")).select("block", "fp", F.explode(F.filter(flips, lambda x: x.bitwiseAND(F.col("mask")) == 0)).alias("flip")).select("block", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("via"))
-    least = neighbours.groupBy("block", "via").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
-    star = neighbours.join(least, ["block", "via"]).where("fp > b").select(F.col("fp").alias("a"), "b")
+    neighbours = neighbours.select(F.struct("block", "via").alias("at"), "fp")
+    # A neighbour that is shared is within a bit of both, so at most 65 fingerprints meet in one.
+    least = neighbours.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
+    star = neighbours.join(least, "at").where("fp > b").select(F.col("fp").alias("a"), "b")
     return near.union(star).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """``id_col``, fingerprint (16 hex digits) and component_id (smallest id reachable over links) of every row."""
-    fps = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    root = components(links(classes.select("fp"), distance, blocks))
+    fps = cut(fingerprints(docs, id_col, text_col, width).withColumnRenamed(id_col, "id"), "fingerprints")
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+    root = cut(components(links(classes.select("fp"), distance, blocks)), "roots")
     # The smallest fingerprint names a component first, its smallest id afterwards.
-    owned = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    owned = owned.select("fp", "root", "least")
-    named = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = owned.join(named, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owned = cut(classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "owned")
+    named = owned.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_unique(owned.select("root", "fp"), named.select("root", "component_id"), "root", named.select("root", "n"), classes.count()).select("fp", "component_id")
+    out = join_unique(fps, cut(named, "named"), "fp", classes.select("fp", "n"), fps.count())
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
