@@ -4,8 +4,9 @@ Distinct words of a chunk form the corpus. An inverted index maps every merge ra
 where it applies; ranks are replayed in ascending order and each merge only touches its two neighbours. Merges
 that open a lower rank than the one replayed put their word on a list that is encoded alone, lowest rank first.
 
-Null texts count as empty; empty texts have no ids. Very long texts make a chunk of their own. Repeated rows and
-extra columns do not matter: one row goes out for each row that comes in.
+Null texts count as empty; empty texts have no ids. Very long texts make a chunk of their own, and a very long word takes
+n log n steps. Repeated rows and extra columns do not matter: one row goes out for each row that comes in, none for an
+empty table. Words of one task are told apart by 64-bit keys.
 """
 
 from __future__ import annotations
@@ -56,14 +57,26 @@ class Ranks:
         return np.where(self.pair_key[at] == key, self.pair_rank[at], NONE)
 
     def alone(self, word: bytes) -> list[int]:
-        """One word, always merging the leftmost pair of the lowest rank."""
-        parts = [bytes([c]) for c in word]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], NONE))
-            if parts[best] + parts[best + 1] not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.rank[p] for p in parts]
+        """One word, always merging the leftmost pair of the lowest rank: pairs wait in a heap, so a word of n bytes takes
+        n log n steps."""
+        n = len(word)
+        part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.rank.get(part[i] + part[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != x or j < 0 or part[j] != y:
+                continue
+            part[i], part[j] = x + y, None
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := self.rank.get(part[k] + part[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, part[k], part[after[k]]))
+        return [self.rank[p] for p in part if p is not None]
 
     def replay(self, blob: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words laid end to end, ids per word). blob: the words' bytes; size: bytes per word (over 0)."""
@@ -154,17 +167,19 @@ def ranks(path: str) -> Ranks:
 
 
 class Encoder:
-    """Encodes chunks of texts; remembers words between chunks. ``new_words(blob, size)`` gives ids of unseen words."""
+    """Encodes chunks of texts; remembers words between chunks. ``new_words(blob, size)`` gives ids of unseen words; ids
+    are below ``vocabulary``."""
 
-    def __init__(self, new_words, most: int = 1 << 20):
+    def __init__(self, new_words, vocabulary: int, most: int = 1 << 20):
         self.new_words = new_words
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
         self.memo = Memo(most)
         self.clear()
 
     def clear(self) -> None:
         self.memo.clear()
         self.fresh: list[tuple] = []
-        self.ids = np.zeros(1 << 16, np.uint16)
+        self.ids = np.zeros(1 << 16, self.kind)
         self.used = 0
         self.offset = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
@@ -225,7 +240,7 @@ class Encoder:
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(ranks(path).replay)
+    return Encoder(ranks(path).replay, len(ranks(path).length))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
