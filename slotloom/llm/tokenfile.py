@@ -18,6 +18,7 @@ Null and empty texts give just the end id. Repeated rows are kept, one document
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -47,6 +48,10 @@ class LibraryWords:
         self.tokenizer = Tokenizer.from_file(path)
         #: Strings that the library takes for special tokens; a text that holds one is encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Only a plain byte-level vocabulary encodes piece by piece; any other normaliser or splitter gets whole texts.
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts.get("pre_tokenizer") or {}
+        self.by_piece = not parts.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
 
     def __call__(self, blob: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         end = np.cumsum(size)
@@ -64,7 +69,7 @@ class LibraryWords:
 @functools.lru_cache(2)
 def library_encoder(path: str) -> tuple[Encoder, LibraryWords]:
     words = LibraryWords(path)
-    return Encoder(words, 1 << 19), words
+    return Encoder(words, words.tokenizer.get_vocab_size(), 1 << 19), words
 
 
 class ShardWriter:
@@ -124,9 +129,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     spark = docs.sparkSession
     arrow_id = pa.int64() if isinstance(docs.schema[id_col].dataType, T.LongType) else pa.string()
     kept = docs.select(F.col(id_col).cast("bigint" if arrow_id == pa.int64() else "string").alias("id"), F.col(text_col).alias("text"))
-    by = F.col("id").asc_nulls_first()
-    dealt = kept.repartitionByRange(shards, by) if shards else kept.repartitionByRange(by)
-    dealt = dealt.sortWithinPartitions(by, F.col("text").asc_nulls_first()).select(F.spark_partition_id().alias("shard"), "id", "text")
+    # Ties go by text, so an id that many texts share is dealt over shards by how these begin.
+    by = (F.col("id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first())
+    dealt = kept.repartitionByRange(shards, *by) if shards else kept.repartitionByRange(*by)
+    dealt = dealt.sortWithinPartitions(by[0], F.col("text").asc_nulls_first()).select(F.spark_partition_id().alias("shard"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, library = library_encoder(vocabulary)
@@ -140,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 shard = batch.column(0)[0].as_py()
                 out = ShardWriter(f"{folder}/shard-{shard:06d}.arrows", arrow_id, wide, length, rows)
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            special = {i: library.whole(t) for i, t in enumerate(texts) if any(x in t for x in library.special)}
+            special = {i: library.whole(t) for i, t in enumerate(texts) if not library.by_piece or any(x in t for x in library.special)}
             plain = ["" if i in special else t for i, t in enumerate(texts)]
             for lo, hi, ids, at in encode(plain):
                 own = np.diff(at)
