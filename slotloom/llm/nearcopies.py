@@ -5,9 +5,17 @@ same set of shingles are one class and go on once. Two classes are candidates wh
 at a Jaccard of 0.8, 32 bands of 4 miss a pair with a chance of 5e-8, and fewer above. Every candidate is verified on the
 sets. Sets and classes are told apart by 64-bit hashes.
 
-A band key that more than ``paired`` classes share is linked in two steps: each of its classes is verified against the
-least one, then only those pairs are made whose ends are not in one component by then. So a group of near copies makes
-no pairs, and classes that are just alike in a band are still held against each other.
+A band key that more than ``paired`` classes share makes no pairs. Each of its classes is verified against the least one;
+the classes of keys that are not one component by then meet by an exact prefix filter instead. Their shingles are put in
+one order, rarest first (by counts of a fixed number of buckets; any order is right). Two sets of a Jaccard of t share a
+shingle among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, so
+only these are joined, and only across components. A passage that very many texts share is frequent and thus last in
+order: it makes no pairs unless it is most of both texts.
+
+Null, empty and blank texts have no shingle: their fingerprint is zero, linked like any other. Rows are told apart by id
+and text: rows that repeat both are one class anyway, rows with one id and different texts are documents of their own.
+Null ids are linked too and come last when a component is named. Very long texts are read whole, a chunk of their own.
+An empty table gives no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,14 +30,20 @@ from pyspark.sql import functions as F
 from slotloom.llm.decontam import _shingles
 from slotloom.llm.graph import components
 from slotloom.llm.simhash import _LOWER, PAIRED, fingerprint, links
-from slotloom.llm.store import cut
+from slotloom.llm.store import cut, join_unique
 from slotloom.llm.wordstream import Stream, chunks
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
+#: Counters that tell frequent shingles; their number does not grow with the texts.
+BUCKETS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return ((h * _MIX) >> np.uint64(44)).astype(np.int64)
+
+
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
     return rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
@@ -75,7 +89,7 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROW
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, fp_width: int) -> DataFrame:
-    """``id_col``, fp, cls, n (distinct shingles) and bands (none for a text without words) of every row."""
+    """id, hash (of the text), fp, cls, n (distinct shingles) and bands (none for a text without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +103,14 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, fp_widt
                     for i, row in zip(some.tolist(), band_keys(h, np.append(at[some], len(h))).view(np.int64)):
                         bands[i] = row
                 fps = np.fromiter((fingerprint(t, fp_width) for t in texts[lo:hi]), np.uint64, hi - lo)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.array(class_keys(h, at).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "fp", "cls", "n", "bands"])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.array(class_keys(h, at).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "fp", "cls", "n", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint, cls bigint, n int, bands array<bigint>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, hash bigint, fp bigint, cls bigint, n int, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """cls and shingles (sorted hashes as bytes) of the wanted classes, each read off one text. wanted: ``id_col``, cls."""
+    """cls and shingles (sorted hashes as bytes) of the wanted classes, each read off one text. wanted: id, hash, cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +120,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
                 same = np.flatnonzero(class_keys(h, at).view(np.int64) == own[lo:hi]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(own[lo:hi][same]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["cls", "shingles"])
 
-    texts = docs.select(id_col, text_col).join(wanted, id_col).select("cls", text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["hash"] == wanted["hash"])).select("cls", "text")
     # a repeated id may stand for several texts, and several rows for one class
     return texts.mapInArrow(run, "cls bigint, shingles binary").dropDuplicates(["cls"])
 
@@ -127,11 +142,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that may have a Jaccard of ``least``, by prefixes of the rarest shingles.
+    rows: cls, root, shingles."""
+    spark = rows.sparkSession
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, _bucket(np.frombuffer(x.as_buffer(), "<u8")), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["bucket", "n"])
+
+    counts = rows.select("shingles").mapInArrow(tally, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            keys, owner, size, short = [], [], [], []
+            for i, x in enumerate(batch.column(2)):
+                h = np.frombuffer(x.as_buffer(), "<u8")
+                n = len(h)
+                longer, shorter = n - int(np.ceil(least * n - 1e-9)) + 1, n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+                first = h[np.lexsort((h, often[_bucket(h)]))[:longer]]
+                keys.append(first)
+                owner.append(np.full(len(first), i))
+                size.append(np.full(len(first), n, np.int32))
+                short.append(np.arange(len(first)) < shorter)
+            if keys:
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(size)), pa.array(np.concatenate(short))], ["key", "cls", "root", "n", "short"])
+
+    own = cut(rows.select("cls", "root", "shingles").mapInArrow(prefixes, "key bigint, cls bigint, root bigint, n int, short boolean"), "prefixes")
+    # Keys whose classes are all of one root make no pair.
+    split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    own = own.join(split, "key")
+    small = own.where("short").select("key", F.col("cls").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    held = own.join(small, "key").where("root <> root2").where((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))).where(F.col("n2") >= least * F.col("n") - 1e-9)
+    return held.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, paired: int = PAIRED, fp_width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """``id_col`` and component_id (smallest id reachable) of every row, over links of fingerprints within ``distance``
-    bits and of shingle sets with a Jaccard of ``least`` or more. Ids must not be null."""
+    """id, hash (xxhash64 of the text), times (rows that have both), component (struct of nameless, id and hash: the least
+    of the component) of every distinct (id, text), over links of fingerprints within ``distance`` bits and of shingle
+    sets with a Jaccard of ``least`` or more."""
     rows = cut(_signatures(docs, id_col, text_col, width, fp_width), "signatures")
-    classes = cut(rows.groupBy("fp", "cls").agg(F.min(id_col).alias("least")), "classes")
+    members = cut(rows.groupBy("id", "hash", "fp", "cls").agg(F.count("*").alias("times")), "members")
+    name = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("hash"))
+    classes = cut(members.groupBy("fp", "cls").agg(F.min(name).alias("least"), F.count("*").alias("n")), "classes")
     # Fingerprints go by the least class that has them.
     owner = classes.groupBy("fp").agg(F.min("cls").alias("own"))
     by_fp = links(owner.select("fp"), distance, blocks)
@@ -139,30 +201,47 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = ends.union(classes.join(owner, "fp").select(F.col("cls").alias("a"), F.col("own").alias("b"))).where("a <> b")
 
     sets_of = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = cut(sets_of.select("cls", "n", F.posexplode("bands").alias("band", "key")), "bands")
-    size = keyed.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("first")).where("m > 1")
-    held = cut(keyed.join(size, ["band", "key"]), "held")
+    keyed = cut(sets_of.select("cls", "n", F.posexplode("bands").alias("band", "key")).select("cls", "n", F.struct("band", "key").alias("at")), "bands")
+    size = cut(keyed.groupBy("at").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("first")).where("m > 1"), "band-sizes")
+    held = cut(join_unique(keyed, size, "at", size.select("at", F.col("m").alias("n")), keyed.count()), "held")
     alike = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
-    few, many = held.where(F.col("m") <= paired).select("band", "key", "cls", "n"), held.where(F.col("m") > paired)
-    small = few.join(few.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("n2")), ["band", "key"]).where(F.col("cls") > F.col("b")).where(alike).select(F.col("cls").alias("a"), "b")
+    few, many = held.where(F.col("m") <= paired).select("at", "cls", "n"), held.where(F.col("m") > paired)
+    small = few.join(few.select("at", F.col("cls").alias("b"), F.col("n").alias("n2")), "at").where(F.col("cls") > F.col("b")).where(alike).select(F.col("cls").alias("a"), "b")
     star = many.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "n", F.col("first.n").alias("n2")).where(F.col("a") > F.col("b")).where(alike).select("a", "b")
     pairs = cut(small.union(star).distinct(), "pairs")
-    members = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(many.select("cls")).distinct()
-    sample = rows.select("cls", id_col).join(members, "cls").groupBy("cls").agg(F.min(id_col).alias(id_col))
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(many.select("cls")).distinct()
+    sample = members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("id", "hash")).alias("one")).select("cls", "one.id", "one.hash")
     sets = cut(_sets(docs, sample, id_col, text_col, width), "shingle-sets")
     edges = cut(edges.union(_verified(pairs, sets, least)), "links")
 
     if not many.isEmpty():
-        now = many.select("band", "key", "cls", "n").join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        now = many.select("at", "cls", "n").join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         now = cut(now, "crowded")
-        open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-        now = now.join(open_, ["band", "key"])
-        other = now.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        rest = now.join(other, ["band", "key"]).where(F.col("root") > F.col("root2")).where(alike).select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-        edges = edges.union(_verified(rest, sets, least))
-
-    named = classes.join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = cut(named.select("cls", "root", "least"), "roots")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.select("cls", "root").distinct().join(names, "root").select("cls", "component_id")
-    return rows.select("cls", id_col).join(by_class, "cls").select(id_col, "component_id")
+        open_ = now.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("at", "n")
+        left = cut(join_unique(now.select("at", "cls", "root"), open_.select("at"), "at", open_, now.count()).select("cls", "root").distinct(), "open-classes")
+        edges = edges.union(_verified(_across(left.join(sets, "cls"), least), sets, least))
+
+    named = classes.join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least", "n")
+    named = cut(named, "roots")
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), "names")
+    own = named.groupBy("cls", "root").agg(F.sum("n").alias("n"))
+    by_class = cut(join_unique(own, names.select("root", "component"), "root", names.select("root", "n"), own.count()).select("cls", "component", "n"), "class-names")
+    return join_unique(members, by_class.select("cls", "component"), "cls", by_class.select("cls", "n"), members.count()).select("id", "hash", "times", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows, all columns, that name their component of ``near_copies``: one of each, whichever other columns repeated
+    rows differ in. Only rows that repeat id and text are dealt out as a whole."""
+    groups = near_copies(docs, id_col, text_col, **how)
+    same = F.col("component.id").eqNullSafe(F.col("id")) & (F.col("component.hash") == F.col("hash"))
+    gone = cut(groups.where(~same).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "gone")
+    many = cut(groups.where(same & (F.col("times") > 1)).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "repeated")
+    tagged = docs.withColumn("__of", F.xxhash64(text_col))
+    meets = lambda keys: tagged[id_col].eqNullSafe(keys["__id"]) & (tagged["__of"] == keys["__hash"])
+    kept = tagged.join(gone, meets(gone), "left_anti")
+    if many.isEmpty():
+        return kept.select(docs.columns)
+    meets = lambda keys: kept[id_col].eqNullSafe(keys["__id"]) & (kept["__of"] == keys["__hash"])
+    once = kept.join(many, meets(many), "left_anti")
+    first = kept.join(many, meets(many), "left_semi").dropDuplicates([id_col, "__of"])
+    return once.unionByName(first).select(docs.columns)
