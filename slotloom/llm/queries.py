@@ -32,7 +32,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), length_col="n_chars")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,18 +82,32 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        k AS (SELECT *, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+        ig AS (SELECT DISTINCT item_id, item, k, unnest([array_to_string(w[j : j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS g FROM k),
+        n AS (SELECT item, count(*) AS n FROM ig GROUP BY item),
+        dg AS (SELECT DISTINCT doc_id, row, k, unnest([array_to_string(w[j : j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS g
+               FROM (SELECT *, row_number() OVER () AS row FROM d) CROSS JOIN (SELECT DISTINCT k FROM k) WHERE len(w) >= k)
+        SELECT doc_id, item_id, count(*)::INT AS shared, count(*)::DOUBLE / any_value(n) AS containment
+        FROM dg JOIN ig USING (k, g) JOIN n USING (item) GROUP BY doc_id, row, item_id, item HAVING count(*) >= 0.8 * any_value(n) - 1e-9""",
     "op9_license_scan": """
         WITH t(license, text) AS (VALUES {templates}),
         n AS (SELECT license, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t),
-        tg AS (SELECT license, gram, len(w) - 1 AS size, count(*) AS times FROM (SELECT license, w, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS gram FROM n) GROUP BY ALL),
-        l AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-        u AS (SELECT doc_id, unnest(range(0, len(ls) + 1))::INT AS line, unnest(list_concat([CASE WHEN len(ls) > 1 THEN array_to_string(ls, ' ') ELSE '' END], ls)) AS unit FROM l),
-        uw AS (SELECT doc_id, line, string_split_regex(trim(unit), ' +') AS w FROM u),
-        ug AS (SELECT doc_id, line, gram, n, count(*) AS own FROM (SELECT doc_id, line, len(w) - 1 AS n, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS gram FROM uw WHERE len(w) BETWEEN 2 AND 200) GROUP BY ALL),
-        d AS (SELECT doc_id, line, license, 2.0::DOUBLE * sum(least(own, times)) / (n + size) AS dice FROM ug JOIN tg USING (gram)
-              WHERE n <= size * 1.5000001 AND n >= size * 0.6666666 GROUP BY doc_id, line, license, n, size),
-        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS k FROM d WHERE dice >= 0.8 - 1e-9)
-        SELECT doc_id, line, license, dice FROM b WHERE k = 1""".format(templates=", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(licenses.TEMPLATES.items()))),
+        tg AS (SELECT license, gram, size, count(*) AS times FROM (SELECT license, len(w) - 1 AS size, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS gram FROM n) GROUP BY ALL),
+        d AS (SELECT doc_id, row_number() OVER () AS row, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, row, unnest(range(0, len(w) - 1)) AS pos, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS gram FROM d WHERE len(w) > 1),
+        h AS (SELECT doc_id, row, license, size, times, pos, gram FROM g JOIN tg USING (gram)),
+        o AS (SELECT s.doc_id, s.row, s.license, s.size, s.pos AS start, e.gram, e.times, count(*) AS own, max(e.pos) AS last
+              FROM (SELECT *, count(*) OVER (PARTITION BY row, license) AS n FROM h) s JOIN h e ON e.row = s.row AND e.license = s.license AND e.pos >= s.pos AND e.pos < s.pos + s.size
+              WHERE s.n >= s.size * 0.66 GROUP BY ALL),
+        v AS (SELECT doc_id, row, license, size, start, max(last) - start + 1 AS n, sum(least(own, times)) AS shared FROM o GROUP BY doc_id, row, license, size, start),
+        c AS (SELECT *, 2.0::DOUBLE * shared / (n + size) AS dice FROM v),
+        b AS (SELECT * FROM c WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY row, license ORDER BY dice DESC, start) = 1)
+        SELECT doc_id, license, dice, (start + 1)::INT AS start, (n + 1)::INT AS n_words FROM b a WHERE NOT EXISTS (SELECT 1 FROM b o
+            WHERE o.row = a.row AND o.start <= a.start + a.n AND a.start <= o.start + o.n AND (o.shared > a.shared OR o.shared = a.shared AND (o.dice > a.dice OR o.dice = a.dice AND o.license < a.license)))
+        """.format(templates=", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(licenses.TEMPLATES.items()))),
     "op10_chat_formatting": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}'))

@@ -4,8 +4,11 @@ empty tables and clashing columns."""
 import base64
 import hashlib
 import html
+import math
 import re
+import xml.etree.ElementTree as ET
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from slotloom.llm import bpe, chat, decontam, graph, htmltext, langid, licenses, quality, queries, simhash, tokenfile, topk
+from slotloom.llm import bpe, chat, decontam, graph, htmltext, langid, licenses, quality, queries, simhash, store, tokenfile, topk
 from slotloom.llm.store import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -42,38 +45,66 @@ def tik():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def plain_topk(vectors, asked, k):
+    """(query, rank, id, score) over all rows; a query id is asked with its least vector."""
+    floors = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
+    queries_ = {}
+    for i, v in floors:
+        if asked(i):
+            queries_[i, len(v)] = min(queries_.get((i, len(v)), v), v)
+    out = []
+    for (i, n), q in queries_.items():
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in floors if j != i and len(v) == n)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(1)
-    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 64]) for i in range(300)] + [(5, [0.0] * 6), (900, None), (901, [0.1, None] * 3), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [0.5, 0.5]), (None, [0.1] * 6)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("dim", F.lit(2))
-    got = topk.search(df, df.where("vec_id % 20 = 0"), k=7, block=64, batch=8).collect()
-    best = {}
-    for i, v in vectors:
-        if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all():
-            w = np.floor(64 * np.float32(v).astype(float))
-            best[i] = min(best.get(i, tuple(w)), tuple(w))
-    want = []
-    for q in best:
-        if q % 20 == 0:
-            scores = sorted((-int(np.dot(best[q], best[v])), v) for v in best if v != q)[:7]
-            want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scores)]
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 64]) for i in range(300)] + [(5, [0.0] * 6), (5, [0.25] * 6), (20, [0.0] * 6), (900, None), (901, [0.1, None] * 3), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [0.5, 0.5]), (905, []), (None, [0.1] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "dim": F.lit(2), "block": F.lit(3), "score": F.lit(4)})
+    for block in (64, 8192):
+        got = topk.search(df, df.where("vec_id % 20 = 0"), k=7, block=block, batch=8).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_topk(vectors, lambda i: i % 20 == 0, 7)
     assert topk.search(df.where("false"), df.where("false")).count() == 0
     assert topk.search(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_topk_of_huge_values(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.integers(-(2**24), 2**24, 5)]) for i in range(90)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = topk.search(df, df.where("vec_id % 10 = 0"), k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_topk(vectors, lambda i: i % 10 == 0, 5)
+    over = spark.createDataFrame([(i, [x] * 4) for i, x in enumerate([1e25, 2e25, -1e25])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id, r.score) for r in topk.search(over, over.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 2**63 - 1), (2, 2, -(2**63))]
+
+
 def test_nra_equals_full_scores():
     rng = np.random.default_rng(2)
-    for scale in (2, 40, 5000):
+    for scale in (2, 40, 5000, 2**28):
         x, q = np.floor(rng.normal(0, scale, (500, 16))), np.floor(rng.normal(0, scale, (20, 16)))
-        own = np.full(20, -1)
-        own[:5] = np.arange(5)
-        a, b, s = topk.nra(x, q, 10, own)
-        full = q @ x.T
-        full[np.arange(5), np.arange(5)] = -np.inf
-        for i in range(20):
-            floor = np.sort(full[i])[-10]
-            assert set(b[a == i]) == set(np.flatnonzero(full[i] >= floor)) and (full[i][b[a == i]] == s[a == i]).all()
+        own = np.zeros((20, 500), bool)
+        own[np.arange(5), np.arange(5)] = True
+        full = np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for r in x] for s in q], object)
+        full[own] = -(10**30)
+        found = list(topk.nra(x, q, 10, own))
+        assert sorted(i for i, *_ in found) == list(range(20))
+        for i, rows, score in found:
+            floor = sorted(full[i])[-10]
+            assert {j for j in range(500) if full[i][j] >= floor} <= set(rows.tolist()) and [int(s) for s in score] == [full[i][j] for j in rows]
+
+
+def test_nra_reads_no_further_than_needed():
+    """A few heavy rows are found near the heads of the lists; rows without a difference are read to the end."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.pareto(1.0, (4000, 16)) * 3)
+    tell = topk.Reading()
+    list(topk.nra(x, np.abs(x[:32]) + 1, 10, np.zeros((32, 4000), bool), tell))
+    assert len(tell.share) == 32 and max(tell.share) <= 1 / 8 and max(tell.resolved) <= 20
+    tell = topk.Reading()
+    list(topk.nra(np.ones((4000, 16)), np.ones((1, 16)), 10, np.zeros((1, 4000), bool), tell))
+    assert tell.share == [1.0] and tell.resolved == [4000]
 
 
 def test_html(spark):
@@ -94,6 +125,65 @@ def test_html(spark):
     assert sorted((r.text, r.n_chars) for r in htmltext.main_text(odd).collect()) == [("", 0), ("", 0), ("a", 1)]
 
 
+def plain_density(page):
+    """(density, sum) of each block element of a small well-formed page, by tag and order, straight from the formula."""
+    root = ET.fromstring(page)
+    text = lambda e: "".join(e.itertext())
+    own = lambda e: sum(len(" ".join(t.split())) for x in e.iter() for t in [x.text or "", *(c.tail or "" for c in x)])
+    body_links, body_chars = sum(own(a) for a in root.iter("a")), own(root)
+
+    def density(e):
+        c, t = own(e), max(1, len(list(e.iter())) - 1)
+        if not c:
+            return 0.0
+        links = [a for a in e.iter("a") if a is not e]
+        lc, lt = max(1, sum(own(a) for a in links)), max(1, len(links))
+        base = math.log(c * lc / max(1, c - sum(own(a) for a in links)) + body_links / max(1, body_chars) * c + math.e)
+        return c / t * math.log(c * t / (lc * lt)) / math.log(base) if c * t > lc * lt else 0.0
+
+    assert text(root)
+    return [(e.tag, density(e), sum(density(k) for k in e if k.tag != "a")) for e in root.iter() if e.tag in ("body", "div", "p", "ul", "li", "h1")]
+
+
+def test_densities_against_the_formula():
+    page = "<body><div><ul><li><a>one</a></li><li><a>two words</a></li></ul></div><div><h1>A title</h1><p>Some text that is long, with <a>a link</a> in it.</p><div><p>More and more text.</p><p>End</p></div></div><p>last</p></body>"
+    body = htmltext.parse(page)
+    htmltext.measure(body)
+    got, stack = [], [body]
+    while stack:
+        x = stack.pop()
+        got.append((x.tag, x.density, x.sum))
+        stack += reversed(htmltext.children(x))
+    want = plain_density(page)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in want])
+
+
+def test_html_by_density_alone(spark):
+    """Without article elements and telling names, articles of some length come out just the same."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    some = 0
+    for r in rows:
+        want = htmltext.extract(r.html)
+        plain = r.html.replace("article>", "div>")
+        assert htmltext.extract(plain) == want
+        if len(want) >= 300:
+            some += 1
+            assert htmltext.extract(plain.replace(' class="ad"', "")) == want
+    assert some > 150
+    wrapped = "<body><div class='banner'><p>" + "All the text of the page. " * 20 + "</p></div></body>"
+    assert htmltext.extract(wrapped) == ("All the text of the page. " * 20).strip()
+    assert htmltext.extract("<body><div><p>aa</p><p>bb</p></div><div><p>aa</p><p>bb</p></div></body>") == "aa\n\nbb\n\naa\n\nbb"
+
+
+def test_html_long_and_broken(spark):
+    assert htmltext.extract('<p title="' * 20000 + "x") is not None
+    long = "<body>" + "<p>word and word</p>" * 50000 + "</body>"
+    assert htmltext.extract(long).count("word and word") == 50000
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.main_text(none).count() == 0
+
+
 def test_language_held_out(spark):
     rows = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
@@ -111,6 +201,56 @@ def test_language_odd_rows(odd_docs, none):
     assert {r.lang_pred for r in langid.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    model = langid.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model.outside_rejected > 0.95 and 0 < model.reject_below <= 0.5
+    outside = ["\u0412\u0441\u0435 \u0441\u0447\u0430\u0441\u0442\u043b\u0438\u0432\u044b\u0435 \u0441\u0435\u043c\u044c\u0438 \u043f\u043e\u0445\u043e\u0436\u0438 \u0434\u0440\u0443\u0433 \u043d\u0430 \u0434\u0440\u0443\u0433\u0430", "aaaa bbbb cccc", "for (int i = 0; i < n; ++i) { sum += a[i] * b[i]; } return sum;", "xkcd qwrt zzxv bnmp lkjh gfds", "\u543e\u8f29\u306f\u732b\u3067\u3042\u308b"]
+    df = spark.createDataFrame(list(enumerate(outside)), "doc_id long, text string")
+    assert not any(r.accepted for r in langid.predict(df, model).collect())
+
+
+def test_many_languages(spark):
+    """More than 64 languages are all learned."""
+    rng = np.random.default_rng(0)
+    alphabets = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False)) for _ in range(70)]
+    rows = [(i * 6 + j, " ".join("".join(rng.choice(list(x), 6)) for _ in range(30)), f"l{i:02d}") for i, x in enumerate(alphabets) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(df).langs) == 70
+
+
+def test_one_id_brings_no_more_rows(spark):
+    rows = [(1, "the same text said again", "en", 1)] * 3000 + [(i, f"another text number {i} of some words", "en", i % 2) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    assert 0 <= quality.predict(df, quality.train(df)).first().quality_score <= 1 and langid.train(df).langs == ["en"]
+
+
+def test_calibration_is_bounded():
+    rng = np.random.default_rng(0)
+    y = (np.arange(60) % 3 > 0).astype(float)
+    for z in (np.where(y == 1, 20.0, -20.0), np.where(y == 1, 1e-3, -1e-3), rng.normal(0, 5, 60), np.zeros(60), np.where(y == 1, -5.0, 5.0)):
+        slope, shift = quality.calibrate(z, y)
+        assert slope > 0 and np.abs(slope * z + shift).max() < 50
+        p = 1 / (1 + np.exp(-(slope * z + shift)))
+        assert (p > 1e-12).all() and (p < 1 - 1e-12).all()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_quality_scores_are_not_saturated(spark, sf):
+    where = f"/root/testdata/sf{sf}"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    model = quality.learn(docs, labels, length_col="n_chars")
+    assert 0.1 < model.slope < 5
+    rows = quality.predict(docs, model, length_col="n_chars").join(labels, "doc_id").where(langid.held_out()).collect()
+    good, bad = np.array([r.quality_score for r in rows if r.quality == 1]), np.array([r.quality_score for r in rows if r.quality == 0])
+    assert (good[:, None] > bad[None, :]).mean() > 0.9 and len({r.quality_score for r in rows}) > 0.8 * len(rows)
+
+
+def test_quality_of_another_column(spark):
+    df = spark.createDataFrame([(i, f"some text {i}", 5, "x") for i in range(20)], "key long, body string, predicted int, quality_score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "key long, quality int")
+    assert quality.classify(df, labels, id_col="key", text_col="body").count() == 20
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op4_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -130,9 +270,10 @@ def test_quality_odd_rows(spark, odd_docs, none):
 def test_factorisation_identity():
     """The sum-of-squares score equals all pairwise products."""
     rng = np.random.default_rng(0)
-    size = quality.WORDS + len(quality.STATS) * (1 + quality.CLASSES)
-    z = np.zeros(len(quality.STATS))
-    m = quality.Model(0.3, rng.normal(0, 1, size), rng.normal(0, 0.1, (size, 3)), z, z + 1, np.zeros((len(quality.STATS), quality.CLASSES - 1)), 1.0, 0.0)
+    width = len(quality.STATS) + len(quality.META)
+    size = quality.WORDS + width * (1 + quality.CLASSES)
+    z = np.zeros(width)
+    m = quality.Model(0.3, rng.normal(0, 1, size), rng.normal(0, 0.1, (size, 3)), z, z + 1, np.zeros((width, quality.CLASSES - 1)), 1.0, 0.0)
     text, bucket, share, stats = quality.features(["one two two three"])
     x = np.zeros(size)
     x[bucket] = np.sqrt(share)
@@ -221,6 +362,23 @@ def test_bpe_equals_library(text):
     assert bpe.ranks(RANKS).decode(ids) == text.encode()
 
 
+def test_bpe_of_a_vocabulary_over_16_bits(tmp_path):
+    tokens = [bytes([i]) for i in range(256)] + [bytes([i, j]) for i in range(256) for j in range(256)]
+    assert len(tokens) > 1 << 16
+    at = tokens.index(b"zz")
+    tokens.append(tokens.pop(at))
+    (tmp_path / "wide.tiktoken").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    table = bpe.Ranks(str(tmp_path / "wide.tiktoken"))
+    ((_, _, ids, _),) = bpe.Encoder(table.replay, len(table.length))(["zz"])
+    assert ids.tolist() == [len(tokens) - 1] and table.decode(ids) == b"zz"
+
+
+def test_bpe_of_a_very_long_word():
+    enc, table = tik(), bpe.ranks(RANKS)
+    for word in ("ab" * 4000, "x" * 5001, "".join(chr(97 + i * i % 26) for i in range(9000))):
+        assert table.alone(word.encode()) == enc.encode_ordinary(word)
+
+
 def test_bpe_rows(odd_docs, none):
     enc = tik()
     rows = bpe.encode_decode(odd_docs, RANKS, with_ids=True).collect()
@@ -250,6 +408,43 @@ def test_token_files(spark, odd_docs, none):
     assert tokenfile.token_index(tokenfile.write_token_files(odd_docs, fresh_path(spark, "t"), VOCAB, 2)).count() == len(ODD) + 2
 
 
+def test_token_files_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tokenizer, want, start = Tokenizer.from_file(VOCAB), [], 0
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op7_token_files(spark, SF).collect()) == want
+
+
+def test_token_files_of_another_kind_of_vocabulary(spark, odd_docs):
+    path = public_tokenizers.path("word_bpe_49k.json")  # lower-cases, drops white space
+    tokenizer = Tokenizer.from_file(path)
+    docs = odd_docs.where("doc_id IS NOT NULL")
+    got = sorted((r.doc_id, r.n_tokens) for r in tokenfile.token_index(tokenfile.write_token_files(docs, fresh_path(spark, "t"), path, 2)).collect())
+    assert got == sorted((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+
+
+def test_own_folder_only_in_one_process():
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="none"))
+
+    assert store.shared_dir(session("local[4]")).startswith("file:")
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.shared_dir(session(master))
+
+
+def test_join_of_hot_keys(spark):
+    many = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(900)], "k long, i long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string")
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    for parts in (1, 4, 1000):
+        got = store.join_unique(many, one, "k", counts, 900, parts).collect()
+        assert sorted((r.k, r.i, r.v) for r in got) == sorted((r.k, r.i, f"v{r.k}") for r in many.collect() if r.k < 6)
+
+
 def plain_containment(doc, item, width=5):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     a, b = words(doc), words(item)
@@ -269,7 +464,7 @@ def test_decontamination_against_brute_force(spark):
     extra = spark.createDataFrame(long + part, "doc_id long, text string")
     whole = docs.select("doc_id", "text").union(extra).withColumn("item", F.lit(0)).withColumn("shared", F.lit(0))
     more = items.union(spark.createDataFrame([(900, None), (901, ""), (902, "..."), (903, "zz yy")], items.schema))
-    got = sorted((r.doc_id, r.item_id) for r in decontam.search(whole, more, block=300).collect())
+    got = sorted((r.doc_id, r.item_id) for r in decontam.search(whole, more).collect())
     want = sorted((r.doc_id, i.item_id) for r in whole.collect() for i in more.collect() if plain_containment(r.text, i.text) >= 0.8)
     assert got == want and len(got) > 5
     clean = decontam.decontaminate(whole, more)
@@ -279,10 +474,16 @@ def test_decontamination_against_brute_force(spark):
 
 
 def test_licenses(spark, none):
-    texts = ["Released under the MIT License.", "x x x x\nreleased UNDER the mit license!\ny", "Licensed under CC BY-NC 4.0", "This is no license at all", None, "", "one", "Released under\nthe MIT License."]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "x")], "doc_id long, text string, line string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.line, r.license, round(r.dice, 6)) for r in licenses.scan(docs).collect())
-    assert got == [(False, 0, 1, "MIT", 1.0), (False, 1, 2, "MIT", 1.0), (False, 2, 1, "CC-BY-NC-4.0", 1.0), (False, 7, 0, "MIT", 1.0), (True, 0, 1, "MIT", 1.0)]
+    mit = licenses.TEMPLATES["MIT/text"]
+    texts = [
+        "Released under the MIT License.", "x x x x\nreleased UNDER the mit license!\ny", "Licensed under CC BY-NC 4.0", "This is no license at all", None, "", "one", "Released under\nthe MIT License.",
+        "before " * 50 + mit.replace(" ", "\n * ", 40) + " after" * 50, "Inside a line, released under the MIT license, and on it goes for a while.", "a " * 20000 + mit[: int(len(mit) * 0.95)] + " b" * 20000,
+        mit[: len(mit) // 2], licenses.TEMPLATES["BSD-3-Clause/text"], licenses.TEMPLATES["LGPL-3.0"] + " and also: " + licenses.TEMPLATES["GPL-3.0"],
+    ]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, texts[0], "x", 1), (0, texts[0], "x", 1)], "doc_id long, text string, license string, row int")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.license, r.start) for r in licenses.scan(docs).collect())
+    # half the MIT text still holds its grant whole
+    assert got == [(-1, "MIT", 1), (0, "MIT", 1), (0, "MIT", 1), (1, "MIT", 5), (2, "CC-BY-NC-4.0", 1), (7, "MIT", 1), (8, "MIT/text", 51), (9, "MIT", 4), (10, "MIT/text", 20001), (11, "MIT/grant", 1), (12, "BSD-3-Clause/text", 1), (13, "GPL-3.0", 16), (13, "LGPL-3.0", 1)]
     assert licenses.scan(none).count() == 0
 
 

@@ -63,5 +63,34 @@ def test_crowded_and_odd(spark):
     docs = list(enumerate(docs))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for paired in (1, 4, 32):
-        assert sorted(map(tuple, nearcopies.near_copies(df, paired=paired).collect())) == components(docs)
+        assert sorted((r.id, r.component.id) for r in nearcopies.near_copies(df, paired=paired).collect()) == components(docs)
     assert nearcopies.near_copies(df.where("false")).count() == 0
+
+
+def test_prefixes_lose_no_link(spark):
+    """Pairs near the threshold that share a passage with all others, every key crowded and no minimum telling."""
+    rng = random.Random(7)
+    word = lambda: "v" + str(rng.randrange(9000))
+    passage, docs = [word() for _ in range(60)], []
+    for _ in range(30):
+        own = [word() for _ in range(rng.randrange(20, 70))]
+        docs.append(" ".join(own + passage))
+        for _ in range(3):
+            t = list(own)
+            for _ in range(rng.randrange(1, 4)):
+                t[rng.randrange(len(t))] = word()
+            docs.append(" ".join(t + passage))
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.id, r.component.id) for r in nearcopies.near_copies(df, paired=2).collect()) == components(docs)
+
+
+def test_one_of_each_keeps_one_of_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
+    twice = docs.union(docs)
+    once = nearcopies.one_of_each(docs).collect()
+    assert sorted(map(str, nearcopies.one_of_each(twice).collect())) == sorted(map(str, once)) and len(once) <= 50
+    # one id, different texts: each is a document of its own
+    mixed = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "h i j k l m n", "y"), (2, "a b c d e f g", "z"), (None, "a b c d e f g", "u"), (None, "o p q r s t u", "v"), (None, "o p q r s t u", "w")], "doc_id long, text string, component string")
+    got = nearcopies.one_of_each(mixed).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "o p q r s t u"), (1, "a b c d e f g"), (1, "h i j k l m n")]
