@@ -1,15 +1,20 @@
 """Training-corpus pipeline over ``documents``: five stages, each one of the library's pipeline operators.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
-the columns of ``documents``. Where SQL cannot express a stage (learned models, SimHash, BPE), tests hold the stage
-against a brute-force version.
+the columns of their input, whatever these are called. Where SQL cannot express a stage (learned models, SimHash, BPE),
+tests hold the stage against a brute-force version.
+
+In all stages null texts count as empty and null ids are rows like others, very long texts are read whole, and an empty
+table gives an empty table. Quality: an empty text has the score of empty features; equal texts fare alike. Language: texts
+without a letter are rejected. Near-duplicates: rows without a word are one group; of rows that repeat id and text one
+stays, and of a group the row of the least id (rows without id last; ties by a hash of the text). Decontamination: texts
+without a word stay. Tokens: one row each.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from slotloom.llm import bpe, decontam, langid, nearcopies, quality
 from slotloom.llm.store import cut
@@ -21,23 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the operator's threshold."""
-    model = quality.train(quality.labelled(docs, _table(spark, sf_dir, "labels")))
-    return quality.predict(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    length = "n_chars" if "n_chars" in docs.columns else None
+    return quality.keep_good(docs, quality.learn(docs, _table(spark, sf_dir, "labels"), length_col=length), length_col=length)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted language is not rejected."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
-    model = langid.train(docs.where(fold != 2))
-    return langid.predict(docs, model, keep=docs.columns).where("accepted").select(docs.columns)
+    return langid.keep_accepted(docs, langid.learn(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by fingerprints or by a Jaccard of 0.8 or more over five-word shingles: the one
-    whose id names the group. Without an id: all stay."""
-    groups = nearcopies.near_copies(docs.where("doc_id IS NOT NULL"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group linked by fingerprints within 2 bits or by a Jaccard of 0.8 or more over five-word
+    shingles: the one whose id names the group."""
+    return nearcopies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
