@@ -36,6 +36,8 @@ from slotloom.llm.wordstream import Stream, chunks
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
 #: Counters that tell frequent shingles; their number does not grow with the texts.
 BUCKETS = 1 << 20
+#: Rows of keys (24 bytes each) up to which they are broadcast.
+BROADCAST = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
@@ -201,13 +203,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = ends.union(classes.join(owner, "fp").select(F.col("cls").alias("a"), F.col("own").alias("b"))).where("a <> b")
 
     sets_of = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = cut(sets_of.select("cls", "n", F.posexplode("bands").alias("band", "key")).select("cls", "n", F.struct("band", "key").alias("at")), "bands")
-    size = cut(keyed.groupBy("at").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("first")).where("m > 1"), "band-sizes")
+    # Keys of different bands come from different hash functions: they are equal by chance only.
+    keyed = cut(sets_of.select("cls", "n", F.explode("bands").alias("at")), "bands")
+    size = cut(keyed.groupBy("at").agg(F.count("*").alias("m"), F.min("cls").alias("first")).where("m > 1"), "band-sizes")
     held = cut(join_unique(keyed, size, "at", size.select("at", F.col("m").alias("n")), keyed.count()), "held")
     alike = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
-    few, many = held.where(F.col("m") <= paired).select("at", "cls", "n"), held.where(F.col("m") > paired)
-    small = few.join(few.select("at", F.col("cls").alias("b"), F.col("n").alias("n2")), "at").where(F.col("cls") > F.col("b")).where(alike).select(F.col("cls").alias("a"), "b")
-    star = many.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "n", F.col("first.n").alias("n2")).where(F.col("a") > F.col("b")).where(alike).select("a", "b")
+    few, many = held.where(F.col("m") <= paired), held.where(F.col("m") > paired)
+    # At most ``paired`` classes come together here.
+    near = few.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("all"))
+    small = near.select("all", F.posexplode("all").alias("i", "y")).select("y", F.explode(F.slice("all", 1, F.col("i"))).alias("x"))
+    small = small.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("n2")).where(alike).select("a", "b")
+    star = many.select(F.col("cls").alias("a"), F.col("first").alias("b")).where(F.col("a") > F.col("b"))
     pairs = cut(small.union(star).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(many.select("cls")).distinct()
     sample = members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("id", "hash")).alias("one")).select("cls", "one.id", "one.hash")
@@ -229,12 +235,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return join_unique(members, by_class.select("cls", "component"), "cls", by_class.select("cls", "n"), members.count()).select("id", "hash", "times", "component")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys to be broadcast if they are few; else Spark deals both sides out."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows, all columns, that name their component of ``near_copies``: one of each, whichever other columns repeated
     rows differ in. Only rows that repeat id and text are dealt out as a whole."""
     groups = near_copies(docs, id_col, text_col, **how)
     same = F.col("component.id").eqNullSafe(F.col("id")) & (F.col("component.hash") == F.col("hash"))
     gone = cut(groups.where(~same).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "gone")
+    gone = _small(gone)
     many = cut(groups.where(same & (F.col("times") > 1)).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "repeated")
     tagged = docs.withColumn("__of", F.xxhash64(text_col))
     meets = lambda keys: tagged[id_col].eqNullSafe(keys["__id"]) & (tagged["__of"] == keys["__hash"])
@@ -242,6 +254,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if many.isEmpty():
         return kept.select(docs.columns)
     meets = lambda keys: kept[id_col].eqNullSafe(keys["__id"]) & (kept["__of"] == keys["__hash"])
+    many = _small(many)
     once = kept.join(many, meets(many), "left_anti")
     first = kept.join(many, meets(many), "left_semi").dropDuplicates([id_col, "__of"])
     return once.unionByName(first).select(docs.columns)

@@ -126,20 +126,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
-def _learn(x: np.ndarray, y: np.ndarray, epochs: int, updates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.float32]:
-    """(weights, factors, bias) by adaptive gradient steps on batches of 64 rows."""
+def _block(rows: list[tuple], dense: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The features of some rows as one matrix."""
+    x = np.zeros((len(at), WORDS + dense.shape[1]), np.float32)
+    for i, j in enumerate(at.tolist()):
+        x[i, rows[j][0]] = np.sqrt(rows[j][1])
+    x[:, WORDS:] = dense[at]
+    return x
+
+
+def _forward(x: np.ndarray, w: np.ndarray, v: np.ndarray, b: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    s = x @ v
+    return b + x @ w + 0.5 * (s**2 - (x**2) @ v**2).sum(1), s
+
+
+def _learn(rows: list[tuple], dense: np.ndarray, y: np.ndarray, taught: np.ndarray, epochs: int, updates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.float32]:
+    """(weights, factors, bias) by adaptive gradient steps on batches of 64 of the rows ``taught``."""
     rng = np.random.default_rng(seed)
-    size, taught = x.shape[1], np.arange(len(y))
-    share = np.clip(y.mean(), 0.5 / len(y), 1 - 0.5 / len(y))
+    size, n = WORDS + dense.shape[1], len(taught)
+    share = np.clip(y[taught].mean(), 0.5 / n, 1 - 0.5 / n)
     w, v, b = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32), np.float32(np.log(share / (1 - share)))
     gw, gv, gb = np.full(size, 1e-6, np.float32), np.full((size, FACTORS), 1e-6, np.float32), np.float32(1e-6)
-    for _ in range(max(epochs, -(-updates * 64 // len(taught)))):
+    for _ in range(max(epochs, -(-updates * 64 // n))):
         taught = rng.permutation(taught)
-        for lo in range(0, len(taught), 64):
+        for lo in range(0, n, 64):
             at = taught[lo : lo + 64]
-            xb = x[at]
-            s = xb @ v
-            z = b + xb @ w + 0.5 * (s**2 - (xb**2) @ v**2).sum(1)
+            xb = _block(rows, dense, at)
+            z, s = _forward(xb, w, v, b)
             g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / len(at)).astype(np.float32)
             dw = xb.T @ g + 1e-5 * w
             dv = xb.T @ (g[:, None] * s) - ((xb**2).T @ g)[:, None] * v + 1e-4 * v
@@ -190,11 +203,7 @@ def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, u
     mean, scale = stats.mean(0), stats.std(0) + 1e-9
     cuts = np.quantile(stats, np.arange(1, CLASSES) / CLASSES, axis=0).T
     model = Model(0.0, np.zeros(0), np.zeros((0, 0)), mean, scale, cuts, 1.0, 0.0)
-    dense = model.dense(stats)
-    x = np.zeros((n, WORDS + dense.shape[1]), np.float32)
-    for i, (at, share) in enumerate(rows):
-        x[i, at] = np.sqrt(share)
-    x[:, WORDS:] = dense
+    dense = model.dense(stats).astype(np.float32)
     # Folds that hold both classes alike.
     fold = np.empty(n, np.int64)
     order = np.random.default_rng(seed).permutation(n)
@@ -205,11 +214,12 @@ def fit(rows: list[tuple], stats: np.ndarray, y: np.ndarray, epochs: int = 12, u
     for k in range(FOLDS):
         out = fold == k
         if out.any() and not out.all():
-            w, v, b = _learn(x[~out], y[~out], epochs, updates, seed + k)
-            s = x[out] @ v
-            z[out] = b + x[out] @ w + 0.5 * (s**2 - (x[out] ** 2) @ v**2).sum(1)
+            model_k = _learn(rows, dense, y, np.flatnonzero(~out), epochs, updates, seed + k)
+            at = np.flatnonzero(out)
+            for lo in range(0, len(at), 64):
+                z[at[lo : lo + 64]] = _forward(_block(rows, dense, at[lo : lo + 64]), *model_k)[0]
     slope, shift = calibrate(z, y)
-    w, v, b = _learn(x, y, epochs, updates, seed)
+    w, v, b = _learn(rows, dense, y, np.arange(n), epochs, updates, seed)
     return Model(float(b), w.astype(np.float64), v.astype(np.float64), mean, scale, cuts, slope, shift)
 
 
