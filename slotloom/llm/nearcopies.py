@@ -10,7 +10,8 @@ the classes of keys that are not one component by then meet by an exact prefix f
 one order, rarest first (by counts of a fixed number of buckets; any order is right). Two sets of a Jaccard of t share a
 shingle among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, so
 only these are joined, and only across components. A passage that very many texts share is frequent and thus last in
-order: it makes no pairs unless it is most of both texts.
+order: it makes no pairs unless it is most of both texts. Within the join a map of MARKS parities of each set's shingles
+tells the least number in which two sets differ, so pairs that are clearly too far apart do not leave it.
 
 Null, empty and blank texts have no shingle: their fingerprint is zero, linked like any other. Rows are told apart by id
 and text: rows that repeat both are one class anyway, rows with one id and different texts are documents of their own.
@@ -36,6 +37,8 @@ from slotloom.llm.wordstream import Stream, chunks
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
 #: Counters that tell frequent shingles; their number does not grow with the texts.
 BUCKETS = 1 << 20
+#: Bits of a set's parity map, a multiple of 64.
+MARKS = 512
 #: Rows of keys (24 bytes each) up to which they are broadcast.
 BROADCAST = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -165,11 +168,13 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            keys, owner, size, short = [], [], [], []
+            keys, owner, size, short, marks = [], [], [], [], np.zeros((batch.num_rows, MARKS // 64), np.int64)
             for i, x in enumerate(batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), "<u8")
                 n = len(h)
                 longer, shorter = n - int(np.ceil(least * n - 1e-9)) + 1, n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+                odd = np.bincount(((h ^ (h >> _SHIFT)) % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+                marks[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
                 first = h[np.lexsort((h, often[_bucket(h)]))[:longer]]
                 keys.append(first)
                 owner.append(np.full(len(first), i))
@@ -177,14 +182,18 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
                 short.append(np.arange(len(first)) < shorter)
             if keys:
                 at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(size)), pa.array(np.concatenate(short))], ["key", "cls", "root", "n", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(size)), pa.array(np.concatenate(short)), *(pa.array(m[np.concatenate(owner)]) for m in marks.T)], ["key", "cls", "root", "n", "short", *names])
 
-    own = cut(rows.select("cls", "root", "shingles").mapInArrow(prefixes, "key bigint, cls bigint, root bigint, n int, short boolean"), "prefixes")
+    names = [f"m{i}" for i in range(MARKS // 64)]
+    own = cut(rows.select("cls", "root", "shingles").mapInArrow(prefixes, "key bigint, cls bigint, root bigint, n int, short boolean, " + ", ".join(f"{m} bigint" for m in names)), "prefixes")
     # Keys whose classes are all of one root make no pair.
     split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     own = own.join(split, "key")
-    small = own.where("short").select("key", F.col("cls").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    held = own.join(small, "key").where("root <> root2").where((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))).where(F.col("n2") >= least * F.col("n") - 1e-9)
+    small = own.where("short").select("key", F.col("cls").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), *(F.col(m).alias(f"o{m}") for m in names))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}"))) for m in names), F.lit(0))
+    # A Jaccard of t leaves at most (1 - t) / (1 + t) of both sizes to differ.
+    near = differ <= (1 - least) / (1 + least) * (F.col("n") + F.col("n2")) + 1e-9
+    held = own.join(small, "key").where("root <> root2").where((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))).where(F.col("n2") >= least * F.col("n") - 1e-9).where(near)
     return held.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
 
 
