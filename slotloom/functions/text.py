@@ -15,6 +15,9 @@ RULE_WORD = r"(\*|\[__\]|[\p{L}\p{N}_']+)"
 LEXICAL_WORD = r"([a-z0-9]+(?:'[a-z0-9]+)*)"
 UNIT = r"(\[__\]|[\p{L}\p{N}']+)"
 PLACEHOLDER = r"(?i)^(na|n/a|unknown)$"
+# Words that open a question, and pronouns that follow them.
+QUESTION = r"(?i)(?:whatever|what|how|why|where|who|when)\s+the"
+PRONOUN = r"^\s*(?:I|you|he|she|they|we|it)\b"
 
 
 def _col(c: Column | str) -> Column:
@@ -137,17 +140,22 @@ def membership_hash(values: Column) -> Column:
 
 
 def format_case(word: Column | str, before: Column | str) -> Column:
-    """Upper case after two upper-case words, a capital at the start and after a sentence's end."""
-    before, word = F.trim(_col(before)), _col(word)
+    """Upper case where the last word before of more than one letter is all upper case, a capital after a sentence's end."""
+    before, word = _col(before), _col(word)
+    letters = F.filter(F.regexp_extract_all(before, F.lit(r"([A-Za-z]+(?:['’][A-Za-z]+)*)"), 1), lambda w: F.length(w) > 1)
     capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
-    return F.when(before.rlike(r"\b[A-Z]{2,}[ ]+[A-Z]{2,}\z"), F.upper(word)).when((before == "") | before.rlike(r"[.!?]\z"), capital).otherwise(word)
+    loud = F.coalesce(F.try_element_at(letters, F.lit(-1)).rlike(r"^[A-Z'’]+$"), F.lit(False))
+    return F.when(loud, F.upper(word)).when(before.rlike(r"[.!?]\s*\z"), capital).otherwise(word)
 
 
 def format_punct(word: Column | str, before: Column | str, after: Column | str) -> Column:
-    """A full stop or question mark where the text after the word starts a sentence."""
-    starts = F.trim(_col(after)).rlike(r"^[A-Z][a-z]")
-    asks = F.lower(_col(before)).rlike(r"(^|[.!?] *)(who|what|when|where|why|how|do|does|did|is|are|can)\b[^.!?]*\z")
-    return F.concat(_col(word), F.when(~starts, "").when(asks, "?").otherwise("."))
+    """A full stop where the text after the word starts a sentence (a speaker change, ``I``, a title-case word, or upper-case
+    before lower-case words), unless it is the pronoun of a question that goes on."""
+    starts = _col(after).rlike(r"^\s*(>>|[\"'(\[]*(I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z]))")
+    asks = _col(before).rlike(QUESTION + r"\s*\z")
+    goes_on = asks & _col(after).rlike(PRONOUN)
+    done = _col(word).rlike(r"[.!?]\z")
+    return F.concat(_col(word), F.when(done | ~starts | goes_on, "").otherwise("."))
 
 
 def virtual_break(after: Column | str) -> Column:

@@ -155,10 +155,11 @@ def build_discovery(direct: DataFrame, aligned: DataFrame, groups: DataFrame) ->
 
 
 def index_by_word(rows: DataFrame) -> DataFrame:
-    """row ids by tier and word."""
-    return rows.groupBy("tier", "expected").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
+    """the index from tier and word to row ids: one row an id, clustered and ordered by key, so that no word's ids
+    have to fit in one row or task."""
+    return rows.select("tier", "expected", "row_id").repartitionByRange("tier", "expected", "row_id").sortWithinPartitions("tier", "expected", "row_id")
 
 
 def index_by_shape(rows: DataFrame) -> DataFrame:
-    """row ids by context shape and slot offset."""
-    return rows.groupBy("shape", "slot_index").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
+    """the index from context shape and slot offset to row ids, laid out like ``index_by_word``."""
+    return rows.select("shape", "slot_index", "row_id").repartitionByRange("shape", "slot_index", "row_id").sortWithinPartitions("shape", "slot_index", "row_id")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotloom.operators.sampling import numbered
+
 TIERS = ["exact", "productive", "low", "frame", "fallback"]
 ALTERNATIVES = r"\[([^\]\[]*\|[^\]\[]*)\]"
 
@@ -98,9 +100,9 @@ def tier_rank(tier: Column | str) -> Column:
 
 def rule_order(rules: DataFrame) -> DataFrame:
     """Place of every rule: by tier, fallback rules by priority, then ord."""
-    w = Window.orderBy("tier_rank", F.desc("fallback_priority"), "ord", "rule_id")
     ranked = rules.withColumn("tier_rank", tier_rank("tier")).withColumn("fallback_priority", F.when(F.col("tier") == "fallback", F.col("priority")).otherwise(0))
-    return ranked.withColumn("place", F.row_number().over(w)).drop("tier_rank", "fallback_priority")
+    placed = numbered(ranked, "tier_rank", F.desc("fallback_priority"), "ord", "rule_id", name="place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int")).drop("tier_rank", "fallback_priority")
 
 
 def resolve_single(matches: DataFrame) -> DataFrame:
@@ -130,8 +132,8 @@ def adjacent_slots(slots: DataFrame) -> DataFrame:
     return slots.withColumn("adjacent", F.coalesce(near, F.lit(False)))
 
 
-def decide(matches: DataFrame, priors: DataFrame, policy: str = "score", least: float = 0.5) -> DataFrame:
-    """One candidate fills; of several, the prior's word (p and margin reached), the first, or none."""
+def decide(matches: DataFrame, priors: DataFrame, policy: str = "score", least: float = 0.0) -> DataFrame:
+    """One candidate fills; of several, the prior's word (from a share of ``least`` on), the first, or none."""
     scored = matches.join(priors.select("rule_id", F.col("word").alias("prior_word"), "p"), "rule_id", "left")
     several = {"first": F.get("candidates", F.lit(0)), "abstain": F.lit(None).cast("string"), "score": F.when((F.col("p") >= least) & F.array_contains("candidates", F.col("prior_word")), F.col("prior_word"))}[policy]
     word = F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0))).otherwise(several)
@@ -166,7 +168,7 @@ def apply_fills(tracks: DataFrame, fills: DataFrame, text: str = "text") -> Data
 def diff_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     """Template, change: added, removed, candidates or order (relative to the common templates)."""
     common = old.select("template").join(new.select("template"), "template")
-    rank = lambda df, name: df.join(common, "template", "left_semi").select("template", F.row_number().over(Window.orderBy("ord", "template")).alias(name))
+    rank = lambda df, name: numbered(df.join(common, "template", "left_semi").select("template", "ord"), "ord", "template", name=name).drop("ord")
     both = old.select("template", F.col("candidates").alias("old_c"), F.lit(1).alias("o")).join(new.select("template", F.col("candidates").alias("new_c"), F.lit(1).alias("w")), "template", "full_outer")
     both = both.join(rank(old, "old_rank"), "template", "left").join(rank(new, "new_rank"), "template", "left")
     change = F.when(F.col("o").isNull(), "added").when(F.col("w").isNull(), "removed").when(F.col("old_c") != F.col("new_c"), "candidates").when(F.col("old_rank") != F.col("new_rank"), "order")

@@ -10,7 +10,7 @@ from slotloom.plans import base as B
 from slotloom.plans import rule_queries as Q
 from slotloom.plans.registry import Registry
 
-R = Registry()
+R = Registry(share=True)
 
 
 def plain_events(spark, d):
@@ -129,7 +129,7 @@ def e10_unpaired(spark, d):
 
 @R.add(r"""WITH u AS (SELECT conv_id AS track_id, regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn, text)), '([a-z0-9]+(?:''[a-z0-9]+)*)', 1) AS w FROM conversations GROUP BY conv_id), t AS (SELECT track_id, unnest(range(0, len(w)))::INT AS position, w FROM u),
     g AS (SELECT track_id, position, w[position + 1] AS a, w[position + 2] AS b, w[position + 3] AS c FROM t WHERE position + 3 <= len(w))
-    SELECT p.track_id || ':' || p.position AS phrase_id, min(g.position) AS position FROM g p JOIN g ON p.track_id = g.track_id AND p.a = g.a AND p.c = g.c WHERE p.position % 7 = 0 GROUP BY p.track_id, p.position HAVING count(*) = 1""")
+    SELECT p.track_id || ':' || p.position AS phrase_id, min(g.position) AS position FROM g p JOIN g ON p.track_id = g.track_id AND p.a = g.a AND p.c = g.c GROUP BY p.track_id, p.position HAVING count(*) = 1""")
 def e11_locate_phrase(spark, d):
     from pyspark.sql import Window
 
@@ -138,7 +138,7 @@ def e11_locate_phrase(spark, d):
     turns = B.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("track_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
     words = turns.select("track_id", F.posexplode(lexical_words(F.array_join(F.transform("ts", lambda t: t["text"]), " "))).alias("position", "word"))
     w = Window.partitionBy("track_id").orderBy("position").rowsBetween(0, 2)
-    phrases = words.withColumn("ws", F.collect_list("word").over(w)).where("size(ws) = 3 AND position % 7 = 0")
+    phrases = words.withColumn("ws", F.collect_list("word").over(w)).where("size(ws) = 3")
     phrases = phrases.select(F.concat_ws(":", F.col("track_id").cast("string"), F.col("position").cast("string")).alias("phrase_id"), "track_id", F.array(F.get("ws", F.lit(0)), F.lit("[__]"), F.get("ws", F.lit(2))).alias("words"))
     return A.locate_phrase(phrases, words)
 

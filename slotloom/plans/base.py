@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.operators import slots as S
+from slotloom.sources.scratch import cut
 
 LEXICON = ["with", "this", "from", "that"]
+_WRITTEN: ContextVar[dict | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def shared_slots() -> Iterator[None]:
+    """Inside, the labelled slots of a folder are made and written once, and read again by each use."""
+    token = _WRITTEN.set({})
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +35,8 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as tracks: track_id, text, creator, pair_class."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("track_id"), "text", F.col("source").alias("creator"))
+    """All documents as tracks: track_id, text, creator, pair_class."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text", F.col("source").alias("creator"))
     docs = docs.repartition("track_id")  # windows by track find their partitioning here
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality")
     kind = F.when(F.col("quality") == 1, "manual-auto").when(F.col("quality") == 0, "synthetic").otherwise("unknown")
@@ -43,13 +59,19 @@ def labelled(spark: SparkSession, sf_dir: str, before: int = 2, after: int = 2)
     """Slots with features around them and the hidden word: track_id, creator, pair_class, token_index, at, features, expected."""
     words = F.regexp_extract_all(F.lower("original"), F.lit(r"\b(" + "|".join(sorted(LEXICON)) + r")\b"), 1)
     texts = masked(spark, sf_dir).select("track_id", "creator", "pair_class", "text", words.alias("hidden"))
-    return S.slot_features(texts, before, after, hidden="hidden").select("track_id", "creator", "pair_class", "token_index", "at", "features", "expected")
+    held, key = _WRITTEN.get(), (sf_dir, before, after)
+    if held is not None and key in held:
+        return held[key]
+    rows = S.slot_features(texts, before, after, hidden="hidden").select("track_id", "creator", "pair_class", "token_index", "at", "features", "expected")
+    if held is not None:
+        rows = held[key] = cut(rows, "labelled-slots")
+    return rows
 
 
 _PAT = r"\b(from|that|this|with)\b"
 #: CTEs, each using those before it.
 CTES = {
-    "tracks": "SELECT doc_id AS track_id, text, source AS creator, CASE quality WHEN 1 THEN 'manual-auto' WHEN 0 THEN 'synthetic' ELSE 'unknown' END AS pair_class FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en'",
+    "tracks": "SELECT doc_id AS track_id, text, source AS creator, CASE quality WHEN 1 THEN 'manual-auto' WHEN 0 THEN 'synthetic' ELSE 'unknown' END AS pair_class FROM documents LEFT JOIN labels USING (doc_id)",
     "masked": rf"SELECT * FROM (SELECT track_id, regexp_replace(text, '(?i){_PAT}', '[__]', 'g') AS text, text AS original, creator, pair_class FROM tracks) WHERE contains(text, '[__]')",
     "lines": "SELECT track_id, creator, pair_class, unnest(range(0, len(l)))::INT AS event_index, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM masked)",
     "units": r"SELECT *, len(regexp_extract_all(text, '(\[__\]|[\p{L}\p{N}'']+)'))::BIGINT AS n_units, len(regexp_extract_all(text, '\[__\]')) AS n FROM lines",

@@ -166,7 +166,7 @@ def f17_build_discovery(spark, d):
     return P.build_discovery(direct, aligned, P.source_groups(_items(spark, d)))
 
 
-@R.add("SELECT event_type AS tier, user_id::VARCHAR AS expected, list(event_id ORDER BY event_id) AS row_ids FROM events GROUP BY ALL")
+@R.add("SELECT event_type AS tier, user_id::VARCHAR AS expected, event_id AS row_id FROM events")
 def f18_index_by_word(spark, d):
     return P.index_by_word(B.table(spark, d, "events").select(F.col("event_type").alias("tier"), F.col("user_id").cast("string").alias("expected"), F.col("event_id").alias("row_id")))
 

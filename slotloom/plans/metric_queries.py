@@ -11,11 +11,11 @@ from slotloom.plans import base as B
 from slotloom.plans import rule_queries as Q
 from slotloom.plans.registry import Registry
 
-R = Registry()
+R = Registry(share=True)
 _FLAG = "count(*) AS slots, count(*) FILTER (expected IS NOT NULL) AS scored, count(*) FILTER (word IS NOT NULL) AS attempted, count(*) FILTER (word = expected) AS correct"
 _RATES = "CASE WHEN attempted > 0 THEN correct::DOUBLE / attempted END AS precision, CASE WHEN scored > 0 THEN correct::DOUBLE / scored END AS coverage"
 _RM = "rm AS (SELECT rule_id, count(*) AS matched, count(word) AS attempted, count(*) FILTER (word = expected) AS correct, count(*) FILTER (list_contains(candidates, expected)) AS candidate_correct, max(len(candidates))::INT AS max_candidates, count(DISTINCT creator) AS creators FROM predictions WHERE rule_id IS NOT NULL GROUP BY rule_id)"
-_ALT = "alt AS MATERIALIZED (SELECT m.track_id, m.token_index, m.creator, m.ord, m.rule_id, m.expected, CASE WHEN len(m.candidates) = 1 THEN m.candidates[1] WHEN p >= 0.5 THEN word END AS word FROM matches m JOIN priors USING (rule_id))"
+_ALT = "alt AS MATERIALIZED (SELECT m.track_id, m.token_index, m.creator, m.ord, m.rule_id, m.expected, CASE WHEN len(m.candidates) = 1 THEN m.candidates[1] ELSE word END AS word FROM matches m JOIN priors USING (rule_id))"
 _LOO = _ALT + """, nx AS (SELECT *, row_number() OVER w AS k, lead(rule_id) OVER w AS nr, lead(word) OVER w AS nw FROM alt WINDOW w AS (PARTITION BY track_id, token_index ORDER BY ord, rule_id)),
   fl AS (SELECT *, coalesce(word = expected, false) AS a, coalesce(nw = expected, false) AS b, word IS NOT NULL AND word <> expected AS x, nw IS NOT NULL AND nw <> expected AS y FROM nx WHERE k = 1),
   loo AS (SELECT rule_id, count(*) AS won, count(*) FILTER (a AND NOT b) AS correct_lost, count(*) FILTER (NOT a AND b) AS correct_gained, count(*) FILTER (x AND NOT y) AS wrong_avoided, count(*) FILTER (NOT x AND y) AS wrong_introduced FROM fl GROUP BY rule_id)"""
@@ -189,13 +189,13 @@ def g25_rule_fingerprints(spark, d):
     return M.rule_fingerprints(Q.rules(spark, d))
 
 
-# Scored candidates: the components of a vector are log scores of the words w0 .. w7 (the first eight), two variants each.
-_SC = "sc AS (SELECT vec_id AS slot_id, 'w' || (i // 2) AS word, i % 2 AS variant, i AS list_order, embedding[i + 1]::DOUBLE * 8 AS logp FROM embeddings, (SELECT unnest(range(0, 16)) AS i))"
+# Scored candidates: the components of a vector are log scores of the words w0, w1, ..., two variants each.
+_SC = "sc AS (SELECT vec_id AS slot_id, 'w' || (i // 2) AS word, i % 2 AS variant, i AS list_order, embedding[i + 1]::DOUBLE * 8 AS logp FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings))"
 _COMB = "cb AS (SELECT slot_id, word, min(list_order) AS list_order, max(logp) + ln(sum(exp(logp - m))) AS logp FROM (SELECT *, max(logp) OVER (PARTITION BY slot_id, word) AS m FROM sc) GROUP BY slot_id, word)"
 
 
 def _scores(spark, d):
-    rows = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("slot_id"), F.posexplode(F.slice("embedding", 1, 16)).alias("i", "x"))
+    rows = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("slot_id"), F.posexplode("embedding").alias("i", "x"))
     return rows.select("slot_id", F.concat(F.lit("w"), (F.col("i") / 2).cast("int").cast("string")).alias("word"), F.col("i").alias("list_order"), (F.col("x").cast("double") * 8).alias("logp"))
 
 

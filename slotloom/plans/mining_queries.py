@@ -10,7 +10,7 @@ from slotloom.operators import slots as S
 from slotloom.plans import base as B
 from slotloom.plans.registry import Registry
 
-R = Registry()
+R = Registry(share=True)
 FOLDS = 3
 _BASE = """mr AS MATERIALIZED (SELECT track_id || ':' || token_index AS row_id, track_id, token_index, creator, (('0x' || substr(sha256('name:' || creator), 1, 8))::BIGINT % 3)::INT AS fold, (('0x' || substr(sha256('h' || creator), 1, 2))::INT % 2)::INT AS half,
     CASE pair_class WHEN 'unknown' THEN 'discovery' ELSE 'manual' END AS tier, CASE WHEN token_index % 11 = 0 THEN NULL ELSE expected END AS expected,
@@ -218,8 +218,7 @@ def _selected(spark, d):
     """Patterns that pass the gate in both halves, chosen until the best score is under 2."""
     pats = _patterns(spark, d).select("pattern", "row_id", "expected")
     tops = H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5)).select("pattern", "word").distinct()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return H.greedy_select(pats.join(tops, "pattern"), keep=lambda df: df.checkpoint() if shared else df.localCheckpoint())
+    return H.greedy_select(pats.join(tops, "pattern"))
 
 
 @R.add()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from slotloom.plans import base
 
 
 class Registry:
-    def __init__(self) -> None:
+    """share: whether the queries use the labelled slots more than once, so that these are written once a run."""
+
+    def __init__(self, share: bool = False) -> None:
+        self.share = share
         self.queries: dict = {}
         self.oracles: dict[str, str] = {}
 
@@ -14,7 +19,12 @@ class Registry:
         """Registers a query (spark, sf_dir); oracle: its SQL, with the named CTEs of base before it."""
 
         def keep(f):
-            self.queries[f.__name__] = f
+            @functools.wraps(f)
+            def run(spark, sf_dir):
+                with base.shared_slots():
+                    return f(spark, sf_dir)
+
+            self.queries[f.__name__] = run if self.share else f
             if oracle is not None:
                 self.oracles[f.__name__] = base.sql(*ctes, body=oracle) if ctes else oracle
             return f

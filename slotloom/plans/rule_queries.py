@@ -3,15 +3,16 @@ seen often enough just before or after a slot, its candidates in order of freque
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotloom.operators import rules as U
 from slotloom.operators import slots as S
+from slotloom.operators.sampling import numbered
 from slotloom.plans import base as B
 from slotloom.plans.registry import Registry
+from slotloom.sources.scratch import cut
 
-R = Registry()
+R = Registry(share=True)
 SUPPORT = 5
 
 FC = "fc AS MATERIALIZED (SELECT off, tok, expected, count(*) AS n FROM features WHERE off IN (-1, 1) AND tok <> '[__]' GROUP BY ALL)"
@@ -22,7 +23,7 @@ PRIORS = MATCHES + """, pc AS (SELECT rule_id, expected, count(*) AS n FROM matc
     pr AS (SELECT *, sum(n) OVER (PARTITION BY rule_id) AS support, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM pc WINDOW w AS (PARTITION BY rule_id ORDER BY n DESC, expected)),
     priors AS (SELECT rule_id, expected AS word, n::DOUBLE / support AS p, (n - second)::DOUBLE / support AS margin, support::BIGINT AS support FROM pr WHERE k = 1)"""
 DECIDED = PRIORS + """, win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, token_index ORDER BY ord) AS k FROM matches) WHERE k = 1),
-    decided AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, CASE WHEN len(candidates) = 1 THEN candidates[1] WHEN p >= 0.5 THEN word END AS word FROM win JOIN priors USING (rule_id)),
+    decided AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, CASE WHEN len(candidates) = 1 THEN candidates[1] ELSE word END AS word FROM win JOIN priors USING (rule_id)),
     predictions AS MATERIALIZED (SELECT l.track_id, l.creator, l.pair_class, l.token_index, l.expected, d.rule_id, d.candidates, d.word FROM labelled l LEFT JOIN decided d USING (track_id, token_index))"""
 
 
@@ -31,7 +32,7 @@ def rules(spark, d):
     counts = flat.groupBy("off", "tok", "expected").agg(F.count("*").alias("n"))
     grouped = counts.groupBy("off", "tok").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "expected"))).alias("c"), F.sum("n").alias("support")).where(F.col("support") >= SUPPORT)
     named = grouped.select(F.concat_ws(":", F.col("off").cast("string"), "tok").alias("rule_id"), "off", "tok", F.transform("c", lambda x: x["expected"]).alias("candidates"), "support")
-    ranked = named.withColumn("ord", F.row_number().over(Window.orderBy("rule_id")).cast("bigint"))
+    ranked = numbered(cut(named, "rules"), "rule_id", name="ord").withColumn("ord", F.col("ord") + 1)
     tier = F.when(F.size("candidates") == 1, "exact").otherwise("productive")
     return ranked.select("rule_id", tier.alias("tier"), "ord", "candidates", "support", F.array(F.struct("off", "tok")).alias("conditions"), F.col("off").alias("anchor_off"), F.col("tok").alias("anchor_tok"))
 

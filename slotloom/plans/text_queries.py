@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotloom.functions import text as T
 from slotloom.operators import slots as S
+from slotloom.operators import vocabulary as V
 from slotloom.plans import base as B
 from slotloom.plans.registry import Registry
 
@@ -16,10 +17,10 @@ _MARKED = "regexp_replace(text, '(?i)\\b(from|that|this|with)\\b', '[ __ ]', 'g'
 
 def _marked(spark, d):
     """Documents with loose markers in place of the test lexicon."""
-    return B.table(spark, d, DOCS).where("lang = 'en'").select("doc_id", F.regexp_replace("text", r"(?i)\b(from|that|this|with)\b", "[ __ ]").alias("text"))
+    return B.table(spark, d, DOCS).select("doc_id", F.regexp_replace("text", r"(?i)\b(from|that|this|with)\b", "[ __ ]").alias("text"))
 
 
-_SQLM = f"SELECT doc_id, {_MARKED} AS text FROM documents WHERE lang = 'en'"
+_SQLM = f"SELECT doc_id, {_MARKED} AS text FROM documents"
 _NORM = r"regexp_replace(replace(text, chr(160), ' '), '\[\s*__\s*\]', '[__]', 'g')"
 
 
@@ -64,23 +65,23 @@ def b7_discovery_tokens(spark, d):
 VARIANTS = [("w/", "with "), ("th[a4]t", "that"), ("fr[o0]m", "from")]
 
 
-@R.add("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(lower(text), 'w/', 'with ', 'g'), 'th[a4]t', 'that', 'g'), 'fr[o0]m', 'from', 'g')) AS digest FROM documents WHERE lang = 'en'")
+@R.add("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(lower(text), 'w/', 'with ', 'g'), 'th[a4]t', 'that', 'g'), 'fr[o0]m', 'from', 'g')) AS digest FROM documents")
 def b8_normalize_variants(spark, d):
-    return B.table(spark, d, DOCS).where("lang = 'en'").select("doc_id", F.md5(T.normalize_variants("text", VARIANTS)).alias("digest"))
+    return B.table(spark, d, DOCS).select("doc_id", F.md5(T.normalize_variants("text", VARIANTS)).alias("digest"))
 
 
 @R.add("""SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(range(0, len(w)))::INT AS pos, unnest(w) AS word FROM
-    (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+(?:''[a-z0-9]+)*)', 1) AS w FROM documents WHERE lang = 'en')) WHERE word IN ('with', 'this', 'from', 'that')""")
+    (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+(?:''[a-z0-9]+)*)', 1) AS w FROM documents)) WHERE word IN ('with', 'this', 'from', 'that')""")
 def b9_extract_lexicon(spark, d):
-    rows = B.table(spark, d, DOCS).where("lang = 'en'").select("doc_id", F.posexplode(T.lexical_words("text")).alias("pos", "word"))
-    return rows.join(F.broadcast(B.lexicon(spark)), "word").select("doc_id", "pos", "word")
+    return V.extract_lexicon(B.table(spark, d, DOCS), B.lexicon(spark), key="doc_id").select("doc_id", "pos", F.col("label").alias("word"))
 
 
 @R.add(B.sql("features", body="""SELECT track_id, token_index, CASE WHEN expected = 'that' AND tok = 'the' THEN 'thatthe' ELSE expected END AS label FROM features WHERE off = 1"""))
 def b10_normalize_compound(spark, d):
     rows = B.labelled(spark, d).select("track_id", "token_index", "expected", F.get(F.filter("features", lambda f: f["off"] == 1), F.lit(0))["tok"].alias("visible"))
-    compound = spark.range(1).select(F.lit("that").alias("expected"), F.lit("the").alias("visible"), F.lit("thatthe").alias("out"))
-    return rows.join(F.broadcast(compound), ["expected", "visible"], "left").select("track_id", "token_index", F.coalesce("out", "expected").alias("label"))
+    compound = spark.range(1).select(F.lit("that").alias("label"), F.lit("right").alias("side"), F.lit("the").alias("visible"), F.lit("thatthe").alias("out"))
+    labels = rows.select("track_id", "token_index", F.col("expected").alias("label"), F.lit(None).cast("string").alias("left"), F.col("visible").alias("right"))
+    return V.normalize_compound(labels, compound).select("track_id", "token_index", "label")
 
 
 @R.add(B.sql("features", body="""SELECT track_id, token_index, coalesce(trim(lower(tok)) = expected, false) AS ok FROM features WHERE off = -1"""))
@@ -121,15 +122,29 @@ def b17_stable_id(spark, d):
     return rows.groupBy("source").agg(T.membership_hash(F.col("id")).alias("members"))
 
 
-@R.add(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(b, '\b[A-Z]{2,}[ ]+[A-Z]{2,}\z') THEN upper('word') WHEN b = '' OR regexp_matches(b, '[.!?]$') THEN 'Word' ELSE 'word' END AS word
-    FROM (SELECT conv_id, turn, trim(substr(text, 1, 20)) AS b FROM conversations)""")
+_AROUND = r"""a AS (SELECT conv_id, turn, unnest(range(0, len(p) - 1))::INT AS k, p FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '(?i)\b(from|that|this|with)\b', '[__]', 'g'), '[__]') AS p FROM conversations)),
+    s AS (SELECT conv_id, turn, k, array_to_string(p[1:k + 1], '[__]') AS before, array_to_string(p[k + 2:], '[__]') AS after FROM a)"""
+
+
+def _around(spark, d):
+    """Every marker of every turn with the whole text before and after it."""
+    parts = F.split(F.regexp_replace("text", r"(?i)\b(from|that|this|with)\b", "[__]"), r"\[__\]", -1)
+    rows = B.table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(parts)).alias("p"))
+    rows = rows.select("conv_id", "turn", "p", F.explode(F.slice(F.sequence(F.lit(0), F.size("p")), 1, F.size("p") - 1)).alias("k"))
+    side = lambda a, n: F.array_join(F.slice("p", a, n), "[__]")
+    return rows.select("conv_id", "turn", "k", side(F.lit(1), F.col("k") + 1).alias("before"), side(F.col("k") + 2, F.size("p")).alias("after"))
+
+
+@R.add(f"WITH {_AROUND}, " + r"""l AS (SELECT *, list_filter(regexp_extract_all(before, '([A-Za-z]+(?:[''’][A-Za-z]+)*)', 1), lambda w: len(w) > 1) AS w FROM s)
+    SELECT conv_id, turn, k, CASE WHEN coalesce(regexp_matches(w[-1], '^[A-Z''’]+$'), false) THEN 'WORD' WHEN regexp_matches(before, '[.!?]\s*$') THEN 'Word' ELSE 'word' END AS word FROM l""")
 def b18_format_case(spark, d):
-    return B.table(spark, d, "conversations").select("conv_id", "turn", T.format_case(F.lit("word"), F.substring("text", 1, 20)).alias("word"))
+    return _around(spark, d).select("conv_id", "turn", "k", T.format_case(F.lit("word"), "before").alias("word"))
 
 
-@R.add(r"""SELECT conv_id, turn, 'word' || CASE WHEN NOT regexp_matches(trim(substr(text, 12, 30)), '^[A-Z][a-z]') THEN '' WHEN regexp_matches(lower(substr(text, 1, 11)), '(^|[.!?] *)(who|what|when|where|why|how|do|does|did|is|are|can)\b[^.!?]*$') THEN '?' ELSE '.' END AS word FROM conversations""")
+@R.add(f"WITH {_AROUND} " + r"""SELECT conv_id, turn, k, 'word' || CASE WHEN NOT regexp_matches(after, '^\s*(>>|["''(\[]*(I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z]))') THEN ''
+    WHEN regexp_matches(before, '(?i)(?:whatever|what|how|why|where|who|when)\s+the\s*$') AND regexp_matches(after, '^\s*(?:I|you|he|she|they|we|it)\b') THEN '' ELSE '.' END AS word FROM s""")
 def b19_format_punct(spark, d):
-    return B.table(spark, d, "conversations").select("conv_id", "turn", T.format_punct(F.lit("word"), F.substring("text", 1, 11), F.substring("text", 12, 30)).alias("word"))
+    return _around(spark, d).select("conv_id", "turn", "k", T.format_punct(F.lit("word"), "before", "after").alias("word"))
 
 
 @R.add(r"""SELECT track_id, token_index, regexp_matches(trim(substr(text, char_off + 5), ' '), '^(>>|[A-Z][a-z]+)') AS ends FROM slots""", "slots")
@@ -141,10 +156,10 @@ def b20_virtual_punct(spark, d):
 def b21_same_family(spark, d):
     families = {"with": "preposition", "from": "preposition", "this": "pointer", "that": "pointer"}
     fam = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("word"), F.lit(v).alias("family")) for k, v in families.items()])).alias("f")).select("f.*")
-    rows = B.labelled(spark, d).select("track_id", "token_index", "expected").join(F.broadcast(fam), F.col("expected") == F.col("word")).drop("word")
-    later = rows.select("track_id", (F.col("token_index") - 1).alias("token_index"), F.col("expected").alias("b"), F.col("family").alias("fb"))
-    pairs = rows.join(later, ["track_id", "token_index"]).where((F.col("family") == F.col("fb")) & (F.col("expected") != F.col("b")))
-    return pairs.groupBy(F.col("expected").alias("a"), "b").agg(F.count("*").alias("n"))
+    rows = B.labelled(spark, d).select("track_id", "token_index", F.col("expected").alias("a"))
+    later = rows.select("track_id", (F.col("token_index") - 1).alias("token_index"), F.col("a").alias("b"))
+    pairs = V.same_family(rows.join(later, ["track_id", "token_index"]), fam)
+    return pairs.where("same_family").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @R.add(rf"SELECT doc_id, len(regexp_extract_all({_NORM}, '(\[__\]|[\p{{L}}\p{{N}}'']+)'))::INT AS units FROM ({_SQLM})")
@@ -154,7 +169,7 @@ def b22_spoken_units(spark, d):
 
 @R.add("SELECT pair_class, creator, count(*) AS n FROM tracks WHERE pair_class IN ('manual-auto', 'synthetic') AND creator IS NOT NULL GROUP BY ALL", "tracks")
 def b23_row_predicates(spark, d):
-    rows = B.tracks(spark, d).where(F.col("pair_class").isin("manual-auto", "synthetic") & T.creator_key(F.lit(""), "creator").isNotNull())
+    rows = B.tracks(spark, d).where(V.tier("pair_class").isNotNull() & V.known_creator(F.lit(""), "creator"))
     return rows.groupBy("pair_class", "creator").agg(F.count("*").alias("n"))
 
 

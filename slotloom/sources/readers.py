@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,30 +95,84 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _read_with(spark: SparkSession, path: str, columns: list[str], what: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    lacking = [c for c in columns if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"no {what}, lacks {lacking}")
+    return rows
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary (word, and what is known of it): lower-cased, trimmed, each word once, empty words left out."""
+    rows = _read_with(spark, path, ["word"], "lexicon").withColumn("word", F.lower(F.trim("word"))).where("word <> ''")
+    return rows.dropDuplicates(["word"])
+
+
+def read_priors(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate priors (rule_id, word, p, margin, support), those within their bounds: 0 <= margin <= p <= 1."""
+    rows = _read_with(spark, path, ["rule_id", "word", "p", "margin", "support"], "table of priors")
+    return rows.where("p BETWEEN 0 AND 1 AND margin BETWEEN 0 AND p AND support >= 0")
+
+
+DISCOVERY = {"contexts": ["context_id", "text"], "rows": ["row_id", "context_id", "slot_index", "label_status"], "sources": ["source", "source_hash"]}
+
+
+def discovery_violations(contexts: DataFrame, rows: DataFrame) -> DataFrame:
+    """A5: (key, violation) of a discovery dataset: a label that its status does not allow, or a context that is not there."""
+    known, labels = F.col("label_status"), F.size(F.coalesce("expected_candidates", F.array().cast("array<string>")))
+    wrong = F.when(~known.isin("known", "ambiguous", "unknown") | known.isNull(), "no such status").when((known == "known") & (F.col("expected").isNull() | (labels > 1)), "known without its one label")
+    wrong = wrong.when((known == "ambiguous") & (labels < 2), "ambiguous with under two labels").when((known == "unknown") & (F.col("expected").isNotNull() | (labels > 0)), "unknown with a label")
+    bad = rows.select(F.col("row_id").cast("string").alias("key"), wrong.alias("violation")).where("violation IS NOT NULL")
+    lost = rows.join(contexts.select("context_id").distinct(), "context_id", "left_anti").select(F.col("row_id").cast("string").alias("key"), F.lit("no such context").alias("violation"))
+    return bad.unionByName(lost)
+
+
+def read_discovery(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """A5: ({contexts, rows, sources}, violations) of a discovery dataset: one Parquet folder each below ``path``."""
+    tables = {k: _read_with(spark, f"{path}/{k}", columns, f"discovery table {k}") for k, columns in DISCOVERY.items()}
+    return tables, discovery_violations(tables["contexts"], tables["rows"])
+
+
 def lost_sources(old: DataFrame, new: DataFrame, source: str = "source") -> DataFrame:
     """Sources with fewer rows in the new version than in the old one."""
     count = lambda df, name: df.groupBy(source).agg(F.count("*").alias(name))
     return count(old, "before").join(count(new, "after"), source, "left").select(source, "before", F.coalesce("after", F.lit(0)).alias("after")).where("after < before")
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def published_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the last whole version below ``path``; None without one. A version is whole when its folder holds the
+    mark that Spark's writer leaves last, so readers never see one that is still being written."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    whole = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return max(whole, default=None)
+
+
 def publish(df: DataFrame, path: str, source: str = "source") -> str:
-    """Writes a new version below ``path`` and points to it, unless a source lost rows: then "deferred" and the old
-    version stays. The pointer is a one-row table, replaced last."""
+    """Writes a new version below ``path``, unless a source lost rows: then "deferred" and the old version stays. The
+    number of a version is claimed by creating a file that must not exist, so two writers never write the same one."""
     spark = df.sparkSession
-    pointer = f"{path}/current"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-    version = 0
-    if there:
-        version = json.loads(spark.read.text(pointer).first()[0])["version"] + 1
-        if lost_sources(spark.read.parquet(f"{path}/v{version - 1}"), df, source).limit(1).count():
-            return "deferred"
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.range(1).select(F.lit(json.dumps({"version": version})).alias("value")).coalesce(1).write.mode("overwrite").text(pointer)
+    last = published_version(spark, path)
+    if last is not None and not lost_sources(spark.read.parquet(f"{path}/v{last}"), df, source).isEmpty():
+        return "deferred"
+    version = 0 if last is None else last + 1
+    fs, _ = _files(spark, path)
+    while not fs.createNewFile(_files(spark, f"{path}/claims/{version}")[1]):
+        version += 1
+    df.write.parquet(f"{path}/v{version}")
     return f"v{version}"
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{json.loads(spark.read.text(f'{path}/current').first()[0])['version']}")
-
-
+    version = published_version(spark, path)
+    if version is None:
+        raise ValueError(f"nothing is published below {path}")
+    return spark.read.parquet(f"{path}/v{version}")

@@ -36,13 +36,16 @@ def stream_dedup(slots: DataFrame, late: str = "1 hour") -> DataFrame:
     return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["slot_key"]) if slots.isStreaming else keyed.dropDuplicates(["slot_key"])
 
 
-def stream_join_segments(slots: DataFrame, segments: DataFrame, late: str = "1 hour", before_s: int = 3, after_s: float = 1.5) -> DataFrame:
-    """K3: a slot (ts, track_id, slot_id) with the segment (start_ts, end_ts) of its track that covers [t - 3, t + 1.5]."""
+def stream_join_segments(slots: DataFrame, segments: DataFrame, late: str = "1 hour", before_s: int = 3, after_s: float = 1.5, longest: str | None = None) -> DataFrame:
+    """K3: a slot (ts, track_id, slot_id) with the segment (start_ts, end_ts) of its track that covers [t - 3, t + 1.5].
+    longest: how long segments may be, an interval; it lets a stream drop old state and has no effect on tables."""
     a, b = slots, segments.withColumnRenamed("track_id", "seg_track")
     if slots.isStreaming:
         a, b = a.withWatermark("ts", late), b.withWatermark("start_ts", late)
     ms = F.expr(f"INTERVAL '{before_s}' SECOND"), F.expr(f"INTERVAL '{after_s}' SECOND")
-    inside = (F.col("track_id") == F.col("seg_track")) & (F.col("start_ts") <= F.col("ts") - ms[0]) & (F.col("end_ts") >= F.col("ts") + ms[1]) & (F.col("start_ts") >= F.col("ts") - F.expr("INTERVAL '1' HOUR"))
+    inside = (F.col("track_id") == F.col("seg_track")) & (F.col("start_ts") <= F.col("ts") - ms[0]) & (F.col("end_ts") >= F.col("ts") + ms[1])
+    if slots.isStreaming and longest:
+        inside = inside & (F.col("start_ts") >= F.col("ts") - F.expr(f"INTERVAL {longest}"))
     return a.join(b, inside).drop("seg_track")
 
 
@@ -126,10 +129,17 @@ def incremental_refresh(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def refresh_batches(stream: DataFrame, path: str, checkpoint: str):
-    """K9 as a stream: each micro-batch is published when no source loses rows."""
-    from slotloom.sources.readers import publish
+    """K9 as a stream (source, source_hash, row_id and more): each micro-batch is merged with the version that is there, so
+    sources that it does not bring stay; a source that comes with fewer rows stays as it was. A batch that runs again
+    after a failure finds its sources unchanged and adds nothing."""
+    from slotloom.sources.readers import publish, published_version, read_published
 
-    return stream.writeStream.foreachBatch(lambda df, _: publish(df, path)).option("checkpointLocation", checkpoint).start()
+    def merge(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
+        whole = df if published_version(spark, path) is None else incremental_refresh(read_published(spark, path), df).select(df.columns)
+        publish(whole, path)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
 def windowed_counts(rows: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:

@@ -23,7 +23,7 @@ def test_text_functions(spark):
     assert one(spark, T.content_fingerprint("t"), t="hello") == "m3bicr"
     assert one(spark, T.format_case("w", "b"), w="that", b="OH MY") == "THAT"
     assert one(spark, T.format_case("w", "b"), w="that", b="end.") == "That"
-    assert one(spark, T.format_punct("w", "b", "a"), w="that", b="what is", a="The end") == "that?"
+    assert one(spark, T.format_punct("w", "b", "a"), w="that", b="what is", a="The end") == "that."
     assert [(r["token"], r["offset"]) for r in one(spark, T.discovery_tokens("t"), t="<b>a</b> bc  d")] == [("a", 3), ("bc", 9), ("d", 13)]
     assert one(spark, T.creator_key("i", "n"), i="x", n="  Some  One ") == "name:some one"
     assert one(spark, T.creator_key("i", "n"), i="x", n="N/A") is None
