@@ -170,7 +170,7 @@ class Encoder:
     """Encodes chunks of texts; remembers words between chunks. ``new_words(blob, size)`` gives ids of unseen words; ids
     are below ``vocabulary``."""
 
-    def __init__(self, new_words, vocabulary: int, most: int = 1 << 20):
+    def __init__(self, new_words, vocabulary: int, most: int = 1 << 19):
         self.new_words = new_words
         self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
         self.memo = Memo(most)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.wordstream import LETTER, Memo, Stream, chunks, ragged
+from slotloom.llm.wordstream import CHUNK, LETTER, Memo, Stream, chunks, ragged
 
 BUCKETS, DIM, NGRAMS = 1 << 12, 16, (1, 2, 3, 4)
 PER_LANG, ROWS = 400, 64 * 400
@@ -81,7 +81,7 @@ class Scorer:
     """Logits of texts; words seen before are not hashed again."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(1 << 20)
+        self.model, self.memo = model, Memo(1 << 18)
         self.clear()
 
     def clear(self) -> None:
@@ -225,7 +225,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK // 2):  # each text is met by a foreign one
                 own = texts[lo:hi]
                 made = []
                 for t in own:

@@ -6,6 +6,7 @@ depends on the chunk (or on one text, if that is longer), never on the partition
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -14,12 +15,24 @@ import numpy as np
 import xxhash
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Words longer than this are hashed as a whole; shorter ones by the rolling sum.
 LONG_WORD = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _give_back() -> None:
+    """Large arrays get pages of their own, which return to the system when they are freed; otherwise a worker that is
+    used again keeps the most that any of its steps has needed. Where the C library has no such setting, nothing changes."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (OSError, AttributeError):
+        pass
+
+
+_give_back()
+
+
 @functools.cache
 def class_table() -> np.ndarray:
     """Letter, number, white space or other, for every code point."""
