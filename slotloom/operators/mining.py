@@ -186,10 +186,15 @@ def class_tag(tokens: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def class_patterns(tagged: DataFrame) -> DataFrame:
-    """Every choice of literal or class for the tokens next to a slot (one each side).
-    tagged: row_id and other columns, off in (-1, 1), tok, cls."""
-    side = lambda off, name: tagged.where(F.col("off") == off).select("row_id", F.explode(F.array_distinct(F.filter(F.array(F.col("tok"), F.concat(F.lit("<"), "cls", F.lit(">"))), lambda x: x.isNotNull()))).alias(name))
-    return side(-1, "l").join(side(1, "r"), "row_id").select("row_id", F.concat_ws(" [] ", "l", "r").alias("pattern"))
+    """Every choice of literal or class for no, one or two tokens on each side of a slot, one token at least; text
+    boundaries are no tokens. tagged: row_id, off from -2 to 2, tok, cls; a slot's (at most four) tokens meet in one row."""
+    words = tagged.where(F.col("off").between(-2, 2) & ~F.col("tok").isin("<BOS>", "<EOS>"))
+    choice = F.array_distinct(F.filter(F.array(F.col("tok"), F.concat(F.lit("<"), "cls", F.lit(">"))), lambda x: x.isNotNull()))
+    rows = words.groupBy("row_id").agg(*[F.coalesce(F.max(F.when(F.col("off") == o, choice)), F.array().cast("array<string>")).alias(n) for o, n in ((-2, "a"), (-1, "b"), (1, "c"), (2, "d"))])
+    two = lambda p, q: F.flatten(F.transform(p, lambda x: F.transform(q, lambda y: F.concat_ws(" ", x, y))))
+    lefts, rights = F.concat(F.array(F.lit("")), "b", two("a", "b")), F.concat(F.array(F.lit("")), "c", two("c", "d"))
+    sides = rows.select("row_id", F.explode(lefts).alias("l"), rights.alias("rights")).select("row_id", "l", F.explode("rights").alias("r"))
+    return sides.where("l <> '' OR r <> ''").select("row_id", F.trim(F.concat_ws(" [] ", "l", "r")).alias("pattern"))
 
 
 def induce_classes(tagged: DataFrame, times: int = 3, share: float = 0.9) -> DataFrame:
@@ -199,14 +204,18 @@ def induce_classes(tagged: DataFrame, times: int = 3, share: float = 0.9) -> Dat
     return counts.withColumn("total", F.sum("n").over(w)).where((F.col("total") >= times) & (F.col("n") / F.col("total") >= share)).select("tok", "cls", F.col("n"), "total")
 
 
-def word_choice(patterns: DataFrame, times: int = 5, share: float = 0.92, creators: int = 2, lower: float = 0.0) -> DataFrame:
-    """By pattern, fold and tier the top word and whether it passes the gate. patterns: pattern, half, tier,
-    expected, creator."""
+def word_choice(patterns: DataFrame, times: int = 5, share: float = 0.92, creators: int = 2, lower: float = 0.8, tier: str = "manual") -> DataFrame:
+    """By pattern, fold and tier the top word of the labelled rows and whether it passes the gate. In ``tier`` the
+    lower bound of its share must also reach ``lower``, and the other tiers, where they have ``times`` rows of the
+    pattern, must not contradict it. patterns: pattern, half, tier, expected, creator."""
     keys = ["pattern", "half", "tier"]
-    counts = patterns.groupBy(*keys, "expected").agg(F.count("*").alias("n"), F.count_distinct("creator").alias("creators"))
-    w = Window.partitionBy(*keys)
+    counts = patterns.where("expected IS NOT NULL").groupBy(*keys, "expected").agg(F.count("*").alias("n"), F.count_distinct("creator").alias("creators"))
+    # All windows find the partitioning of the first one.
+    both, w, elsewhere = Window.partitionBy("pattern", "half"), Window.partitionBy(*keys), F.when(F.col("tier") != tier, F.col("n")).otherwise(0)
+    counts = counts.withColumn("other", F.sum(elsewhere).over(both)).withColumn("other_n", F.sum(elsewhere).over(Window.partitionBy("pattern", "half", "expected")))
     top = counts.withColumn("total", F.sum("n").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "expected"))).where("k = 1")
-    ok = (F.col("total") >= times) & (F.col("n") / F.col("total") >= share) & (F.col("creators") >= creators) & (wilson_lower("n", "total") >= lower)
+    sure = (wilson_lower("n", "total") >= lower) & ((F.col("other") < times) | (F.col("other_n") / F.col("other") >= share))
+    ok = (F.col("total") >= times) & (F.col("n") / F.col("total") >= share) & (F.col("creators") >= creators) & ((F.col("tier") != tier) | F.coalesce(sure, F.lit(False)))
     return top.select(*keys, F.col("expected").alias("word"), "n", "total", "creators", ok.alias("passes"))
 
 

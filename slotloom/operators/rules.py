@@ -76,10 +76,11 @@ def restrict_candidates(rules: DataFrame, emitted: DataFrame) -> DataFrame:
 
 
 def candidate_matches(slots: DataFrame, rules: DataFrame) -> DataFrame:
-    """Anchor join, then every other condition is verified. slots: track_id, token_index, features."""
+    """Anchor join, then every other condition and the guard are verified. slots: track_id, token_index,
+    features, an array of (off, tok) from -1 to 1 at least; rules may have blanks and kept (else one and none)."""
     keyed = slots.select("track_id", "token_index", F.col("features").alias("around"), F.explode("features").alias("f")).select("track_id", "token_index", "around", F.col("f.off").alias("anchor_off"), F.col("f.tok").alias("anchor_tok"))
     joined = keyed.join(rules, ["anchor_off", "anchor_tok"])
-    return joined.where(verify_match("conditions", "around")).drop("around", "anchor_off", "anchor_tok")
+    return joined.where(verify_match("conditions", "around") & adjacent_guard("around", rules.columns)).drop("around", "anchor_off", "anchor_tok")
 
 
 def verify_match(conditions: str, around: str) -> Column:
@@ -87,6 +88,14 @@ def verify_match(conditions: str, around: str) -> Column:
     return F.forall(conditions, lambda c: F.exists(around, lambda f: (f["off"] == c["off"]) & (f["tok"] == c["tok"])))
 
 
+def adjacent_guard(around: str, columns: list[str]) -> Column:
+    """False where a rule of one blank stands at a slot right beside another slot, unless the rule keeps a blank."""
+    touching = F.exists(around, lambda f: f["off"].isin(-1, 1) & (f["tok"] == "[__]"))
+    free = F.col("blanks") > 1 if "blanks" in columns else F.lit(False)
+    keeps = F.size("kept") > 0 if "kept" in columns else F.lit(False)
+    return ~touching | free | keeps
+
+
 def class_filter(matches: DataFrame, tokens: DataFrame, classes: DataFrame) -> DataFrame:
     """Matches whose class positions hold a word of the class. tokens: track_id, token_index, off, tok;
     matches need class_off and class_name; classes: class_name, tok."""
@@ -148,17 +157,27 @@ def explode_spans(decisions: DataFrame) -> DataFrame:
 
 
 def trace(slots: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every matching rule of a slot as winner, abstain or blocked (and by whom); slots without one too."""
+    """Every matching rule of a slot as winner, abstain or blocked (and by whom); slots without one too. With the
+    decisions' word (D11) a first match abstains where that is null; without, where it has several candidates."""
     w = Window.partitionBy("track_id", "token_index").orderBy("ord", "rule_id")
     ranked = matches.withColumn("rank", F.row_number().over(w)).withColumn("winner", F.first("rule_id").over(w))
-    status = F.when(F.col("rank") > 1, "blocked").when(F.size("candidates") > 1, "abstain").otherwise("winner")
+    open_ = F.col("word").isNull() if "word" in matches.columns else F.size("candidates") > 1
+    status = F.when(F.col("rank") > 1, "blocked").when(open_, "abstain").otherwise("winner")
     rows = ranked.select("track_id", "token_index", "rule_id", status.alias("status"), F.when(F.col("rank") > 1, F.col("winner")).alias("blocked_by"))
     return slots.select("track_id", "token_index").join(rows, ["track_id", "token_index"], "left").withColumn("status", F.coalesce("status", F.lit("none")))
 
 
-def apply_fills(tracks: DataFrame, fills: DataFrame, text: str = "text") -> DataFrame:
-    """Texts with the marker of each filled slot replaced. fills: track_id, token_index, word."""
-    words = fills.where("word IS NOT NULL").groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("token_index", "word"))).alias("fills"))
+def apply_fills(tracks: DataFrame, fills: DataFrame, text: str = "text", overrides: DataFrame | None = None, prefer_rules: bool = False, ambiguous: bool = True) -> DataFrame:
+    """Texts with the marker of each filled slot replaced. fills, overrides: track_id, token_index, word. An override
+    goes before a rule's fill, or after it with ``prefer_rules``; empty overrides count as none. Without ``ambiguous``,
+    fills that had several candidates (a column of fills) are left out."""
+    own = fills if ambiguous else fills.where(F.size("candidates") <= 1)
+    own = own.where("word IS NOT NULL").select("track_id", "token_index", "word")
+    if overrides is not None:
+        other = overrides.where("word <> ''").select("track_id", "token_index", "word", F.lit(0 if prefer_rules else 2).alias("place"))
+        both = own.withColumn("place", F.lit(1)).unionByName(other)
+        own = both.groupBy("track_id", "token_index").agg(F.max_by("word", F.struct("place", "word")).alias("word"))
+    words = own.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("token_index", "word"))).alias("fills"))
     parts = F.split(text, r"\[__\]", -1)
     joined = tracks.join(words, "track_id", "left")
     filled = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.coalesce(F.try_element_at("fills", i - 1), F.lit("[__]")), p))), "")

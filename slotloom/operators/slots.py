@@ -38,31 +38,43 @@ def line_events(tracks: DataFrame, text: str = "text", ms_per_word: int = 300) -
 
 
 def extract_slots(events: DataFrame) -> DataFrame:
-    """One row a slot with track-wide token_index, slot_in_event and char_off."""
+    """One row a slot with track-wide token_index, slot_in_event and char_off; if events have segs, also
+    seg_offset_ms, the time offset of the segment that holds the slot (null: untimed)."""
+    timed = "segs" in events.columns
+    segs = F.transform("segs", lambda s: F.struct(F.length(T.normalize_mask(F.coalesce(s["utf8"], F.lit("")))).alias("n"), s["tOffsetMs"].alias("ms"))) if timed else None
     text = T.normalize_mask("text")
-    counted = events.select("track_id", "event_index", "start_ms", "dur_ms", text.alias("text")).withColumn("n", T.count_mask("text"))
+    counted = events.select("track_id", "event_index", "start_ms", "dur_ms", text.alias("text"), *([segs.alias("segs")] if timed else [])).withColumn("n", T.count_mask("text"))
     before = Window.partitionBy("track_id").orderBy("event_index").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
     gaps = placed.select("*", F.posexplode(F.split("text", r"\[__\]", -1)).alias("slot_in_event", "piece"))
     upto = Window.partitionBy("track_id", "event_index").orderBy("slot_in_event")
     gaps = gaps.withColumn("char_off", F.sum(F.length("piece")).over(upto) + 4 * F.col("slot_in_event"))
-    return gaps.where("slot_in_event < n").select("track_id", (F.col("base") + F.col("slot_in_event")).cast("int").alias("token_index"), "event_index", "slot_in_event", F.col("char_off").cast("int").alias("char_off"), "start_ms", "dur_ms", "text")
+    offset = []
+    if timed:
+        first = F.struct(F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("ms"))
+        step = lambda a, s: F.struct((a["at"] + s["n"]).alias("at"), F.when((a["at"] <= F.col("char_off")) & (F.col("char_off") < a["at"] + s["n"]), s["ms"]).otherwise(a["ms"]).alias("ms"))
+        offset = [F.aggregate("segs", first, step)["ms"].alias("seg_offset_ms")]
+    return gaps.where("slot_in_event < n").select("track_id", (F.col("base") + F.col("slot_in_event")).cast("int").alias("token_index"), "event_index", "slot_in_event", F.col("char_off").cast("int").alias("char_off"), "start_ms", "dur_ms", "text", *offset)
 
 
 def event_durations(events: DataFrame) -> DataFrame:
-    """next_start is the least of all later starts; a duration of nothing, or one beyond it, ends there."""
+    """next_start_ms is the least of all later starts. An event without a duration ends there, and so does one of a
+    fixed two-row page (column fixed_page) that lasts beyond it: such pages give the page's time for every event."""
     later = Window.partitionBy("track_id").orderBy("event_index").rowsBetween(1, Window.unboundedFollowing)
     rows = events.withColumn("next_start_ms", F.min("start_ms").over(later))
     gap = F.col("next_start_ms") - F.col("start_ms")
-    bad = (F.coalesce("dur_ms", F.lit(0)) <= 0) | (F.col("start_ms") + F.col("dur_ms") > F.col("next_start_ms"))
-    return rows.withColumn("fixed_dur_ms", F.when(bad & gap.isNotNull(), F.greatest(gap, F.lit(0))).otherwise(F.coalesce("dur_ms", F.lit(0))))
+    dur = F.coalesce("dur_ms", F.lit(0))
+    page = F.coalesce("fixed_page", F.lit(False)) if "fixed_page" in events.columns else F.lit(False)
+    return rows.withColumn("fixed_dur_ms", F.when(gap.isNotNull() & ((dur <= 0) | (page & (gap < dur))), gap).otherwise(dur))
 
 
 def slot_times(slots: DataFrame) -> DataFrame:
-    """Seconds of a slot, in proportion to the words and slots before it in its event."""
+    """Seconds of a slot: its segment's offset (seg_offset_ms) if there is one, else in proportion to the words and
+    slots before it in its event."""
     head = F.substring(F.col("text"), F.lit(1), F.col("char_off"))
     units = F.greatest(T.spoken_units("text"), F.lit(1))
-    ms = F.col("start_ms") + F.col("dur_ms") * T.spoken_units(head) / units
+    share = F.greatest("dur_ms", F.lit(0)) * T.spoken_units(head) / units
+    ms = F.col("start_ms") + (F.coalesce("seg_offset_ms", share) if "seg_offset_ms" in slots.columns else share)
     return slots.withColumn("time_s", (ms / 1000.0).cast("double"))
 
 

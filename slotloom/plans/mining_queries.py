@@ -168,11 +168,14 @@ def h17_preview_pattern(spark, d):
 
 CLASSES = {"the": "article", "a": "article", "and": "link", "or": "link", "of": "place", "to": "place", "in": "place", "on": "place", "is": "verb", "was": "verb", "are": "verb", "be": "verb"}
 _CLS = "cls(tok, cls) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CLASSES.items()) + ")"
-_TAG = _CLS + ", tg AS MATERIALIZED (SELECT mr.row_id, mr.half, mr.tier, mr.expected, mr.creator, f.off, f.tok, cls FROM mr JOIN features f ON mr.track_id = f.track_id AND mr.token_index = f.token_index LEFT JOIN cls ON f.tok = cls.tok WHERE off IN (-1, 1))"
-_PATS = _TAG + """, sd AS (SELECT row_id, off, unnest(list_distinct(list_filter([tok, '<' || cls || '>'], lambda x: x IS NOT NULL))) AS x FROM tg),
-  pt AS MATERIALIZED (SELECT a.row_id, a.x || ' [] ' || b.x AS pattern, mr.half, mr.tier, mr.expected, mr.creator FROM sd a JOIN sd b ON a.row_id = b.row_id AND a.off = -1 AND b.off = 1 JOIN mr ON mr.row_id = a.row_id)"""
-_CHOICE = _PATS + """, wc AS (SELECT pattern, half, tier, expected, count(*) AS n, count(DISTINCT creator) AS creators FROM pt GROUP BY ALL),
-  ch AS MATERIALIZED (SELECT pattern, half, tier, expected AS word, n, total, creators, total >= 5 AND n::DOUBLE / total >= 0.5 AND creators >= 2 AS passes FROM (SELECT *, sum(n) OVER w AS total, row_number() OVER (PARTITION BY pattern, half, tier ORDER BY n DESC, expected NULLS FIRST) AS k FROM wc WINDOW w AS (PARTITION BY pattern, half, tier)) WHERE k = 1)"""
+_TAG = _CLS + ", tg AS MATERIALIZED (SELECT mr.row_id, mr.half, mr.tier, mr.expected, mr.creator, f.off, f.tok, cls FROM mr JOIN features f ON mr.track_id = f.track_id AND mr.token_index = f.token_index LEFT JOIN cls ON f.tok = cls.tok)"
+_PATS = _TAG + """, sd AS (SELECT row_id, off, list_distinct(list_filter([tok, '<' || cls || '>'], lambda x: x IS NOT NULL)) AS x FROM tg WHERE tok NOT IN ('<BOS>', '<EOS>')),
+  op AS (SELECT row_id, coalesce(any_value(x) FILTER (off = -2), []::VARCHAR[]) AS a, coalesce(any_value(x) FILTER (off = -1), []::VARCHAR[]) AS b, coalesce(any_value(x) FILTER (off = 1), []::VARCHAR[]) AS c, coalesce(any_value(x) FILTER (off = 2), []::VARCHAR[]) AS d FROM sd GROUP BY row_id),
+  lr AS (SELECT row_id, unnest(list_concat([''], b, flatten(list_transform(a, lambda x: list_transform(b, lambda y: x || ' ' || y))))) AS l, list_concat([''], c, flatten(list_transform(c, lambda x: list_transform(d, lambda y: x || ' ' || y)))) AS rs FROM op),
+  pt AS MATERIALIZED (SELECT row_id, trim(l || ' [] ' || r, ' ') AS pattern, mr.half, mr.tier, mr.expected, mr.creator FROM (SELECT row_id, l, unnest(rs) AS r FROM lr) JOIN mr USING (row_id) WHERE l <> '' OR r <> '')"""
+_CHOICE = _PATS + """, wc AS (SELECT pattern, half, tier, expected, count(*) AS n, count(DISTINCT creator) AS creators FROM pt WHERE expected IS NOT NULL GROUP BY ALL),
+  wo AS (SELECT *, sum(n) OVER w AS total, row_number() OVER (PARTITION BY pattern, half, tier ORDER BY n DESC, expected) AS k, coalesce(sum(n) FILTER (tier <> 'manual') OVER (PARTITION BY pattern, half), 0) AS other, coalesce(sum(n) FILTER (tier <> 'manual') OVER (PARTITION BY pattern, half, expected), 0) AS other_n FROM wc WINDOW w AS (PARTITION BY pattern, half, tier)),
+  ch AS MATERIALIZED (SELECT pattern, half, tier, expected AS word, n, total, creators, total >= 5 AND n::DOUBLE / total >= 0.5 AND creators >= 2 AND (tier <> 'manual' OR (q + 3.8416 / (2 * total) - 1.96 * sqrt((q * (1 - q) + 3.8416 / (4 * total)) / total)) / (1 + 3.8416 / total) >= 0.2 AND (other < 5 OR other_n::DOUBLE / other >= 0.5)) AS passes FROM (SELECT *, n::DOUBLE / total AS q FROM wo) WHERE k = 1)"""
 
 
 def _classes(spark):
@@ -181,7 +184,7 @@ def _classes(spark):
 
 def _tagged(spark, d):
     rows = _rows(spark, d)
-    tokens = rows.select("row_id", "half", "tier", "expected", "creator", F.explode("features").alias("f")).select("row_id", "half", "tier", "expected", "creator", "f.off", "f.tok").where(F.col("off").isin(-1, 1))
+    tokens = rows.select("row_id", "half", "tier", "expected", "creator", F.explode("features").alias("f")).select("row_id", "half", "tier", "expected", "creator", "f.off", "f.tok")
     return H.class_tag(tokens, F.broadcast(_classes(spark)))
 
 
@@ -206,18 +209,18 @@ def h20_induce_classes(spark, d):
 
 @R.add(_q("SELECT pattern, half, tier, word, n, total::BIGINT AS total, creators, passes FROM ch", _CHOICE))
 def h21_word_choice(spark, d):
-    return H.word_choice(_patterns(spark, d), share=0.5)
+    return H.word_choice(_patterns(spark, d), share=0.5, lower=0.2)
 
 
 @R.add(_q("SELECT pattern, tier, min(word) AS word, sum(n)::BIGINT AS n FROM ch WHERE passes GROUP BY ALL HAVING count(DISTINCT half) = 2 AND count(DISTINCT word) = 1", _CHOICE))
 def h21_two_fold_gate(spark, d):
-    return H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5))
+    return H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5, lower=0.2))
 
 
 def _selected(spark, d):
     """Patterns that pass the gate in both halves, chosen until the best score is under 2."""
     pats = _patterns(spark, d).select("pattern", "row_id", "expected")
-    tops = H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5)).select("pattern", "word").distinct()
+    tops = H.two_fold_gate(H.word_choice(_patterns(spark, d), share=0.5, lower=0.2)).select("pattern", "word").distinct()
     return H.greedy_select(pats.join(tops, "pattern"))
 
 
@@ -226,9 +229,9 @@ def h22_greedy_select(spark, d):
     return _selected(spark, d)
 
 
-@R.add(_q(r"SELECT DISTINCT replace(pattern, '[]', '[' || word || ']') AS template, word FROM ch WHERE passes AND regexp_matches(pattern, '^(<[a-z]+>|[\p{L}\p{N}_'']+) \[\] (<[a-z]+>|[\p{L}\p{N}_'']+)$') AND pattern NOT LIKE '<article>%'", _CHOICE))
+@R.add(_q(r"SELECT DISTINCT replace(pattern, '[]', '[' || word || ']') AS template, word FROM ch WHERE passes AND regexp_matches(pattern, '^(\[\]|<[a-z]+>|[\p{L}\p{N}_'']+)( (\[\]|<[a-z]+>|[\p{L}\p{N}_'']+))*$') AND pattern NOT LIKE '<article>%'", _CHOICE))
 def h23_emit_templates(spark, d):
-    good = H.word_choice(_patterns(spark, d), share=0.5).where("passes")
+    good = H.word_choice(_patterns(spark, d), share=0.5, lower=0.2).where("passes")
     existing = good.where("pattern LIKE '<article>%'").select(F.replace("pattern", F.lit("[]"), F.concat(F.lit("["), "word", F.lit("]"))).alias("template"))
     return H.emit_templates(good, existing)
 

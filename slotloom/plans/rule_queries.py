@@ -18,7 +18,9 @@ SUPPORT = 5
 FC = "fc AS MATERIALIZED (SELECT off, tok, expected, count(*) AS n FROM features WHERE off IN (-1, 1) AND tok <> '[__]' GROUP BY ALL)"
 RULES = FC + f""", rules AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY rule_id))::BIGINT AS ord, CASE WHEN len(candidates) = 1 THEN 'exact' ELSE 'productive' END AS tier
     FROM (SELECT off || ':' || tok AS rule_id, off, tok, list(expected ORDER BY n DESC, expected) AS candidates, sum(n)::BIGINT AS support FROM fc GROUP BY off, tok HAVING sum(n) >= {SUPPORT}))"""
-MATCHES = RULES + ", matches AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, ord, tier FROM features JOIN rules USING (off, tok))"
+# Slots right beside another slot, which rules of one blank leave alone.
+TOUCH = RULES + ", touch AS MATERIALIZED (SELECT DISTINCT track_id, token_index FROM features WHERE off IN (-1, 1) AND tok = '[__]')"
+MATCHES = TOUCH + ", matches AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, ord, tier FROM features JOIN rules USING (off, tok) ANTI JOIN touch USING (track_id, token_index))"
 PRIORS = MATCHES + """, pc AS (SELECT rule_id, expected, count(*) AS n FROM matches GROUP BY ALL),
     pr AS (SELECT *, sum(n) OVER (PARTITION BY rule_id) AS support, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM pc WINDOW w AS (PARTITION BY rule_id ORDER BY n DESC, expected)),
     priors AS (SELECT rule_id, expected AS word, n::DOUBLE / support AS p, (n - second)::DOUBLE / support AS margin, support::BIGINT AS support FROM pr WHERE k = 1)"""
@@ -94,7 +96,7 @@ def d5_candidate_matches(spark, d):
     return matches(spark, d).select("track_id", "token_index", "rule_id")
 
 
-@R.add(_q(RULES, """SELECT f.track_id, f.token_index, r.rule_id || '&' || g.tok AS rule_id FROM features f JOIN rules r USING (off, tok) JOIN features g ON f.track_id = g.track_id AND f.token_index = g.token_index AND g.off = 2 WHERE r.off = 1 AND g.tok = '<EOS>'"""))
+@R.add(_q(TOUCH, """SELECT f.track_id, f.token_index, r.rule_id || '&' || g.tok AS rule_id FROM (FROM features ANTI JOIN touch USING (track_id, token_index)) f JOIN rules r USING (off, tok) JOIN features g ON f.track_id = g.track_id AND f.token_index = g.token_index AND g.off = 2 WHERE r.off = 1 AND g.tok = '<EOS>'"""))
 def d6_verify_match(spark, d):
     end = F.struct(F.lit(2).alias("off"), F.lit("<EOS>").alias("tok"))
     two = rules(spark, d).where("anchor_off = 1").withColumn("conditions", F.concat("conditions", F.array(end))).withColumn("rule_id", F.concat("rule_id", F.lit("&<EOS>")))
@@ -139,17 +141,21 @@ def d12_explode_spans(spark, d):
     return U.explode_spans(decided(spark, d).where("word IS NOT NULL").withColumn("word", F.concat("word", F.lit(" more")))).select("track_id", "token_index", "word")
 
 
-@R.add(_q(MATCHES, """SELECT l.track_id, l.token_index, rule_id, CASE WHEN rule_id IS NULL THEN 'none' WHEN k > 1 THEN 'blocked' WHEN len(candidates) > 1 THEN 'abstain' ELSE 'winner' END AS status, CASE WHEN k > 1 THEN first END AS blocked_by
-    FROM labelled l LEFT JOIN (SELECT *, row_number() OVER w AS k, first_value(rule_id) OVER w AS first FROM matches WINDOW w AS (PARTITION BY track_id, token_index ORDER BY ord)) USING (track_id, token_index)"""))
+@R.add(_q(DECIDED, """SELECT l.track_id, l.token_index, rule_id, CASE WHEN rule_id IS NULL THEN 'none' WHEN k > 1 THEN 'blocked' WHEN len(candidates) > 1 AND p < 0.5 THEN 'abstain' ELSE 'winner' END AS status, CASE WHEN k > 1 THEN first END AS blocked_by
+    FROM labelled l LEFT JOIN (SELECT *, row_number() OVER w AS k, first_value(rule_id) OVER w AS first FROM matches JOIN priors USING (rule_id) WINDOW w AS (PARTITION BY track_id, token_index ORDER BY ord)) USING (track_id, token_index)"""))
 def d13_trace(spark, d):
-    return U.trace(B.labelled(spark, d), matches(spark, d))
+    found = matches(spark, d)
+    return U.trace(B.labelled(spark, d), U.decide(found, U.estimate_priors(found), least=0.5))
 
 
-@R.add(B.sql("masked", body="SELECT track_id, md5(regexp_replace(original, '(?i)\\b(from|that|this|with)\\b', lower('X'), 'g')) AS digest FROM masked"))
+@R.add(B.sql("masked", body="SELECT track_id, md5(p[1] || array_to_string(list_transform(range(1, len(p)), lambda i: CASE (i - 1) % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'x' ELSE '[__]' END || p[i + 1]), '')) AS digest FROM (SELECT track_id, string_split(text, '[__]') AS p FROM masked)"))
 def d14_apply_fills(spark, d):
+    """Every third slot has an override, every third a fill that had several candidates, which is left out."""
     tracks = B.masked(spark, d)
-    fills = tracks.select("track_id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("token_index"), F.lit("x").alias("word"))
-    return U.apply_fills(tracks, fills).select("track_id", F.md5("text").alias("digest"))
+    places = tracks.select("track_id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("token_index"))
+    fills = places.select("track_id", "token_index", F.lit("x").alias("word"), F.when(F.col("token_index") % 3 == 2, F.array(F.lit("x"), F.lit("z"))).otherwise(F.array(F.lit("x"))).alias("candidates"))
+    overrides = places.select("track_id", "token_index", F.when(F.col("token_index") % 3 == 0, "y").otherwise("").alias("word"))
+    return U.apply_fills(tracks, fills, overrides=overrides, ambiguous=False).select("track_id", F.md5("text").alias("digest"))
 
 
 @R.add(_q(RULES, "SELECT rule_id AS template, 'removed' AS change FROM rules WHERE support < 10 UNION ALL SELECT rule_id, 'candidates' FROM rules WHERE support >= 10 AND len(candidates) > 2"))

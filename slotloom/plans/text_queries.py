@@ -188,9 +188,9 @@ _UE = "ue AS (SELECT user_id AS track_id, event_id AS event_index, epoch_us(ts)
 
 
 @R.add(f"""WITH {_UE}, n AS (SELECT *, min(start_ms) OVER (PARTITION BY track_id ORDER BY event_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_start_ms FROM ue)
-    SELECT track_id, event_index, next_start_ms, CASE WHEN next_start_ms IS NOT NULL AND (dur_ms <= 0 OR start_ms + dur_ms > next_start_ms) THEN greatest(next_start_ms - start_ms, 0) ELSE dur_ms END AS fixed_dur_ms FROM n""")
+    SELECT track_id, event_index, next_start_ms, CASE WHEN next_start_ms IS NOT NULL AND (dur_ms <= 0 OR event_index % 2 = 0 AND start_ms + dur_ms > next_start_ms) THEN next_start_ms - start_ms ELSE dur_ms END AS fixed_dur_ms FROM n""")
 def c2_event_durations(spark, d):
-    return S.event_durations(_user_events(spark, d)).select("track_id", "event_index", "next_start_ms", "fixed_dur_ms")
+    return S.event_durations(_user_events(spark, d).withColumn("fixed_page", F.col("event_index") % 2 == 0)).select("track_id", "event_index", "next_start_ms", "fixed_dur_ms")
 
 
 @R.add("SELECT track_id, token_index, time_s FROM timed", "timed")
@@ -198,6 +198,22 @@ def c3_slot_times(spark, d):
     return S.slot_times(B.slots(spark, d)).select("track_id", "token_index", "time_s")
 
 
+@R.add(r"""WITH s AS (SELECT conv_id, turn, coalesce(regexp_replace(text, '(?i)\b(from|that|this|with)\b', '[__]', 'g'), '') || ' ' AS text FROM conversations),
+  e AS (SELECT conv_id AS track_id, array_to_string(list(text ORDER BY turn, text), '') AS text FROM s GROUP BY conv_id),
+  o AS (SELECT conv_id AS track_id, turn, text AS seg, coalesce(sum(len(string_split(text, '[__]')) - 1) OVER w, 0)::INT AS base, coalesce(sum(length(text)) OVER w, 0) AS before FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  k AS (SELECT track_id, turn, base, before, unnest(range(0, len(string_split(seg, '[__]')) - 1)) AS k, string_split(seg, '[__]') AS p FROM o),
+  c AS (SELECT track_id, turn, (base + k)::INT AS token_index, before + length(array_to_string(p[1:k + 1], '[__]')) AS char_off FROM k)
+  SELECT track_id, token_index, CASE WHEN turn % 2 = 0 THEN turn * 1000.0 / 1000.0 ELSE 60000.0::DOUBLE * len(regexp_extract_all(substr(text, 1, char_off::BIGINT), '(\[__\]|[\p{L}\p{N}'']+)')) / greatest(len(regexp_extract_all(text, '(\[__\]|[\p{L}\p{N}'']+)')), 1) / 1000.0 END::DOUBLE AS time_s FROM c JOIN e USING (track_id)""")
+def c3_segment_times(spark, d):
+    """A conversation as an event of one minute, its turns as segments, of which every other one has an offset."""
+    text = F.concat(F.coalesce(F.regexp_replace("text", r"(?i)\b(from|that|this|with)\b", "[__]"), F.lit("")), F.lit(" "))
+    turns = B.table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    held = turns.groupBy(F.col("conv_id").alias("track_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    segs = F.transform("turns", lambda t: F.struct(t["text"].alias("utf8"), F.when(t["turn"] % 2 == 0, t["turn"].cast("bigint") * 1000).alias("tOffsetMs")))
+    events = held.select("track_id", F.lit(0).alias("event_index"), F.lit(0).cast("bigint").alias("start_ms"), F.lit(60_000).cast("bigint").alias("dur_ms"), T.event_text(segs).alias("text"), segs.alias("segs"))
+    return S.slot_times(S.extract_slots(events)).select("track_id", "token_index", "time_s")
+
+
 @R.add(f"""WITH {_UE} SELECT track_id, event_index, start_ms / 1000.0::DOUBLE AS start_s, CASE WHEN dur_ms > 0 THEN start_ms + dur_ms ELSE coalesce(lead(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, event_index), start_ms + 5000) END / 1000.0::DOUBLE AS end_s FROM ue""")
 def c4_timeline(spark, d):
     return S.timeline(_user_events(spark, d)).drop("text")

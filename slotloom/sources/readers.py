@@ -15,13 +15,18 @@ RULE_COLUMNS = ["rule_id", "tier", "ord", "candidates", "conditions"]
 
 
 def parse_payload(tracks: DataFrame, payload: str = "payload") -> DataFrame:
-    """A1: one row an event with its segments; a payload that does not parse gives one row with ``parsed`` false."""
+    """A1: one row an event with its segments (segs) and fixed_page: whether it is an untimed event with a line break on a
+    page of two rows (C2). A payload that does not parse gives one row with ``parsed`` false."""
     keep = [c for c in tracks.columns if c != payload]
     body = tracks.select(*keep, F.from_json(payload, PAYLOAD).alias("p"))
-    rows = body.withColumn("parsed", F.col("p.events").isNotNull()).select(*keep, "parsed", F.posexplode_outer("p.events").alias("event_index", "e"))
+    rows = body.withColumn("parsed", F.col("p.events").isNotNull())
+    two_rows = F.coalesce(F.exists("p.wpWinPositions", lambda w: F.coalesce(w["rcRows"] == 2, F.lit(False))), F.lit(False))
+    rows = rows.select(*keep, "parsed", two_rows.alias("two_rows"), F.posexplode_outer("p.events").alias("event_index", "e"))
     rows = rows.where(~F.col("parsed") | F.col("e").isNotNull())
-    text = F.array_join(F.transform(F.coalesce("e.segs", F.array().cast("array<struct<utf8:string,tOffsetMs:bigint>>")), lambda s: F.coalesce(s["utf8"], F.lit(""))), "")
-    return rows.select(*keep, "parsed", "event_index", F.col("e.tStartMs").alias("start_ms"), F.coalesce("e.dDurationMs", F.lit(0)).alias("dur_ms"), F.when(F.col("parsed"), text).alias("text"))
+    segs = F.coalesce("e.segs", F.array().cast("array<struct<utf8:string,tOffsetMs:bigint>>"))
+    text = F.array_join(F.transform(segs, lambda s: F.coalesce(s["utf8"], F.lit(""))), "")
+    fixed = F.col("two_rows") & F.forall(segs, lambda s: s["tOffsetMs"].isNull()) & F.exists(segs, lambda s: F.coalesce(s["utf8"].contains("\n"), F.lit(False)))
+    return rows.select(*keep, "parsed", "event_index", F.col("e.tStartMs").alias("start_ms"), F.coalesce("e.dDurationMs", F.lit(0)).alias("dur_ms"), F.when(F.col("parsed"), text).alias("text"), F.when(F.col("parsed"), segs).alias("segs"), (F.col("parsed") & fixed).alias("fixed_page"))
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:

@@ -9,3 +9,19 @@ def test_selection_goes_on(spark):
     rows = mining.greedy_select(df).orderBy("rank").collect()
     assert [(r.rank, r.pattern, r.correct, r.wrong) for r in rows] == [(i, f"p{i:02}", 2, 0) for i in range(25)]
     assert mining.greedy_select(df, most=3).count() == 3
+
+
+def test_class_patterns_take_up_to_two_tokens(spark):
+    tagged = spark.createDataFrame([(1, -2, "<BOS>", None), (1, -1, "in", "place"), (1, 1, "end", None), (1, 2, "now", None), (2, -1, "<BOS>", None), (2, 1, "<EOS>", None)], "row_id long, off int, tok string, cls string")
+    got = {r.pattern for r in mining.class_patterns(tagged).collect()}
+    assert got == {"in []", "<place> []", "[] end", "[] end now", "in [] end", "<place> [] end", "in [] end now", "<place> [] end now"}
+
+
+def test_word_choice_gates(spark):
+    rows = [("p", 0, "manual", "a", f"c{i % 3}") for i in range(40)] + [("q", 0, "manual", "a", f"c{i % 3}") for i in range(5)]
+    rows += [("r", 0, "manual", "a", f"c{i % 3}") for i in range(40)] + [("r", 0, "discovery", "b", f"c{i % 3}") for i in range(9)]
+    rows += [("p", 0, "manual", None, "c0")] * 90
+    df = spark.createDataFrame(rows, "pattern string, half int, tier string, expected string, creator string")
+    got = {(r.pattern, r.tier): (r.word, r.total, r.passes) for r in mining.word_choice(df).collect()}
+    # Five of five have a lower bound of 0.57; r's word is contradicted in the other tier; rows without a label do not count.
+    assert got == {("p", "manual"): ("a", 40, True), ("q", "manual"): ("a", 5, False), ("r", "manual"): ("a", 40, False), ("r", "discovery"): ("b", 9, True)}

@@ -54,6 +54,33 @@ def test_rules(spark):
     assert compiled.candidates == ["a", "b c"] and compiled.blanks == 2 and [(c.off, c.tok) for c in compiled.conditions] == [(-2, "<BOS>"), (-1, "go"), (2, "on")]
 
 
+def test_segment_times_and_pages(spark):
+    page = '{"wpWinPositions":[{"rcRows":%d}],"events":[{"tStartMs":0,"dDurationMs":5000,"segs":[{"utf8":"a\\n[__]"}]},{"tStartMs":2000,"dDurationMs":900,"segs":[{"utf8":"so ","tOffsetMs":0},{"utf8":"[ __ ] b","tOffsetMs":400}]},{"tStartMs":1000,"segs":[]}]}'
+    tracks = spark.createDataFrame([(1, page % 2), (2, page % 1)], "track_id long, payload string")
+    events = slots.event_durations(readers.parse_payload(tracks))
+    # Only the fixed page's event ends at the next start, which is the least of all later ones.
+    assert [(r.track_id, r.fixed_dur_ms) for r in events.orderBy("track_id", "event_index").collect()] == [(1, 1000), (1, 900), (1, 0), (2, 5000), (2, 900), (2, 0)]
+    times = slots.slot_times(slots.extract_slots(events.drop("dur_ms").withColumnRenamed("fixed_dur_ms", "dur_ms")))
+    assert [(r.track_id, r.token_index, r.time_s) for r in times.orderBy("track_id", "token_index").collect()] == [(1, 0, 0.5), (1, 1, 2.4), (2, 0, 2.5), (2, 1, 2.4)]
+
+
+def test_guard_trace_and_fills(spark):
+    tracks = spark.createDataFrame([(1, "go [__] [__] now so [__] on")], "track_id long, text string")
+    around = slots.slot_features(tracks, 1, 1)
+    table = spark.createDataFrame([("r1", 1, ["x"], [(-1, "go")], -1, "go"), ("r2", 2, ["y", "z"], [(-1, "so")], -1, "so")], "rule_id string, ord long, candidates array<string>, conditions array<struct<off:int,tok:string>>, anchor_off int, anchor_tok string")
+    found = rules.candidate_matches(around, table)
+    assert [(r.token_index, r.rule_id) for r in found.collect()] == [(2, "r2")]
+    assert rules.candidate_matches(around, table.withColumn("kept", F.array(F.lit(1)))).count() == rules.candidate_matches(around, table.withColumn("blanks", F.lit(2))).count() == 2
+    decided = found.withColumn("word", F.lit("y"))
+    assert [r.status for r in rules.trace(around, decided).orderBy("token_index").collect()] == ["none", "none", "winner"]
+    assert [r.status for r in rules.trace(around, found).where("rule_id = 'r2'").collect()] == ["abstain"]
+    fills = spark.createDataFrame([(1, 0, "a", ["a"]), (1, 2, "y", ["y", "z"])], "track_id long, token_index int, word string, candidates array<string>")
+    over = spark.createDataFrame([(1, 0, "b"), (1, 1, ""), (1, 2, "q")], "track_id long, token_index int, word string")
+    text = lambda **k: rules.apply_fills(tracks, fills, **k).first().text
+    assert text() == "go a [__] now so y on" and text(ambiguous=False) == "go a [__] now so [__] on"
+    assert text(overrides=over) == "go b [__] now so q on" and text(overrides=over, prefer_rules=True) == "go a [__] now so y on"
+
+
 def test_alignment(spark):
     masked = spark.createDataFrame([(1, 0, 0, 9, "I saw [__] cat [__]"), (1, 1, 9, 9, "[__] it")], "track_id long, event_index int, start_ms long, dur_ms long, text string")
     plain = spark.createDataFrame([(1, 0, 0, 9, "I saw that cat over there"), (1, 1, 9, 9, "this it")], masked.schema)
