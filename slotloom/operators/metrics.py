@@ -49,11 +49,11 @@ def creator_macro(predictions: DataFrame, *by: str) -> DataFrame:
     return (each.groupBy(*by) if by else each).agg(F.avg("precision").alias("macro_precision"), F.avg("coverage").alias("macro_coverage"), F.count("*").alias("creators"))
 
 
-def rule_metrics(predictions: DataFrame) -> DataFrame:
-    """Each rule's matches, attempts, hits, slots where any candidate is right, and its creators."""
+def rule_metrics(predictions: DataFrame, *by: str) -> DataFrame:
+    """Each rule's matches, attempts, hits, slots where any candidate is right, and its creators; also by class (``by``)."""
     rows = with_flags(predictions.where("rule_id IS NOT NULL"))
     any_right = F.coalesce(F.array_contains("candidates", F.col("expected")), F.lit(False))
-    return rows.groupBy("rule_id").agg(F.count("*").alias("matched"), F.count_if("is_attempted").alias("attempted"), F.count_if("is_correct").alias("correct"), F.count_if(any_right).alias("candidate_correct"), F.max(F.size("candidates")).alias("max_candidates"), F.count_distinct("creator").alias("creators"))
+    return rows.groupBy("rule_id", *by).agg(F.count("*").alias("matched"), F.count_if("is_attempted").alias("attempted"), F.count_if("is_correct").alias("correct"), F.count_if(any_right).alias("candidate_correct"), F.max(F.size("candidates")).alias("max_candidates"), F.count_distinct("creator").alias("creators"))
 
 
 def quality_gate(rules: DataFrame, least_precision: float = 0.9, support: int = 4, creators: int = 2) -> DataFrame:
@@ -119,9 +119,11 @@ def rule_audit(trace: DataFrame) -> DataFrame:
     rows = with_flags(trace.where("rule_id IS NOT NULL"))
     won = F.col("status") != "blocked"
     base = rows.groupBy("rule_id").agg(F.count("*").alias("matched"), F.count_if(won & F.col("is_scored")).alias("scored"), F.count_if(won & F.col("is_attempted")).alias("attempted"), F.count_if(won & F.col("is_correct")).alias("correct"), F.count_if(won & F.col("word").isNull()).alias("abstained"), F.count_distinct("creator").alias("creators"))
-    hist = rows.where(won & F.col("is_scored")).groupBy("rule_id", "expected").agg(F.count("*").alias("n"))
-    hist = hist.groupBy("rule_id").agg(F.sort_array(F.collect_list(F.concat_ws("=", "expected", F.col("n").cast("string")))).alias("expected_counts"))
-    return base.join(hist, "rule_id", "left")
+    # Both histograms in one pass: a won row counts once under its expected word and once under its predicted one.
+    kinds = F.array(F.struct(F.lit("e").alias("kind"), F.col("expected").alias("w")), F.struct(F.lit("p").alias("kind"), F.col("word").alias("w")))
+    counts = rows.where(won & F.col("is_scored")).select("rule_id", F.explode(kinds).alias("x")).where("x.w IS NOT NULL").groupBy("rule_id", "x.kind", "x.w").agg(F.count("*").alias("n"))
+    entry = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.concat_ws("=", "w", F.col("n").cast("string")))))
+    return base.join(counts.groupBy("rule_id").agg(entry("e").alias("expected_counts"), entry("p").alias("predicted_counts")), "rule_id", "left")
 
 
 def leave_one_out(alternatives: DataFrame) -> DataFrame:

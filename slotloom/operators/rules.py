@@ -151,9 +151,14 @@ def decide(matches: DataFrame, priors: DataFrame, policy: str = "score", least:
 
 
 def explode_spans(decisions: DataFrame) -> DataFrame:
-    """A fill of several words -> one word a slot."""
-    rows = decisions.select("track_id", "token_index", "rule_id", F.posexplode(F.split("word", " +")).alias("k", "piece"))
-    return rows.select("track_id", (F.col("token_index") + F.col("k")).cast("int").alias("token_index"), "rule_id", F.col("piece").alias("word"))
+    """A fill of several words -> one word a slot; if there are candidates, with their pieces at that slot (a candidate
+    of another number of words stays whole) and the word itself."""
+    held = ["candidates"] if "candidates" in decisions.columns else []
+    span = F.size(F.split("word", " +"))
+    rows = decisions.select("track_id", "token_index", "rule_id", *held, span.alias("span"), F.posexplode(F.split("word", " +")).alias("k", "piece"))
+    own = lambda c: F.when(F.size(F.split(c, " +")) == F.col("span"), F.get(F.split(c, " +"), F.col("k"))).otherwise(c)
+    pieces = [F.array_distinct(F.concat(F.transform("candidates", own), F.array("piece"))).alias("pieces")] if held else []
+    return rows.select("track_id", (F.col("token_index") + F.col("k")).cast("int").alias("token_index"), "rule_id", F.col("piece").alias("word"), *pieces)
 
 
 def trace(slots: DataFrame, matches: DataFrame) -> DataFrame:

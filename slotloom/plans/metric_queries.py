@@ -62,6 +62,11 @@ def g4_rule_metrics(spark, d):
     return M.rule_metrics(Q.predictions(spark, d))
 
 
+@R.add(_q("SELECT * FROM rm", _RM.replace("SELECT rule_id,", "SELECT rule_id, pair_class,").replace("GROUP BY rule_id", "GROUP BY rule_id, pair_class")))
+def g4_rule_metrics_by_class(spark, d):
+    return M.rule_metrics(Q.predictions(spark, d), "pair_class")
+
+
 @R.add(_q("SELECT rule_id, CASE WHEN matched < CASE WHEN max_candidates > 1 THEN 8 ELSE 4 END THEN 'support' WHEN creators < 2 THEN 'creators' WHEN attempted = 0 OR correct::DOUBLE / attempted < 0.9 THEN 'precision' ELSE 'pass' END AS verdict FROM rm", _RM))
 def g5_quality_gate(spark, d):
     return M.quality_gate(M.rule_metrics(Q.predictions(spark, d))).select("rule_id", "verdict")
@@ -109,7 +114,8 @@ def g13_wilson_lower(spark, d):
     return M.wilson(M.rule_metrics(Q.predictions(spark, d))).select("rule_id", (F.round("wilson", 9) + 0.0).alias("wilson"))
 
 
-@R.add(_q("SELECT a.*, h.expected_counts FROM aud a LEFT JOIN (SELECT rule_id, list(e ORDER BY e) AS expected_counts FROM (SELECT rule_id, expected || '=' || count(*) AS e FROM tr WHERE won GROUP BY rule_id, expected) GROUP BY rule_id) h USING (rule_id)", _AUD))
+@R.add(_q("""SELECT a.*, h.expected_counts, CASE WHEN h.expected_counts IS NOT NULL THEN coalesce(p.predicted_counts, []) END AS predicted_counts FROM aud a LEFT JOIN (SELECT rule_id, list(e ORDER BY e) AS expected_counts FROM (SELECT rule_id, expected || '=' || count(*) AS e FROM tr WHERE won GROUP BY rule_id, expected) GROUP BY rule_id) h USING (rule_id)
+    LEFT JOIN (SELECT rule_id, list(e ORDER BY e) AS predicted_counts FROM (SELECT rule_id, word || '=' || count(*) AS e FROM tr WHERE won AND word IS NOT NULL GROUP BY rule_id, word) GROUP BY rule_id) p USING (rule_id)""", _AUD))
 def g14_rule_audit(spark, d):
     return _audit(spark, d)
 

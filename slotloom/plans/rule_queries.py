@@ -136,9 +136,11 @@ def d11_decide(spark, d):
     return decided(spark, d).select("track_id", "token_index", "word")
 
 
-@R.add(_q(DECIDED, "SELECT track_id, (token_index + k)::INT AS token_index, w AS word FROM (SELECT track_id, token_index, unnest(range(0, 2)) AS k, unnest([word, 'more']) AS w FROM decided WHERE word IS NOT NULL)"))
+@R.add(_q(DECIDED, "SELECT track_id, (token_index + k)::INT AS token_index, w AS word, list_sort(list_distinct(list_append(list_transform(candidates, lambda c, i: CASE WHEN i % 2 = 0 THEN c WHEN k = 0 THEN c ELSE 'more' END), w))) AS pieces FROM (SELECT track_id, token_index, candidates, unnest(range(0, 2)) AS k, unnest([word, 'more']) AS w FROM decided WHERE word IS NOT NULL)"))
 def d12_explode_spans(spark, d):
-    return U.explode_spans(decided(spark, d).where("word IS NOT NULL").withColumn("word", F.concat("word", F.lit(" more")))).select("track_id", "token_index", "word")
+    longer = F.transform("candidates", lambda c, i: F.when(i % 2 == 0, F.concat(c, F.lit(" more"))).otherwise(c))
+    fills = decided(spark, d).where("word IS NOT NULL").withColumn("word", F.concat("word", F.lit(" more"))).withColumn("candidates", longer)
+    return U.explode_spans(fills).select("track_id", "token_index", "word", F.array_sort("pieces").alias("pieces"))
 
 
 @R.add(_q(DECIDED, """SELECT l.track_id, l.token_index, rule_id, CASE WHEN rule_id IS NULL THEN 'none' WHEN k > 1 THEN 'blocked' WHEN len(candidates) > 1 AND p < 0.5 THEN 'abstain' ELSE 'winner' END AS status, CASE WHEN k > 1 THEN first END AS blocked_by
