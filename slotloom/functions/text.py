@@ -13,11 +13,17 @@ MARK_LOOSE = r"\[[\s\x{A0}]*__[\s\x{A0}]*\]"
 CUE = r"\[(?![\s\x{A0}]*__[\s\x{A0}]*\])[^\]\[]*\]"
 RULE_WORD = r"(\*|\[__\]|[\p{L}\p{N}_']+)"
 LEXICAL_WORD = r"([a-z0-9]+(?:'[a-z0-9]+)*)"
+# What is no speech, in the order in which it is taken out: cues, speaker changes, notes, tags.
+NO_SPEECH = [r"\[(?!\s*__\s*\])[^\]\n]*\]", ">{2,}", "[♪♫]", r"</?[A-Za-z][^>\n]*>"]
 UNIT = r"(\[__\]|[\p{L}\p{N}']+)"
 PLACEHOLDER = r"(?i)^(na|n/a|unknown)$"
-# Words that open a question, and pronouns that follow them.
+SIDE = r"[^\p{L}\p{N}_'’]"
+SOFT_GAP = r"[\s,\"“”]+"
+# Words that open a question, pronouns that follow them, and verbs of going before a place.
 QUESTION = r"(?i)(?:whatever|what|how|why|where|who|when)\s+the"
 PRONOUN = r"^\s*(?:I|you|he|she|they|we|it)\b"
+GO_TO = r"(?i)\b(?:go|going|went|gone)\s+to\s*\z"
+OPENS = r"^\s*[\"'(\[]*(?:I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z])"
 
 
 def _col(c: Column | str) -> Column:
@@ -48,6 +54,13 @@ def rule_words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(normalize_mask(text), "’‘", "''")), F.lit(RULE_WORD), 1)
 
 
+def rule_tokens(text: Column | str) -> Column:
+    """struct<words, gaps>: words, markers and wildcards as written, apostrophes folded, and what stands before, between and
+    after them (one gap more than words)."""
+    folded = F.translate(normalize_mask(text), "’‘", "''")
+    return F.struct(F.regexp_extract_all(folded, F.lit(RULE_WORD), 1).alias("words"), F.split(folded, RULE_WORD, -1).alias("gaps"))
+
+
 def lexical_words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(LEXICAL_WORD), 1)
 
@@ -60,8 +73,11 @@ def blank(text: Column | str, pattern: str) -> Column:
 
 
 def discovery_tokens(text: Column | str) -> Column:
-    """array<struct<token, offset>> of the white-space tokens after tags are blanked in place."""
-    clean = blank(text, r"<[^<>]*>")
+    """array<struct<token, offset>> of the white-space tokens after cues, speaker changes, notes and tags are blanked in
+    place."""
+    clean = _col(text)
+    for pattern in NO_SPEECH:
+        clean = blank(clean, pattern)
     space = lambda c: c.rlike(r"^\s$")
 
     def starts(chars: Column) -> Column:
@@ -148,19 +164,44 @@ def format_case(word: Column | str, before: Column | str) -> Column:
     return F.when(loud, F.upper(word)).when(before.rlike(r"[.!?]\s*\z"), capital).otherwise(word)
 
 
-def format_punct(word: Column | str, before: Column | str, after: Column | str) -> Column:
-    """A full stop where the text after the word starts a sentence (a speaker change, ``I``, a title-case word, or upper-case
-    before lower-case words), unless it is the pronoun of a question that goes on."""
-    starts = _col(after).rlike(r"^\s*(>>|[\"'(\[]*(I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z]))")
-    asks = _col(before).rlike(QUESTION + r"\s*\z")
-    goes_on = asks & _col(after).rlike(PRONOUN)
-    done = _col(word).rlike(r"[.!?]\z")
-    return F.concat(_col(word), F.when(done | ~starts | goes_on, "").otherwise("."))
+def any_of(words: list[str]) -> str:
+    """A pattern of all phrases, longest first; white space in them matches any."""
+    literal = lambda w: "".join(r"\s+" if c == " " else "['’]" if c == "'" else c if c.isalnum() else "\\" + c for c in w)
+    return "(?:" + "|".join(literal(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+def _goes_on(before: Column, after: Column, continuing: list[str] | None) -> Column:
+    """Whether a phrase goes on over a slot: a question's pronoun follows, or one of the given phrases stands before."""
+    asked = before.rlike(QUESTION + r"\s*\z") & after.rlike(PRONOUN)
+    return asked | before.rlike(rf"(?i)(?:^|{SIDE}){any_of(continuing)}\s*\z") if continuing else asked
+
+
+def _opens(after: Column, exempt: list[str] | None) -> Column:
+    """Whether a text starts a sentence: a speaker change, ``I``, a title-case word, or upper-case before lower-case words;
+    ``exempt`` words do not."""
+    titled = after.rlike(OPENS)
+    if exempt:
+        titled = titled & ~after.rlike(rf"(?i)^\s*[\"'(\[]*{any_of(exempt)}\b")
+    return after.rlike(r"^\s*>>") | titled
+
+
+def format_punct(word: Column | str, before: Column | str, after: Column | str, continuing: list[str] | None = None, exempt: list[str] | None = None) -> Column:
+    """The word with the sentence's end that follows it: a sign right after it, else a full stop where the text after
+    starts a sentence, unless the phrase goes on. continuing: phrases after which it does; exempt: words that are written
+    with a capital without starting a sentence."""
+    before, after = _col(before), _col(after)
+    sign = F.regexp_extract(after, r"^([.!?])", 1)
+    stop = F.when(sign != "", sign).when(_opens(after, exempt) & ~_goes_on(before, after, continuing), ".").otherwise("")
+    return F.concat(_col(word), F.when(_col(word).rlike(r"[.!?]\z"), "").otherwise(stop))
 
 
-def virtual_break(after: Column | str) -> Column:
-    """Whether a sentence is taken to end at a slot: a speaker change or a title-case word follows."""
-    return F.trim(_col(after)).rlike(r"^(>>|[A-Z][a-z]+)")
+def virtual_break(before: Column | str, after: Column | str, continuing: list[str] | None = None, exempt: list[str] | None = None) -> Column:
+    """Whether a sentence is taken to end at a slot: a speaker change or a title-case word follows, no stop stands
+    there, the phrase does not go on, and no verb of going to a place stands before. That an exact rule spans the slot
+    is seen where rules are matched (D6)."""
+    before, after = _col(before), _col(after)
+    guarded = after.rlike(r"^\s*[.!?]") | before.rlike(GO_TO) | _goes_on(before, after, continuing)
+    return _opens(after, exempt) & ~guarded
 
 
 def spoken_units(text: Column | str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotloom.functions import text as T
 from slotloom.operators.sampling import numbered
 
 TIERS = ["exact", "productive", "low", "frame", "fallback"]
@@ -77,15 +78,26 @@ def restrict_candidates(rules: DataFrame, emitted: DataFrame) -> DataFrame:
 
 def candidate_matches(slots: DataFrame, rules: DataFrame) -> DataFrame:
     """Anchor join, then every other condition and the guard are verified. slots: track_id, token_index,
-    features, an array of (off, tok) from -1 to 1 at least; rules may have blanks and kept (else one and none)."""
-    keyed = slots.select("track_id", "token_index", F.col("features").alias("around"), F.explode("features").alias("f")).select("track_id", "token_index", "around", F.col("f.off").alias("anchor_off"), F.col("f.tok").alias("anchor_tok"))
+    features, an array of (off, tok) from -1 to 1 at least; rules may have blanks and kept (else one and none). Where the
+    slots have ``breaks``, no rule reaches over the end of a sentence at a slot, unless an exact rule spans it."""
+    held = ["breaks"] if "breaks" in slots.columns else []
+    keyed = slots.select("track_id", "token_index", *held, F.col("features").alias("around"), F.explode("features").alias("f")).select("track_id", "token_index", *held, "around", F.col("f.off").alias("anchor_off"), F.col("f.tok").alias("anchor_tok"))
+    has_joined = "joined" in slots.schema["features"].dataType.elementType.names
     joined = keyed.join(rules, ["anchor_off", "anchor_tok"])
-    return joined.where(verify_match("conditions", "around") & adjacent_guard("around", rules.columns)).drop("around", "anchor_off", "anchor_tok")
+    found = joined.where(verify_match("conditions", "around", has_joined) & adjacent_guard("around", rules.columns)).drop("around", "anchor_off", "anchor_tok")
+    if not held:
+        return found
+    reaches = F.exists("conditions", lambda c: c["off"] > 0)
+    exact = F.col("tier") == "exact" if "tier" in rules.columns else F.lit(False)
+    spanned = F.bool_or(exact & reaches).over(Window.partitionBy("track_id", "token_index"))
+    return found.withColumn("spanned", spanned).where(~F.col("breaks") | ~reaches | F.col("spanned")).drop("breaks", "spanned")
 
 
-def verify_match(conditions: str, around: str) -> Column:
-    """Every condition stands among the (off, tok) pairs around the slot."""
-    return F.forall(conditions, lambda c: F.exists(around, lambda f: (f["off"] == c["off"]) & (f["tok"] == c["tok"])))
+def verify_match(conditions: str, around: str, joined: bool = False) -> Column:
+    """Every condition stands among the (off, tok) pairs around the slot; with ``joined``, no sign that a rule may not
+    pass stands between."""
+    near = lambda f: f["joined"] if joined else F.lit(True)
+    return F.forall(conditions, lambda c: F.exists(around, lambda f: (f["off"] == c["off"]) & (f["tok"] == c["tok"]) & near(f)))
 
 
 def adjacent_guard(around: str, columns: list[str]) -> Column:
@@ -231,22 +243,14 @@ def rule_inventory(*parts: DataFrame) -> DataFrame:
 
 
 def pattern_match(contexts: DataFrame, pattern: str, context: str = "context") -> DataFrame:
-    """Whether one template matches each context, at any marker. Words before and after the bracket, ``*`` any."""
+    """Whether one template matches each context, at any marker; words and what stands between them are compared. The
+    bracket is the marker, ``*`` any word but a marker; spaces match white space, commas and quotes."""
     head, _, tail = pattern.partition("[")
-    tail = tail.partition("]")[2]
-    left, right = head.lower().split(), tail.lower().split()
-    words = F.filter(F.split(F.lower(context), r"[^\p{L}\p{N}_'\[\]]+"), lambda w: w != "")
-    rows = contexts.withColumn("__w", words)
-
-    def fits(i: Column) -> Column:
-        ok = F.get("__w", i) == "[__]"
-        for k, w in enumerate(left):
-            at = F.get("__w", F.when(i - (len(left) - k) >= 0, i - (len(left) - k)).otherwise(-1))
-            ok = ok & (at.isNotNull() & (at != "[__]") if w == "*" else at == w)
-        for k, w in enumerate(right):
-            at = F.get("__w", i + 1 + k)
-            ok = ok & (at.isNotNull() & (at != "[__]") if w == "*" else at == w)
-        return F.coalesce(ok, F.lit(False))
-
-    hit = F.when(F.size("__w") > 0, F.exists(F.sequence(F.lit(0), F.size("__w") - 1), fits)).otherwise(False)
-    return rows.withColumn("matched", hit).drop("__w")
+
+    def literal(text: str) -> str:
+        one = {" ": T.SOFT_GAP, "'": "['’]", "*": r"(?:(?!\[__\])\S)+"}
+        return "".join(one.get(c) or (c if c.isalnum() or c == "_" else "\\" + c) for c in text)
+
+    template = literal(head) + r"\[__\]" + literal(tail.partition("]")[2])
+    hit = T.normalize_mask(context).rlike(rf"(?iu)(?:^|{T.SIDE}){template}(?=$|{T.SIDE})")
+    return contexts.withColumn("matched", F.coalesce(hit, F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,20 +175,40 @@ def merge_intervals(slots: DataFrame, before: int = 35, after: int = 30) -> Data
     return island.groupBy("track_id", "island").agg(F.min("a").alias("start_s"), F.max("b").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text", hidden: str | None = None) -> DataFrame:
-    """H1: one row a slot: token_index, at (its word position), features: array of (off, tok) around it, padded; and
-    expected, if ``hidden`` names an array of the slots' words. Only slots leave the text's row, never all its words."""
+def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text", hidden: str | None = None, continuing: list[str] | None = None, exempt: list[str] | None = None) -> DataFrame:
+    """H1: one row a slot: token_index, at (its word position), features and expected, if ``hidden`` names an array of the
+    slots' words. features: array of (off, tok, joined) around it, padded; joined tells whether a rule may reach the token:
+    before the slot only white space, commas and quotes may stand between, after it only white space, ``<BOS>`` has
+    nothing before the first word. breaks: whether a sentence is taken to end at the slot (B20), judged from two words on
+    each side. Only slots leave the text's row, never all its words."""
     keep = [c for c in tracks.columns if c not in (text, hidden)]
     labels = [hidden] if hidden else []
-    rows = tracks.select(*keep, *labels, F.explode(F.array(T.rule_words(text))).alias("words"))
+    rows = tracks.select(*keep, *labels, F.explode(F.array(T.rule_tokens(text))).alias("t")).select(*keep, *labels, F.col("t.words").alias("words"), F.col("t.gaps").alias("gaps"))
     offsets = [o for o in range(-before, after + 1) if o]
 
     def token(i: Column) -> Column:
-        return F.when(i < 0, "<BOS>").when(i >= F.size("words"), "<EOS>").otherwise(F.get("words", i))
+        return F.when(i < 0, "<BOS>").when(i >= F.size("words"), "<EOS>").otherwise(F.lower(F.get("words", i)))
+
+    def gap(i: Column) -> Column:
+        """Before word i."""
+        return F.when((i >= 0) & (i <= F.size("words")), F.get("gaps", i)).otherwise("")
+
+    def joined(i: Column, o: int) -> Column:
+        if o < 0:
+            steps = [F.when(i + k > 0, gap(i + k).rlike(f"^{T.SOFT_GAP}\\z")).otherwise(gap(i + k) == "") for k in range(o + 1, 1)]
+        else:
+            steps = [(i + k >= F.size("words")) | gap(i + k).rlike(r"^\s+\z") for k in range(1, o + 1)]
+        return reduce(lambda a, b: a & b, steps)
+
+    def breaks(i: Column) -> Column:
+        word = lambda k: F.coalesce(F.when(k >= 0, F.get("words", k)), F.lit(""))
+        head = F.concat(word(i - 2), gap(i - 1), word(i - 1), gap(i))
+        tail = F.concat(gap(i + 1), word(i + 1), gap(i + 2), word(i + 2))
+        return T.virtual_break(head, tail, continuing, exempt)
 
     def slot(i: Column, k: Column) -> Column:
-        around = F.array(*[F.struct(F.lit(o).alias("off"), token(i + o).alias("tok")) for o in offsets])
-        return F.struct(k.alias("token_index"), i.alias("at"), around.alias("features"), *([F.get(hidden, k).alias("expected")] if hidden else []))
+        around = F.array(*[F.struct(F.lit(o).alias("off"), token(i + o).alias("tok"), joined(i, o).alias("joined")) for o in offsets])
+        return F.struct(k.alias("token_index"), i.alias("at"), around.alias("features"), breaks(i).alias("breaks"), *([F.get(hidden, k).alias("expected")] if hidden else []))
 
     places = F.filter(F.transform("words", lambda w, i: F.when(w == T.MARK, i)), lambda i: i.isNotNull())
     return rows.select(*keep, F.explode(F.transform(places, slot)).alias("s")).select(*keep, "s.*")

@@ -20,7 +20,10 @@ RULES = FC + f""", rules AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY
     FROM (SELECT off || ':' || tok AS rule_id, off, tok, list(expected ORDER BY n DESC, expected) AS candidates, sum(n)::BIGINT AS support FROM fc GROUP BY off, tok HAVING sum(n) >= {SUPPORT}))"""
 # Slots right beside another slot, which rules of one blank leave alone.
 TOUCH = RULES + ", touch AS MATERIALIZED (SELECT DISTINCT track_id, token_index FROM features WHERE off IN (-1, 1) AND tok = '[__]')"
-MATCHES = TOUCH + ", matches AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, ord, tier FROM features JOIN rules USING (off, tok) ANTI JOIN touch USING (track_id, token_index))"
+# No rule reaches over the end of a sentence at a slot, unless an exact one spans it.
+FREE = "SELECT * EXCLUDE (spanned) FROM (SELECT *, bool_or(tier = 'exact' AND off > 0) OVER (PARTITION BY track_id, token_index) AS spanned FROM found) WHERE NOT breaks OR off < 0 OR spanned"
+MATCHES = TOUCH + f""", found AS (SELECT track_id, creator, pair_class, token_index, expected, breaks, off, rule_id, candidates, ord, tier FROM (FROM features WHERE joined) JOIN rules USING (off, tok) ANTI JOIN touch USING (track_id, token_index)),
+    matches AS MATERIALIZED (SELECT track_id, creator, pair_class, token_index, expected, rule_id, candidates, ord, tier FROM ({FREE}))"""
 PRIORS = MATCHES + """, pc AS (SELECT rule_id, expected, count(*) AS n FROM matches GROUP BY ALL),
     pr AS (SELECT *, sum(n) OVER (PARTITION BY rule_id) AS support, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM pc WINDOW w AS (PARTITION BY rule_id ORDER BY n DESC, expected)),
     priors AS (SELECT rule_id, expected AS word, n::DOUBLE / support AS p, (n - second)::DOUBLE / support AS margin, support::BIGINT AS support FROM pr WHERE k = 1)"""
@@ -96,7 +99,8 @@ def d5_candidate_matches(spark, d):
     return matches(spark, d).select("track_id", "token_index", "rule_id")
 
 
-@R.add(_q(TOUCH, """SELECT f.track_id, f.token_index, r.rule_id || '&' || g.tok AS rule_id FROM (FROM features ANTI JOIN touch USING (track_id, token_index)) f JOIN rules r USING (off, tok) JOIN features g ON f.track_id = g.track_id AND f.token_index = g.token_index AND g.off = 2 WHERE r.off = 1 AND g.tok = '<EOS>'"""))
+@R.add(_q(TOUCH + """, found AS (SELECT f.track_id, f.token_index, f.breaks, f.off, r.tier, r.rule_id || '&' || g.tok AS rule_id FROM (FROM features ANTI JOIN touch USING (track_id, token_index)) f JOIN rules r USING (off, tok)
+    JOIN features g ON f.track_id = g.track_id AND f.token_index = g.token_index AND g.off = 2 WHERE r.off = 1 AND g.tok = '<EOS>' AND f.joined AND g.joined)""", f"SELECT track_id, token_index, rule_id FROM ({FREE})"))
 def d6_verify_match(spark, d):
     end = F.struct(F.lit(2).alias("off"), F.lit("<EOS>").alias("tok"))
     two = rules(spark, d).where("anchor_off = 1").withColumn("conditions", F.concat("conditions", F.array(end))).withColumn("rule_id", F.concat("rule_id", F.lit("&<EOS>")))
@@ -190,8 +194,7 @@ def d19_rule_inventory(spark, d):
     return U.rule_inventory(own, own.withColumn("tier", F.lit("frame"))).select("rule_id", "tier")
 
 
-@R.add(r"""WITH l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(regexp_replace(text, '(?i)\b(from|that|this|with)\b', '[__]', 'g')), '[^\p{L}\p{N}_''\[\]]+'), lambda w: w <> '') AS w FROM conversations)
-    SELECT conv_id, turn, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = '[__]' AND w[i + 1] = 'the')) > 0 AS matched FROM l""")
+@R.add(r"""SELECT conv_id, turn, coalesce(regexp_matches(regexp_replace(text, '(?i)\b(from|that|this|with)\b', '[__]', 'g'), '(?i)(^|[^\p{L}\p{N}_''’])\[__\][\s,"“”]+the($|[^\p{L}\p{N}_''’])'), false) AS matched FROM conversations""")
 def d20_pattern_match(spark, d):
     contexts = B.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"(?i)\b(from|that|this|with)\b", "[__]").alias("context"))
     return U.pattern_match(contexts, "[that] the").select("conv_id", "turn", "matched")

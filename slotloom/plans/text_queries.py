@@ -55,7 +55,7 @@ def b6_lexical_words(spark, d):
     return B.table(spark, d, DOCS).select(F.explode(T.lexical_words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@R.add(r"""WITH t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '\s'), lambda w: w <> '') AS w FROM pages)
+@R.add(r"""WITH t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\[[^\]\n]*\]', ' ', 'g'), '>{2,}', ' ', 'g'), '[♪♫]', ' ', 'g'), '</?[A-Za-z][^>\n]*>', ' ', 'g'), '\s'), lambda w: w <> '') AS w FROM pages)
     SELECT page_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS digest FROM t""")
 def b7_discovery_tokens(spark, d):
     rows = B.table(spark, d, "pages").select("page_id", F.explode(F.array(T.discovery_tokens("html"))).alias("t"))
@@ -141,15 +141,20 @@ def b18_format_case(spark, d):
     return _around(spark, d).select("conv_id", "turn", "k", T.format_case(F.lit("word"), "before").alias("word"))
 
 
-@R.add(f"WITH {_AROUND} " + r"""SELECT conv_id, turn, k, 'word' || CASE WHEN NOT regexp_matches(after, '^\s*(>>|["''(\[]*(I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z]))') THEN ''
-    WHEN regexp_matches(before, '(?i)(?:whatever|what|how|why|where|who|when)\s+the\s*$') AND regexp_matches(after, '^\s*(?:I|you|he|she|they|we|it)\b') THEN '' ELSE '.' END AS word FROM s""")
+_OPENS = r"""(regexp_matches(after, '^\s*>>') OR regexp_matches(after, '^\s*["''(\[]*(I\b|[A-Z][a-z]|[A-Z]{2,}\s+[a-z])'))"""
+_GOES_ON = r"""regexp_matches(before, '(?i)(?:whatever|what|how|why|where|who|when)\s+the\s*$') AND regexp_matches(after, '^\s*(?:I|you|he|she|they|we|it)\b')"""
+
+
+@R.add(f"WITH {_AROUND} SELECT conv_id, turn, k, 'word' || CASE WHEN regexp_matches(after, '^[.!?]') THEN substr(after, 1, 1) WHEN {_OPENS} AND NOT ({_GOES_ON}) THEN '.' ELSE '' END AS word FROM s")
 def b19_format_punct(spark, d):
     return _around(spark, d).select("conv_id", "turn", "k", T.format_punct(F.lit("word"), "before", "after").alias("word"))
 
 
-@R.add(r"""SELECT track_id, token_index, regexp_matches(trim(substr(text, char_off + 5), ' '), '^(>>|[A-Z][a-z]+)') AS ends FROM slots""", "slots")
+@R.add(rf"""SELECT track_id, token_index, {_OPENS} AND NOT regexp_matches(after, '^\s*[.!?]') AND NOT regexp_matches(before, '(?i)\b(?:go|going|went|gone)\s+to\s*$') AND NOT ({_GOES_ON}) AS ends
+    FROM (SELECT track_id, token_index, substr(text, 1, char_off) AS before, substr(text, char_off + 5) AS after FROM slots)""", "slots")
 def b20_virtual_punct(spark, d):
-    return B.slots(spark, d).select("track_id", "token_index", T.virtual_break(F.substring(F.col("text"), F.col("char_off") + 5, F.lit(1 << 20))).alias("ends"))
+    head, tail = F.substring(F.col("text"), F.lit(1), F.col("char_off")), F.substring(F.col("text"), F.col("char_off") + 5, F.lit(1 << 20))
+    return B.slots(spark, d).select("track_id", "token_index", T.virtual_break(head, tail).alias("ends"))
 
 
 @R.add(B.sql("labelled", body="SELECT a.expected AS a, b.expected AS b, count(*) AS n FROM labelled a JOIN labelled b ON a.track_id = b.track_id AND b.token_index = a.token_index + 1 WHERE a.expected <> b.expected AND (a.expected IN ('this', 'that')) = (b.expected IN ('this', 'that')) GROUP BY ALL"))
