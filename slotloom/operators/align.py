@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import MARK, lexical_words
+from slotloom.operators.slots import lexicon_pattern
 
 
 def align_direct(masked: DataFrame, plain: DataFrame) -> DataFrame:
@@ -52,6 +53,17 @@ def has_timed_ground_truth(masked: DataFrame, occurrences: DataFrame, drift_ms:
     return left.join(right, ["track_id", "bucket"]).where(near).select("track_id").distinct()
 
 
+def has_direct_ground_truth(masked: DataFrame, plain: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tracks whose events have the same places and times in both versions and whose every slot hides a word of the
+    lexicon (E1)."""
+    same = ["track_id", "event_index", "start_ms", "dur_ms"]
+    tell = lambda df, side: df.select(*same, F.lit(1).alias(side))
+    apart = tell(masked, "a").join(tell(plain, "b"), same, "full_outer").where("a IS NULL OR b IS NULL").select("track_id").distinct()
+    found = F.coalesce(F.col("expected").rlike(lexicon_pattern(lexicon)), F.lit(False))
+    slots = align_direct(masked, plain).groupBy("track_id").agg(F.bool_and(found).alias("whole"))
+    return slots.where("whole").select("track_id").join(apart, "track_id", "left_anti")
+
+
 def components(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
     """Slots and occurrences, once for each drift, cut where no padded event interval covers the time: no pair crosses
     such an instant, so an assignment splits there. The windows that find the cuts hold one track's rows each."""
@@ -213,17 +225,30 @@ def merge_alignments(by_context: DataFrame, by_time: DataFrame, fixed: DataFrame
     return taken.unionByName(free.select("track_id", "token_index", "occ_index", "word", F.lit("time").alias("source"))).unionByName(pinned)
 
 
-def track_offset(slots: DataFrame, tokens: DataFrame, near_ms: int = 2000, least: int = 3) -> DataFrame:
-    """The median time difference of a track's largest cluster of pairs with equal (left, right) words, if it holds at
-    least three and half of them. Pairs must be unique on both sides. slots, tokens: track_id, left, right, time_ms."""
-    once = lambda df, name: df.groupBy("track_id", "left", "right").agg(F.count("*").alias("n"), F.min("time_ms").alias(name)).where("n = 1").drop("n")
-    pairs = once(slots, "st").join(once(tokens, "tt"), ["track_id", "left", "right"]).select("track_id", (F.col("tt") - F.col("st")).alias("delta"))
+def track_offset(slots: DataFrame, tokens: DataFrame, near_ms: int = 2000, least: int = 3, exact: int = 6) -> DataFrame:
+    """The median time difference of a track's largest cluster of slots and their tokens, if it holds at least three and
+    half of them. A slot's token agrees with it in ``exact`` words or more counted outwards, on both sides, and in more than
+    any other. slots: track_id, token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms,
+    lefts, rights. Pairs meet on the words that one of the sides must share, so frequent neighbours alone pair nothing."""
+    deep = (exact + 1) // 2
+
+    def keys(side: str) -> Column:
+        one = lambda c, tag: F.when(F.size(c) >= deep, F.concat_ws("\u0000", F.lit(tag), F.slice(c, 1, deep)))
+        return F.explode(F.filter(F.array(one(f"{side}lefts", "l"), one(f"{side}rights", "r")), lambda k: k.isNotNull())).alias("key")
+
+    ends = lambda side: [F.get(f"{side}lefts", F.lit(0)).alias("left"), F.get(f"{side}rights", F.lit(0)).alias("right")]
+    a = slots.select("track_id", "token_index", F.col("time_ms").alias("st"), F.col("lefts").alias("slefts"), F.col("rights").alias("srights"))
+    pairs = a.select("*", *ends("s"), keys("s")).join(tokens.select("track_id", "occ_index", F.col("time_ms").alias("tt"), "lefts", "rights", *ends(""), keys("")), ["track_id", "left", "right", "key"])
+    counted = pairs.withColumn("exact", _agree("slefts", "lefts") + _agree("srights", "rights")).where(F.col("exact") >= exact)
+    each = counted.select("track_id", "token_index", "occ_index", "exact", (F.col("tt") - F.col("st")).alias("delta")).dropDuplicates(["track_id", "token_index", "occ_index"])
+    slot = Window.partitionBy("track_id", "token_index").orderBy(F.desc("exact"))
+    best = each.withColumn("k", F.row_number().over(slot)).withColumn("second", F.lead("exact").over(slot)).where("k = 1 AND (second IS NULL OR second < exact)").select("track_id", "delta")
     w = Window.partitionBy("track_id").orderBy("delta").rangeBetween(-near_ms, near_ms)
-    sized = pairs.withColumn("size", F.count("*").over(w)).withColumn("all", F.count("*").over(Window.partitionBy("track_id")))
-    center = sized.groupBy("track_id").agg(F.max(F.struct("size", (-F.abs("delta")).alias("m"), "delta")).alias("c"), F.max("all").alias("all"))
-    good = center.where((F.col("c.size") >= least) & (2 * F.col("c.size") >= F.col("all"))).select("track_id", F.col("c.delta").alias("center"))
-    members = pairs.join(good, "track_id").where(F.abs(F.col("delta") - F.col("center")) <= near_ms)
-    return members.groupBy("track_id").agg(F.percentile("delta", F.lit(0.5)).alias("offset_ms"), F.count("*").alias("pairs"))
+    sized = best.withColumn("size", F.count("*").over(w)).withColumn("all", F.count("*").over(Window.partitionBy("track_id")))
+    # The cluster's centre is kept beside the differences, so they are found only once.
+    first = F.max(F.struct("size", (-F.abs("delta")).alias("m"), "delta")).over(Window.partitionBy("track_id"))
+    good = sized.withColumn("c", first).where((F.col("c.size") >= least) & (2 * F.col("c.size") >= F.col("all")) & (F.abs(F.col("delta") - F.col("c.delta")) <= near_ms))
+    return good.groupBy("track_id").agg(F.percentile("delta", F.lit(0.5)).alias("offset_ms"), F.count("*").alias("pairs"))
 
 
 def align_shifted(slots: DataFrame, occurrences: DataFrame, offsets: DataFrame, known: DataFrame, drift_ms: int = 1500) -> DataFrame:
@@ -257,18 +282,33 @@ def unpaired(tracks: DataFrame, least: int) -> DataFrame:
     return alone.where(F.col("slots") > least).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def locate_phrase(phrases: DataFrame, timeline: DataFrame, width: int = 3) -> DataFrame:
-    """Where a phrase of ``width`` words stands; a marker fits any word; only a unique place with a literal word
-    counts. phrases: phrase_id, track_id, words; timeline: track_id, position, word."""
-    w = Window.partitionBy("track_id").orderBy("position").rowsBetween(0, width - 1)
-    grams = timeline.withColumn("gram", F.collect_list("word").over(w)).where(F.size("gram") == width)
-    # The first literal word is the join key, at its place in the phrase.
-    first = F.array_position(F.transform("words", lambda x: x != MARK), True)
-    keyed = phrases.withColumn("at", first).where("at > 0").withColumn("key", F.element_at("words", F.col("at").cast("int")))
-    shifted = grams.select("track_id", "position", "gram", F.posexplode("gram").alias("i", "key")).withColumn("at", (F.col("i") + 1).cast("bigint"))
-    fits = F.forall(F.zip_with("words", "gram", lambda a, b: (a == b) | (a == MARK)), lambda x: x)
-    hits = keyed.join(shifted, ["track_id", "key", "at"]).where(fits)
-    return hits.groupBy("phrase_id").agg(F.count("*").alias("n"), F.min("position").alias("position")).where("n = 1").drop("n")
+def locate_phrase(phrases: DataFrame, timeline: DataFrame, events: int = 4, reach_s: float = 15.0) -> DataFrame:
+    """The slots that a displayed phrase shows. phrases: phrase_id, track_id, words, at_s (the playhead); timeline:
+    track_id, event_index, start_s, end_s, words: array of (word, token_index, resolved), the last two of slots only. The
+    phrase is looked for in the events within ``reach_s`` seconds and ``events`` places of the one nearest the playhead. A
+    slot is met by a marker or by its resolved word. Only one way to map the phrase's markers, with a literal word, counts."""
+    width = 2 * reach_s
+    order = Window.partitionBy("track_id").orderBy("start_s", "event_index")
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("bigint"), F.floor(b / width).cast("bigint"))).alias("bucket")
+    placed = timeline.select("track_id", "start_s", "end_s", F.col("words").alias("shown"), F.row_number().over(order).alias("place")).select("*", span(F.col("start_s"), F.col("end_s")))
+    asked = phrases.select("phrase_id", "track_id", "words", "at_s").where(F.exists("words", lambda w: w == MARK)).select("*", span(F.col("at_s") - reach_s, F.col("at_s") + reach_s))
+    near = asked.join(placed, ["track_id", "bucket"]).where((F.col("end_s") >= F.col("at_s") - reach_s) & (F.col("start_s") <= F.col("at_s") + reach_s)).dropDuplicates(["phrase_id", "place"])
+    far = F.greatest(F.col("start_s") - F.col("at_s"), F.col("at_s") - F.col("end_s"), F.lit(0.0))
+    nearest = F.min(F.struct(far.alias("far"), "place")).over(Window.partitionBy("phrase_id"))["place"]
+    kept = near.withColumn("nearest", nearest).where(F.abs(F.col("place") - F.col("nearest")) <= events)
+    around = kept.groupBy("phrase_id").agg(F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("held"))
+    around = around.select("phrase_id", "words", F.explode(F.array(F.flatten(F.transform("held", lambda h: h["shown"])))).alias("line")).where(F.size("line") >= F.size("words"))
+
+    def over(start: Column, one) -> Column:
+        return F.transform("words", lambda w, i: one(w, F.get("line", start + i)))
+
+    meets = lambda w, t: F.coalesce(F.when(t["word"] != MARK, t["word"] == w).otherwise((w == MARK) | (t["resolved"] == w)), F.lit(False))
+    literal = lambda w, t: (t["word"] != MARK) & (t["word"] == w)
+    slot = lambda w, t: F.when((w == MARK) & (t["word"] == MARK), t["token_index"])
+    whole = lambda s: F.forall(over(s, meets), lambda x: x) & F.exists(over(s, literal), lambda x: x)
+    starts = F.filter(F.sequence(F.lit(0), F.size("line") - F.size("words")), whole)
+    maps = F.array_distinct(F.filter(F.transform(starts, lambda s: F.filter(over(s, slot), lambda x: x.isNotNull())), lambda m: F.size(m) > 0))
+    return around.select("phrase_id", maps.alias("maps")).where(F.size("maps") == 1).select("phrase_id", F.get("maps", F.lit(0)).alias("token_indexes"))
 
 
 def covers(windows: DataFrame, segments: DataFrame, tolerance_ms: int = 0, width_ms: int = 60_000) -> DataFrame:

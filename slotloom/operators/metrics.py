@@ -169,7 +169,8 @@ def paired_outcomes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def validate_metrics(metrics: DataFrame) -> DataFrame:
-    """(id, violation) of a metrics table: repeated ids, bad status, counts out of order, stored rates that differ."""
+    """(id, violation) of a metrics table: repeated ids, bad status, counts out of order, stored rates that differ,
+    and, where the table has report, report_fingerprint and complete, rows without a whole report behind them."""
     close = lambda stored, k, n: F.abs(F.col(stored) - F.coalesce(rate(k, n), F.lit(0.0))) > 1e-9
     checks = {
         "status": ~F.coalesce(F.col("status").isin("current", "historical", "diagnostic"), F.lit(False)),
@@ -178,6 +179,9 @@ def validate_metrics(metrics: DataFrame) -> DataFrame:
         "coverage": F.coalesce(close("coverage", "correct", "scored"), F.lit(True)) | ~F.col("coverage").between(0, 1),
         "stale": F.col("fingerprint").isNull() & ~F.coalesce("stale", F.lit(False)),
     }
+    if {"report", "report_fingerprint", "complete"} <= set(metrics.columns):
+        backed = (F.trim("report") != "") & F.col("report_fingerprint").rlike("^sha256:[a-f0-9]{64}$") & F.col("complete")
+        checks["provenance"] = ~F.coalesce(backed, F.lit(False))
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda v: v.isNotNull())
     rows = metrics.select("id", F.explode(found).alias("violation"))
     twice = metrics.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated id").alias("violation"))
@@ -207,10 +211,21 @@ def creator_summary(predictions: DataFrame) -> DataFrame:
     return base.join(hist, "creator", "left")
 
 
-def reuse_predictions(slots: DataFrame, previous: DataFrame) -> DataFrame:
-    """Results of tracks whose fingerprint is unchanged; ``reused`` false where a slot must be computed anew."""
-    old = previous.select("track_id", "token_index", "fingerprint", F.col("word").alias("old_word"), F.lit(True).alias("hit"))
-    return slots.join(old, ["track_id", "token_index", "fingerprint"], "left").select("track_id", "token_index", F.col("old_word").alias("word"), F.coalesce("hit", F.lit(False)).alias("reused"))
+def reuse_predictions(slots: DataFrame, previous: DataFrame, options: tuple[str, ...] = ()) -> DataFrame:
+    """Results of tracks whose fingerprint is unchanged; ``reused`` false where a slot must be computed anew. options:
+    columns of both tables (contexts, candidates, settings) that must be equal too, nulls to nulls."""
+    held = ["track_id", "token_index", "fingerprint"]
+    old = previous.select(*held, *[F.col(c).alias(f"old_{c}") for c in options], F.col("word").alias("old_word"), F.lit(True).alias("hit"))
+    joined = slots.join(old, held, "left")
+    same = F.coalesce("hit", F.lit(False))
+    for c in options:
+        same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    return joined.select("track_id", "token_index", F.when(same, F.col("old_word")).alias("word"), same.alias("reused"))
+
+
+def reuse_counts(reused: DataFrame, *by: str) -> DataFrame:
+    """How many slots were carried over and how many are to be computed."""
+    return (reused.groupBy(*by) if by else reused).agg(F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("computed"))
 
 
 def rule_fingerprints(rules: DataFrame) -> DataFrame:

@@ -249,14 +249,15 @@ def emit_templates(selected: DataFrame, existing: DataFrame) -> DataFrame:
     return plain.select(F.replace("pattern", F.lit("[]"), F.concat(F.lit("["), "word", F.lit("]"))).alias("template"), "word").dropDuplicates(["template"]).join(existing.select("template"), "template", "left_anti")
 
 
-def train_only_check(tagged: DataFrame, rows: DataFrame) -> DataFrame:
+def train_only_check(tagged: DataFrame, rows: DataFrame, both_sides: bool = True, lower: float = 0.0) -> DataFrame:
     """Classes induced anew on each half, patterns matched in the other half. tagged: row_id, half, off, tok, cls;
-    rows: row_id, half, tier, expected, creator."""
+    rows: row_id, half, tier, expected, creator. both_sides: only patterns with a token on each side; lower: H21's bound."""
     out = None
     for half in (0, 1):
         classes = induce_classes(tagged.where(F.col("half") == half)).select("tok", "cls")
         other = class_tag(tagged.where(F.col("half") != half).drop("cls"), classes)
-        found = class_patterns(other).join(rows, "row_id")
-        part = word_choice(found).withColumn("trained_on", F.lit(half))
+        patterns = class_patterns(other)
+        patterns = patterns.where("pattern LIKE '% [] %'") if both_sides else patterns
+        part = word_choice(patterns.join(rows, "row_id"), lower=lower).withColumn("trained_on", F.lit(half))
         out = part if out is None else out.unionByName(part)
     return out

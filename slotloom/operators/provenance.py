@@ -33,9 +33,14 @@ def provenance_index(items: DataFrame) -> DataFrame:
 
 
 def source_groups(items: DataFrame) -> DataFrame:
-    """by id: quarantined if class, creator id or name conflict; status conflict > incomplete > complete > legacy."""
-    rows = items.groupBy("id").agg(F.count_distinct("pair_class").alias("nc"), F.count_distinct("creator_id").alias("ni"), F.count_distinct(F.lower("creator")).alias("nn"), F.bool_or(~F.col("complete")).alias("some_open"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("all_done"))
-    clash = (F.col("nc") > 1) | (F.col("ni") > 1) | (F.col("nn") > 1)
+    """by id: quarantined if classes, creator ids, names (without any id) or declared paths (auto_path, manual_path, if
+    there) conflict; status conflict > incomplete > complete > legacy."""
+    paths = [F.count_distinct(c).alias(c) for c in ("auto_path", "manual_path") if c in items.columns]
+    known = F.when(F.col("pair_class") != "unknown", F.col("pair_class"))
+    rows = items.groupBy("id").agg(F.count_distinct(known).alias("nc"), F.count_distinct("creator_id").alias("ni"), F.count_distinct(F.lower("creator")).alias("nn"), F.bool_or(~F.col("complete")).alias("some_open"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("all_done"), *paths)
+    clash = (F.col("nc") > 1) | (F.col("ni") > 1) | ((F.col("ni") == 0) & (F.col("nn") > 1))
+    for c in ("auto_path", "manual_path"):
+        clash = clash | (F.col(c) > 1) if c in items.columns else clash
     status = F.when(clash, "conflict").when(F.coalesce("some_open", F.lit(False)), "incomplete").when(F.col("all_done"), "complete").otherwise("legacy")
     return rows.select("id", status.alias("status"), clash.alias("quarantined"))
 

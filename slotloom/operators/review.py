@@ -15,10 +15,16 @@ def compare_modes(a: DataFrame, b: DataFrame, tolerance: float = 0.1) -> DataFra
     return joined.select("track_id", "token_index", "a_word", "b_word", kind.alias("category"), F.coalesce(F.abs(F.col("a_time") - F.col("b_time")) > tolerance, F.lit(False)).alias("apart"))
 
 
-def review_queue(compared: DataFrame, mode: str) -> DataFrame:
-    """M1: the slots that a mode is for: disagreements, misses, or all fills to review."""
-    want = {"disagreements": F.col("category") == "disagreement", "misses": F.col("category") == "both-empty", "review": F.col("a_word").isNotNull(), "triage": F.col("category").isin("disagreement", "only-a", "only-b")}[mode]
-    return compared.where(want)
+def review_queue(compared: DataFrame, mode: str, external: DataFrame | None = None) -> DataFrame:
+    """M1: the slots that a mode is for. compared: E14's rows, with b_correct (null: not scored) if the slots have labels.
+    disagreements; misses: the second run's word is wrong or lacking though there is a label (without labels: both are
+    empty); review: both of these; triage: all but agreements; golden: all; false-fills: every fill of the first run;
+    external: those that another review names (external: track_id, token_index, rank), with its rank."""
+    if mode == "external":
+        return compared.join(external.select("track_id", "token_index", "rank"), ["track_id", "token_index"]).where("b_time IS NOT NULL" if "b_time" in compared.columns else "true")
+    apart = F.col("category") == "disagreement"
+    missed = F.coalesce(~F.col("b_correct"), F.lit(False)) if "b_correct" in compared.columns else F.col("category") == "both-empty"
+    return compared.where({"disagreements": apart, "misses": missed, "review": apart | missed, "triage": F.col("category") != "agreement", "golden": F.lit(True), "false-fills": F.col("a_word").isNotNull()}[mode])
 
 
 def annotation_history(annotations: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def resolve_single(matches: DataFrame) -> DataFrame:
 def resolve_overlaps(matches: DataFrame) -> DataFrame:
     """In ord order the first match claims its span of slots (token_index, span) and blocks those that overlap it.
     Matches meet only inside a component of overlapping spans, where a fold goes through them."""
-    order = Window.partitionBy("track_id").orderBy("token_index", "span")
+    order = Window.partitionBy("track_id").orderBy("token_index", "span", "ord", "rule_id")
     reach = F.max(F.col("token_index") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = matches.withColumn("new", F.when(reach.isNull() | (F.col("token_index") >= reach), 1).otherwise(0))
     parts = parts.withColumn("component", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

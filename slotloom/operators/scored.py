@@ -30,13 +30,23 @@ def uncertain(scores: DataFrame, least: float = -4.0, margin: float = 1.0) -> Da
     return scores.select("slot_id").distinct().join(best, "slot_id", "left").select("slot_id", flag.alias("uncertain"))
 
 
-def fuse_scores(own: DataFrame, other: DataFrame, weights: tuple[float, float], fill: float, threshold: float) -> DataFrame:
-    """L4: softmax of two models' weighted log scores; words the other model lacks get ``fill``; below the threshold no word."""
+def fuse_scores(own: DataFrame, other: DataFrame, weights: tuple[float, float], fill: float, threshold: float, chosen: DataFrame | None = None, families: DataFrame | None = None) -> DataFrame:
+    """L4: softmax of two models' weighted log scores; words the other model lacks get ``fill``; below the threshold no word.
+    chosen: slot_id, word, uncertain: the other model's choice (L2, L3). It stands below the threshold, where the scored
+    words lack it, and, unless uncertain, where the best word is another form of its family (families: word, family)."""
     joined = own.join(other.select("slot_id", "word", F.col("logp").alias("other_logp")), ["slot_id", "word"], "left")
     z = joined.withColumn("z", weights[0] * F.col("logp") + weights[1] * F.coalesce("other_logp", F.lit(fill)))
     everyone = Window.partitionBy("slot_id")
     ranked = z.withColumn("p", F.exp("z") / F.sum(F.exp("z")).over(everyone)).withColumn("k", F.row_number().over(everyone.orderBy(F.desc("z"), "list_order")))
-    return ranked.where("k = 1").select("slot_id", F.when(F.col("p") >= threshold, F.col("word")).alias("word"), "p")
+    if chosen is None:
+        return ranked.where("k = 1").select("slot_id", F.when(F.col("p") >= threshold, F.col("word")).alias("word"), "p")
+    held = ranked.join(chosen.select("slot_id", F.col("word").alias("choice"), "uncertain"), "slot_id", "left")
+    held = held.withColumn("scored", F.max((F.col("word") == F.col("choice")).cast("int")).over(everyone)).where("k = 1")
+    of = lambda c: (families if families is not None else own.sparkSession.createDataFrame([], "word string, family string")).select(F.col("word").alias(c), F.col("family").alias(f"{c}_family")).dropDuplicates([c])
+    held = held.join(of("word"), "word", "left").join(of("choice"), "choice", "left")
+    form = ~F.coalesce("uncertain", F.lit(True)) & F.coalesce(F.col("word_family") == F.col("choice_family"), F.lit(False))
+    stands = F.col("choice").isNotNull() & ((F.coalesce("scored", F.lit(0)) == 0) | form)
+    return held.select("slot_id", F.when(stands | (F.col("p") < threshold), F.col("choice")).otherwise(F.col("word")).alias("word"), "p")
 
 
 def arbitrate(by_rules: DataFrame, by_scores: DataFrame, mode: str = "rules-first") -> DataFrame:

@@ -98,6 +98,21 @@ def slot_context(slots: DataFrame, events: DataFrame, before: int = 1, after: in
     return joined.withColumn("slot_index", (F.col("marks_before") + F.col("slot_in_event")).cast("int")).drop("marks_before")
 
 
+def filled_context(slots: DataFrame, events: DataFrame, fills: DataFrame, before: int = 1, after: int = 0, other: str = "…") -> DataFrame:
+    """The slot's context with every other slot shown as its fill (track_id, token_index, word), or ``other``."""
+    words = slots.select("track_id", "event_index", "token_index").join(fills.select("track_id", "token_index", "word"), ["track_id", "token_index"], "left")
+    held = words.groupBy("track_id", "event_index").agg(F.sort_array(F.collect_list(F.struct("token_index", F.coalesce("word", F.lit(other)).alias("word")))).alias("fills"))
+    shown = events.where(F.trim("text") != "").select("track_id", "event_index").join(held, ["track_id", "event_index"], "left")
+    w = Window.partitionBy("track_id").orderBy("event_index").rowsBetween(-before, after)
+    none = F.array().cast("array<string>")
+    near = shown.select("track_id", "event_index", F.flatten(F.collect_list(F.coalesce(F.transform("fills", lambda f: f["word"]), none)).over(w)).alias("around"))
+    rows = slot_context(slots, events, before, after).join(near, ["track_id", "event_index"])
+    parts = F.split("context", r"\[__\]", -1)
+    place = F.col("slot_index") + 1
+    pieces = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.when(i == place, T.MARK).otherwise(F.get("around", i - 1)), p)))
+    return rows.withColumn("context", F.array_join(pieces, "")).drop("around")
+
+
 def only_target(context: Column | str, slot_index: Column | str, other: str = "…") -> Column:
     """A context in which just one slot keeps its marker."""
     parts = F.split(context, r"\[__\]", -1)
@@ -128,7 +143,8 @@ def spoken_context(words: DataFrame, back_s: int = 30, ahead_s: int = 2) -> Data
 
 
 def sentence_context(tracks: DataFrame, words: int = 4, most: int = 120, text: str = "text") -> DataFrame:
-    """For each slot the union of its sentence and the words around it, cut to ``most`` characters around the slot."""
+    """For each slot the union of its sentence and the words around it, if that is over ``most``
+    characters (``fallback``) the words around it, and of these, if still over, ``most`` characters around the slot."""
     tokens = F.filter(F.split(T.normalize_mask(text), r"\s+"), lambda w: w != "")
     rows = tracks.select("track_id", F.explode(F.array(tokens)).alias("tokens"))
     ends = F.filter(F.transform("tokens", lambda w, i: F.when(w.rlike(r"[.!?][\"')]*$") & ~F.lower(w).rlike(r"^(mr|mrs|ms|dr|st|vs|etc|e\.g|i\.e)\.$"), i)), lambda i: i.isNotNull())
@@ -139,7 +155,11 @@ def sentence_context(tracks: DataFrame, words: int = 4, most: int = 120, text: s
     full = F.array_join(F.slice("tokens", lo + 1, hi - lo + 1), " ")
     near_lo, near_hi = F.greatest(F.col("at") - words, F.lit(0)), F.least(F.col("at") + words, F.size("tokens") - 1)
     near = F.array_join(F.slice("tokens", near_lo + 1, near_hi - near_lo + 1), " ")
-    return rows.select("track_id", "at", F.when(F.length(full) <= most, full).otherwise(near).alias("context"), (F.length(full) > most).alias("fallback"))
+    ahead = F.array_join(F.slice("tokens", near_lo + 1, F.col("at") - near_lo), " ")
+    middle = F.when(F.col("at") > near_lo, F.length(ahead) + 1).otherwise(0) + F.length("token") / 2
+    first = F.greatest(F.least(F.floor(middle - most / 2), F.length(near) - most), F.lit(0))
+    short = F.when(F.length(near) <= most, near).otherwise(F.substring(near, (first + 1).cast("int"), F.lit(most)))
+    return rows.select("track_id", "at", F.when(F.length(full) <= most, full).otherwise(short).alias("context"), (F.length(full) > most).alias("fallback"))
 
 
 def context_dim(contexts: DataFrame, context: str = "context") -> DataFrame:
@@ -151,18 +171,26 @@ def context_dim(contexts: DataFrame, context: str = "context") -> DataFrame:
 
 def speech_windows(slots: DataFrame, before: float = 3.0, after: float = 1.5, most: float = 30.0) -> DataFrame:
     """Slots packed greedily in time order; a window opens ``before`` seconds ahead of its first slot and takes a
-    slot while its end stays within ``most`` seconds. The fold holds one track's times."""
-    times = slots.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("time_s", "token_index"))).alias("times"))
-    empty = F.array().cast("array<struct<token_index:int,window_no:int,opens:double>>")
-    start = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("opens"), empty.alias("out"))
+    slot while its end stays within ``most`` seconds. Times are cut at gaps of over ``most`` seconds, where a window always
+    ends; a fold finds the windows' first slots between two gaps and keeps those alone."""
+    order = Window.partitionBy("track_id").orderBy("time_s", "token_index")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = slots.select("track_id", "token_index", "time_s")
+    apart = F.coalesce(F.col("time_s") - F.lag("time_s").over(order) > most, F.lit(True))
+    islands = rows.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(upto))
+    times = islands.groupBy("track_id", "island").agg(F.sort_array(F.collect_list(F.struct("time_s", "token_index"))).alias("times"))
+    kind = rows.schema["token_index"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("double").alias("opens"), F.array().cast(f"array<{kind}>").alias("firsts"))
 
     def step(a: Column, t: Column) -> Column:
-        joins = (a["no"] >= 0) & (t["time_s"] + after <= a["opens"] + most)
-        no = F.when(joins, a["no"]).otherwise(a["no"] + 1)
-        opens = F.when(joins, a["opens"]).otherwise(t["time_s"] - before)
-        return F.struct(no.alias("no"), opens.alias("opens"), F.concat(a["out"], F.array(F.struct(t["token_index"].alias("token_index"), no.alias("window_no"), opens.alias("opens")))).alias("out"))
+        joins = F.coalesce(t["time_s"] + after <= a["opens"] + most, F.lit(False))
+        return F.when(joins, a).otherwise(F.struct((t["time_s"] - before).alias("opens"), F.concat(a["firsts"], F.array(t["token_index"])).alias("firsts")))
 
-    return times.select("track_id", F.explode(F.aggregate("times", start, step)["out"]).alias("w")).select("track_id", "w.*")
+    firsts = times.select("track_id", F.explode(F.aggregate("times", start, step)["firsts"]).alias("token_index")).withColumn("first", F.lit(1))
+    marked = rows.join(firsts, ["track_id", "token_index"], "left")
+    number = (F.sum(F.coalesce("first", F.lit(0))).over(upto) - 1).cast("int")
+    opens = F.last(F.when(F.col("first") == 1, F.col("time_s") - before), ignorenulls=True).over(upto)
+    return marked.select("track_id", "token_index", number.alias("window_no"), opens.alias("opens"))
 
 
 def merge_intervals(slots: DataFrame, before: int = 35, after: int = 30) -> DataFrame:
@@ -212,3 +240,24 @@ def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str
 
     places = F.filter(F.transform("words", lambda w, i: F.when(w == T.MARK, i)), lambda i: i.isNotNull())
     return rows.select(*keep, F.explode(F.transform(places, slot)).alias("s")).select(*keep, "s.*")
+
+
+def discovery_features(texts: DataFrame, before: int = 2, after: int = 2, text: str = "text") -> DataFrame:
+    """H2: one row a slot that starts a token: token_index (its number among the markers that are shown) and features, an
+    array of (off, tok, boundary) over the white-space tokens around it once cues, notes and tags are blanked; boundary:
+    the token ends a sentence before the slot, or starts with a sentence's sign after it."""
+    keep = [c for c in texts.columns if c != text]
+    clean = T.normalize_mask(text)
+    for pattern in T.NO_SPEECH:
+        clean = F.regexp_replace(clean, pattern, " ")
+    rows = texts.select(*keep, F.explode(F.array(F.regexp_extract_all(clean, F.lit(r"(\[__\]|\S+)"), 1))).alias("tokens"))
+    marks = F.flatten(F.transform("tokens", lambda w, i: F.array_repeat(F.struct(i.alias("at"), (w == T.MARK).alias("starts")), F.regexp_count(w, F.lit(r"\[__\]")))))
+    placed = rows.select(*keep, "tokens", F.posexplode(marks).alias("token_index", "m")).where("m.starts")
+
+    def feature(o: int) -> Column:
+        i = F.col("m.at") + o
+        tok = F.when(i < 0, "<BOS>").when(i >= F.size("tokens"), "<EOS>").otherwise(F.lower(F.get("tokens", i)))
+        ends = tok.rlike(r"[.!?][\"'’”)}\]]*\z") if o < 0 else tok.rlike(r"^[.!?]")
+        return F.struct(F.lit(o).alias("off"), tok.alias("tok"), ends.alias("boundary"))
+
+    return placed.select(*keep, "token_index", F.array(*[feature(o) for o in range(-before, after + 1) if o]).alias("features"))

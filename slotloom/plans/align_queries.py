@@ -53,7 +53,16 @@ def context_tokens(spark, d):
     return rows.select("track_id", F.col("position").cast("bigint").alias("occ_index"), "time_ms", F.when(F.col("unit").isin(B.LEXICON), F.col("unit")).alias("word"), "lefts", "rights")
 
 
-@R.add()
+# The plain tracks' lines as events, and the words of both versions with their times.
+_PLAIN = "pm AS (SELECT track_id, creator, pair_class, original AS text FROM masked), " + ", ".join(f"p{c} AS ({B.CTES[c].replace('FROM masked', 'FROM pm').replace('FROM lines', 'FROM plines').replace('FROM units', 'FROM punits')})" for c in ("lines", "units", "events"))
+_SPOKEN = r"""SELECT track_id, position, lower(unit) AS unit, round(time_s * 1000)::BIGINT AS ms FROM (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY event_index, k) - 1 AS position, unit, (start_ms + dur_ms::DOUBLE * k / n) / 1000.0 AS time_s
+    FROM (SELECT track_id, event_index, start_ms, dur_ms, len(us) AS n, unnest(range(0, len(us))) AS k, unnest(us) AS unit FROM (SELECT track_id, event_index, start_ms, dur_ms, regexp_extract_all(text, '(\[__\]|[\p{L}\p{N}'']+)') AS us FROM FROM_)))"""
+
+
+@R.add(B.sql("events", more=_PLAIN + """, j AS (SELECT e.track_id, e.event_index, string_split(e.text, '[__]') AS p, f.text AS full FROM events e JOIN pevents f ON e.track_id = f.track_id AND e.event_index = f.event_index AND e.start_ms = f.start_ms AND e.dur_ms = f.dur_ms WHERE contains(e.text, '[__]')),
+    g AS (SELECT track_id, event_index, 1 AS k, p, CASE WHEN starts_with("full", p[1]) THEN substr("full", length(p[1]) + 1) END AS rest, NULL::VARCHAR AS hidden FROM j
+      UNION ALL SELECT track_id, event_index, k + 1, p, CASE WHEN spot > 0 THEN substr(rest, spot + length(p[k + 1])) END, CASE WHEN spot > 0 THEN substr(rest, 1, spot - 1) END FROM (SELECT *, CASE WHEN p[k + 1] = '' THEN length(rest) + 1 ELSE strpos(rest, p[k + 1]) END AS spot FROM g WHERE k < len(p)))""",
+    body="SELECT expected, CASE n WHEN 0 THEN 'unknown' WHEN 1 THEN 'known' ELSE 'ambiguous' END AS status, count(*) AS n FROM (SELECT lower(trim(hidden)) AS expected, least(len(regexp_extract_all(lower(coalesce(hidden, '')), '([a-z0-9]+(?:''[a-z0-9]+)*)')), 2) AS n FROM g WHERE k > 1) GROUP BY ALL").replace("WITH ", "WITH RECURSIVE ", 1))
 def e1_align_direct(spark, d):
     return A.align_direct(B.events(spark, d), plain_events(spark, d)).groupBy("expected", "status").agg(F.count("*").alias("n"))
 
@@ -85,14 +94,19 @@ def e5_merge_alignments(spark, d):
     return _merged(spark, d)
 
 
-@R.add("""WITH c AS (SELECT o_custkey AS track_id, o_orderpriority AS l, o_orderstatus AS r, min(o_orderkey) AS st FROM orders GROUP BY ALL HAVING count(*) = 1), t AS (SELECT o_custkey AS track_id, o_orderpriority AS l, o_orderstatus AS r, min(o_orderkey + 3000 + o_orderkey % 5 * 1000) AS tt FROM orders GROUP BY ALL HAVING count(*) = 1),
-    p AS (SELECT track_id, tt - st AS delta FROM c JOIN t USING (track_id, l, r)), s AS (SELECT *, count(*) OVER (PARTITION BY track_id ORDER BY delta RANGE BETWEEN 2000 PRECEDING AND 2000 FOLLOWING) AS size, count(*) OVER (PARTITION BY track_id) AS al FROM p),
-    g AS (SELECT track_id, delta AS center FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY size DESC, abs(delta), delta DESC) AS k FROM s) WHERE k = 1 AND size >= 3 AND 2 * size >= al)
-    SELECT track_id, quantile_cont(delta, 0.5)::DOUBLE AS offset_ms, count(*) AS pairs FROM p JOIN g USING (track_id) WHERE abs(delta - center) <= 2000 GROUP BY track_id""")
+_SIDES = "SELECT track_id, position, unit, ms, list_reverse(list(unit) OVER (PARTITION BY track_id ORDER BY position ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)) AS l, list(unit) OVER (PARTITION BY track_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS r FROM {t}"
+_SAME = "coalesce(nullif(list_position(list_transform(range(1, least(len(s.{c}), len(t.{c})) + 1), lambda i: s.{c}[i] = t.{c}[i]), false), 0) - 1, least(len(s.{c}), len(t.{c})))"
+
+
+@R.add(B.sql("events", more=_PLAIN + f""", sw AS ({_SPOKEN.replace('FROM_', 'events')}), tw AS ({_SPOKEN.replace('FROM_', 'pevents')}), ss AS (SELECT * FROM ({_SIDES.format(n=10, t='sw')}) WHERE unit = '[__]'), ts AS ({_SIDES.format(n=15, t='tw')}),
+    q AS (SELECT track_id, s.position AS slot, t.ms + 3000 - s.ms AS delta, {_SAME.format(c='l')} + {_SAME.format(c='r')} AS exact FROM (SELECT *, l[1] AS l1, r[1] AS r1 FROM ss) s JOIN (SELECT *, l[1] AS l1, r[1] AS r1 FROM ts) t USING (track_id, l1, r1)),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, lead(exact) OVER w AS second FROM q WHERE exact >= 6 WINDOW w AS (PARTITION BY track_id, slot ORDER BY exact DESC)) WHERE k = 1 AND (second IS NULL OR second < exact)),
+    z AS (SELECT *, count(*) OVER (PARTITION BY track_id ORDER BY delta RANGE BETWEEN 2000 PRECEDING AND 2000 FOLLOWING) AS size, count(*) OVER (PARTITION BY track_id) AS al FROM b),
+    g AS (SELECT track_id, delta AS center FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY size DESC, abs(delta), delta DESC) AS n FROM z) WHERE n = 1 AND size >= 3 AND 2 * size >= al)""",
+    body="SELECT track_id, quantile_cont(delta, 0.5)::DOUBLE AS offset_ms, count(*) AS pairs FROM b JOIN g USING (track_id) WHERE abs(delta - center) <= 2000 GROUP BY track_id"))
 def e6_track_offset(spark, d):
-    o, k = B.table(spark, d, "orders"), F.col("o_orderkey")
-    base = o.select(F.col("o_custkey").alias("track_id"), F.col("o_orderpriority").alias("left"), F.col("o_orderstatus").alias("right"), k.alias("k"))
-    return A.track_offset(base.withColumn("time_ms", F.col("k")), base.withColumn("time_ms", F.col("k") + 3000 + F.col("k") % 5 * 1000))
+    late = context_tokens(spark, d).withColumn("time_ms", F.col("time_ms") + 3000)
+    return A.track_offset(context_slots(spark, d), late)
 
 
 @R.add()
@@ -127,20 +141,36 @@ def e10_unpaired(spark, d):
     return A.unpaired(both, 60).select("track_id", "version")
 
 
-@R.add(r"""WITH u AS (SELECT conv_id AS track_id, regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn, text)), '([a-z0-9]+(?:''[a-z0-9]+)*)', 1) AS w FROM conversations GROUP BY conv_id), t AS (SELECT track_id, unnest(range(0, len(w)))::INT AS position, w FROM u),
-    g AS (SELECT track_id, position, w[position + 1] AS a, w[position + 2] AS b, w[position + 3] AS c FROM t WHERE position + 3 <= len(w))
-    SELECT p.track_id || ':' || p.position AS phrase_id, min(g.position) AS position FROM g p JOIN g ON p.track_id = g.track_id AND p.a = g.a AND p.c = g.c GROUP BY p.track_id, p.position HAVING count(*) = 1""")
+_TURNS = r"""m AS (SELECT conv_id AS track_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\b(from|that|this|with)\b', '[__]', 'g'), '\s+'), lambda w: w <> '') AS ws FROM conversations),
+    u AS (SELECT track_id, turn, word, i, row_number() OVER (PARTITION BY track_id ORDER BY turn, i) AS pos, CASE WHEN word = '[__]' THEN (count(*) FILTER (word = '[__]') OVER (PARTITION BY track_id ORDER BY turn, i ROWS UNBOUNDED PRECEDING) - 1)::INT END AS tok FROM (SELECT track_id, turn, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM m)),
+    v AS (SELECT *, CASE WHEN tok % 2 = 0 THEN 'that' END AS res FROM u),
+    g AS (SELECT track_id, turn, i, tok, pos, word AS a, lead(word) OVER w AS b, lead(word, 2) OVER w AS c, tok AS ta, lead(tok) OVER w AS tb, lead(tok, 2) OVER w AS tc, res AS ra, lead(res) OVER w AS rb, lead(res, 2) OVER w AS rc, lead(turn, 2) OVER w AS until FROM v WINDOW w AS (PARTITION BY track_id ORDER BY pos))"""
+_MEETS = "({g} <> '[__]' AND {g} = {p} OR {g} = '[__]' AND ({p} = '[__]' OR coalesce({r} = {p}, false)))"
+
+
+@R.add(f"""WITH {_TURNS}, p AS (SELECT * FROM g WHERE until = turn AND b = '[__]'),
+    h AS (SELECT p.track_id || ':' || p.tb AS phrase_id, list_filter([CASE WHEN p.a = '[__]' AND g.a = '[__]' THEN g.ta END, CASE WHEN g.b = '[__]' THEN g.tb END, CASE WHEN p.c = '[__]' AND g.c = '[__]' THEN g.tc END], lambda x: x IS NOT NULL) AS token_indexes FROM p JOIN g ON g.track_id = p.track_id AND g.turn >= p.turn - 3 AND g.until <= p.turn + 3
+      WHERE {_MEETS.format(g='g.a', p='p.a', r='g.ra')} AND {_MEETS.format(g='g.b', p='p.b', r='g.rb')} AND {_MEETS.format(g='g.c', p='p.c', r='g.rc')} AND (g.a <> '[__]' AND g.a = p.a OR g.b <> '[__]' AND g.b = p.b OR g.c <> '[__]' AND g.c = p.c))
+    SELECT phrase_id, min(token_indexes) AS token_indexes FROM h WHERE len(token_indexes) > 0 GROUP BY phrase_id HAVING count(DISTINCT token_indexes) = 1""")
 def e11_locate_phrase(spark, d):
+    """Three words around each slot of a turn, looked for in the turns near it; every other slot is resolved to ``that``."""
     from pyspark.sql import Window
 
-    from slotloom.functions.text import lexical_words
-
-    turns = B.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("track_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
-    words = turns.select("track_id", F.posexplode(lexical_words(F.array_join(F.transform("ts", lambda t: t["text"]), " "))).alias("position", "word"))
-    w = Window.partitionBy("track_id").orderBy("position").rowsBetween(0, 2)
-    phrases = words.withColumn("ws", F.collect_list("word").over(w)).where("size(ws) = 3")
-    phrases = phrases.select(F.concat_ws(":", F.col("track_id").cast("string"), F.col("position").cast("string")).alias("phrase_id"), "track_id", F.array(F.get("ws", F.lit(0)), F.lit("[__]"), F.get("ws", F.lit(2))).alias("words"))
-    return A.locate_phrase(phrases, words)
+    split = F.filter(F.split(F.regexp_replace(F.lower("text"), r"\b(from|that|this|with)\b", "[__]"), r"\s+"), lambda w: w != "")
+    turns = B.table(spark, d, "conversations").select(F.col("conv_id").alias("track_id"), "turn", split.alias("ws"))
+    prior = Window.partitionBy("track_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.filter(F.transform("ws", lambda w, i: F.when(w == "[__]", i)), lambda i: i.isNotNull())
+    turns = turns.withColumn("marks", marks).withColumn("base", F.coalesce(F.sum(F.size("marks")).over(prior), F.lit(0)))
+
+    def shown(w, i):
+        token = F.when(w == "[__]", F.col("base") + F.array_position("marks", i) - 1).cast("int")
+        return F.struct(w.alias("word"), token.alias("token_index"), F.when(token % 2 == 0, "that").alias("resolved"))
+
+    start = F.col("turn") * 5.0
+    events = turns.select("track_id", F.col("turn").alias("event_index"), start.alias("start_s"), (start + 5).alias("end_s"), F.transform("ws", shown).alias("words"))
+    slots = turns.select("track_id", "turn", "ws", "base", F.posexplode("marks").alias("k", "i")).where("i > 0 AND i + 1 < size(ws)")
+    phrases = slots.select(F.concat_ws(":", F.col("track_id").cast("string"), (F.col("base") + F.col("k")).cast("string")).alias("phrase_id"), "track_id", F.slice("ws", F.col("i"), 3).alias("words"), (start + 2).alias("at_s"))
+    return A.locate_phrase(phrases, events)
 
 
 @R.add("""WITH s AS (SELECT user_id AS track_id, event_id * 10000 AS s, event_id * 10000 + (value * 2000)::BIGINT AS e FROM events), l AS (SELECT track_id, max(e) AS m FROM s GROUP BY 1), w AS (SELECT user_id AS track_id, event_id AS window_id, event_id * 10000 + 1000 AS a, event_id * 10000 + 31000 AS b FROM events)

@@ -14,7 +14,7 @@ from slotloom.plans.registry import Registry
 R = Registry()
 # Items: a part is an id, its lines are reports.
 _ITEMS = """items AS (SELECT l_partkey AS id, CASE WHEN l_partkey % 3 = 0 OR l_returnflag = 'N' THEN 'synthetic' WHEN l_partkey % 3 = 1 THEN 'manual-auto' END AS pair_class, CASE WHEN l_partkey % 4 = 0 THEN 'N/A' ELSE 'sup' || l_suppkey % 2 END AS creator,
-  CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 7 END AS creator_id, l_orderkey || ':' || l_linenumber AS report, CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_linestatus = 'F' OR l_partkey % 2 = 0 END AS complete FROM lineitem)"""
+  CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 7 END AS creator_id, l_orderkey || ':' || l_linenumber AS report, CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_linestatus = 'F' OR l_partkey % 2 = 0 END AS complete, CASE WHEN l_partkey % 11 = 0 THEN 'm' || l_suppkey % 2 ELSE 'm' END AS manual_path FROM lineitem)"""
 
 
 def _items(spark, d):
@@ -23,6 +23,7 @@ def _items(spark, d):
     return li.select(
         k.alias("id"), F.when((k % 3 == 0) | (F.col("l_returnflag") == "N"), "synthetic").when(k % 3 == 1, "manual-auto").alias("pair_class"), F.when(k % 4 == 0, "N/A").otherwise(F.concat(F.lit("sup"), (F.col("l_suppkey") % 2).cast("string"))).alias("creator"),
         F.when(k % 5 > 0, k % 7).alias("creator_id"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("report"), F.when(k % 6 != 0, (F.col("l_linestatus") == "F") | (k % 2 == 0)).alias("complete"),
+        F.when(k % 11 == 0, F.concat(F.lit("m"), (F.col("l_suppkey") % 2).cast("string"))).otherwise("m").alias("manual_path"),
     )
 
 
@@ -53,7 +54,7 @@ def f3_provenance_index(spark, d):
 
 
 @R.add(f"""WITH {_ITEMS} SELECT id, CASE WHEN q THEN 'conflict' WHEN o THEN 'incomplete' WHEN a THEN 'complete' ELSE 'legacy' END AS status, q AS quarantined FROM
-    (SELECT id, count(DISTINCT pair_class) > 1 OR count(DISTINCT creator_id) > 1 OR count(DISTINCT lower(creator)) > 1 AS q, coalesce(bool_or(NOT complete), false) AS o, bool_and(coalesce(complete, false)) AS a FROM items GROUP BY id)""")
+    (SELECT id, count(DISTINCT pair_class) > 1 OR count(DISTINCT creator_id) > 1 OR count(creator_id) = 0 AND count(DISTINCT lower(creator)) > 1 OR count(DISTINCT manual_path) > 1 AS q, coalesce(bool_or(NOT complete), false) AS o, bool_and(coalesce(complete, false)) AS a FROM items GROUP BY id)""")
 def f4_source_groups(spark, d):
     return P.source_groups(_items(spark, d))
 
@@ -156,7 +157,7 @@ def f16_exclude_heldout(spark, d):
     return P.exclude_heldout(B.table(spark, d, "documents").select("doc_id"), B.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id")
 
 
-@R.add(f"""WITH {_ITEMS}, g AS (SELECT id, count(DISTINCT pair_class) > 1 OR count(DISTINCT creator_id) > 1 OR count(DISTINCT lower(creator)) > 1 AS q FROM items GROUP BY id),
+@R.add(f"""WITH {_ITEMS}, g AS (SELECT id, count(DISTINCT pair_class) > 1 OR count(DISTINCT creator_id) > 1 OR count(creator_id) = 0 AND count(DISTINCT lower(creator)) > 1 OR count(DISTINCT manual_path) > 1 AS q FROM items GROUP BY id),
     x AS (SELECT p_partkey AS id, (p_size % 3)::INT AS token_index, CASE WHEN p_size % 2 = 0 THEN p_brand END AS e, CASE WHEN p_size % 5 > 0 THEN p_type END AS o FROM part)
     SELECT x.id, token_index, CASE WHEN NOT coalesce(q, false) THEN coalesce(e, o) END AS expected, CASE WHEN coalesce(q, false) OR coalesce(e, o) IS NULL THEN 'unknown' WHEN e IS NOT NULL THEN 'direct' ELSE 'aligned' END AS label_source FROM x LEFT JOIN g ON x.id = g.id""")
 def f17_build_discovery(spark, d):
@@ -270,7 +271,7 @@ def e14_compare_modes(spark, d):
     return _modes(spark, d)
 
 
-@R.add(f"WITH {_MODES} SELECT track_id, token_index FROM cmp WHERE category IN ('disagreement', 'only-a', 'only-b')")
+@R.add(f"WITH {_MODES} SELECT track_id, token_index FROM cmp WHERE category <> 'agreement'")
 def m1_review_queue(spark, d):
     return V.review_queue(_modes(spark, d), "triage").select("track_id", "token_index")
 

@@ -152,15 +152,16 @@ def _registry(spark, d):
     each = M.summarize(Q.predictions(spark, d), "creator")
     n = F.regexp_extract("creator", "([0-9]+)", 1).cast("int")
     bad = F.when(n % 5 == 0, F.coalesce("precision", F.lit(0.0)) + 0.5).otherwise(F.col("precision"))
-    return each.select(F.col("creator").alias("id"), F.when(n % 7 == 0, "odd").otherwise("current").alias("status"), "scored", "attempted", "correct", bad.alias("precision"), "coverage", F.when(n % 3 == 0, None).otherwise("fp").alias("fingerprint"), (n % 2 == 0).alias("stale"))
+    return each.select(F.col("creator").alias("id"), F.when(n % 7 == 0, "odd").otherwise("current").alias("status"), "scored", "attempted", "correct", bad.alias("precision"), "coverage", F.when(n % 3 == 0, None).otherwise("fp").alias("fingerprint"), (n % 2 == 0).alias("stale"),
+        F.when(n % 4 == 0, " ").otherwise("report").alias("report"), F.concat(F.lit("sha256:"), F.sha2("creator", 256)).alias("report_fingerprint"), (n % 3 > 0).alias("complete"))
 
 
 _REG = f"""e AS (SELECT *, {_RATES}, regexp_extract(creator, '([0-9]+)', 1)::INT AS k FROM (SELECT creator, {_FLAG} FROM predictions GROUP BY creator)),
-  reg AS (SELECT creator AS id, CASE WHEN k % 7 = 0 THEN 'odd' ELSE 'current' END AS status, scored, attempted, correct, CASE WHEN k % 5 = 0 THEN coalesce(precision, 0) + 0.5 ELSE precision END AS precision, coverage, CASE WHEN k % 3 <> 0 THEN 'fp' END AS fingerprint, k % 2 = 0 AS stale FROM e)"""
+  reg AS (SELECT creator AS id, CASE WHEN k % 7 = 0 THEN 'odd' ELSE 'current' END AS status, scored, attempted, correct, CASE WHEN k % 5 = 0 THEN coalesce(precision, 0) + 0.5 ELSE precision END AS precision, coverage, CASE WHEN k % 3 <> 0 THEN 'fp' END AS fingerprint, k % 2 = 0 AS stale, k % 4 > 0 AND k % 3 > 0 AS backed FROM e)"""
 
 
 @R.add(_q("""SELECT id, 'status' AS violation FROM reg WHERE status <> 'current' UNION ALL SELECT id, 'precision' FROM reg WHERE precision IS NULL OR abs(precision - correct::DOUBLE / attempted) > 1e-9
-    UNION ALL SELECT id, 'coverage' FROM reg WHERE coverage IS NULL UNION ALL SELECT id, 'stale' FROM reg WHERE fingerprint IS NULL AND NOT stale""", _REG))
+    UNION ALL SELECT id, 'coverage' FROM reg WHERE coverage IS NULL UNION ALL SELECT id, 'stale' FROM reg WHERE fingerprint IS NULL AND NOT stale UNION ALL SELECT id, 'provenance' FROM reg WHERE NOT backed""", _REG))
 def g20_validate_metrics(spark, d):
     return M.validate_metrics(_registry(spark, d))
 
@@ -183,11 +184,19 @@ def g23_creator_summary(spark, d):
     return M.creator_summary(Q.predictions(spark, d))
 
 
-@R.add(_q("SELECT track_id, token_index, CASE WHEN creator <> 'src1' THEN word END AS word, creator <> 'src1' AS reused FROM predictions"))
+@R.add(_q("SELECT track_id, token_index, CASE WHEN creator <> 'src1' AND token_index % 5 > 0 THEN word END AS word, creator <> 'src1' AND token_index % 5 > 0 AS reused FROM predictions"))
 def g24_reuse_predictions(spark, d):
+    now = Q.predictions(spark, d).withColumn("fingerprint", F.col("creator")).withColumn("context", F.lit("same"))
+    before = now.withColumn("fingerprint", F.when(F.col("creator") == "src1", "changed").otherwise(F.col("creator"))).withColumn("context", F.when(F.col("token_index") % 5 == 0, "other").otherwise("same"))
+    return M.reuse_predictions(now.select("track_id", "token_index", "fingerprint", "context", "candidates"), before, ("context", "candidates"))
+
+
+@R.add(_q("SELECT creator, count(*) FILTER (creator <> 'src1') AS reused, count(*) FILTER (creator = 'src1') AS computed FROM predictions GROUP BY creator"))
+def g24_reuse_counts(spark, d):
     now = Q.predictions(spark, d).withColumn("fingerprint", F.col("creator"))
     before = now.withColumn("fingerprint", F.when(F.col("creator") == "src1", "changed").otherwise(F.col("creator")))
-    return M.reuse_predictions(now.select("track_id", "token_index", "fingerprint"), before)
+    kept = M.reuse_predictions(now.select("track_id", "token_index", "fingerprint"), before)
+    return M.reuse_counts(kept.join(now.select("track_id", "token_index", "creator"), ["track_id", "token_index"]), "creator")
 
 
 @R.add(B.sql("features", more=Q.RULES, body="SELECT tier, sha256(string_agg('rule:' || substr(sha256(rule_id || chr(0) || array_to_string(candidates, '|')), 1, 20), chr(10) ORDER BY ord)) AS fingerprint, count(*) AS rules FROM rules GROUP BY tier"))
@@ -229,6 +238,18 @@ def l4_fuse_scores(spark, d):
     return L.fuse_scores(own, other, (0.7, 0.3), fill=-4.0, threshold=0.3).select("slot_id", "word", F.round("p", 9).alias("p"))
 
 
+@R.add(f"""WITH {_SC}, {_COMB}, ch AS (SELECT slot_id, word AS choice, logp - second <= 0.5 AS unsure FROM (SELECT *, row_number() OVER w AS k, lead(logp) OVER w AS second FROM cb WINDOW w AS (PARTITION BY slot_id ORDER BY logp DESC, list_order)) WHERE k = 1),
+    f AS (SELECT a.slot_id, a.word, a.list_order, 0.7 * a.logp + 0.3 * coalesce(b.logp, -4) AS z FROM cb a LEFT JOIN cb b ON b.slot_id = a.slot_id + 1 AND b.word = a.word),
+    p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY slot_id) AS p, row_number() OVER (PARTITION BY slot_id ORDER BY z DESC, list_order) AS k FROM f)
+    SELECT p.slot_id, CASE WHEN p < 0.3 OR choice IS NOT NULL AND NOT unsure AND substr(choice, 2)::INT % 4 = substr(word, 2)::INT % 4 THEN choice ELSE word END AS word, round(p, 9) AS p FROM p LEFT JOIN ch ON ch.slot_id = p.slot_id + 1 WHERE k = 1""")
+def l4_fuse_families(spark, d):
+    own = L.combine_variants(_scores(spark, d))
+    other = own.select((F.col("slot_id") - 1).alias("slot_id"), "word", "list_order", "logp")
+    choice = L.choose_scored(other, least=-1e9).join(L.uncertain(other, least=-1e9, margin=0.5), "slot_id")
+    families = own.select("word").distinct().withColumn("family", (F.substring("word", 2, 9).cast("int") % 4).cast("string"))
+    return L.fuse_scores(own, other, (0.7, 0.3), fill=-4.0, threshold=0.3, chosen=choice, families=families).select("slot_id", "word", F.round("p", 9).alias("p"))
+
+
 @R.add(_q("SELECT track_id, token_index, coalesce(word, candidates[1]) AS word, CASE WHEN word IS NOT NULL THEN 'rules' WHEN candidates[1] IS NOT NULL THEN 'scores' END AS source FROM predictions"))
 def l5_arbitrate(spark, d):
     p = Q.predictions(spark, d)

@@ -58,11 +58,15 @@ def h1_features(spark, d):
     return B.labelled(spark, d).select("track_id", "token_index", F.explode("features").alias("f")).select("track_id", "token_index", "f.off", "f.tok")
 
 
-@R.add()
+@R.add(r"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]\n_][^\]\n]*)?\]', ' ', 'g'), '>{2,}', ' ', 'g'), '[♪♫]', ' ', 'g'), '</?[A-Za-z][^>\n]*>', ' ', 'g'), '(\[__\]|\S+)', 1) AS w
+      FROM (SELECT page_id, regexp_replace(replace(html, chr(160), ' '), '(?i)\b(from|that|this|with)\b', '[__]', 'g') AS text FROM pages)),
+    u AS (SELECT page_id, w, i, w[i] = '[__]' AS starts, sum(len(string_split(w[i], '[__]')) - 1) OVER (PARTITION BY page_id ORDER BY i) - 1 AS k FROM (SELECT page_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+    f AS (SELECT page_id, k, off, CASE WHEN i + off < 1 THEN '<BOS>' WHEN i + off > len(w) THEN '<EOS>' ELSE lower(w[i + off]) END AS tok FROM u, (VALUES (-4), (-3), (-2), (-1), (1), (2), (3), (4)) o(off) WHERE starts)
+    SELECT page_id AS track_id, k::INT AS token_index, off, tok, CASE WHEN off < 0 THEN regexp_matches(tok, '[.!?]["''’”)}\]]*$') ELSE regexp_matches(tok, '^[.!?]') END AS boundary FROM f""")
 def h2_discovery_features(spark, d):
-    pages = B.table(spark, d, "pages").select(F.col("page_id").alias("track_id"), F.regexp_replace(F.array_join(F.transform(T.discovery_tokens("html"), lambda t: t["token"]), " "), r"(?i)\b(from|that|this|with)\b", "[__]").alias("text"))
-    rows = S.slot_features(pages, 4, 4)
-    return rows.select("track_id", F.col("token_index").cast("int").alias("token_index"), F.array_join(F.transform("features", lambda f: f["tok"]), " ").alias("around"))
+    pages = B.table(spark, d, "pages").select(F.col("page_id").alias("track_id"), F.regexp_replace("html", r"(?i)\b(from|that|this|with)\b", "[__]").alias("text"))
+    rows = S.discovery_features(pages, 4, 4)
+    return rows.select("track_id", F.col("token_index").cast("int").alias("token_index"), F.explode("features").alias("f")).select("track_id", "token_index", "f.off", "f.tok", "f.boundary")
 
 
 @R.add(_q("SELECT leaf_key, count(*) AS n FROM k2 GROUP BY leaf_key"))
@@ -100,7 +104,11 @@ def h9_rejections(spark, d):
     return H.rejections(H.discovery_leads(_units(spark, d)))
 
 
-@R.add()
+@R.add(_q("""SELECT m.leaf_key, m.target, o.target AS other_target, o.units AS other_units, coalesce(o.target <> m.target AND o.units >= 4 AND o.precision >= 0.92, false) AS veto
+    FROM (FROM ldt WHERE tier = 'manual') m LEFT JOIN (FROM ldt WHERE tier = 'discovery') o USING (leaf_key)""",
+    """unt AS (SELECT tier, leaf_key, CASE WHEN count(DISTINCT expected) = 1 AND count(*) = count(expected) THEN min(expected) END AS label FROM keyed GROUP BY tier, leaf_key, creator, track_id, token_index),
+    lct AS (SELECT tier, leaf_key, label, count(*) AS n FROM unt GROUP BY ALL), ldt AS MATERIALIZED (SELECT tier, leaf_key, label AS target, units, n::DOUBLE / units AS precision FROM
+      (SELECT *, sum(n) OVER (PARTITION BY tier, leaf_key)::BIGINT AS units, row_number() OVER (PARTITION BY tier, leaf_key ORDER BY label IS NULL, n DESC, label) AS k FROM lct) WHERE k = 1 AND label IS NOT NULL)"""))
 def h10_cross_tier_audit(spark, d):
     units = H.support_units(_keyed(spark, d), "tier")
     leads = H.discovery_leads(units, "tier")
@@ -238,4 +246,4 @@ def h23_emit_templates(spark, d):
 
 @R.add()
 def h24_train_only_check(spark, d):
-    return H.train_only_check(_tagged(spark, d), _rows(spark, d).select("row_id", "half", "tier", "expected", "creator").drop("features"))
+    return H.train_only_check(_tagged(spark, d), _rows(spark, d).select("row_id", "half", "tier", "expected", "creator"), both_sides=False, lower=0.8)

@@ -124,7 +124,10 @@ def d9_resolve_single(spark, d):
     return U.resolve_single(matches(spark, d)).select("track_id", "token_index", "rule_id")
 
 
-@R.add()
+@R.add(_q(MATCHES + """, sp AS (SELECT track_id, token_index, (1 + ord % 2)::INT AS span, rule_id, ord FROM matches), sr AS (SELECT *, max(token_index + span) OVER (PARTITION BY track_id ORDER BY token_index, span, ord, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+    sc AS (SELECT *, sum(CASE WHEN reach IS NULL OR token_index >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY token_index, span, ord, rule_id ROWS UNBOUNDED PRECEDING) AS c FROM sr),
+    sg AS (SELECT track_id, list([{'o': ord, 'r': rule_id, 't': token_index, 's': span}] ORDER BY ord, rule_id, token_index) AS m FROM sc GROUP BY track_id, c),
+    sw AS (SELECT track_id, unnest(list_reduce(m, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.t < x[1].t + x[1].s AND x[1].t < y.t + y.s)) > 0 THEN a ELSE list_concat(a, x) END)) AS w FROM sg)""", "SELECT track_id, w.t AS token_index, w.s AS span, w.r AS rule_id, w.o AS ord FROM sw"))
 def d9_resolve_overlaps(spark, d):
     spans = matches(spark, d).select("track_id", "token_index", (1 + F.col("ord") % 2).cast("int").alias("span"), "rule_id", "ord")
     return U.resolve_overlaps(spans)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slotloom.plans import base as B
 from slotloom.plans.registry import Registry
 from slotloom.sources import readers as A
+from slotloom.sources.scratch import saved
 from slotloom.streaming import jobs as K
 
 R = Registry()
@@ -69,6 +70,20 @@ def a7_read_text_corpus(spark, d):
     return A.filter_text_corpus(B.table(spark, d, "documents"), 50, 3000).select("doc_id")
 
 
+@R.add("SELECT DISTINCT lower(trim(c_mktsegment)) AS word FROM customer")
+def a8_read_lexicon(spark, d):
+    """A vocabulary in upper and lower case, written and read."""
+    words = B.table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("word"))
+    return A.read_lexicon(spark, saved(words, "lexicon"))
+
+
+@R.add("SELECT rule_id, word, p FROM (SELECT p_brand AS rule_id, p_type AS word, (p_size % 7) / 5.0::DOUBLE AS p, (p_size % 5) / 5.0::DOUBLE AS margin, p_size AS support FROM part) WHERE p <= 1 AND margin <= p")
+def a8_read_priors(spark, d):
+    size = F.col("p_size")
+    rows = B.table(spark, d, "part").select(F.col("p_brand").alias("rule_id"), F.col("p_type").alias("word"), (size % 7 / 5.0).alias("p"), (size % 5 / 5.0).alias("margin"), size.alias("support"))
+    return A.read_priors(spark, saved(rows, "priors")).select("rule_id", "word", "p")
+
+
 @R.add("SELECT l_suppkey AS source, count(*) AS before, count(*) FILTER (l_partkey % 50 > 0) AS after FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_partkey % 50 > 0) < count(*)")
 def a9_publish_guard(spark, d):
     li = B.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "source")
@@ -114,7 +129,9 @@ def k4_resolve_state(spark, d):
     return K.resolve_batch(_resolutions(spark, d))
 
 
-@R.add(f"WITH {_RES}, a AS (SELECT *, lag(source) OVER (PARTITION BY slot_id ORDER BY seq) AS ls, row_number() OVER (PARTITION BY slot_id ORDER BY seq DESC) AS k FROM (SELECT slot_id, seq, CASE WHEN word <> 'w0' THEN word END AS word, source FROM r WHERE word <> 'w1')) SELECT slot_id, word, source FROM a WHERE k = 1 AND word IS NOT NULL AND NOT coalesce(source = 'rule' AND ls = 'media', false)")
+@R.add(f"""WITH {_RES}, k AS (SELECT *, CASE WHEN word = 'w0' AND source = 'media' THEN 'clear' WHEN word IN ('w2', 'w3', 'w4') THEN 'set' WHEN source IN ('rule', 'context') THEN 'veto' END AS kind FROM r),
+    l AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY seq DESC) AS n FROM k WHERE kind IN ('set', 'clear')), v AS (SELECT slot_id, max(seq) AS veto FROM k WHERE kind = 'veto' GROUP BY slot_id)
+    SELECT slot_id, word, source FROM l LEFT JOIN v USING (slot_id) WHERE n = 1 AND kind = 'set' AND NOT (source = 'media' AND coalesce(veto > seq, false))""")
 def k4b_fill_cache(spark, d):
     allowed = spark.range(1).select(F.explode(F.array(*map(F.lit, ["w2", "w3", "w4"]))).alias("word"))
     return K.fill_cache(_resolutions(spark, d).withColumn("word", F.when(F.col("word") != "w0", F.col("word"))), allowed)
@@ -139,6 +156,16 @@ def k7_window_groups(spark, d):
     return rows.select("track_id", (F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "start") + 1704067200000000).alias("start_us"), "n")
 
 
+_PACK = "t AS (SELECT user_id AS track_id, event_id AS token_index, epoch_us(ts) / 120000000 AS time_s FROM events)"
+
+
+@R.add(f"""WITH RECURSIVE {_PACK}, w AS (SELECT track_id, min(time_s) AS f, 0 AS no FROM t GROUP BY track_id UNION ALL SELECT w.track_id, min(t.time_s), w.no + 1 FROM w JOIN t ON t.track_id = w.track_id AND t.time_s > w.f AND t.time_s + 1.5 > w.f - 3 + 30 GROUP BY w.track_id, w.no)
+    SELECT track_id, token_index, no AS window_no, f - 3 AS opens FROM (SELECT t.track_id, token_index, no, f, row_number() OVER (PARTITION BY t.track_id, token_index ORDER BY no DESC) AS k FROM t JOIN w ON t.track_id = w.track_id AND w.f <= t.time_s) WHERE k = 1""")
+def k7_pack_windows(spark, d):
+    us = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "ts") + 1704067200000000
+    return K.pack_windows(B.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("token_index"), (us / 120000000).alias("time_s")))
+
+
 @R.add("""WITH r AS (SELECT user_id AS device, event_id AS seq, value / (0.74::DOUBLE + 0.64::DOUBLE * (event_id % 30)) AS ratio FROM events), h AS (SELECT device, seq, list_sort(list(ratio) OVER (PARTITION BY device ORDER BY seq ROWS 14 PRECEDING)) AS h FROM r)
     SELECT device, seq, h[len(h) // 2 + 1] AS median, len(h) >= 5 AND h[len(h) // 2 + 1] <= 1 AS fast FROM h""")
 def k8_speed_monitor(spark, d):

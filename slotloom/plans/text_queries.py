@@ -234,6 +234,16 @@ def c5_slot_context(spark, d):
     return S.slot_context(B.slots(spark, d), B.events(spark, d), 1, 0).select("track_id", "token_index", F.md5("context").alias("digest"))
 
 
+@R.add(B.sql("slots", more=_CTX.format(b=1, a=1) + """, fl AS (SELECT track_id, event_index, list(CASE WHEN token_index % 3 = 0 THEN 'word' || token_index ELSE '…' END ORDER BY token_index) AS f FROM slots GROUP BY ALL),
+  ar AS (SELECT track_id, event_index, flatten(list(coalesce(f, [])) OVER (PARTITION BY track_id ORDER BY event_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS f FROM vis LEFT JOIN fl USING (track_id, event_index)),
+  pt AS (SELECT track_id, token_index, marks_before + slot_in_event AS k, string_split(context, '[__]') AS p, f FROM slots JOIN ctx USING (track_id, event_index) JOIN ar USING (track_id, event_index))""",
+    body="SELECT track_id, token_index, md5(p[1] || array_to_string(list_transform(range(1, len(p)), lambda i: CASE WHEN i = k + 1 THEN '[__]' ELSE f[i] END || p[i + 1]), '')) AS digest FROM pt"))
+def c5_filled_context(spark, d):
+    rows = B.slots(spark, d)
+    fills = rows.where("token_index % 3 = 0").select("track_id", "token_index", F.concat(F.lit("word"), F.col("token_index").cast("string")).alias("word"))
+    return S.filled_context(rows, B.events(spark, d), fills, 1, 1).select("track_id", "token_index", F.md5("context").alias("digest"))
+
+
 @R.add(B.sql("slots", more=_CTX.format(b=1, a=0), body="SELECT track_id, token_index, (marks_before + slot_in_event)::INT AS slot_index, len(regexp_extract_all(context, '\\[__\\]'))::INT AS marks FROM slots JOIN ctx USING (track_id, event_index)"))
 def c6_original_context(spark, d):
     return S.slot_context(B.slots(spark, d), B.events(spark, d), 1, 0).select("track_id", "token_index", "slot_index", T.count_mask("context").alias("marks"))
@@ -273,7 +283,8 @@ def c11_mask_lexicon(spark, d):
     return B.masked(spark, d).select("track_id", "slots", F.md5("text").alias("digest"))
 
 
-@R.add()
+@R.add(B.sql("timed", more="""w AS (SELECT track_id, min(time_s) AS f, 0 AS no FROM timed GROUP BY track_id UNION ALL SELECT w.track_id, min(t.time_s), w.no + 1 FROM w JOIN timed t ON t.track_id = w.track_id AND t.time_s > w.f AND t.time_s + 1.5 > w.f - 3 + 30 GROUP BY w.track_id, w.no)""",
+    body="SELECT track_id, token_index, no AS window_no, f - 3 AS opens FROM (SELECT t.track_id, token_index, no, f, row_number() OVER (PARTITION BY t.track_id, token_index ORDER BY no DESC) AS k FROM timed t JOIN w ON t.track_id = w.track_id AND w.f <= t.time_s) WHERE k = 1").replace("WITH ", "WITH RECURSIVE ", 1))
 def c12_speech_windows(spark, d):
     return S.speech_windows(S.slot_times(B.slots(spark, d)))
 

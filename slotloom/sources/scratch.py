@@ -23,8 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back."""
+def saved(df: DataFrame, name: str) -> str:
+    """Writes ``df`` to a new folder in the shared one; its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slotloom.functions import text as T
+from slotloom.operators.slots import speech_windows
 
 PRIORITY = {"confirmed": 3, "rule": 2, "context": 2, "media": 1}
 
@@ -77,14 +79,46 @@ def resolve_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot_id").applyInPandasWithState(update, f"slot_id {kind}, word string, source string, seq bigint", "p int, seq bigint, word string, source string", "update", GroupStateTimeout.NoTimeout)
 
 
+def _fill_kinds(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """What an event does to its slot: ``set`` (an allowed word), ``clear`` (an empty media fill), ``veto`` (a rule's word
+    that is not allowed: it clears a media fill); others do nothing and leave."""
+    known = rows.join(lexicon.select(F.lower("word").alias("__w"), F.lit(True).alias("__ok")).dropDuplicates(["__w"]), F.lower("word") == F.col("__w"), "left")
+    empty = F.coalesce(F.trim("word"), F.lit("")) == ""
+    kind = F.when(empty & (F.col("source") == "media"), "clear").when(F.col("__ok"), "set").when(F.col("source").isin("rule", "context"), "veto")
+    return known.withColumn("kind", kind).drop("__w", "__ok").where("kind IS NOT NULL")
+
+
 def fill_cache(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """By slot the latest accepted fill (slot_id, seq, word, source); an empty media fill deletes, a rule fill after a
-    media fill deletes it, and the word must be allowed."""
-    w = Window.partitionBy("slot_id").orderBy("seq")
-    known = rows.join(lexicon.select("word", F.lit(True).alias("allowed")), "word", "left").where(F.col("allowed") | F.col("word").isNull())
-    ordered = known.withColumn("last_source", F.lag("source").over(w)).withColumn("k", F.row_number().over(Window.partitionBy("slot_id").orderBy(F.desc("seq")))).where("k = 1")
-    gone = F.col("word").isNull() | ((F.col("source") == "rule") & (F.col("last_source") == "media"))
-    return ordered.where(~F.coalesce(gone, F.lit(False))).select("slot_id", "word", "source")
+    """K4b on a table (slot_id, seq, word, source): each slot's accepted fill. An empty media fill deletes, and so does a
+    rule's word after a media fill unless that word is allowed and takes its place."""
+    last = F.max_by(F.struct("kind", "word", "source", "seq"), F.when(F.col("kind") != "veto", F.col("seq"))).alias("last")
+    held = _fill_kinds(rows, lexicon).groupBy("slot_id").agg(last, F.max(F.when(F.col("kind") == "veto", F.col("seq"))).alias("veto"))
+    gone = (F.col("last.source") == "media") & F.coalesce(F.col("veto") > F.col("last.seq"), F.lit(False))
+    return held.where((F.col("last.kind") == "set") & ~gone).select("slot_id", "last.word", "last.source")
+
+
+def _frames(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    """One key's rows of one batch in order."""
+    return pd.concat(list(frames)).sort_values(list(order), kind="stable")
+
+
+def fill_cache_state(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """K4b on a stream: the state is the slot's fill; each change goes out, a null word for a deletion."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = word, source = state.get if state.exists else (None, None)
+        seq = 0
+        for kind, seq, new, origin in _frames(frames, "seq")[["kind", "seq", "word", "source"]].itertuples(index=False):
+            if kind == "set":
+                word, source = new, origin
+            elif kind == "clear" or source == "media":
+                word, source = None, None
+        state.update((word, source))
+        if (word, source) != before:
+            yield pd.DataFrame({"slot_id": [key[0]], "word": [word], "source": [source], "seq": [seq]})
+
+    kind = rows.schema["slot_id"].dataType.simpleString()
+    return _fill_kinds(rows, lexicon).groupBy("slot_id").applyInPandasWithState(update, f"slot_id {kind}, word string, source string, seq bigint", "word string, source string", "update", GroupStateTimeout.NoTimeout)
 
 
 def invalidate_generation(rows: DataFrame) -> DataFrame:
@@ -95,6 +129,37 @@ def invalidate_generation(rows: DataFrame) -> DataFrame:
     return now.withColumn("k", F.row_number().over(Window.partitionBy("session", "track_id", "slot_id").orderBy(F.desc("seq")))).where("k = 1").drop("k")
 
 
+def generation_state(rows: DataFrame) -> DataFrame:
+    """K5 on a stream, by session: rows of an older generation are dropped, others published (``action``). A new
+    generation of another track retires all slots held; one of the same track those that its first batch does not bring.
+    The state is the track, the generation and its slots (numbers), as text."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        track, generation, slots = json.loads(state.get[0]) if state.exists else (None, None, [])
+        out = []
+        came = _frames(frames, "seq")
+        came = came[came["generation"] >= came["generation"].cummax()]
+        for number, part in came.groupby("generation"):
+            if generation is not None and number < generation:
+                continue
+            for new, rows_ in part.groupby("track_id", sort=False):
+                new, fresh, seq = int(new), [int(s) for s in rows_["slot_id"]], int(rows_["seq"].max())
+                if number != generation or new != track:
+                    stay = set(fresh) if new == track else set()
+                    out += [(track, generation, s, seq, "retire") for s in slots if s not in stay]
+                    track, generation, slots = new, int(number), []
+                out += [(new, int(number), s, int(q), "publish") for s, q in zip(fresh, rows_["seq"])]
+                slots = sorted({*slots, *fresh})
+        state.update((json.dumps([track, generation, slots]),))
+        if out:
+            frame = pd.DataFrame(out, columns=["track_id", "generation", "slot_id", "seq", "action"])
+            frame.insert(0, "session", key[0])
+            yield frame
+
+    kind = rows.schema["session"].dataType.simpleString()
+    return rows.groupBy("session").applyInPandasWithState(update, f"session {kind}, track_id bigint, generation bigint, slot_id bigint, seq bigint, action string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def late_slots(slots: DataFrame, playhead: str = "playhead_s", time: str = "time_s", most: float = 1.0) -> DataFrame:
     """K6: slots marked late when more than a second behind the playhead; they stay pending."""
     return slots.withColumn("late", F.col(playhead) - F.col(time) > most)
@@ -106,16 +171,57 @@ def window_groups(rows: DataFrame, gap: str = "30 seconds", late: str = "1 hour"
     return source.groupBy("track_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("track_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def pack_windows(slots: DataFrame, before: float = 3.0, after: float = 1.5, most: float = 30.0) -> DataFrame:
+    """K7: C12's windows of slots (track_id, token_index, time_s). On a stream the state is each track's open window; slots
+    come in the order of time, within a batch they are put in it."""
+    if not slots.isStreaming:
+        return speech_windows(slots, before, after, most)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, opens = state.get if state.exists else (-1, 0.0)
+        out = []
+        for token, time in _frames(frames, "time_s", "token_index")[["token_index", "time_s"]].itertuples(index=False):
+            if number < 0 or time + after > opens + most:
+                number, opens = number + 1, time - before
+            out.append((key[0], token, number, opens))
+        state.update((number, opens))
+        yield pd.DataFrame(out, columns=["track_id", "token_index", "window_no", "opens"])
+
+    track, token = (slots.schema[c].dataType.simpleString() for c in ("track_id", "token_index"))
+    return slots.groupBy("track_id").applyInPandasWithState(update, f"track_id {track}, token_index {token}, window_no int, opens double", "number int, opens double", "append", GroupStateTimeout.NoTimeout)
+
+
+# The seconds that a window and each of its slots may take.
+WINDOW_SECONDS, SLOT_SECONDS = 0.74, 0.64
+
+
 def speed_monitor(rows: DataFrame, last: int = 15, least: int = 5) -> DataFrame:
-    """K8: by device after each sample (seq, seconds, slots) the upper median of the last ratios seconds / (0.74 + 0.64
-    slots), and whether the device is fast enough."""
+    """K8: by device after each sample (seq, seconds, slots) the upper median of the last ratios of seconds to the seconds
+    allowed, and whether the device is fast enough."""
     w = Window.partitionBy("device").orderBy("seq").rowsBetween(-(last - 1), 0)
-    rated = rows.withColumn("ratio", F.col("seconds") / (0.74 + 0.64 * F.col("slots")))
+    rated = rows.withColumn("ratio", F.col("seconds") / (WINDOW_SECONDS + SLOT_SECONDS * F.col("slots")))
     held = rated.withColumn("held", F.sort_array(F.collect_list("ratio").over(w)))
     median = F.get("held", F.floor(F.size("held") / 2).cast("int"))
     return held.select("device", "seq", median.alias("median"), ((F.size("held") >= least) & (median <= 1)).alias("fast"))
 
 
+def speed_state(rows: DataFrame, last: int = 15, least: int = 5) -> DataFrame:
+    """K8 on a stream: the state is the device's last ratios, as text."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        out = []
+        for seq, seconds, slots in _frames(frames, "seq")[["seq", "seconds", "slots"]].itertuples(index=False):
+            held = [*held, seconds / (WINDOW_SECONDS + SLOT_SECONDS * slots)][-last:]
+            median = sorted(held)[len(held) // 2]
+            out.append((key[0], seq, median, len(held) >= least and median <= 1))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["device", "seq", "median", "fast"])
+
+    kind = rows.schema["device"].dataType.simpleString()
+    return rows.groupBy("device").applyInPandasWithState(update, f"device {kind}, seq bigint, median double, fast boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def incremental_refresh(old: DataFrame, new: DataFrame) -> DataFrame:
     """K9: rows of sources whose hash is unchanged are kept, the others rebuilt; a source that lost rows stays as it was.
     old, new: source, source_hash, row_id; ``origin`` tells."""
