@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import bpe, chat, decontam, htmltext, langid, licenses, quality, simhash, tokenfile, topk
+from slotloom.llm import bpe, centroids, chat, decontam, hardneg, htmltext, langid, licenses, personal, quality, simhash, tokenfile, topk
 from slotloom.llm.store import cut, fresh_path
 
 END_ID = 2
@@ -67,14 +67,65 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(cut(chat.format_chats(turns.unionByName(probe)), "chats"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, dim=64, scale=256.0, rounds=5, salt="2:")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=5, least=80, most=100, scale=256.0)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_html_extraction, op3_language_id, op4_quality_classifier, op5_simhash_dedup, op6_byte_bpe, op7_token_files, op8_decontamination, op9_license_scan, op10_chat_formatting)
-}
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_html_extraction, op3_language_id, op4_quality_classifier, op5_simhash_dedup, op6_byte_bpe, op7_token_files, op8_decontamination, op9_license_scan, op10_chat_formatting,
+        op11_centroid_clustering, op12_hard_negatives, op13_personal_data,
+    )
+}
 
 _ESC = r"""regexp_replace({0}, '(\\|###|</turn>)', '\\\1', 'g')"""
 _ROLE_ESC = r"""regexp_replace({0}, '(\\|###|</turn>|: |:$)', '\\\1', 'g')"""
 
+#: Vectors of whole components, as doubles (exact for the tables' sizes).
+_WHOLE = """list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"""
+_COMPLETE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Each round's assignment a{i} and centroids c{i}; the last assignment is the answer."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (SELECT row, arg_min({{'cluster': cluster, 'distance': distance}}, {{'distance': distance, 'cluster': cluster}}) AS b
+            FROM (SELECT row, cluster, (list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e))::BIGINT AS distance FROM v CROSS JOIN c{i} c) GROUP BY row)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS (SELECT b.cluster AS cluster, pos, sum(x) AS s, count(*)::HUGEINT AS n FROM (SELECT b, unnest(range(1, 65)) AS pos, unnest(e)::HUGEINT AS x FROM a{i} JOIN v USING (row)) GROUP BY ALL),
+        m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS e FROM s{i} GROUP BY cluster),
+        c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (cluster))""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, {_WHOLE} AS e FROM embeddings WHERE len(embedding) = 64 AND {_COMPLETE}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, e) - 1 AS cluster, e FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < {k}),{",".join(steps)},
+        o AS (SELECT vec_id, b.cluster AS cluster, b.distance AS distance FROM a{rounds} JOIN v USING (row))
+        SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(e, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+        FROM o JOIN c{rounds} USING (cluster)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": _clusters_sql(40, 5),
+    "op12_hard_negatives": f"""
+        WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_COMPLETE}),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
