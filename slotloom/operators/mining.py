@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import rate, wilson_lower
-from slotloom.sources.scratch import cut
+from slotloom.operators.greedy import Gate, creator_gate, gated_hits, greedy_select
+
+__all__ = ["Gate", "creator_gate", "gated_hits", "greedy_select"]
 
 SUPPORT, PRECISION, CREATORS, MARGINAL_SUPPORT, MARGINAL_PRECISION = 4, 0.92, 2, 3, 0.92
 
@@ -225,24 +227,6 @@ def two_fold_gate(choices: DataFrame) -> DataFrame:
     return good.groupBy("pattern", "tier").agg(F.count_distinct("half").alias("halves"), F.count_distinct("word").alias("words"), F.min("word").alias("word"), F.sum("n").alias("n")).where("halves = 2 AND words = 1").select("pattern", "tier", "word", "n")
 
 
-def greedy_select(hits: DataFrame, most: int | None = None, least: int = 2) -> DataFrame:
-    """Patterns taken one by one by correct - 3 * wrong over rows not covered yet, until the best is under
-    ``least`` (or, if given, after ``most``). hits: pattern, word, row_id, expected. The loop's state is one row a round,
-    and covered rows are left out by an anti join on the chosen patterns' rows, so the plan does not grow; what came
-    before the loop is written to the shared folder once."""
-    hits = cut(hits, "pattern-hits")
-    spark, chosen, left = hits.sparkSession, [], hits
-    while most is None or len(chosen) < most:
-        scores = left.groupBy("pattern", "word").agg(F.count_if(F.col("expected") == F.col("word")).alias("correct"), F.count_if(~F.col("expected").eqNullSafe(F.col("word"))).alias("wrong"))
-        best = scores.withColumn("score", F.col("correct") - 3 * F.col("wrong")).orderBy(F.desc("score"), "pattern").first()
-        if best is None or best["score"] < least:
-            break
-        chosen.append((len(chosen), best["pattern"], best["word"], best["correct"], best["wrong"]))
-        covered = hits.where(F.col("pattern").isin([c[1] for c in chosen])).select("row_id").distinct()
-        left = hits.join(covered, "row_id", "left_anti")
-    return spark.createDataFrame(chosen, "rank int, pattern string, word string, correct bigint, wrong bigint")
-
-
 def emit_templates(selected: DataFrame, existing: DataFrame) -> DataFrame:
     """Selected patterns as templates, without those that hold something else than words or classes, or exist."""
     plain = selected.where(F.forall(F.split("pattern", " "), lambda t: t.rlike(r"^(\[\]|<[a-z]+>|[\p{L}\p{N}_']+)$")))

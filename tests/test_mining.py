@@ -1,4 +1,10 @@
-"""Greedy selection beyond twenty rounds."""
+"""Greedy selection and its gate against plain loops, class patterns and word choice on fixed cases."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
 
 from slotloom.operators import mining
 
@@ -25,3 +31,113 @@ def test_word_choice_gates(spark):
     got = {(r.pattern, r.tier): (r.word, r.total, r.passes) for r in mining.word_choice(df).collect()}
     # Five of five have a lower bound of 0.57; r's word is contradicted in the other tier; rows without a label do not count.
     assert got == {("p", "manual"): ("a", 40, True), ("q", "manual"): ("a", 5, False), ("r", "manual"): ("a", 40, False), ("r", "discovery"): ("b", 9, True)}
+
+
+def plain_passes(g, tier, n, right, people, other, other_right):
+    if n < g.times or right / n < g.share or people < g.creators:
+        return False
+    if tier != g.strict:
+        return True
+    p, z = right / n, 1.96
+    bound = (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    return bound >= g.lower and (other < g.times or other_right / other >= g.share)
+
+
+def plain_stats(g, rows, tier, word):
+    own, other = [r for r in rows if r["tier"] == tier], [r for r in rows if r["tier"] != g.strict]
+    right = [r for r in own if r["expected"] == word]
+    return plain_passes(g, tier, len(own), len(right), len({r["creator"] for r in right}), len(other), sum(r["expected"] == word for r in other))
+
+
+def plain_choice(g, rows):
+    for tier in g.tiers:
+        words = Counter(r["expected"] for r in rows if r["tier"] == tier)
+        if words:
+            word = min(words, key=lambda w: (-words[w], w))
+            if plain_stats(g, rows, tier, word):
+                return word, tier
+    return None
+
+
+def plain_gate(g, rows, left):
+    choice = plain_choice(g, rows)
+    halves = [[r for r in rows if r["half"] == h] for h in (0, 1)]
+    if not choice or any(plain_choice(g, h) != choice for h in halves):
+        return None
+    word, tier = choice
+    return choice if all(plain_stats(g, part, tier, word) for part in (left, *([r for r in left if r["half"] == h] for h in (0, 1)))) else None
+
+
+def plain_greedy(g, patterns, least=2, cost=3):
+    """patterns: {pattern: rows}; the choice one pattern at a time, each gated anew on the rows left."""
+    open_ = lambda rows, covered: [r for r in rows if r["predicted"] is None and r["row_id"] not in covered]
+    pool = {p: c for p, rows in patterns.items() if (c := plain_gate(g, rows, open_(rows, set())))}
+    covered, out = set(), []
+    while True:
+        best = None
+        for p, (word, tier) in pool.items():
+            left = open_(patterns[p], covered)
+            own = [r["expected"] == word for r in left if r["tier"] == tier]
+            score = sum(own) - cost * (len(own) - sum(own))
+            key = (g.tiers.index(tier), -score, p)
+            if score >= least and (best is None or key < best[0]) and plain_gate(g, patterns[p], left):
+                best = key, p, word, tier, score, left
+        if best is None:
+            return out
+        _, p, word, tier, score, left = best
+        right = sum(r["expected"] == word for r in left)
+        out.append((len(out), p, word, tier, score, right, len(left) - right))
+        covered |= {r["row_id"] for r in left}
+        del pool[p]
+
+
+@pytest.mark.parametrize("seed, share, lower, creators", [(1, 0.5, 0.1, 2), (2, 0.7, 0.3, 2), (3, 0.6, 0.2, 1)])
+def test_greedy_selection_against_a_plain_loop(spark, seed, share, lower, creators):
+    """Overlapping patterns over rows of two tiers, with labels that mostly follow one of a row's patterns."""
+    rng, rows = random.Random(seed), []
+    word_of = {f"p{i:02}": rng.choice("abc") for i in range(36)}
+    for i in range(1800):
+        label, creator = rng.choice("abc"), rng.randrange(12)
+        alike = [p for p, w in word_of.items() if w == label]
+        own = set(rng.sample(alike, 1 + (rng.random() < 0.3))) | ({rng.choice(sorted(word_of))} if rng.random() < 0.06 else set())
+        label = label if rng.random() < 0.93 else rng.choice("abc")
+        row = {"row_id": i, "half": creator % 2, "tier": rng.choice(["discovery", "manual", "manual", "odd"]), "expected": label if rng.random() < 0.95 else None, "creator": f"c{creator}", "predicted": "x" if rng.random() < 0.2 else None}
+        rows += [{"pattern": p, **row} for p in sorted(own)]
+    gate = mining.Gate(share=share, lower=lower, creators=creators)
+    df = spark.createDataFrame(rows, "pattern string, row_id long, half int, tier string, expected string, creator string, predicted string")
+    known = {}
+    for r in rows:
+        if r["expected"] is not None and r["tier"] in gate.tiers:
+            known.setdefault(r["pattern"], []).append(r)
+    want_gate = sorted((p, *c) for p, own in known.items() if (c := plain_gate(gate, own, [r for r in own if r["predicted"] is None])))
+    assert want_gate and sorted(map(tuple, mining.creator_gate(df, gate).collect())) == want_gate
+    rounds = []
+    got = mining.greedy_select(mining.gated_hits(df, gate), gate=gate, rounds=rounds).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == plain_greedy(gate, known)
+    assert sum(rounds) == len(got) > 4 and len(rounds) < len(got)
+
+
+def test_selection_without_a_gate_against_a_plain_loop(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        hits = [(f"p{p:02}", "ab"[p % 2], r, rng.choice(["a", "a", "b", None])) for p in range(14) for r in rng.sample(range(90), 12)]
+        label = {r: e for *_, r, e in hits}
+        hits = [(p, w, r, label[r]) for p, w, r, _ in hits]
+        covered, want = set(), []
+        while True:
+            scores = {}
+            for p, w, r, e in hits:
+                if r not in covered:
+                    scores[p, w] = scores.get((p, w), 0) + (1 if e == w else -3)
+            best = min(((-s, p) for (p, _), s in scores.items() if s >= 2), default=None)
+            if best is None:
+                break
+            want.append((best[1], -best[0]))
+            covered |= {r for p, _, r, _ in hits if p == best[1]}
+        got = mining.greedy_select(spark.createDataFrame(hits, "pattern string, word string, row_id long, expected string")).orderBy("rank").collect()
+        assert [(r.pattern, r.score) for r in got] == want
+
+
+def test_nothing_to_select(spark):
+    none = spark.createDataFrame([], "pattern string, row_id long, half int, tier string, expected string, creator string, predicted string")
+    assert mining.greedy_select(mining.gated_hits(none), gate=mining.Gate()).count() == 0
