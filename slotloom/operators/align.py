@@ -23,13 +23,13 @@ def align_direct(masked: DataFrame, plain: DataFrame) -> DataFrame:
     known; several: ambiguous; pieces that do not fit: unknown."""
     same = ["track_id", "event_index", "start_ms", "dur_ms"]
     joined = masked.select(*same, F.split("text", r"\[__\]", -1).alias("pieces")).where(F.size("pieces") > 1).join(plain.select(*same, F.col("text").alias("full")), same)
-    start = F.struct(F.when(F.startswith(F.col("full"), F.get("pieces", F.lit(0))), F.substring(F.col("full"), F.length(F.get("pieces", F.lit(0))) + 1, F.lit(1 << 20))).alias("rest"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.when(F.startswith(F.col("full"), F.get("pieces", F.lit(0))), F.substring(F.col("full"), F.length(F.get("pieces", F.lit(0))) + 1, F.length("full"))).alias("rest"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, piece: Column) -> Column:
         at = F.when(piece == "", F.length(a["rest"]) + 1).otherwise(F.position(piece, a["rest"]))
         ok = a["rest"].isNotNull() & (at > 0)
         gap = F.when(ok, F.substring(a["rest"], F.lit(1), at - 1))
-        rest = F.when(ok, F.substring(a["rest"], at + F.length(piece), F.lit(1 << 20)))
+        rest = F.when(ok, F.substring(a["rest"], at + F.length(piece), F.length(a["rest"])))
         return F.struct(rest.alias("rest"), F.concat(a["out"], F.array(gap)).alias("out"))
 
     fold = F.aggregate(F.slice("pieces", 2, F.size("pieces") - 1), start, step)
@@ -184,34 +184,57 @@ def common_subsequence(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(length)
 
 
-def context_pairs(slots: DataFrame, tokens: DataFrame, around_ms: int = 10_000) -> DataFrame:
-    """Slots with the words around their time, agreeing neighbours counted from the slot outwards. slots: track_id,
-    token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms, word (null: no label),
-    lefts, rights. ``base`` is the score without common subsequences, ``most`` a bound of what those can add."""
-    left = slots.select("track_id", "token_index", "time_ms", F.col("lefts").alias("sl"), F.col("rights").alias("sr"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("time_ms") / around_ms) + i)).alias("bucket"))
+def _near(slots: DataFrame, tokens: DataFrame, around_ms: int, keyed: bool) -> DataFrame:
+    """Slots with the words around their time, agreeing neighbours counted from the slot outwards: by the word next to them
+    on either side (``keyed``), or all. ``base`` is the score without common subsequences, ``most`` a bound of what those
+    add."""
+    buckets = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("time_ms") / around_ms) + i)).alias("bucket")
+    kept = [c for c in ("top", "best") if c in slots.columns]
+    left = slots.select("track_id", "token_index", "time_ms", F.col("lefts").alias("sl"), F.col("rights").alias("sr"), *kept)
     right = tokens.select("track_id", "occ_index", F.col("time_ms").alias("ot"), "word", "lefts", "rights", F.floor(F.col("time_ms") / around_ms).alias("bucket"))
+    on = ["track_id", "bucket"]
+    if keyed:
+        ends = lambda a, b: F.explode(F.array(F.struct(F.lit("l").alias("side"), F.get(a, F.lit(0)).alias("next")), F.struct(F.lit("r").alias("side"), F.get(b, F.lit(0)).alias("next")))).alias("key")
+        left, right = left.select("*", ends("sl", "sr")), right.select("*", ends("lefts", "rights")).where("key.next IS NOT NULL").select("*", F.col("key.side").alias("side"), F.col("key.next").alias("next")).drop("key")
+        left, on = left.select("*", F.col("key.side").alias("side"), F.col("key.next").alias("next")).drop("key"), [*on, "side", "next"]
     far = F.abs(F.col("time_ms") - F.col("ot"))
-    pairs = left.where((F.size("sl") > 0) & (F.size("sr") > 0)).join(right, ["track_id", "bucket"]).where(far <= around_ms)
+    pairs = left.select("*", buckets).join(right, on).where(far <= around_ms)
+    both = (F.get("sl", F.lit(0)) == F.get("lefts", F.lit(0))) & (F.get("sr", F.lit(0)) == F.get("rights", F.lit(0)))
+    if keyed:  # a pair that meets on both sides is kept once
+        pairs = pairs.where(F.coalesce(~both, F.lit(True)) | (F.col("side") == "l"))
     exact = pairs.withColumn("xl", _agree("sl", "lefts")).withColumn("xr", _agree("sr", "rights"))
     base = 5 * (F.col("xl") + F.col("xr")) + F.when((F.col("xl") > 0) & (F.col("xr") > 0), 3).otherwise(0) - 0.05 * far / 1000.0
     held = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(F.col(b), x)))
-    most = held("sl", "lefts") + held("sr", "rights")
-    return exact.withColumn("base", base).withColumn("most", most)
+    return exact.withColumn("base", base).withColumn("most", held("sl", "lefts") + held("sr", "rights"))
 
 
-def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0) -> DataFrame:
-    """The best candidate, if it has a label, leads by the margin and agrees on both sides. A winner agrees with two
-    words at least; pairs that cannot come within the margin of its least score leave before the shuffle, those that
-    cannot come within the margin of the slot's best before the costly common subsequences."""
+def _scored(pairs: DataFrame) -> Column:
+    return F.col("base") + common_subsequence("sl", "lefts") + common_subsequence("sr", "rights")
+
+
+def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0, around_ms: int = 10_000) -> DataFrame:
+    """The best candidate within ``around_ms``, if it has a label, leads by the margin and agrees on both sides. slots:
+    track_id, token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms, word (null: no
+    label), lefts, rights.
+
+    A winner agrees with the words next to the slot, so slots and tokens meet on the track and one such word, not on time
+    alone: those pairs hold every candidate that agrees on a side. One that agrees on neither has common subsequences
+    only, so it comes within the margin only of a winner whose score is less than the slot's words and the margin: only such
+    slots meet all words of their time. Subsequences are made for pairs that can still come within the margin of the best."""
     slot = Window.partitionBy("track_id", "token_index")
-    around_ms = 10_000
-    least = 5 * 2 + 3 + 2 - 0.05 * around_ms / 1000.0
-    near = context_pairs(slots, tokens, around_ms).where(F.col("base") + F.col("most") > least - margin)
-    near = near.withColumn("top", F.max("base").over(slot)).where(F.col("base") + F.col("most") >= F.col("top") - margin)
-    scored = near.withColumn("score", F.col("base") + common_subsequence("sl", "lefts") + common_subsequence("sr", "rights"))
+    able = slots.where((F.size("lefts") > 0) & (F.size("rights") > 0))
+    near = _near(able, tokens, around_ms, True)
+    # Slots without a candidate on both sides have no winner.
+    near = near.withColumn("top", F.max(F.when((F.col("xl") > 0) & (F.col("xr") > 0), F.col("base"))).over(slot)).where(F.col("base") + F.col("most") >= F.col("top") - margin)
     w = slot.orderBy(F.desc("score"), "occ_index")
-    ranked = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
-    return ranked.where("k = 1 AND xl > 0 AND xr > 0 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)).select("track_id", "token_index", "occ_index", "word", "score")
+    ranked = near.withColumn("score", _scored(near)).withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
+    won = ranked.where("k = 1 AND xl > 0 AND xr > 0 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))
+    won = won.select("track_id", "token_index", "time_ms", "sl", "sr", "occ_index", "word", "score")
+    low = won.where(F.col("score") - margin < F.size("sl") + F.size("sr"))
+    rest = _near(low.select("track_id", "token_index", "time_ms", F.col("sl").alias("lefts"), F.col("sr").alias("rights"), F.col("score").alias("best")), tokens, around_ms, False)
+    rest = rest.where("xl = 0 AND xr = 0").where(F.col("best") - F.col("base") - F.col("most") < margin)
+    beaten = rest.where(F.col("best") - _scored(rest) < margin).select("track_id", "token_index").distinct()
+    return won.join(beaten, ["track_id", "token_index"], "left_anti").select("track_id", "token_index", "occ_index", "word", "score")
 
 
 def merge_alignments(by_context: DataFrame, by_time: DataFrame, fixed: DataFrame) -> DataFrame:

@@ -18,15 +18,26 @@ def plain_events(spark, d):
     return S.line_events(rows.withColumn("text", F.col("original")))
 
 
+def masked_words(spark, d):
+    """Timed words and slots of the masked tracks, written once a query."""
+    return B.once("masked-words", d, lambda: S.spoken_words(B.events(spark, d)))
+
+
+def plain_words(spark, d):
+    """Timed words of the plain tracks, written once a query."""
+    return B.once("plain-words", d, lambda: S.spoken_words(plain_events(spark, d)))
+
+
 def occurrences(spark, d):
     """Lexicon words of the plain tracks, half a second late."""
-    words = S.spoken_words(plain_events(spark, d)).withColumn("word", F.lower("unit"))
+    words = plain_words(spark, d).withColumn("word", F.lower("unit"))
     hits = words.join(F.broadcast(B.lexicon(spark)), "word").withColumn("ms", F.round(F.col("time_s") * 1000).cast("bigint"))
     return hits.select("track_id", F.col("position").cast("bigint").alias("occ_index"), "word", (F.col("ms") + 500).alias("start_ms"), (F.col("ms") + 700).alias("end_ms"))
 
 
 def timed_slots(spark, d):
-    return S.slot_times(B.slots(spark, d)).select("track_id", F.col("token_index").cast("bigint").alias("token_index"), F.round(F.col("time_s") * 1000).cast("bigint").alias("time_ms"))
+    make = lambda: S.slot_times(B.slots(spark, d)).select("track_id", F.col("token_index").cast("bigint").alias("token_index"), F.round(F.col("time_s") * 1000).cast("bigint").alias("time_ms"))
+    return B.once("timed-slots", d, make)
 
 
 def _around(words, reach, keep):
@@ -43,13 +54,13 @@ def _around(words, reach, keep):
 def context_slots(spark, d):
     from pyspark.sql import Window
 
-    rows = _around(S.spoken_words(B.events(spark, d)), 10, "unit = '[__]'")
+    rows = _around(masked_words(spark, d), 10, "unit = '[__]'")
     return rows.withColumn("token_index", (F.row_number().over(Window.partitionBy("track_id").orderBy("position")) - 1).cast("bigint"))
 
 
 def context_tokens(spark, d):
     """All words of the plain tracks; those of the lexicon are labels."""
-    rows = _around(S.spoken_words(plain_events(spark, d)), 15, F.lit(True))
+    rows = _around(plain_words(spark, d), 15, F.lit(True))
     return rows.select("track_id", F.col("position").cast("bigint").alias("occ_index"), "time_ms", F.when(F.col("unit").isin(B.LEXICON), F.col("unit")).alias("word"), "lefts", "rights")
 
 

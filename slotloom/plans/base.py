@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -26,6 +26,16 @@ def shared_slots() -> Iterator[None]:
         _WRITTEN.reset(token)
 
 
+def once(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Inside ``shared_slots`` the table of that name, written at its first use; else made anew."""
+    held, key = _WRITTEN.get(), (name, sf_dir)
+    if held is None:
+        return make()
+    if key not in held:
+        held[key] = cut(make(), name)
+    return held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

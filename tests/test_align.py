@@ -64,6 +64,66 @@ def test_common_subsequence(spark):
 CONTEXT = "lefts array<string>, rights array<string>"
 
 
+def plain_context(slots_, tokens, margin=3.0):
+    """Winners over all words within ten seconds: token_index, occ_index, word, score."""
+
+    def agree(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    out = []
+    for track, k, t, lefts, rights in slots_:
+        scored = []
+        for other, o, at, word, before, after in tokens:
+            if other == track and abs(at - t) <= 10_000:
+                xl, xr = agree(lefts, before), agree(rights, after)
+                score = 5 * (xl + xr) + common(lefts, before) + common(rights, after) + (3 if xl and xr else 0) - 0.05 * abs(at - t) / 1000
+                scored.append((-score, o, word, xl, xr))
+        scored.sort(key=lambda x: x[:2])
+        if lefts and rights and scored:
+            score, o, word, xl, xr = scored[0]
+            if xl and xr and word is not None and (len(scored) == 1 or scored[1][0] - score >= margin):
+                out.append((track, k, o, word, round(-score, 6)))
+    return sorted(out)
+
+
+def test_context_alignment_against_all_pairs(spark):
+    """Few different words, so that words next to a slot agree often, and also candidates that agree on no side win."""
+    rng, slots_, tokens = random.Random(12), [], []
+    for track in range(12):
+        words = [rng.choice("abcdefgh"[: 3 + track % 6]) for _ in range(70)]
+        at = [700 * i + rng.randrange(300) for i in range(70)]
+        tokens += [(track, i, at[i], w if w in "abc" else None, words[max(0, i - 15) : i][::-1], words[i + 1 : i + 16]) for i, w in enumerate(words)]
+        noisy = [w if rng.random() < 0.8 else "x" for w in words]
+        slots_ += [(track, k, at[i] + rng.randrange(-400, 400), noisy[max(0, i - 10) : i][::-1], noisy[i + 1 : i + 11]) for k, i in enumerate(sorted(rng.sample(range(70), 30)))]
+    s = spark.createDataFrame(slots_, "track_id long, token_index long, time_ms long, lefts array<string>, rights array<string>")
+    o = spark.createDataFrame(tokens, "track_id long, occ_index long, time_ms long, word string, lefts array<string>, rights array<string>")
+    want = plain_context(slots_, tokens)
+    got = sorted((r.track_id, r.token_index, r.occ_index, r.word, round(r.score, 6)) for r in align.align_context(s, o).collect())
+    assert got == want and len(want) > 20
+    # Some are decided by a candidate that agrees on neither side.
+    sided = [t for t in tokens]
+    assert len(plain_context(slots_, sided, margin=0.0)) > len(want)
+
+
+def test_hidden_texts_of_any_length(spark):
+    long_ = "word " * 300_000
+    same = "track_id long, event_index long, start_ms long, dur_ms long, text string"
+    masked, plain = spark.createDataFrame([(1, 0, 0, 9, "a [__] b [__] c")], same), spark.createDataFrame([(1, 0, 0, 9, f"a {long_} b that c")], same)
+    got = align.align_direct(masked, plain).orderBy("slot_in_event").collect()
+    assert [(r.status, len(r.expected)) for r in got] == [("ambiguous", len(long_) - 1), ("known", 4)]
+
+
 def test_context_alignment(spark):
     s = spark.createDataFrame([(1, 0, 1000, ["b", "a"], ["c", "d"]), (1, 1, 9000, ["x"], ["y"]), (1, 2, 30_000, ["b"], ["c"]), (1, 3, 1000, [], ["c"])], f"{TIMED}, {CONTEXT}")
     o = spark.createDataFrame(
