@@ -6,15 +6,11 @@ start_ms, end_ms of lexicon words in the unmasked track. Interval joins meet in
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from operator import itemgetter, sub
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import MARK, lexical_words
+from slotloom.operators.chains import align_drifts
 from slotloom.operators.slots import lexicon_pattern
 
 
@@ -64,97 +60,8 @@ def has_direct_ground_truth(masked: DataFrame, plain: DataFrame, lexicon: DataFr
     return slots.where("whole").select("track_id").join(apart, "track_id", "left_anti")
 
 
-def components(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
-    """Slots and occurrences, once for each drift, cut where no padded event interval covers the time: no pair crosses
-    such an instant, so an assignment splits there. The windows that find the cuts hold one track's rows each."""
-    drift = F.explode(F.array(*map(F.lit, drifts_ms))).alias("drift")
-    events = slots.select(drift, "track_id", F.col("time_ms").alias("a"), F.col("time_ms").alias("b"), F.lit("s").alias("side"), F.col("token_index").alias("k"), F.lit(None).cast("string").alias("word"))
-    occ = occurrences.select(drift, "track_id", "start_ms", "end_ms", "occ_index", "word").select("drift", "track_id", (F.col("start_ms") - F.col("drift")).alias("a"), (F.col("end_ms") + F.col("drift")).alias("b"), F.lit("o").alias("side"), F.col("occ_index").alias("k"), "word")
-    both = events.unionByName(occ)
-    order = Window.partitionBy("drift", "track_id").orderBy("a", "b", "side", "k")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = both.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
-    return cut.withColumn("component", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
-
-
-def _chain(slots: list[tuple], occurrences: list[tuple], drift: int) -> list[tuple[int, int, int]]:
-    """(slot, occurrence, distance) of the assignment with most matches in order, then the least total time difference: a
-    best chain over the pairs within the drift, with a tree of prefix maxima over the occurrences. Both come by time."""
-    lo, hi = [x[0] + drift for x in occurrences], [x[1] - drift for x in occurrences]
-    longest, m = max(map(sub, hi, lo)), len(lo)
-    tree: list[tuple[int, int]] = [(0, -1)] * (m + 1)
-    pairs: list[tuple[int, int, int, int]] = []  # slot, occurrence, distance, pair before
-
-    def best_until(k: int) -> tuple[int, int]:
-        best = (0, -1)
-        while k:
-            best = max(best, tree[k], key=itemgetter(0))
-            k -= k & -k
-        return best
-
-    for i, (t, *_) in enumerate(slots):
-        fresh = []
-        for j in range(bisect_left(lo, t - drift - longest), bisect_right(lo, t + drift)):
-            far = max(lo[j] - t, t - hi[j], 0)
-            if far <= drift:
-                score, before = best_until(j)
-                fresh.append((score + (1 << 40) - far, j, far, before))
-        for score, j, far, before in fresh:
-            pairs.append((i, j, far, before))
-            k = j + 1
-            while k <= m:
-                if tree[k][0] < score:
-                    tree[k] = (score, len(pairs) - 1)
-                k += k & -k
-    chain, p = [], best_until(m)[1]
-    while p >= 0:
-        i, j, far, p = pairs[p]
-        chain.append((i, j, far))
-    return chain[::-1]
-
-
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come component by component, slots and occurrences by time; one component is held at a time."""
-    names = ["drift", "track_id", "token_index", "occ_index", "word", "distance_ms"]
-    group, kind, sides, out = None, None, {"s": [], "o": []}, []
-
-    def close() -> None:
-        slots, occurrences = sides["s"], sides["o"]
-        if slots and occurrences:
-            drift, track, _ = group
-            out.extend((drift, track, slots[i][2], occurrences[j][2], occurrences[j][3], far) for i, j, far in _chain(slots, occurrences, drift))
-
-    def batch_of() -> pa.RecordBatch:
-        kinds = (pa.int32(), kind, pa.int64(), pa.int64(), pa.string(), pa.int64())
-        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-        out.clear()
-        return done
-
-    for batch in batches:
-        kind = batch.column(1).type
-        for *key, side, a, b, k, word in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != group:
-                close()
-                group, sides = key, {"s": [], "o": []}
-            sides[side].append((a, b, k, word))
-        if out:
-            yield batch_of()
-    close()
-    if out:
-        yield batch_of()
-
-
-def align_drifts(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]) -> DataFrame:
-    """E3 for several drifts in one job. Components are dealt one by one, so a long track's are spread over tasks."""
-    kind = slots.schema["track_id"].dataType.simpleString()
-    keys = ["drift", "track_id", "component"]
-    dealt = components(slots, occurrences, drifts_ms).repartition(*keys).sortWithinPartitions(*keys, "side", "a", "k")
-    return dealt.select(*keys, "side", "a", "b", "k", "word").mapInArrow(_assign, f"drift int, track_id {kind}, token_index bigint, occ_index bigint, word string, distance_ms bigint")
-
-
 def align_time(slots: DataFrame, occurrences: DataFrame, drift_ms: int) -> DataFrame:
-    """Monotone assignment of slots (track_id, token_index, time_ms) to occurrences within the drift, component by
-    component."""
+    """Monotone assignment of slots (track_id, token_index, time_ms) to occurrences within the drift."""
     return align_drifts(slots, occurrences, (drift_ms,)).drop("drift")
 
 

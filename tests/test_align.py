@@ -3,9 +3,10 @@
 import random
 from functools import cache
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from slotloom.operators import align, mining, slots
+from slotloom.operators import align, chains, mining, slots
 
 TIMED = "track_id long, token_index long, time_ms long"
 OCCURRENCES = "track_id long, occ_index long, word string, start_ms long, end_ms long"
@@ -46,6 +47,74 @@ def test_time_assignment_against_brute_force(spark):
             assert len({r.token_index for r in mine}) == len({r.occ_index for r in mine}) == len(mine)
 
 
+def fewest_passed(times, spans, drift):
+    """Of the best assignments the one that has passed the fewest occurrences at every slot, by a full table."""
+    n, m = len(times), len(spans)
+    far = lambda i, j: max(spans[j][0] - times[i], times[i] - spans[j][1], 0)
+    never = (-1, 0)
+    table = [[(0, 0)] + [never] * m]
+    for i in range(n):
+        last = table[-1]
+        row = list(last)
+        for j in range(m):
+            if far(i, j) <= drift:
+                best = max(last[: j + 1])
+                if best > never:
+                    row[j + 1] = max(row[j + 1], (best[0] + 1, best[1] - far(i, j)))
+        table.append(row)
+    j, out = max(range(m + 1), key=lambda j: (table[n][j], -j)), []
+    for i in range(n - 1, -1, -1):
+        if j and far(i, j - 1) <= drift:
+            before = max(range(j), key=lambda x: (table[i][x], -x))
+            if table[i][before] > never and (table[i][before][0] + 1, table[i][before][1] - far(i, j - 1)) == table[i + 1][j]:
+                out.append((i, j - 1))
+                j = before
+    return out[::-1]
+
+
+def test_blocks_do_not_change_the_assignment():
+    """Summaries and states of blocks against one table over the whole track, with ties, long occurrences and empty blocks."""
+    rng = random.Random(8)
+    for case in range(120):
+        span = rng.choice([60, 200, 900])
+        times = sorted(rng.randrange(span) for _ in range(rng.randrange(1, 25)))
+        spans = sorted((a, a + rng.choice([0, 2, 5, 5, 90])) for a in (rng.randrange(-20, span + 20) for _ in range(rng.randrange(1, 30))))
+        drift, width = rng.choice([0, 3, 12]), rng.choice([7, 20, 64])
+        want = fewest_passed(times, spans, drift)
+        origin, parts, blocks = times[0], [], []
+        for b in range((times[-1] - origin) // width + 1):
+            begin = origin + b * width
+            own = [i for i, t in enumerate(times) if begin <= t < begin + width]
+            near = [j for j, (a, e) in enumerate(spans) if a - drift <= begin + width and e + drift >= begin]
+            arrays = [np.array(x, np.int64) for x in ([times[i] for i in own], [spans[j][0] for j in near], [spans[j][1] for j in near])]
+            blocks.append((own, near, chains.Block(*arrays, drift, begin, begin + width)))
+            parts.append(blocks[-1][2].summary())
+        half = len(parts) // 2
+        merged = [m for m in (parts[:half], parts[half:]) if m]
+        tops = []
+        for group in merged:
+            m = group[0]
+            for p in group[1:]:
+                m = chains.product(m, p)
+            tops.append(m)
+        outer, states = chains.states_between(tops, 0, chains.ANY), []
+        for k, group in enumerate(merged):
+            states += chains.states_between(group, outer[k], outer[k + 1])[(1 if k else 0) :]
+        got = [(own[i], near[j]) for (own, near, block), s, e in zip(blocks, states[:-1], states[1:]) for i, j, _ in block.matches(s, e)]
+        assert got == want, (case, times, spans, drift, width)
+
+
+def test_one_dense_track_in_blocks(spark):
+    """One track without a gap, in many blocks and two levels of summaries, equal to the same track in one block."""
+    rng = random.Random(3)
+    times, starts = [rng.randrange(200_000) for _ in range(3000)], [rng.randrange(200_000) for _ in range(2500)]
+    s = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)] + [(2, 0, 5), (3, 0, None)], TIMED)
+    o = spark.createDataFrame([(1, i, "w", a, a + 40) for i, a in enumerate(starts)] + [(2, 0, "v", 9, 9), (3, 0, "v", 9, 9), (4, 0, "v", 9, 9)], OCCURRENCES)
+    key = lambda df: sorted((r.track_id, r.token_index, r.occ_index, r.distance_ms) for r in df.collect())
+    one, many = key(chains.align_drifts(s, o, (300,))), key(chains.align_drifts(s, o, (300,), width=1000))
+    assert one == many and len(one) > 2000
+
+
 def test_common_subsequence(spark):
     def plain(a, b):
         @cache
