@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slotloom.functions.text import rate, wilson_lower
 from slotloom.operators.greedy import Gate, creator_gate, gated_hits, greedy_select
+from slotloom.sources.scratch import cut
 
 __all__ = ["Gate", "creator_gate", "gated_hits", "greedy_select"]
 
@@ -41,19 +42,53 @@ def prune_by_support(keyed: DataFrame, support: int = SUPPORT) -> DataFrame:
     return keyed.join(often, "leaf_key", "left_semi")
 
 
-def leaf_stats(keyed: DataFrame, *by: str) -> DataFrame:
-    """H5: each leaf's support, top label, precision, and what it would add to the present predictions."""
-    labelled = keyed.where("expected IS NOT NULL")
-    miss = F.col("predicted").isNull()
-    counts = labelled.groupBy(*by, "leaf_key", "expected").agg(F.count("*").alias("n"), F.count_if(miss).alias("open"), F.count_if(F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False))).alias("right"))
+def leaf_counts(rows: DataFrame, *by: str, depth: int = 2, phrase: int = 8, support: int = SUPPORT) -> DataFrame:
+    """The rows of each leaf that H4 keeps, added up by ``by``, creator and label (null: unknown): n, open (without a prediction)
+    and right. All of H5, H13 and H14 is made from this one pass; keys are counted before they are shuffled, so a key that
+    nearly all rows have sends its counts only. Written once."""
+    keyed = row_conditions(rows.select(*by, "creator", "expected", "predicted", "features"), depth, phrase)
+    right = F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False))
+    counts = cut(keyed.groupBy("leaf_key", *by, "creator", "expected").agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNull()).alias("open"), F.count_if(right).alias("right")), "leaf-counts")
+    often = counts.groupBy("leaf_key").agg(F.sum("n").alias("all")).where(F.col("all") >= support).select("leaf_key")
+    return counts.join(often, "leaf_key", "left_semi")
+
+
+def _top_labels(counts: DataFrame, creators: DataFrame, *by: str) -> DataFrame:
+    """Each leaf's most frequent label from counts by label (n, open, right)."""
     group = Window.partitionBy(*by, "leaf_key")
     w = group.orderBy(F.desc("n"), "expected")
     ranked = counts.withColumn("support", F.sum("n").over(group)).withColumn("marginal_support", F.sum("open").over(group)).withColumn("now_right", F.sum("right").over(group)).withColumn("k", F.row_number().over(w))
-    creators = labelled.groupBy(*by, "leaf_key").agg(F.count_distinct("creator").alias("creators"))
     top = ranked.where("k = 1").select(*by, "leaf_key", F.col("expected").alias("target"), "support", F.col("n").alias("target_count"), (F.col("n") / F.col("support")).alias("precision"), "marginal_support", F.col("open").alias("marginal_correct"), rate("open", "marginal_support").alias("marginal_precision"), (F.col("n") - F.col("now_right")).alias("gain"))
     return top.join(creators, [*by, "leaf_key"])
 
 
+def leaf_stats(keyed: DataFrame, *by: str) -> DataFrame:
+    """H5: each leaf's support, top label, precision, and what it would add to the present predictions."""
+    right = F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False))
+    counts = keyed.where("expected IS NOT NULL").groupBy(*by, "leaf_key", "creator", "expected").agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNull()).alias("open"), F.count_if(right).alias("right"))
+    return counted_stats(counts, *by)
+
+
+def counted_stats(counts: DataFrame, *by: str) -> DataFrame:
+    """H5 from ``leaf_counts``."""
+    known = counts.where("expected IS NOT NULL")
+    words = known.groupBy(*by, "leaf_key", "expected").agg(*[F.sum(c).alias(c) for c in ("n", "open", "right")])
+    return _top_labels(words, known.groupBy(*by, "leaf_key").agg(F.count_distinct("creator").alias("creators")), *by)
+
+
+def fold_stats(counts: DataFrame, folds: int) -> DataFrame:
+    """H5 for each held-out fold over all others. A creator is in one fold, so what the others have is the total less the
+    fold's own: counts and creators are made once a leaf, never once a fold. counts: ``leaf_counts`` by fold."""
+    known = counts.where("expected IS NOT NULL")
+    apart = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0))
+    words = known.groupBy("leaf_key", "expected").agg(*[F.sum(c).alias(c) for c in ("n", "open", "right")], *[F.array(*[apart(c, f) for f in range(folds)]).alias(f"{c}_of") for c in ("n", "open", "right")])
+    people = known.select("leaf_key", "fold", "creator").distinct().where(F.col("creator").isNotNull()).groupBy("leaf_key").agg(F.count("*").alias("creators"), F.array(*[F.count_if(F.col("fold") == f) for f in range(folds)]).alias("creators_of"))
+    held = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")
+    less = lambda c: (F.col(c) - F.get(f"{c}_of", F.col("held"))).alias(c)
+    words = words.select("*", held).select("held", "leaf_key", "expected", less("n"), less("open"), less("right")).where("n > 0")
+    return _top_labels(words, people.select("*", held).select("held", "leaf_key", less("creators")), "held")
+
+
 def depth_of(leaf_key: Column | str) -> Column:
     return F.size(F.split(leaf_key, "&"))
 
@@ -131,21 +166,18 @@ def model_metrics(applied: DataFrame, *by: str) -> DataFrame:
 
 def creator_fold_cv(rows: DataFrame, folds: int, depth: int = 2) -> DataFrame:
     """For each held-out fold learn leaves on the rest and apply them to it; one job for all folds."""
-    keyed = prune_by_support(row_conditions(rows, depth))
-    held = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")
-    learned = keyed.select("*", held).where(F.col("fold") != F.col("held"))
-    leaves = qualify_leaves(leaf_stats(learned, "held"))
-    best = apply_leaves(keyed.withColumn("held", F.col("fold")), leaves, "held")
-    return model_metrics(with_overrides(rows.withColumn("held", F.col("fold")), best, "held"), "held")
+    leaves = cut(qualify_leaves(fold_stats(leaf_counts(rows, "fold", depth=depth), folds)), "leaves")
+    own = rows.withColumn("held", F.col("fold"))
+    best = apply_leaves(row_conditions(own.select("row_id", "held", "features"), depth), leaves, "held")
+    return model_metrics(with_overrides(own, best, "held"), "held")
 
 
 def proposals(rows: DataFrame, folds: int, depth: int = 2, least: float = 0.9, limit: int = 100) -> DataFrame:
     """Leaves that qualify in every fold's training part, with their held-out precision; best first."""
-    keyed = prune_by_support(row_conditions(rows, depth))
-    learned = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where(F.col("fold") != F.col("held"))
-    leaves = qualify_leaves(leaf_stats(learned, "held"))
+    counts = leaf_counts(rows, "fold", depth=depth)
+    leaves = qualify_leaves(fold_stats(counts, folds))
     stable = leaves.groupBy("leaf_key", "target").agg(F.count("*").alias("folds")).where(F.col("folds") == folds)
-    checked = keyed.join(stable, "leaf_key").groupBy("leaf_key", "target").agg(F.count("*").alias("support"), F.count_if(F.col("expected") == F.col("target")).alias("correct"))
+    checked = counts.join(stable, "leaf_key").groupBy("leaf_key", "target").agg(F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("expected") == F.col("target"), F.col("n"))), F.lit(0)).alias("correct"))
     good = checked.withColumn("precision", F.col("correct") / F.col("support")).where(F.col("precision") >= least)
     return good.orderBy(F.desc("correct"), F.desc("precision"), "leaf_key").limit(limit)
 

@@ -82,12 +82,12 @@ def h4_prune_by_support(spark, d):
 
 @R.add(_q("SELECT * FROM " + _STATS.format(by="", src="keyed")))
 def h5_leaf_stats(spark, d):
-    return H.leaf_stats(_keyed(spark, d))
+    return H.counted_stats(H.leaf_counts(_rows(spark, d)))
 
 
 @R.add(_q("SELECT leaf_key, target, support, gain, len(string_split(leaf_key, '&'))::INT AS depth FROM " + _STATS.format(by="", src="keyed") + f" WHERE {_GOOD}"))
 def h6_qualify_leaves(spark, d):
-    return H.qualify_leaves(H.leaf_stats(_keyed(spark, d))).select("leaf_key", "target", "support", "gain", "depth")
+    return H.qualify_leaves(H.counted_stats(H.leaf_counts(_rows(spark, d)))).select("leaf_key", "target", "support", "gain", "depth")
 
 
 @R.add(_q("SELECT leaf_key, creator, context_id, slot_index, label FROM un", _UNITS))
@@ -130,8 +130,8 @@ _APPLY = "lv AS MATERIALIZED (SELECT *, len(string_split(leaf_key, '&')) AS dept
     FROM mr LEFT JOIN (SELECT row_id, target AS o FROM (SELECT row_id, target, row_number() OVER (PARTITION BY row_id ORDER BY depth, gain DESC, precision DESC, support DESC, leaf_key) AS k FROM keyed JOIN lv USING (leaf_key)) WHERE k = 1) USING (row_id))""", _APPLY))
 def h12_apply_leaves(spark, d):
     rows = _rows(spark, d)
-    keyed = H.prune_by_support(H.row_conditions(rows))
-    return H.model_metrics(H.with_overrides(rows, H.apply_leaves(keyed, H.qualify_leaves(H.leaf_stats(keyed)))))
+    leaves = H.qualify_leaves(H.counted_stats(H.leaf_counts(rows)))
+    return H.model_metrics(H.with_overrides(rows, H.apply_leaves(H.row_conditions(rows.select("row_id", "features")), leaves)))
 
 
 _CV = "tr AS (SELECT keyed.*, held::INT AS held FROM keyed, (SELECT unnest(range(0, 3)) AS held) WHERE fold <> held), cvl AS MATERIALIZED (SELECT *, len(string_split(leaf_key, '&')) AS depth FROM " + _STATS.format(by="held,", src="tr") + f" WHERE {_GOOD})"
