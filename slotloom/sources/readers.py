@@ -7,6 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotloom.sources.versions import lost_sources, publish, published_version, read_published
+
+__all__ = ["lost_sources", "publish", "published_version", "read_published"]
+
 PAYLOAD = "struct<wireMagic:string,wpWinPositions:array<struct<rcRows:int>>,events:array<struct<tStartMs:bigint,dDurationMs:bigint,wWinId:int,segs:array<struct<utf8:string,tOffsetMs:bigint>>>>>"
 NAME = r"([A-Za-z0-9_-]{11})[^/]*_(auto|manual)\.[^/]*$"
 REPORT = "struct<channels:array<struct<name:string,channelId:string,queueComplete:boolean,items:array<struct<id:string,status:string,pairKind:string,pairClass:string,slots:int>>>>,provenance:array<struct<pairClass:string,creator:string,creatorId:string,ids:array<string>>>>"
@@ -137,47 +141,3 @@ def read_discovery(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame]
     """A5: ({contexts, rows, sources}, violations) of a discovery dataset: one Parquet folder each below ``path``."""
     tables = {k: _read_with(spark, f"{path}/{k}", columns, f"discovery table {k}") for k, columns in DISCOVERY.items()}
     return tables, discovery_violations(tables["contexts"], tables["rows"])
-
-
-def lost_sources(old: DataFrame, new: DataFrame, source: str = "source") -> DataFrame:
-    """Sources with fewer rows in the new version than in the old one."""
-    count = lambda df, name: df.groupBy(source).agg(F.count("*").alias(name))
-    return count(old, "before").join(count(new, "after"), source, "left").select(source, "before", F.coalesce("after", F.lit(0)).alias("after")).where("after < before")
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def published_version(spark: SparkSession, path: str) -> int | None:
-    """The number of the last whole version below ``path``; None without one. A version is whole when its folder holds the
-    mark that Spark's writer leaves last, so readers never see one that is still being written."""
-    fs, at = _files(spark, path)
-    if not fs.exists(at):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    whole = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
-    return max(whole, default=None)
-
-
-def publish(df: DataFrame, path: str, source: str = "source") -> str:
-    """Writes a new version below ``path``, unless a source lost rows: then "deferred" and the old version stays. The
-    number of a version is claimed by creating a file that must not exist, so two writers never write the same one."""
-    spark = df.sparkSession
-    last = published_version(spark, path)
-    if last is not None and not lost_sources(spark.read.parquet(f"{path}/v{last}"), df, source).isEmpty():
-        return "deferred"
-    version = 0 if last is None else last + 1
-    fs, _ = _files(spark, path)
-    while not fs.createNewFile(_files(spark, f"{path}/claims/{version}")[1]):
-        version += 1
-    df.write.parquet(f"{path}/v{version}")
-    return f"v{version}"
-
-
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    version = published_version(spark, path)
-    if version is None:
-        raise ValueError(f"nothing is published below {path}")
-    return spark.read.parquet(f"{path}/v{version}")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slotloom.functions import text as T
 from slotloom.operators.slots import speech_windows
+from slotloom.sources import versions
 
 PRIORITY = {"confirmed": 3, "rule": 2, "context": 2, "media": 1}
 
@@ -235,15 +236,12 @@ def incremental_refresh(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def refresh_batches(stream: DataFrame, path: str, checkpoint: str):
-    """K9 as a stream (source, source_hash, row_id and more): each micro-batch is merged with the version that is there, so
-    sources that it does not bring stay; a source that comes with fewer rows stays as it was. A batch that runs again
-    after a failure finds its sources unchanged and adds nothing."""
-    from slotloom.sources.readers import publish, published_version, read_published
+    """K9 as a stream (source, source_hash, row_id and more): a micro-batch writes the sources it changes and a manifest by
+    source, whatever the size of the rest; sources that it does not bring stay; a source that comes with fewer rows stays
+    as it was. A batch that runs again after a failure finds its sources unchanged and adds nothing."""
 
     def merge(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        whole = df if published_version(spark, path) is None else incremental_refresh(read_published(spark, path), df).select(df.columns)
-        publish(whole, path)
+        versions.refresh(df, path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slotloom.functions import text as T
 from slotloom.operators import rules, vocabulary
-from slotloom.sources import readers, scratch
+from slotloom.sources import readers, scratch, versions
 from slotloom.streaming import jobs
 
 
@@ -29,6 +29,44 @@ def test_publish_and_defer(spark, tmp_path):
     assert readers.publish(frame(spark, [("a", 1), ("a", 2), ("b", 1)], schema), path) == "v3"
 
 
+def test_two_writers_on_one_base_lose_nothing(spark, tmp_path, monkeypatch):
+    """Each writer has read the base before the other one publishes; the later one merges."""
+    path, schema = f"file://{tmp_path}/out", "source string, x int"
+    base = [("a", 1), ("a", 2), (None, 5)]
+    versions.publish(frame(spark, base, schema), path)
+    claim, once, waits = versions._claim, [], [True]
+
+    def late(*args):
+        if waits and waits.pop():
+            once.append(versions.publish(frame(spark, [*base, ("c", 7), ("d", 1), ("d", 2)], schema), path))
+        return claim(*args)
+
+    monkeypatch.setattr(versions, "_claim", late)
+    assert versions.publish(frame(spark, [*base, ("a", 3), ("b", 6), ("d", 9)], schema), path) == "v2" and once == ["v1"]
+    rows = lambda v=None: sorted(((r.source or "", r.x) for r in versions.read_published(spark, path, v).collect()))
+    # d came from both: the one with more rows stays
+    assert rows() == [("", 5), ("a", 1), ("a", 2), ("a", 3), ("b", 6), ("c", 7), ("d", 1), ("d", 2)]
+    assert rows(0) == [("", 5), ("a", 1), ("a", 2)] and rows(1) == [("", 5), ("a", 1), ("a", 2), ("c", 7), ("d", 1), ("d", 2)]
+
+
+def test_a_refresh_writes_what_it_changes(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/out", "source string, source_hash string, row_id long"
+    parts = lambda: {p.name: sum(1 for _ in p.glob("*.parquet")) and spark.read.parquet(str(p)).count() for p in (tmp_path / "out" / "parts").iterdir()}
+    whole = [(f"s{i}", "h", 10 * i + j) for i in range(20) for j in range(5)]
+    assert versions.refresh(frame(spark, whole, schema), path) == "v0"
+    before = parts()
+    assert versions.refresh(frame(spark, [("s3", "new", j) for j in range(6)] + [("s4", "new", 0)] + whole[:5], schema), path) == "v1"
+    assert [n for p, n in parts().items() if p not in before] == [6]
+    assert versions.refresh(frame(spark, [("s3", "new", j) for j in range(6)], schema), path) == "unchanged"
+    monkeypatch.setattr(versions, "PARTS", 2)
+    assert versions.refresh(frame(spark, [("z", "h", 1)], schema), path) == "v2"
+    got = versions.read_published(spark, path)
+    assert got.count() == 102 and got.columns == ["source", "source_hash", "row_id"] and got.where("source = 's4'").count() == 5
+    assert len(spark.read.parquet(*[str(p) for p in (tmp_path / "out" / "parts").iterdir()]).where("source = 'z'").select("__part").distinct().collect()) == 2
+    none = f"file://{tmp_path}/none"
+    assert versions.publish(frame(spark, [], schema), none) == "v0" and versions.read_published(spark, none).count() == 0
+
+
 def test_refresh_stream_loses_nothing(spark, tmp_path):
     """One source a batch: earlier sources stay, changed ones are rebuilt, shrunk ones stay as they were."""
     schema = "source string, source_hash string, row_id long"
