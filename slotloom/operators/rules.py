@@ -7,11 +7,15 @@ broadcast by size only where Spark finds them small; slots never are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions import text as T
 from slotloom.operators.sampling import numbered
+from slotloom.sources.scratch import cut
 
 TIERS = ["exact", "productive", "low", "frame", "fallback"]
 ALTERNATIVES = r"\[([^\]\[]*\|[^\]\[]*)\]"
@@ -133,17 +137,56 @@ def resolve_single(matches: DataFrame) -> DataFrame:
 
 
 def resolve_overlaps(matches: DataFrame) -> DataFrame:
-    """In ord order the first match claims its span of slots (token_index, span) and blocks those that overlap it.
-    Matches meet only inside a component of overlapping spans, where a fold goes through them."""
+    """In ord order the first match claims its span of slots (token_index, span) and blocks those that overlap it; rows that
+    are equal count once.
+
+    Most matches are told by their neighbours: one that comes before all it overlaps claims its span, whatever else happens,
+    and its rivals leave. ``_CLAIMS`` such rounds are windows over single slots, which no component or track binds
+    together. What still waits (chains in which each match depends on the one before) is streamed in order of ord, a
+    component of overlapping spans at a time, with the slots claimed so far as the only state: linear in its matches."""
+    order = ["ord", "rule_id", "token_index", "span"]
+    left = matches.select("track_id", F.col("token_index").cast("int").alias("token_index"), F.col("span").cast("int").alias("span"), F.col("rule_id").cast("string").alias("rule_id"), F.col("ord").cast("bigint").alias("ord")).dropDuplicates()
+    key, by_slot = F.struct(*order), Window.partitionBy("track_id", "slot")
+    slots = F.explode(F.sequence(F.col("token_index"), F.col("token_index") + F.greatest(F.col("span"), F.lit(1)) - 1)).alias("slot")
+    won = None
+    for _ in range(_CLAIMS):
+        placed = left.select("*", slots).withColumn("first", F.min(key).over(by_slot))
+        told = placed.withColumn("own", F.col("first") == key).groupBy("track_id", *order).agg(F.bool_and("own").alias("claims"), F.collect_set("first").alias("rivals"))
+        # A rival that claims is the first of one of this match's slots; a match has as many rivals as slots at most.
+        told = cut(told, "claims")
+        now = told.where("claims").select("track_id", *order)
+        won = now if won is None else won.unionByName(now)
+        blocked = told.where("NOT claims").select("track_id", *order, F.explode("rivals").alias("r")).join(now.select("track_id", F.struct(*order).alias("r")), ["track_id", "r"], "left_semi").select("track_id", *order).distinct()
+        left = told.where("NOT claims").select("track_id", *order).join(blocked, ["track_id", *order], "left_anti")
+    return won.unionByName(_in_turn(left).select("track_id", *order)).select("track_id", "token_index", "span", "rule_id", "ord")
+
+
+#: Rounds in which matches claim their spans side by side.
+_CLAIMS = 2
+
+
+def _in_turn(matches: DataFrame) -> DataFrame:
+    """The matches that claim their span when they come one after the other, by component of overlapping spans."""
     order = Window.partitionBy("track_id").orderBy("token_index", "span", "ord", "rule_id")
-    reach = F.max(F.col("token_index") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max(F.col("token_index") + F.greatest(F.col("span"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = matches.withColumn("new", F.when(reach.isNull() | (F.col("token_index") >= reach), 1).otherwise(0))
     parts = parts.withColumn("component", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = parts.groupBy("track_id", "component").agg(F.sort_array(F.collect_list(F.struct("ord", "rule_id", "token_index", "span"))).alias("ms"))
-    kind = "array<struct<ord:bigint,rule_id:string,token_index:int,span:int>>"
-    free = lambda acc, m: ~F.exists(acc, lambda a: (a["token_index"] < m["token_index"] + m["span"]) & (m["token_index"] < a["token_index"] + a["span"]))
-    won = F.aggregate(F.col("ms").cast(kind), F.array().cast(kind), lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
-    return groups.select("track_id", F.explode(won).alias("m")).select("track_id", "m.token_index", "m.span", "m.rule_id", "m.ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken = None, set()
+        for batch in batches:
+            keep = []
+            for *key, at, span in zip(*(batch.column(c).to_pylist() for c in ("track_id", "component", "token_index", "span"))):
+                if key != group:
+                    group, taken = key, set()
+                own = range(at, at + max(span, 1))
+                keep.append(taken.isdisjoint(own))
+                if keep[-1]:
+                    taken.update(own)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    dealt = parts.drop("new").repartition("track_id", "component").sortWithinPartitions("track_id", "component", "ord", "rule_id", "token_index", "span")
+    return dealt.mapInArrow(run, dealt.schema)
 
 
 def adjacent_slots(slots: DataFrame) -> DataFrame:

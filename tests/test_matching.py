@@ -1,5 +1,7 @@
 """Signs between words, sentence ends at slots, and where phrases and contexts stand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from slotloom.functions import text as T
@@ -26,6 +28,26 @@ def test_sentence_ends(spark):
     assert [r.w for r in said] == ["w.", "w.", "w", "w.", "w", "w", "w", "w."]
 
 
+def test_overlapping_spans_against_a_plain_loop(spark):
+    """Random spans, repeated rows, and chains in which every match waits for the one before; one of 10^5 matches."""
+    rng, rows = random.Random(4), []
+    for track in range(30):
+        rows += [(track, rng.randrange(40), rng.randrange(1, 4), f"r{rng.randrange(9)}", rng.randrange(30)) for _ in range(rng.randrange(40))]
+    rows += rows[:20] + [(100, i, 2, "r", i) for i in range(60)] + [(101, i, 2, "r", -i) for i in range(60)]
+    want = []
+    for track in {r[0] for r in rows}:
+        taken = set()
+        for ord_, rule, at, span in sorted({(o, r, a, s) for t, a, s, r, o in rows if t == track}):
+            if taken.isdisjoint(range(at, at + span)):
+                taken |= set(range(at, at + span))
+                want.append((track, at, span, rule, ord_))
+    schema = "track_id long, token_index int, span int, rule_id string, ord long"
+    assert sorted(map(tuple, rules.resolve_overlaps(spark.createDataFrame(rows, schema)).collect())) == sorted(want)
+    long_ = spark.range(100_000).select(F.lit(1).cast("long").alias("track_id"), F.col("id").cast("int").alias("token_index"), F.lit(2).alias("span"), F.lit("r").alias("rule_id"), F.col("id").alias("ord"))
+    assert rules.resolve_overlaps(long_).agg(F.count("*"), F.sum(F.col("token_index") % 2)).first()[:] == (50_000, 0)
+    assert rules.resolve_overlaps(long_.where("false")).count() == 0
+
+
 def test_patterns_need_their_signs(spark):
     contexts = spark.createDataFrame([("so, [ __ ] the end",), ("so. [__] the",), ("also [__] the",), ("so [__] there",), ("so x [__] the",), (None,)], "context string")
     assert [r.matched for r in rules.pattern_match(contexts, "so [this|that] the").collect()] == [True, False, False, False, False, False]
