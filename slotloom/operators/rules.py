@@ -40,8 +40,8 @@ def compile_rules(templates: DataFrame) -> DataFrame:
     """Templates such as ``^ with [this|that] * end $`` -> candidates, blanks, conditions and anchors.
 
     The bracket holds the candidates, separated by bars; a candidate of several words takes as many blanks. ``^`` and
-    ``$`` bind to the text's start and end, ``*`` is any one word, ``[__]`` a blank that is kept, and a trailing ``…``
-    lets the text go on.
+    ``$`` bind to the text's start and end, ``*`` is any one word, ``<name>`` one word of that class (``classes``: off, cls),
+    ``[__]`` a blank that is kept, and a trailing ``…`` lets the text go on.
     """
     # Candidates may hold spaces: they are cut out first and stand as one token.
     inner = F.regexp_extract("template", ALTERNATIVES, 1)
@@ -49,15 +49,30 @@ def compile_rules(templates: DataFrame) -> DataFrame:
     rows = templates.select(*templates.columns, F.split(inner, r"\|").alias("candidates"), F.explode(F.array(flat)).alias("toks"))
     at = F.array_position("toks", "<slot>") - 1
     body = F.transform("toks", lambda t, i: F.struct((i - at).cast("int").alias("off"), F.when(t == "^", "<BOS>").when(t == "$", "<EOS>").otherwise(F.lower(t)).alias("tok")))
-    conditions = F.filter(body, lambda c: (c["off"] != 0) & (c["tok"] != "*"))
+    named = lambda c: c["tok"].rlike("^<[a-z0-9_-]+>$")
+    conditions = F.filter(body, lambda c: (c["off"] != 0) & (c["tok"] != "*") & ~named(c))
+    classes = F.transform(F.filter(body, lambda c: (c["off"] != 0) & named(c)), lambda c: F.struct(c["off"].alias("off"), F.regexp_extract(c["tok"], "<(.*)>", 1).alias("cls")))
     blanks = F.array_max(F.transform("candidates", lambda c: F.size(F.split(F.trim(c), " +"))))
     kept = F.transform(F.filter(body, lambda c: c["tok"] == "[__]"), lambda c: c["off"])
-    return rows.where(F.array_contains("toks", "<slot>")).select(*templates.columns, F.transform("candidates", F.trim).alias("candidates"), blanks.alias("blanks"), conditions.alias("conditions"), kept.alias("kept"))
+    return rows.where(F.array_contains("toks", "<slot>")).select(*templates.columns, F.transform("candidates", F.trim).alias("candidates"), blanks.alias("blanks"), conditions.alias("conditions"), classes.alias("classes"), kept.alias("kept"))
 
 
-def with_anchor(rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rarest literal of each rule as its anchor; counts: off, tok, n over the slots. Stop words would skew."""
+def unknown_classes(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rules that name a class which has no words. classes: tok, cls."""
+    named = rules.select("rule_id", F.explode("classes.cls").alias("cls"))
+    return named.join(classes.select("cls").distinct(), "cls", "left_anti")
+
+
+def with_anchor(rules: DataFrame, counts: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """The rarest condition of each rule as its anchor; counts: off, tok, n over the slots. Stop words would skew. With
+    classes (tok, cls) and rules that name some, a class is as frequent as its words are together, and its anchor is
+    ``<cls>``."""
     exploded = rules.select("rule_id", F.explode("conditions").alias("c")).select("rule_id", "c.off", "c.tok")
+    counts = counts.select("off", "tok", F.col("n").cast("bigint").alias("n"))
+    if classes is not None:
+        tag = F.concat(F.lit("<"), "cls", F.lit(">")).alias("tok")
+        exploded = exploded.unionByName(rules.select("rule_id", F.explode("classes").alias("c")).select("rule_id", "c.off", "c.cls").select("rule_id", "off", tag))
+        counts = counts.unionByName(counts.join(classes.select("tok", "cls").distinct(), "tok").groupBy("off", "cls").agg(F.sum("n").alias("n")).select("off", tag, "n"))
     ranked = exploded.join(counts, ["off", "tok"], "left").select("rule_id", "off", "tok", F.coalesce("n", F.lit(0)).alias("n"))
     best = ranked.groupBy("rule_id").agg(F.min(F.struct("n", "off", "tok")).alias("a"))
     return rules.join(best, "rule_id").select(*rules.columns, F.col("a.off").alias("anchor_off"), F.col("a.tok").alias("anchor_tok"))
@@ -80,18 +95,47 @@ def restrict_candidates(rules: DataFrame, emitted: DataFrame) -> DataFrame:
     return rules.drop("candidates").join(kept, "rule_id")
 
 
-def candidate_matches(slots: DataFrame, rules: DataFrame) -> DataFrame:
+#: Words of classes up to which these are broadcast.
+WORDS = 1 << 17
+
+
+def _word_classes(classes: DataFrame) -> DataFrame:
+    known = classes.select(F.col("tok").alias("class_tok"), "cls").distinct()
+    return F.broadcast(known) if known.limit(WORDS + 1).count() <= WORDS else known
+
+
+def _in_classes(found: DataFrame, classes: DataFrame, joined: bool) -> DataFrame:
+    """D7 within D5: matches all of whose class positions hold a word of their class."""
+    key = ["track_id", "token_index", "rule_id"]
+    near = lambda f: f["joined"] if joined else F.lit(True)
+    some = found.where(F.size("classes") > 0)
+    held = some.select(*key, F.explode("classes").alias("c"), "around").select(*key, F.col("c.cls").alias("cls"), F.get(F.filter("around", lambda f: (f["off"] == F.col("c.off")) & near(f)), F.lit(0))["tok"].alias("class_tok"))
+    good = held.join(classes, ["cls", "class_tok"], "left_semi").groupBy(*key).agg(F.count("*").alias("__held"))
+    return found.where(F.size("classes") == 0).unionByName(some.join(good, key).where(F.col("__held") == F.size("classes")).select(found.columns))
+
+
+def candidate_matches(slots: DataFrame, rules: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Anchor join, then every other condition and the guard are verified. slots: track_id, token_index,
     features, an array of (off, tok) from -1 to 1 at least; rules may have blanks and kept (else one and none). Where the
-    slots have ``breaks``, no rule reaches over the end of a sentence at a slot, unless an exact rule spans it."""
+    slots have ``breaks``, no rule reaches over the end of a sentence at a slot, unless an exact rule spans it. With classes
+    (tok, cls), rules may have class conditions (``classes``) and class anchors: one call matches all templates of a table."""
     held = ["breaks"] if "breaks" in slots.columns else []
     keyed = slots.select("track_id", "token_index", *held, F.col("features").alias("around"), F.explode("features").alias("f")).select("track_id", "token_index", *held, "around", F.col("f.off").alias("anchor_off"), F.col("f.tok").alias("anchor_tok"))
     has_joined = "joined" in slots.schema["features"].dataType.elementType.names
+    if classes is not None:
+        classes = _word_classes(classes)
+        tagged = keyed.join(classes, keyed["anchor_tok"] == classes["class_tok"]).withColumn("anchor_tok", F.concat(F.lit("<"), "cls", F.lit(">"))).select(keyed.columns)
+        keyed = keyed.unionByName(tagged)
     joined = keyed.join(rules, ["anchor_off", "anchor_tok"])
-    found = joined.where(verify_match("conditions", "around", has_joined) & adjacent_guard("around", rules.columns)).drop("around", "anchor_off", "anchor_tok")
+    found = joined.where(verify_match("conditions", "around", has_joined) & adjacent_guard("around", rules.columns))
+    if classes is not None and "classes" in rules.columns:
+        found = _in_classes(found, classes, has_joined)
+    found = found.drop("around", "anchor_off", "anchor_tok")
     if not held:
         return found
     reaches = F.exists("conditions", lambda c: c["off"] > 0)
+    if "classes" in rules.columns:
+        reaches = reaches | F.exists("classes", lambda c: c["off"] > 0)
     exact = F.col("tier") == "exact" if "tier" in rules.columns else F.lit(False)
     spanned = F.bool_or(exact & reaches).over(Window.partitionBy("track_id", "token_index"))
     return found.withColumn("spanned", spanned).where(~F.col("breaks") | ~reaches | F.col("spanned")).drop("breaks", "spanned")

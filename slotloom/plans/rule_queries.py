@@ -99,6 +99,25 @@ def d5_candidate_matches(spark, d):
     return matches(spark, d).select("track_id", "token_index", "rule_id")
 
 
+CLASSES = {"the": "article", "a": "article", "and": "link", "or": "link", "of": "place", "to": "place", "in": "place", "on": "place", "is": "verb", "was": "verb", "are": "verb", "be": "verb"}
+_CLS = "cls(tok, cls) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CLASSES.items()) + ")"
+_SIDES = "SELECT track_id, token_index, off, tok FROM (FROM features ANTI JOIN touch USING (track_id, token_index)) WHERE joined AND NOT breaks"
+
+
+@R.add(_q(TOUCH + ", " + _CLS + f", sd AS MATERIALIZED ({_SIDES})", r"""SELECT track_id, token_index, '<' || l.cls || '> [this|that] ' || g.tok AS rule_id FROM sd f JOIN cls l ON f.tok = l.tok JOIN sd g USING (track_id, token_index) JOIN rules r ON r.off = 1 AND r.tok = g.tok
+    WHERE f.off = -1 AND g.off = 1 AND regexp_full_match(g.tok, '[\p{L}\p{N}_'']+')
+    UNION ALL SELECT track_id, token_index, '<' || l.cls || '> [this|that] <' || h.cls || '>' FROM sd f JOIN cls l ON f.tok = l.tok JOIN sd g USING (track_id, token_index) JOIN cls h ON g.tok = h.tok WHERE f.off = -1 AND g.off = 1"""))
+def d5_class_templates(spark, d):
+    """Templates of a class before the slot and, after it, a frequent word or a class, all in one call."""
+    words = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("tok"), F.lit(v).alias("cls")) for k, v in CLASSES.items()])).alias("c")).select("c.*")
+    names = F.explode(F.array(*[F.lit(f"<{c}>") for c in sorted(set(CLASSES.values()))]))
+    after = rules(spark, d).where(F.col("anchor_off") == 1).where(F.col("anchor_tok").rlike(r"^[\p{L}\p{N}_']+$")).select(F.col("anchor_tok").alias("after")).union(spark.range(1).select(names))
+    templates = after.select(names.alias("before"), "after").select(F.concat_ws(" [this|that] ", "before", "after").alias("template"))
+    table = U.compile_rules(templates).withColumn("rule_id", F.col("template"))
+    counts = features(spark, d).groupBy("off", "tok").agg(F.count("*").alias("n"))
+    return U.candidate_matches(B.labelled(spark, d), U.with_anchor(table, counts, words), words).select("track_id", "token_index", "rule_id")
+
+
 @R.add(_q(TOUCH + """, found AS (SELECT f.track_id, f.token_index, f.breaks, f.off, r.tier, r.rule_id || '&' || g.tok AS rule_id FROM (FROM features ANTI JOIN touch USING (track_id, token_index)) f JOIN rules r USING (off, tok)
     JOIN features g ON f.track_id = g.track_id AND f.token_index = g.token_index AND g.off = 2 WHERE r.off = 1 AND g.tok = '<EOS>' AND f.joined AND g.joined)""", f"SELECT track_id, token_index, rule_id FROM ({FREE})"))
 def d6_verify_match(spark, d):

@@ -48,6 +48,22 @@ def test_overlapping_spans_against_a_plain_loop(spark):
     assert rules.resolve_overlaps(long_.where("false")).count() == 0
 
 
+def test_classes_in_templates(spark):
+    """Many templates in one call: a class holds one of its words, next to literals, edges, wildcards and other classes."""
+    texts = ["we saw [__] in town", "we saw [__] on town", "they saw [__] in town", "go [__] in", "[__] in town", "saw, [__] in-town", "ran [__] far", "ran [__] x in", "saw [__]. In town"]
+    found = slots.slot_features(spark.createDataFrame(list(enumerate(texts)), "track_id long, text string"), 2, 2)
+    table = ["<verb> [this|that] <place>", "we <verb> [this|that] in", "^ [this|that] <place>", "<verb> [this|that] * <place>", "ran [this|that] far", "<nothing> [this|that] far"]
+    words = spark.createDataFrame([("saw", "verb"), ("ran", "verb"), ("ran", "move"), ("in", "place"), ("on", "place"), ("saw", "verb")], "tok string, cls string")
+    compiled = rules.compile_rules(spark.createDataFrame([(t,) for t in table], "template string")).withColumn("rule_id", F.col("template"))
+    assert [r.rule_id for r in rules.unknown_classes(compiled, words).collect()] == ["<nothing> [this|that] far"]
+    counts = spark.createDataFrame([(-1, "saw", 5), (1, "in", 4), (1, "far", 1), (-2, "we", 2)], "off int, tok string, n int")
+    anchored = rules.with_anchor(compiled, counts, words)
+    assert {r.rule_id: (r.anchor_off, r.anchor_tok) for r in anchored.collect()}["<verb> [this|that] <place>"] == (1, "<place>")
+    got = {(r.track_id, r.rule_id) for r in rules.candidate_matches(found, anchored, words).collect()}
+    # Words are the tokens: the first one of in-town is a place.
+    assert got == {(0, table[0]), (1, table[0]), (2, table[0]), (5, table[0]), (0, table[1]), (4, table[2]), (7, table[3]), (6, table[4])}
+
+
 def test_patterns_need_their_signs(spark):
     contexts = spark.createDataFrame([("so, [ __ ] the end",), ("so. [__] the",), ("also [__] the",), ("so [__] there",), ("so x [__] the",), (None,)], "context string")
     assert [r.matched for r in rules.pattern_match(contexts, "so [this|that] the").collect()] == [True, False, False, False, False, False]
