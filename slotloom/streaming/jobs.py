@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slotloom.functions import text as T
@@ -61,23 +62,74 @@ def resolve_batch(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot_id").agg(F.max_by(F.struct("word", "source"), F.struct(priority().alias("p"), "seq")).alias("best")).select("slot_id", "best.word", "best.source")
 
 
-def resolve_state(rows: DataFrame) -> DataFrame:
-    """K4 on a stream (slot_id, seq, word, source): the state keeps the best so far; each change goes out."""
+class Lasting(StatefulProcessor):
+    """State that ends: with event times (``ts``), each row keeps its key's state for ``keep_ms`` more, and a timer clears it
+    when the watermark has passed that. Subclasses make their states in ``open`` and clear them in ``forget``."""
+
+    def __init__(self, timed: bool, keep_ms: int):
+        self.timed, self.keep_ms = timed, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "at bigint")
+        self.open(handle)
+
+    def lasts(self, frame: pd.DataFrame) -> None:
+        if self.timed:
+            at = int(frame["ts"].max().timestamp() * 1000) + self.keep_ms
+            if not self.until.exists() or self.until.get()[0] < at:
+                self.until.update((at,))
+                self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A key that has been seen since has a later timer.
+        if self.until.exists() and self.until.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.until.clear()
+            self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(rows: DataFrame, key: str, make: Callable[[bool, int], Lasting], schema: str, mode: str, late: str | None, keep_ms: int) -> DataFrame:
+    """Rows of a stream by key through a processor; late: how far the watermark stays behind ``ts`` (none: no end of state).
+    Sets the session's state store to the one that such processors need."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = late is not None
+    rows = rows.withWatermark("ts", late) if timed else rows
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(make(timed, keep_ms), f"{key} {kind}, {schema}", mode, "EventTime" if timed else "None")
+
+
+HOUR_MS = 3_600_000
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p, seq, word, source = state.get if state.exists else (-1, -1, None, None)
-        before = (p, seq)
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                new = (PRIORITY.get(row.source, 0), int(row.seq))
-                if new >= (p, seq):
-                    p, seq, word, source = *new, row.word, row.source
-        state.update((p, seq, word, source))
-        if (p, seq) != before:
-            yield pd.DataFrame({"slot_id": [key[0]], "word": [word], "source": [source], "seq": [seq]})
 
-    kind = rows.schema["slot_id"].dataType.simpleString()
-    return rows.groupBy("slot_id").applyInPandasWithState(update, f"slot_id {kind}, word string, source string, seq bigint", "p int, seq bigint, word string, source string", "update", GroupStateTimeout.NoTimeout)
+class Best(Lasting):
+    """K4: a slot's best resolution so far."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "p int, seq bigint, word string, source string")
+
+    def forget(self) -> None:
+        self.best.clear()
+
+    def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(frames))
+        self.lasts(came)
+        came["p"] = came["source"].map(PRIORITY).fillna(0).astype(int)
+        first = came.sort_values(["p", "seq"], kind="stable").iloc[-1]
+        new = (int(first["p"]), int(first["seq"]))
+        held = self.best.get() if self.best.exists() else None
+        if held is None or new > (held[0], held[1]):
+            word, source = (None if pd.isna(first[c]) else first[c] for c in ("word", "source"))
+            self.best.update((*new, word, source))
+            yield pd.DataFrame({"slot_id": [key[0]], "word": [word], "source": [source], "seq": [new[1]]})
+
+
+def resolve_state(rows: DataFrame, late: str | None = None, keep_ms: int = HOUR_MS) -> DataFrame:
+    """K4 on a stream (slot_id, seq, word, source; ts where ``late`` is given): the state keeps the best so far; each change
+    goes out."""
+    return _with_state(rows, "slot_id", Best, "word string, source string, seq bigint", "update", late, keep_ms)
 
 
 def _fill_kinds(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -103,23 +155,32 @@ def _frames(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(list(order), kind="stable")
 
 
-def fill_cache_state(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """K4b on a stream: the state is the slot's fill; each change goes out, a null word for a deletion."""
+class Fill(Lasting):
+    """A slot's accepted fill."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = word, source = state.get if state.exists else (None, None)
-        seq = 0
-        for kind, seq, new, origin in _frames(frames, "seq")[["kind", "seq", "word", "source"]].itertuples(index=False):
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.fill = handle.getValueState("fill", "word string, source string")
+
+    def forget(self) -> None:
+        self.fill.clear()
+
+    def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:
+        came = _frames(frames, "seq")
+        self.lasts(came)
+        before = word, source = tuple(self.fill.get()) if self.fill.exists() else (None, None)
+        for kind, new, origin in zip(came["kind"], came["word"], came["source"]):
             if kind == "set":
                 word, source = new, origin
             elif kind == "clear" or source == "media":
                 word, source = None, None
-        state.update((word, source))
         if (word, source) != before:
-            yield pd.DataFrame({"slot_id": [key[0]], "word": [word], "source": [source], "seq": [seq]})
+            self.fill.update((word, source)) if word is not None else self.fill.clear()
+            yield pd.DataFrame({"slot_id": [key[0]], "word": [word], "source": [source], "seq": [int(came["seq"].iloc[-1])]})
 
-    kind = rows.schema["slot_id"].dataType.simpleString()
-    return _fill_kinds(rows, lexicon).groupBy("slot_id").applyInPandasWithState(update, f"slot_id {kind}, word string, source string, seq bigint", "word string, source string", "update", GroupStateTimeout.NoTimeout)
+
+def fill_cache_state(rows: DataFrame, lexicon: DataFrame, late: str | None = None, keep_ms: int = HOUR_MS) -> DataFrame:
+    """K4b on a stream: the state is the slot's fill, if it has one; each change goes out, a null word for a deletion."""
+    return _with_state(_fill_kinds(rows, lexicon), "slot_id", Fill, "word string, source string, seq bigint", "update", late, keep_ms)
 
 
 def invalidate_generation(rows: DataFrame) -> DataFrame:
@@ -130,35 +191,46 @@ def invalidate_generation(rows: DataFrame) -> DataFrame:
     return now.withColumn("k", F.row_number().over(Window.partitionBy("session", "track_id", "slot_id").orderBy(F.desc("seq")))).where("k = 1").drop("k")
 
 
-def generation_state(rows: DataFrame) -> DataFrame:
-    """K5 on a stream, by session: rows of an older generation are dropped, others published (``action``). A new
-    generation of another track retires all slots held; one of the same track those that its first batch does not bring.
-    The state is the track, the generation and its slots (numbers), as text."""
+class Generation(Lasting):
+    """K5: a session's track and generation, and a map of the slots it holds. A batch of the same generation touches only its
+    own slots; the others are read when a new generation retires them."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        track, generation, slots = json.loads(state.get[0]) if state.exists else (None, None, [])
-        out = []
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "track_id bigint, generation bigint")
+        self.slots = handle.getMapState("slots", "slot_id bigint", "seq bigint")
+
+    def forget(self) -> None:
+        self.now.clear()
+        self.slots.clear()
+
+    def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:
         came = _frames(frames, "seq")
+        self.lasts(came)
         came = came[came["generation"] >= came["generation"].cummax()]
+        track, generation = self.now.get() if self.now.exists() else (None, None)
         for number, part in came.groupby("generation"):
             if generation is not None and number < generation:
                 continue
             for new, rows_ in part.groupby("track_id", sort=False):
-                new, fresh, seq = int(new), [int(s) for s in rows_["slot_id"]], int(rows_["seq"].max())
+                new, seq = int(new), int(rows_["seq"].max())
                 if number != generation or new != track:
-                    stay = set(fresh) if new == track else set()
-                    out += [(track, generation, s, seq, "retire") for s in slots if s not in stay]
-                    track, generation, slots = new, int(number), []
-                out += [(new, int(number), s, int(q), "publish") for s, q in zip(fresh, rows_["seq"])]
-                slots = sorted({*slots, *fresh})
-        state.update((json.dumps([track, generation, slots]),))
-        if out:
-            frame = pd.DataFrame(out, columns=["track_id", "generation", "slot_id", "seq", "action"])
-            frame.insert(0, "session", key[0])
-            yield frame
-
-    kind = rows.schema["session"].dataType.simpleString()
-    return rows.groupBy("session").applyInPandasWithState(update, f"session {kind}, track_id bigint, generation bigint, slot_id bigint, seq bigint, action string", "held string", "append", GroupStateTimeout.NoTimeout)
+                    held = sorted(k[0] for k in self.slots.keys()) if self.slots.exists() else []
+                    stay = set(rows_["slot_id"]) if new == track else set()
+                    gone = [s for s in held if s not in stay]
+                    if gone:
+                        yield pd.DataFrame({"session": key[0], "track_id": track, "generation": generation, "slot_id": gone, "seq": seq, "action": "retire"})
+                    self.slots.clear()
+                    track, generation = new, int(number)
+                    self.now.update((track, generation))
+                for s, q in zip(rows_["slot_id"], rows_["seq"]):
+                    self.slots.updateValue((int(s),), (int(q),))
+                yield pd.DataFrame({"session": key[0], "track_id": new, "generation": int(number), "slot_id": rows_["slot_id"].to_numpy(), "seq": rows_["seq"].to_numpy(), "action": "publish"})
+
+
+def generation_state(rows: DataFrame, late: str | None = None, keep_ms: int = HOUR_MS) -> DataFrame:
+    """K5 on a stream, by session: rows of an older generation are dropped, others published (``action``). A new
+    generation of another track retires all slots held; one of the same track those that its first batch does not bring."""
+    return _with_state(rows, "session", Generation, "track_id bigint, generation bigint, slot_id bigint, seq bigint, action string", "append", late, keep_ms)
 
 
 def late_slots(slots: DataFrame, playhead: str = "playhead_s", time: str = "time_s", most: float = 1.0) -> DataFrame:
@@ -206,21 +278,38 @@ def speed_monitor(rows: DataFrame, last: int = 15, least: int = 5) -> DataFrame:
     return held.select("device", "seq", median.alias("median"), ((F.size("held") >= least) & (median <= 1)).alias("fast"))
 
 
-def speed_state(rows: DataFrame, last: int = 15, least: int = 5) -> DataFrame:
-    """K8 on a stream: the state is the device's last ratios, as text."""
+class Speed(Lasting):
+    """K8: a device's last ratios."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        out = []
-        for seq, seconds, slots in _frames(frames, "seq")[["seq", "seconds", "slots"]].itertuples(index=False):
-            held = [*held, seconds / (WINDOW_SECONDS + SLOT_SECONDS * slots)][-last:]
-            median = sorted(held)[len(held) // 2]
-            out.append((key[0], seq, median, len(held) >= least and median <= 1))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["device", "seq", "median", "fast"])
-
-    kind = rows.schema["device"].dataType.simpleString()
-    return rows.groupBy("device").applyInPandasWithState(update, f"device {kind}, seq bigint, median double, fast boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+    last, least = 15, 5
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "ratios array<double>")
+
+    def forget(self) -> None:
+        self.held.clear()
+
+    def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:
+        came = _frames(frames, "seq")
+        self.lasts(came)
+        old = [float(x) for x in self.held.get()[0]] if self.held.exists() else []
+        ratios = [*old, *(came["seconds"] / (WINDOW_SECONDS + SLOT_SECONDS * came["slots"])).tolist()]
+        ends = range(len(old) + 1, len(ratios) + 1)
+        windows = [sorted(ratios[max(0, e - self.last) : e]) for e in ends]
+        medians = [w[len(w) // 2] for w in windows]
+        self.held.update((ratios[-self.last :],))
+        yield pd.DataFrame({"device": key[0], "seq": came["seq"].to_numpy(), "median": medians, "fast": [len(w) >= self.least and m <= 1 for w, m in zip(windows, medians)]})
+
+
+def speed_state(rows: DataFrame, last: int = 15, least: int = 5, late: str | None = None, keep_ms: int = 24 * HOUR_MS) -> DataFrame:
+    """K8 on a stream: the state is the device's last ratios."""
+
+    def make(timed: bool, keep: int) -> Speed:
+        processor = Speed(timed, keep)
+        processor.last, processor.least = last, least
+        return processor
+
+    return _with_state(rows, "device", make, "seq bigint, median double, fast boolean", "append", late, keep_ms)
 
 
 def incremental_refresh(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -48,3 +48,27 @@ def test_generations(spark):
     got = [(r.track_id, r.generation, r.slot_id, r.action) for r in through(spark, rows, schema, jobs.generation_state, "generations", "append") if r.session == 1]
     assert [x for x in got if x[3] == "publish"] == [(7, 1, 10, "publish"), (7, 1, 11, "publish"), (7, 1, 12, "publish"), (7, 2, 11, "publish"), (7, 2, 13, "publish"), (8, 3, 20, "publish")]
     assert {x for x in got if x[3] == "retire"} == {(7, 1, 10, "retire"), (7, 1, 12, "retire"), (7, 2, 11, "retire"), (7, 2, 13, "retire")}
+
+
+def test_resolutions(spark):
+    schema = "slot_id long, seq long, word string, source string"
+    rows = [(1, 0, "a", "media"), (1, 1, "b", "rule"), (1, 2, "c", "media"), (2, 3, None, "odd"), (1, 4, "d", "context"), (2, 5, "x", "confirmed"), (2, 6, "y", "rule"), (3, 7, "z", None)]
+    last = {}
+    for r in through(spark, rows, schema, jobs.resolve_state, "resolved", "update", 2):
+        last[r.slot_id] = max(last.get(r.slot_id, ()), (r.seq, r.word, r.source))
+    batch = {(r.slot_id, r.word, r.source) for r in jobs.resolve_batch(spark.createDataFrame(rows, schema)).collect()}
+    assert {(k, *v[1:]) for k, v in last.items()} == batch == {(1, "d", "context"), (2, "x", "confirmed"), (3, "z", None)}
+
+
+def test_state_ends_when_the_watermark_has_passed(spark):
+    """A slot's, and a session's, state is gone hours later: what came before no longer counts. One seen in between stays."""
+    from datetime import datetime, timedelta
+
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    schema = "slot_id long, seq long, word string, source string, ts timestamp"
+    rows = [(1, 0, "a", "confirmed", at(0)), (2, 1, "b", "confirmed", at(0)), (2, 2, "c", "media", at(9)), (9, 3, "w", "media", at(9)), (9, 4, "w", "media", at(9.1)), (1, 5, "new", "media", at(9.2)), (2, 6, "no", "media", at(9.2)), (9, 7, "v", "media", at(9.3))]
+    job = lambda s: jobs.resolve_state(s, late="1 minute", keep_ms=10 * jobs.HOUR_MS)
+    kept = [(r.slot_id, r.word) for r in through(spark, rows, schema, job, "kept", "update", 1) if r.slot_id < 9]
+    assert sorted(kept) == [(1, "a"), (2, "b")]
+    gone = [(r.slot_id, r.word) for r in through(spark, rows, schema, lambda s: jobs.resolve_state(s, late="1 minute"), "gone", "update", 1) if r.slot_id < 9]
+    assert (1, "new") in gone and (1, "a") in gone
