@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 MARK = "[__]"
 # The shape of a marker, of a cue in brackets, and of words.
@@ -106,9 +110,27 @@ def answers_match(predicted: Column | str, expected: Column | str, same=None) ->
     return F.coalesce(F.exists(_col(expected), lambda e: same(_col(predicted), e)), F.lit(False))
 
 
+# ASCII and the Latin letters that are their own NFKC form, whatever stands between them.
+NFKC_STABLE = r"\x{00}-\x{7F}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
+
+
+@pandas_udf(StringType())
+def _normalised(texts: pd.Series) -> pd.Series:
+    """NFKC of a batch, once for each distinct text (Unicode 15.1, Python's tables)."""
+    known = {t: unicodedata.normalize("NFKC", t) for t in texts.dropna().unique()}
+    return pd.Series([known.get(t) for t in texts], dtype=object)
+
+
+def nfkc(text: Column | str) -> Column:
+    """The text in Unicode's compatibility form. Texts of which no sign can change are left to the JVM; only others go
+    through Arrow, in batches."""
+    odd = _col(text).rlike(f"[^{NFKC_STABLE}]")
+    return F.when(odd, _normalised(F.when(odd, _col(text)))).otherwise(_col(text))
+
+
 def context_key(text: Column | str) -> Column:
-    """Lower-cased context with markers and white space of one form."""
-    return F.lower(F.trim(F.regexp_replace(normalize_mask(text), r"\s+", " ")))
+    """Lower-cased context in compatibility form, with markers and white space of one form."""
+    return F.lower(F.trim(F.regexp_replace(normalize_mask(nfkc(text)), r"\s+", " ")))
 
 
 def context_shape(text: Column | str) -> Column:

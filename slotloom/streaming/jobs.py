@@ -238,6 +238,28 @@ def late_slots(slots: DataFrame, playhead: str = "playhead_s", time: str = "time
     return slots.withColumn("late", F.col(playhead) - F.col(time) > most)
 
 
+def late_sinks(slots: DataFrame, live: str, side: str, checkpoint: str):
+    """K6 as one stream with two sinks: slots that the playhead has not passed go to the table at ``live``, passed ones to
+    that at ``side``, where they stay pending. A batch writes a folder of its own in each, and writes over it when it runs
+    again, so no slot comes twice or is lost."""
+
+    def split(df: DataFrame, batch: int) -> None:
+        marked = late_slots(df)
+        for late, path in ((False, live), (True, side)):
+            own = marked.where(F.coalesce("late", F.lit(False)) == late).drop("late")
+            own.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return slots.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).start()
+
+
+def after_seek(spark: SparkSession, side: str, seeks: DataFrame, most: float = 1.0) -> DataFrame:
+    """K6: the slots of the side table that are ahead again once their track's playhead has moved back, once each. seeks:
+    track_id, playhead_s."""
+    held = spark.read.parquet(side).drop("playhead_s", "batch")
+    now = late_slots(held.join(seeks.select("track_id", "playhead_s"), "track_id"), most=most)
+    return now.where("NOT late").drop("late").dropDuplicates(["track_id", "slot_id"])
+
+
 def window_groups(rows: DataFrame, gap: str = "30 seconds", late: str = "1 hour") -> DataFrame:
     """K7: sessions of arriving slots by track: a new one after a gap."""
     source = rows.withWatermark("ts", late) if rows.isStreaming else rows

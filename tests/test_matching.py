@@ -1,6 +1,7 @@
 """Signs between words, sentence ends at slots, and where phrases and contexts stand."""
 
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -122,3 +123,15 @@ def test_review_modes_groups_and_fusion(spark):
     now = spark.createDataFrame([(1, 0, "f", "c"), (1, 1, "f", None), (1, 2, "f", "d")], "track_id long, token_index int, fingerprint string, context string")
     reused = metrics.reuse_predictions(now, now.withColumn("context", F.when(F.col("token_index") < 2, F.col("context"))).withColumn("word", F.lit("w")), ("context",))
     assert metrics.reuse_counts(reused).first().asDict() == {"reused": 2, "computed": 1}
+
+
+def test_compatibility_forms(spark):
+    """All assigned code points, and pairs of a base and a mark, as Python's own tables have them."""
+    signs = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    marks = [c for c in signs if unicodedata.combining(c)]
+    bases = [c for c in signs if c.isalpha()][:600]
+    texts = [f"a{c}b" for c in signs] + [b + m for b in bases for m in marks[::23]] + ["", "plain", "\ufb01le \u2460 \uff21\uff22"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string")
+    got = {r.i: r.n for r in rows.select("i", T.nfkc("t").alias("n")).collect()}
+    assert got[-1] is None and all(got[i] == unicodedata.normalize("NFKC", t) for i, t in enumerate(texts))
+    assert rows.where("i >= 0").orderBy(F.desc("i")).limit(1).select(T.context_key("t")).first()[0] == "file 1 ab"

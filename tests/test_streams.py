@@ -72,3 +72,17 @@ def test_state_ends_when_the_watermark_has_passed(spark):
     assert sorted(kept) == [(1, "a"), (2, "b")]
     gone = [(r.slot_id, r.word) for r in through(spark, rows, schema, lambda s: jobs.resolve_state(s, late="1 minute"), "gone", "update", 1) if r.slot_id < 9]
     assert (1, "new") in gone and (1, "a") in gone
+
+
+def test_late_slots_come_back_after_a_seek(spark, tmp_path):
+    schema = "track_id long, slot_id long, time_s double, playhead_s double"
+    batches = [[(1, 1, 10.0, 5.0), (1, 2, 3.0, 5.0)], [(1, 3, 8.0, 9.0), (1, 4, 8.0, 9.5), (2, 5, 1.0, 50.0), (2, 6, 1.0, None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = jobs.late_sinks(jobs.read_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/live", f"{tmp_path}/side", f"{tmp_path}/check")
+        query.processAllAvailable()
+        query.stop()
+    of = lambda name: {r.slot_id for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+    assert of("live") == {1, 3, 6} and of("side") == {2, 4, 5}
+    seeks = spark.createDataFrame([(1, 7.0), (2, 60.0)], "track_id long, playhead_s double")
+    assert [(r.slot_id, r.playhead_s) for r in jobs.after_seek(spark, f"{tmp_path}/side", seeks).collect()] == [(4, 7.0)]
