@@ -201,5 +201,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The documents, all columns, without those that hold an item. They are told by hashes of id and text."""
     hits, _ = _hits(docs, items, id_col, text_col, item_col, item_text, width, least)
     gone = cut(hits.select(F.xxhash64("id").alias("__id"), F.xxhash64("text").alias("__text")).distinct(), "contaminated")
-    tagged = docs.withColumns({"__id": F.xxhash64(id_col), "__text": F.xxhash64(text_col)})
-    return tagged.join(gone, ["__id", "__text"], "left_anti").select(docs.columns)
+    return docs.join(gone, (F.xxhash64(docs[id_col]) == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__text"]), "left_anti")

@@ -257,13 +257,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = cut(groups.where(~same).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "gone")
     gone = _small(gone)
     many = cut(groups.where(same & (F.col("times") > 1)).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")), "repeated")
-    tagged = docs.withColumn("__of", F.xxhash64(text_col))
-    meets = lambda keys: tagged[id_col].eqNullSafe(keys["__id"]) & (tagged["__of"] == keys["__hash"])
+    of = "__of"
+    while of in docs.columns:
+        of += "_"
+    tagged = docs.withColumn(of, F.xxhash64(text_col))
+    meets = lambda keys: tagged[id_col].eqNullSafe(keys["__id"]) & (tagged[of] == keys["__hash"])
     kept = tagged.join(gone, meets(gone), "left_anti")
     if many.isEmpty():
         return kept.select(docs.columns)
-    meets = lambda keys: kept[id_col].eqNullSafe(keys["__id"]) & (kept["__of"] == keys["__hash"])
+    meets = lambda keys: kept[id_col].eqNullSafe(keys["__id"]) & (kept[of] == keys["__hash"])
     many = _small(many)
     once = kept.join(many, meets(many), "left_anti")
-    first = kept.join(many, meets(many), "left_semi").dropDuplicates([id_col, "__of"])
+    first = kept.join(many, meets(many), "left_semi").dropDuplicates([id_col, of])
     return once.unionByName(first).select(docs.columns)
