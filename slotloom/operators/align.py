@@ -92,8 +92,8 @@ def common_subsequence(a: str, b: str) -> Column:
 
 
 def _near(slots: DataFrame, tokens: DataFrame, around_ms: int, keyed: bool) -> DataFrame:
-    """Slots with the words around their time, agreeing neighbours counted from the slot outwards: by the word next to them
-    on either side (``keyed``), or all. ``base`` is the score without common subsequences, ``most`` a bound of what those
+    """Slots with the words around their time, agreeing neighbours counted from the slot outwards: those with the same words
+    next to them (``keyed``), or all. ``base`` is the score without common subsequences, ``most`` a bound of what those
     add."""
     buckets = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("time_ms") / around_ms) + i)).alias("bucket")
     kept = [c for c in ("top", "best") if c in slots.columns]
@@ -101,14 +101,10 @@ def _near(slots: DataFrame, tokens: DataFrame, around_ms: int, keyed: bool) -> D
     right = tokens.select("track_id", "occ_index", F.col("time_ms").alias("ot"), "word", "lefts", "rights", F.floor(F.col("time_ms") / around_ms).alias("bucket"))
     on = ["track_id", "bucket"]
     if keyed:
-        ends = lambda a, b: F.explode(F.array(F.struct(F.lit("l").alias("side"), F.get(a, F.lit(0)).alias("next")), F.struct(F.lit("r").alias("side"), F.get(b, F.lit(0)).alias("next")))).alias("key")
-        left, right = left.select("*", ends("sl", "sr")), right.select("*", ends("lefts", "rights")).where("key.next IS NOT NULL").select("*", F.col("key.side").alias("side"), F.col("key.next").alias("next")).drop("key")
-        left, on = left.select("*", F.col("key.side").alias("side"), F.col("key.next").alias("next")).drop("key"), [*on, "side", "next"]
+        ends = lambda df, a, b: df.select("*", F.get(a, F.lit(0)).alias("before"), F.get(b, F.lit(0)).alias("after"))
+        left, right, on = ends(left, "sl", "sr"), ends(right, "lefts", "rights"), [*on, "before", "after"]
     far = F.abs(F.col("time_ms") - F.col("ot"))
     pairs = left.select("*", buckets).join(right, on).where(far <= around_ms)
-    both = (F.get("sl", F.lit(0)) == F.get("lefts", F.lit(0))) & (F.get("sr", F.lit(0)) == F.get("rights", F.lit(0)))
-    if keyed:  # a pair that meets on both sides is kept once
-        pairs = pairs.where(F.coalesce(~both, F.lit(True)) | (F.col("side") == "l"))
     exact = pairs.withColumn("xl", _agree("sl", "lefts")).withColumn("xr", _agree("sr", "rights"))
     base = 5 * (F.col("xl") + F.col("xr")) + F.when((F.col("xl") > 0) & (F.col("xr") > 0), 3).otherwise(0) - 0.05 * far / 1000.0
     held = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(F.col(b), x)))
@@ -124,22 +120,21 @@ def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0, arou
     track_id, token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms, word (null: no
     label), lefts, rights.
 
-    A winner agrees with the words next to the slot, so slots and tokens meet on the track and one such word, not on time
-    alone: those pairs hold every candidate that agrees on a side. One that agrees on neither has common subsequences
-    only, so it comes within the margin only of a winner whose score is less than the slot's words and the margin: only such
-    slots meet all words of their time. Subsequences are made for pairs that can still come within the margin of the best."""
+    A winner agrees with both words next to the slot, so slots and tokens meet on these and the track, not on time alone. Any
+    other word agrees on one side at most, which bounds its score by the slot's words: only slots whose winner does not
+    lead that bound by the margin meet all words of their time. Subsequences are made for pairs that can still come within
+    the margin of the best."""
     slot = Window.partitionBy("track_id", "token_index")
     able = slots.where((F.size("lefts") > 0) & (F.size("rights") > 0))
     near = _near(able, tokens, around_ms, True)
-    # Slots without a candidate on both sides have no winner.
-    near = near.withColumn("top", F.max(F.when((F.col("xl") > 0) & (F.col("xr") > 0), F.col("base"))).over(slot)).where(F.col("base") + F.col("most") >= F.col("top") - margin)
+    near = near.withColumn("top", F.max("base").over(slot)).where(F.col("base") + F.col("most") >= F.col("top") - margin)
     w = slot.orderBy(F.desc("score"), "occ_index")
     ranked = near.withColumn("score", _scored(near)).withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
-    won = ranked.where("k = 1 AND xl > 0 AND xr > 0 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))
+    won = ranked.where("k = 1 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))
     won = won.select("track_id", "token_index", "time_ms", "sl", "sr", "occ_index", "word", "score")
-    low = won.where(F.col("score") - margin < F.size("sl") + F.size("sr"))
+    low = won.where(F.col("score") - margin < 5 * F.greatest(F.size("sl"), F.size("sr")) + F.size("sl") + F.size("sr"))
     rest = _near(low.select("track_id", "token_index", "time_ms", F.col("sl").alias("lefts"), F.col("sr").alias("rights"), F.col("score").alias("best")), tokens, around_ms, False)
-    rest = rest.where("xl = 0 AND xr = 0").where(F.col("best") - F.col("base") - F.col("most") < margin)
+    rest = rest.where("xl = 0 OR xr = 0").where(F.col("best") - F.col("base") - F.col("most") < margin)
     beaten = rest.where(F.col("best") - _scored(rest) < margin).select("track_id", "token_index").distinct()
     return won.join(beaten, ["track_id", "token_index"], "left_anti").select("track_id", "token_index", "occ_index", "word", "score")
 

@@ -207,7 +207,7 @@ def _blocks(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int, ...]
     drift, pad = F.explode(F.array(*[F.lit(d).cast("int") for d in drifts_ms])).alias("drift"), max(drifts_ms)
     s = slots.where("time_ms IS NOT NULL").select("track_id", F.lit("s").alias("side"), F.col("time_ms").cast("bigint").alias("a"), F.col("time_ms").cast("bigint").alias("b"), F.col("token_index").cast("bigint").alias("k"), F.lit(None).cast("string").alias("word"))
     o = occurrences.where("start_ms IS NOT NULL AND end_ms IS NOT NULL").select("track_id", F.lit("o").alias("side"), F.col("start_ms").cast("bigint").alias("a"), F.col("end_ms").cast("bigint").alias("b"), F.col("occ_index").cast("bigint").alias("k"), "word")
-    both = s.unionByName(o)
+    both = cut(s.unionByName(o), "sides")
     spans = both.groupBy("track_id").agg(F.min(F.when(F.col("side") == "s", F.col("a"))).alias("origin"), F.max(F.when(F.col("side") == "s", F.col("a"))).alias("last")).where("origin IS NOT NULL")
     spans = spans.select("track_id", "origin", F.floor((F.col("last") - F.col("origin")) / width).cast("bigint").alias("blocks"))
     # Occurrences before the first and after the last block meet no slot.

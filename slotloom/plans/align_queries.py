@@ -18,14 +18,9 @@ def plain_events(spark, d):
     return S.line_events(rows.withColumn("text", F.col("original")))
 
 
-def masked_words(spark, d):
-    """Timed words and slots of the masked tracks, written once a query."""
-    return B.once("masked-words", d, lambda: S.spoken_words(B.events(spark, d)))
-
-
 def plain_words(spark, d):
-    """Timed words of the plain tracks, written once a query."""
-    return B.once("plain-words", d, lambda: S.spoken_words(plain_events(spark, d)))
+    """Timed words of the plain tracks."""
+    return B.kept("plain-words", d, lambda: S.spoken_words(plain_events(spark, d)))
 
 
 def occurrences(spark, d):
@@ -37,7 +32,13 @@ def occurrences(spark, d):
 
 def timed_slots(spark, d):
     make = lambda: S.slot_times(B.slots(spark, d)).select("track_id", F.col("token_index").cast("bigint").alias("token_index"), F.round(F.col("time_s") * 1000).cast("bigint").alias("time_ms"))
-    return B.once("timed-slots", d, make)
+    return B.kept("timed-slots", d, make)
+
+
+def _write_shared(spark, d):
+    """Timed words and slots are written once for a query that uses them more than once."""
+    B.once("plain-words", d, lambda: plain_words(spark, d))
+    B.once("timed-slots", d, lambda: timed_slots(spark, d))
 
 
 def _around(words, reach, keep):
@@ -54,7 +55,7 @@ def _around(words, reach, keep):
 def context_slots(spark, d):
     from pyspark.sql import Window
 
-    rows = _around(masked_words(spark, d), 10, "unit = '[__]'")
+    rows = _around(S.spoken_words(B.events(spark, d)), 10, "unit = '[__]'")
     return rows.withColumn("token_index", (F.row_number().over(Window.partitionBy("track_id").orderBy("position")) - 1).cast("bigint"))
 
 
@@ -94,6 +95,7 @@ def e4_align_context(spark, d):
 
 
 def _merged(spark, d):
+    _write_shared(spark, d)
     context = A.align_context(context_slots(spark, d), context_tokens(spark, d))
     time = A.align_time(timed_slots(spark, d), occurrences(spark, d), 1500)
     fixed = timed_slots(spark, d).where("token_index = 0").select("track_id", "token_index", F.lit("fixed").alias("word"))
@@ -122,6 +124,7 @@ def e6_track_offset(spark, d):
 
 @R.add()
 def e7_align_shifted(spark, d):
+    _write_shared(spark, d)
     slots = timed_slots(spark, d)
     offsets = slots.select("track_id").distinct().withColumn("offset_ms", F.when(F.col("track_id") % 2 == 0, 1200.0).otherwise(0.0))
     known = A.align_time(slots, occurrences(spark, d), 400)

@@ -36,6 +36,12 @@ def once(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
     return held[key]
 
 
+def kept(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``once`` has written, or else made anew: queries that use it only once need not write it."""
+    held = _WRITTEN.get() or {}
+    return held[name, sf_dir] if (name, sf_dir) in held else make()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
