@@ -146,6 +146,7 @@ def clean_metadata(value: Column | str) -> Column:
 
 def creator_key(creator_id: Column | str, name: Column | str) -> Column:
     """``id:`` and a canonical id, else ``name:`` and the normalised name, else null."""
+    # Fixed value: the platform's form of a channel id.
     key = F.trim(F.regexp_replace(F.lower(clean_metadata(name)), r"\s+", " "))
     return F.when(_col(creator_id).rlike("^UC[A-Za-z0-9_-]{22}$"), F.concat(F.lit("id:"), _col(creator_id))).when(key != "", F.concat(F.lit("name:"), key))
 

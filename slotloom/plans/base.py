@@ -87,7 +87,7 @@ def labelled(spark: SparkSession, sf_dir: str, before: int = 2, after: int = 2)
 
 _PAT = r"\b(from|that|this|with)\b"
 _WORD = r"(\*|\[__\]|[\p{L}\p{N}_'']+)"
-#: CTEs, each using those before it.
+#: CTEs, each using those before it. Their patterns of markers, words and sentence ends are the fixed values of functions.text.
 CTES = {
     "tracks": "SELECT doc_id AS track_id, text, source AS creator, CASE quality WHEN 1 THEN 'manual-auto' WHEN 0 THEN 'synthetic' ELSE 'unknown' END AS pair_class FROM documents LEFT JOIN labels USING (doc_id)",
     "masked": rf"SELECT * FROM (SELECT track_id, regexp_replace(text, '(?i){_PAT}', '[__]', 'g') AS text, text AS original, creator, pair_class FROM tracks) WHERE contains(text, '[__]')",
