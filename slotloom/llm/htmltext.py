@@ -7,14 +7,19 @@ characters and LT tags in links, the composite text density is
     (C / T) * log_b(C * T / (LC * LT)),   b = ln(C * LC / (C - LC) + LC_body * C / C_body + e)
 
 with zero counts read as one. A node's density sum adds up its children's densities. The node with the largest sum
-(ties: the first on the page) is the article, and the least density on its path to the body is the threshold. From the
-body downwards, each other node that reaches the threshold yields its subtree's node of the largest sum; those whose sum
-is at least ``SHARE`` of the article's are further parts of it. Density decides alone, without regard to ``article``,
-``main`` or telling names. Elements that are told by tag, role, class or id to be menus, headers, footers, sidebars,
-notices, adverts, forms or comment sections count nothing. Where such names leave no text at all, they are disregarded.
+(ties: the first on the page) is the heart of the article, and the least density on its path to the body is the threshold.
+The article is the lowest ancestor of that node that holds all further parts of it, whole. Beside the path, headings,
+paragraphs, lists, tables and the like are parts unless half or more of their text stands in links; text that stands in a
+plain container is in doubt and a part only where it reaches the threshold and is no thinner than half of the path's node
+beside it. Density decides alone, without regard to ``article`` or ``main``.
+
+Elements that are told by tag or role to be menus, headers, footers, sidebars, notices, adverts, forms or comment sections
+count nothing, nor do those with a class or id made up of such names alone (``ad``, ``comment-list``). A name with other
+words in it (``discussion-of-results``) only decides for nodes below the threshold beside the path. Where names leave no
+text at all, they are disregarded.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and misnested tags are closed where the next
-block needs it; a quote that is not closed within a few thousand signs is an ordinary sign. Very long pages are read
+block needs it; a quote that is never closed is an ordinary sign. Very long pages are read
 whole. Repeated rows each get their row; an empty table gives no rows; extra columns are left out.
 """
 
@@ -28,9 +33,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A node whose density sum is this share of the article's, or more, is a part of it.
-SHARE = 0.25
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_SPECIAL = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z]+|\d+")
 
@@ -48,13 +52,21 @@ OTHER_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus reply replies respond discussion pagination pager toolbar skip".split()
 )
+#: Words that say nothing beside another name.
+PLAIN_NAMES = frozenset(
+    "area bar block body bottom box button buttons by card cards col column container count content entry footer form group head header heading icon icons id inline inner "
+    "item items js label large left link links list main media message messages mobile new on outer page pane panel post posts reader readers right row section site slot small "
+    "space stories story text the this thread title to top unit user users view wrap wrapper your".split()
+)
+# Fixed values of the HTML language: elements that hold prose.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table blockquote pre figure figcaption details summary address".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "other", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kids", "up", "other", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, up: Node | None, other: bool = False):
-        self.tag, self.up, self.other, self.kids = tag, up, other, []
+        self.tag, self.up, self.other, self.named, self.kids = tag, up, other, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -62,18 +74,54 @@ class Node:
         return self.tag in BLOCK
 
 
-def _is_other(tag: str, attrs: str, inside_article: bool, names: bool) -> bool:
+def _is_other(tag: str, attrs: str, inside_article: bool, names: bool) -> tuple[bool, bool]:
+    """(whether an element is other matter, whether its class or id hints at it)."""
     if tag in OTHER_TAGS or tag == "header" and not inside_article:
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main") or not attrs or not names:
-        return False
+        return False, False
+    hint = False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and tag in BLOCK | {"span", "a", "ins"} and not OTHER_NAMES.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag in BLOCK | {"span", "a", "ins"}:
+            for part in value.split():
+                words = [w for w in _WORD.findall(part) if not w.isdigit()]
+                if not OTHER_NAMES.isdisjoint(words):
+                    hint = True
+                    if all(w in OTHER_NAMES or w in PLAIN_NAMES for w in words):
+                        return True, True
+    return False, hint
+
+
+class _Tags:
+    """Ends of tags: the first ``>`` outside quotes. Places that are known to lead nowhere are remembered, so the time is
+    linear in the page however many tags stay open."""
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.seen = page, set(), (0, -1)
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def _next(self, at: int) -> int:
+        """The next ``>`` or quote, or -1."""
+        lo, hit = self.seen
+        if not lo <= at <= (hit if hit >= 0 else -1):
+            m = _SPECIAL.search(self.page, at)
+            self.seen = at, m.start() if m else len(self.page)
+        return self.seen[1] if self.seen[1] < len(self.page) else -1
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag read up to ``at``, or -1."""
+        passed = []
+        while (i := self._next(at)) >= 0 and i not in self.lost:
+            c = self.page[i]
+            if c == ">":
+                return i
+            passed.append(i)
+            at = i + 1 if self.last[c] <= i else self.page.index(c, i + 1) + 1
+        self.lost.update(passed)
+        return -1
 
 
 def parse(page: str, names: bool = True) -> Node:
@@ -85,18 +133,22 @@ def parse(page: str, names: bool = True) -> Node:
     at = body
     head = False
     articles = 0
-    n = len(page)
+    n, tags, look = len(page), _Tags(page), 0
     while end < n:
-        m = _TOKEN.search(page, end)
+        m = _TOKEN.search(page, max(end, look))
+        close = tags.end(m.end()) if m and m[2] else -1
+        if m and m[2] and close < 0:
+            look = m.start() + 1
+            continue
         text = page[end : m.start() if m else n]
         if text and not head:
             at.kids.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
-        end = m.end()
+        end = close + 1 if m[2] else m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, attrs = m[2].lower(), page[m.end() : close]
         if m[1]:
             if tag == "head":
                 head = False
@@ -130,9 +182,11 @@ def parse(page: str, names: bool = True) -> Node:
             elif x.tag in BLOCK and x.tag != "p":
                 break
             x = x.up
-        node = Node(tag, at, _is_other(tag, m[3], articles > 0, names))
+        other, hint = _is_other(tag, attrs, articles > 0, names)
+        node = Node(tag, at, other)
+        node.named = hint
         at.kids.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
             at = node
             articles += tag == "article"
     return body
@@ -191,31 +245,43 @@ def _best(x: Node) -> Node:
     return best
 
 
+def _part(x: Node, threshold: float, beside: float) -> bool:
+    """Whether a node beside the path, with text, is a part of the article; what is none inside it is marked. beside: the
+    density of the path's node next to it."""
+    found, stack = False, [x]
+    while stack:
+        y = stack.pop()
+        inner = [k for k in y.kids if not isinstance(k, str) and not k.other and k.chars]
+        if 2 * y.link_chars >= y.chars or y.named and y.density < threshold:
+            y.other = True
+        elif y.tag in PROSE or not y.block():
+            found = True
+        elif any(k.block() for k in inner):
+            # A container: its parts are judged, text that stands right in it goes with them.
+            stack += inner
+        elif y.density >= threshold and 2 * y.density >= beside:
+            found = True
+        else:
+            y.other = True
+    x.other = x.other or not found
+    return found
+
+
 def select(body: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order."""
+    """The subtree that holds the article; what is no part of it there is marked as other matter."""
     measure(body)
     best = _best(body)
-    path, x = set(), best
-    while x is not None:
-        path.add(id(x))
-        x = x.up
-    threshold = min(best.density, body.density)
-    x = best
+    threshold, x = min(best.density, body.density), best
     while x is not body:
         threshold = min(threshold, x.density) if x.block() else threshold
         x = x.up
-    found, stack = [], [body]
-    while stack:
-        x = stack.pop()
-        if x is best:
-            found.append(x)
-        elif id(x) not in path and x.density >= threshold:
-            part = _best(x)
-            if max(part.sum, part.density if not children(part) else 0.0) >= SHARE * best.sum:
-                found.append(part)
-        else:
-            stack += reversed(children(x))
-    return found
+    top, x = best, best
+    while x is not body:
+        for k in x.up.kids:
+            if k is not x and not isinstance(k, str) and not k.other and k.chars and _part(k, threshold, x.density):
+                top = x.up
+        x = x.up
+    return [top]
 
 
 def blocks(roots: list[Node]) -> list[str]:

@@ -176,6 +176,53 @@ def test_html_by_density_alone(spark):
     assert htmltext.extract("<body><div><p>aa</p><p>bb</p></div><div><p>aa</p><p>bb</p></div></body>") == "aa\n\nbb\n\naa\n\nbb"
 
 
+def paras(n, text="Some words of a paragraph that goes on for a while, with sense. "):
+    return "".join(f"<p>{i} {text * 2}</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_html_short_section_beside_a_long_one(n):
+    page = f"<body><nav>menu</nav><section>{paras(12)}</section><section>{paras(n)}</section><footer>x</footer>"
+    assert len(htmltext.extract(page).split("\n\n")) == 12 + n
+
+
+def test_html_parts_beside_the_densest_node():
+    titled = htmltext.extract(f"<body><article><header><h1>Real title</h1></header><div>{paras(12)}</div></article>")
+    assert titled.startswith("Real title\n\n0 Some") and len(titled.split("\n\n")) == 13
+    lead = htmltext.extract(f"<body><h1>Title</h1><p>Lead.</p><section>{paras(3)}</section><section>{paras(5)}</section>")
+    assert lead.startswith("Title\n\nLead.\n\n0 Some") and len(lead.split("\n\n")) == 10
+    links = "<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>"
+    assert htmltext.extract(f"<body>{links}<div>{paras(4)}</div><div>{links}</div>") == htmltext.extract(f"<body>{paras(4)}")
+
+
+@pytest.mark.parametrize("name", ['id="discussion-of-results"', 'class="share-price-report"', 'class="comment-free notice-board-article"'])
+def test_html_names_with_other_words(name):
+    page = f"<body><div {name}>{paras(8)}</div><div>Other stuff in the page, short.</div>"
+    assert htmltext.extract(page) == htmltext.extract(f"<body>{paras(8)}")
+    comments = f"<body><div>{paras(2)}</div><div class='reader-comments'>{paras(9)}</div><div id='cookie-banner'><p>We use cookies.</p></div>"
+    assert htmltext.extract(comments) == htmltext.extract(f"<body>{paras(2)}")
+
+
+def test_html_wrapped_in_other_ways():
+    """However an article is cut into elements, its text is the same."""
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        want, body = htmltext.extract(page), re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        title, ends = body.find("</h1>") + 5, [m.end() for m in re.finditer("</p>", body)]
+        first, late = (ends[0], ends[len(ends) * 3 // 4]) if ends else (title, title)
+        assert htmltext.extract(page.replace(body, f"<div>{body[:first]}</div><div>{body[first:]}</div>")) == want
+        assert htmltext.extract(page.replace(body, f"<header>{body[:title]}</header><div>{body[title:]}</div>")) == want
+        assert htmltext.extract(page.replace(body, f"<section>{body[:late]}</section><section>{body[late:]}</section>")) == want
+
+
+def test_html_quotes():
+    assert htmltext.extract(f'<body><p>a</p><img src="data:{"x" * 9000}>"><p>b</p>') == "a\n\nb"
+    assert htmltext.extract("<body><p title=it's>a</p><p>b</p>") == "a\n\nb"
+    for broken in ("<p " * 50000, "<p '" * 50000, "<a <a \"'" * 30000, "<p title=\"a' " * 30000):
+        assert htmltext.extract(broken) is not None
+
+
 def test_html_long_and_broken(spark):
     assert htmltext.extract('<p title="' * 20000 + "x") is not None
     long = "<body>" + "<p>word and word</p>" * 50000 + "</body>"
