@@ -9,9 +9,12 @@ A band key that more than ``paired`` classes share makes no pairs. Each of its c
 the classes of keys that are not one component by then meet by an exact prefix filter instead. Their shingles are put in
 one order, rarest first (by counts of a fixed number of buckets; any order is right). Two sets of a Jaccard of t share a
 shingle among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, so
-only these are joined, and only across components. A passage that very many texts share is frequent and thus last in
-order: it makes no pairs unless it is most of both texts. Within the join a map of MARKS parities of each set's shingles
-tells the least number in which two sets differ, so pairs that are clearly too far apart do not leave it.
+only these are joined, and only across components. Where the first shared one is the i-th of a set, at most n - i are
+shared, so the two sizes and places must leave room for the shared part that the pair needs. A passage that very many
+texts share is frequent and thus last in order: it makes no pairs unless it is most of both texts. Keys that over
+``paired`` rows hold are dealt by classes of size: a row only goes to the classes of partners that its place leaves room
+for, so rows that a passage cannot make alike do not even meet. Within the join a map of MARKS parities of each set's
+shingles tells the least number in which two sets differ, so pairs that are clearly too far apart do not leave it.
 
 Null, empty and blank texts have no shingle: their fingerprint is zero, linked like any other. Rows are told apart by id
 and text: rows that repeat both are one class anyway, rows with one id and different texts are documents of their own.
@@ -37,6 +40,8 @@ from slotloom.llm.wordstream import Stream, chunks
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
 #: Counters that tell frequent shingles; their number does not grow with the texts.
 BUCKETS = 1 << 20
+#: Ratio of neighbouring classes of size.
+STEP = 1.05
 #: Bits of a set's parity map, a multiple of 64.
 MARKS = 512
 #: Rows of keys (24 bytes each) up to which they are broadcast.
@@ -147,7 +152,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
+def _dealt(rows: DataFrame, n: str, at: str, least: float, larger: bool) -> DataFrame:
+    """Rows with c1 and c2, the classes of size of the larger and the smaller set of a pair, for all partners for which a
+    set of ``n`` shingles, the first shared one at place ``at``, leaves room. larger: whether the rows' own set is it."""
+    size_class = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / np.log(STEP)).cast("int")
+    room = (F.col(n) - F.col(at)) * ((1 + least) / least) - F.col(n) + 1e-6
+    lo, hi = (least * F.col(n) - 1e-6, F.least(F.col(n) + 1e-6, room)) if larger else (F.col(n) - 1e-6, F.least(F.col(n) / least + 1e-6, room))
+    fits = rows.where(lo <= hi).withColumn("own", size_class(F.col(n).cast("double"))).withColumn("other", F.explode(F.sequence(size_class(lo), size_class(hi))))
+    return fits.withColumnsRenamed({"own": "c1", "other": "c2"} if larger else {"own": "c2", "other": "c1"})
+
+
+def _across(rows: DataFrame, least: float, paired: int = PAIRED) -> DataFrame:
     """Pairs (a, b) of classes of different roots that may have a Jaccard of ``least``, by prefixes of the rarest shingles.
     rows: cls, root, shingles."""
     spark = rows.sparkSession
@@ -168,7 +183,7 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            keys, owner, size, short, marks = [], [], [], [], np.zeros((batch.num_rows, MARKS // 64), np.int64)
+            keys, owner, size, place, short, marks = [], [], [], [], [], np.zeros((batch.num_rows, MARKS // 64), np.int64)
             for i, x in enumerate(batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), "<u8")
                 n = len(h)
@@ -179,21 +194,27 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
                 keys.append(first)
                 owner.append(np.full(len(first), i))
                 size.append(np.full(len(first), n, np.int32))
-                short.append(np.arange(len(first)) < shorter)
+                place.append(np.arange(len(first), dtype=np.int32))
+                short.append(place[-1] < shorter)
             if keys:
                 at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(size)), pa.array(np.concatenate(short)), *(pa.array(m[np.concatenate(owner)]) for m in marks.T)], ["key", "cls", "root", "n", "short", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(np.concatenate(short)), *(pa.array(m[np.concatenate(owner)]) for m in marks.T)], ["key", "cls", "root", "n", "place", "short", *names])
 
     names = [f"m{i}" for i in range(MARKS // 64)]
-    own = cut(rows.select("cls", "root", "shingles").mapInArrow(prefixes, "key bigint, cls bigint, root bigint, n int, short boolean, " + ", ".join(f"{m} bigint" for m in names)), "prefixes")
+    own = cut(rows.select("cls", "root", "shingles").mapInArrow(prefixes, "key bigint, cls bigint, root bigint, n int, place int, short boolean, " + ", ".join(f"{m} bigint" for m in names)), "prefixes")
     # Keys whose classes are all of one root make no pair.
-    split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
     own = own.join(split, "key")
-    small = own.where("short").select("key", F.col("cls").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), *(F.col(m).alias(f"o{m}") for m in names))
+    small = own.where("short").select("key", "m", F.col("cls").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"), *(F.col(m).alias(f"o{m}") for m in names))
+    few = own.where(F.col("m") <= paired).join(small.where(F.col("m") <= paired).drop("m"), "key")
+    crowded = _dealt(own.where(F.col("m") > paired), "n", "place", least, True).join(_dealt(small.where(F.col("m") > paired).drop("m"), "n2", "place2", least, False), ["key", "c1", "c2"]).drop("c1", "c2")
     differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}"))) for m in names), F.lit(0))
-    # A Jaccard of t leaves at most (1 - t) / (1 + t) of both sizes to differ.
-    near = differ <= (1 - least) / (1 + least) * (F.col("n") + F.col("n2")) + 1e-9
-    held = own.join(small, "key").where("root <> root2").where((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))).where(F.col("n2") >= least * F.col("n") - 1e-9).where(near)
+    both = F.col("n") + F.col("n2")
+    # A Jaccard of t leaves at most (1 - t) / (1 + t) of both sizes to differ, and needs t / (1 + t) of them shared.
+    near = differ <= (1 - least) / (1 + least) * both + 1e-9
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= least / (1 + least) * both - 1e-6
+    ordered = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))
+    held = few.unionByName(crowded).where("root <> root2").where(ordered).where(F.col("n2") >= least * F.col("n") - 1e-9).where(room).where(near)
     return held.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
 
 
@@ -234,7 +255,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now = cut(now, "crowded")
         open_ = now.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("at", "n")
         left = cut(join_unique(now.select("at", "cls", "root"), open_.select("at"), "at", open_, now.count()).select("cls", "root").distinct(), "open-classes")
-        edges = edges.union(_verified(_across(left.join(sets, "cls"), least), sets, least))
+        edges = edges.union(_verified(_across(left.join(sets, "cls"), least, paired), sets, least))
 
     named = classes.join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least", "n")
     named = cut(named, "roots")

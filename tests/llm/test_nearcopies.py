@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import corpus_pipeline
 from slotloom.llm import nearcopies
 
@@ -85,6 +86,38 @@ def test_prefixes_lose_no_link(spark):
     assert sorted((r.id, r.component.id) for r in nearcopies.near_copies(df, paired=2).collect()) == components(docs)
 
 
+def passage_sets(n):
+    """Sets that share one passage of 900 shingles: even ones with 100 of their own, odd ones with 200."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    return [np.sort(np.concatenate([passage, rng.integers(0, 1 << 63, 100 + i % 2 * 100, dtype=np.uint64)])) for i in range(n)]
+
+
+def test_a_passage_makes_no_pairs(spark):
+    """Even sets are one component by the passage (0.82), odd ones are 0.75 alike to them and 0.69 to each other."""
+    for n in (500, 1000):
+        rows = [(i, 0 if i % 2 == 0 else i, x.tobytes()) for i, x in enumerate(passage_sets(n))]
+        pairs = nearcopies._across(spark.createDataFrame(rows, "cls long, root long, shingles binary"), 0.8)
+        assert pairs.count() <= n
+
+
+def test_across_loses_no_pair(spark):
+    """Sets of many sizes around one passage, some alike: every pair of 0.8 or more is among the candidates."""
+    rng = np.random.default_rng(6)
+    draw = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    passage, sets = draw(60), []
+    for _ in range(60):
+        own = draw(int(rng.integers(5, 60)))
+        sets.append(np.concatenate([passage, own]))
+        sets.append(np.concatenate([passage, own[: len(own) - int(rng.integers(0, 5))], draw(int(rng.integers(0, 9)))]))
+    rows = [(i, i, np.sort(x).tobytes()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cls long, root long, shingles binary")
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if (o := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - o)}
+    assert len(want) > 100
+    for paired in (1, 8, 1000):
+        assert want <= {(r.a, r.b) for r in nearcopies._across(df, 0.8, paired).collect()}
+
+
 def test_one_of_each_keeps_one_of_repeated_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
     twice = docs.union(docs)
