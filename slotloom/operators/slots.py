@@ -203,12 +203,14 @@ def merge_intervals(slots: DataFrame, before: int = 35, after: int = 30) -> Data
     return island.groupBy("track_id", "island").agg(F.min("a").alias("start_s"), F.max("b").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text", hidden: str | None = None, continuing: list[str] | None = None, exempt: list[str] | None = None) -> DataFrame:
+def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str = "text", hidden: str | None = None, continuing: list[str] | None = None, exempt: list[str] | None = None, lead: int = 0) -> DataFrame:
     """H1: one row a slot: token_index, at (its word position), features and expected, if ``hidden`` names an array of the
     slots' words. features: array of (off, tok, joined) around it, padded; joined tells whether a rule may reach the token:
     before the slot only white space, commas and quotes may stand between, after it only white space, ``<BOS>`` has
     nothing before the first word. breaks: whether a sentence is taken to end at the slot (B20), judged from two words on
-    each side. Only slots leave the text's row, never all its words."""
+    each side, or as many as the longest phrase has. lead, if over 0: an array of up to so many lower-case words leftwards
+    from the slot, as far as only white space parts them (for ``continues``). Only slots leave the text's row, never all its
+    words."""
     keep = [c for c in tracks.columns if c not in (text, hidden)]
     labels = [hidden] if hidden else []
     rows = tracks.select(*keep, *labels, F.explode(F.array(T.rule_tokens(text))).alias("t")).select(*keep, *labels, F.col("t.words").alias("words"), F.col("t.gaps").alias("gaps"))
@@ -228,20 +230,67 @@ def slot_features(tracks: DataFrame, before: int = 2, after: int = 2, text: str
             steps = [(i + k >= F.size("words")) | gap(i + k).rlike(r"^\s+\z") for k in range(1, o + 1)]
         return reduce(lambda a, b: a & b, steps)
 
+    longest = lambda phrases: max([2, *(len(x.split()) for x in phrases or [])])
+
     def breaks(i: Column) -> Column:
         word = lambda k: F.coalesce(F.when(k >= 0, F.get("words", k)), F.lit(""))
-        head = F.concat(word(i - 2), gap(i - 1), word(i - 1), gap(i))
-        tail = F.concat(gap(i + 1), word(i + 1), gap(i + 2), word(i + 2))
+        head = F.concat(*[x for k in range(longest(continuing), 0, -1) for x in (word(i - k), gap(i - k + 1))])
+        tail = F.concat(*[x for k in range(1, longest(exempt) + 1) for x in (gap(i + k), word(i + k))])
         return T.virtual_break(head, tail, continuing, exempt)
 
+    def leading(i: Column) -> Column:
+        """The words leftwards from word i up to the first gap that is not white space."""
+        back = F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda k: F.struct(k.alias("k"), F.when(i - k >= 0, F.lower(F.get("words", i - k))).alias("w"), F.coalesce(F.get("gaps", i - k + 1).rlike(r"^\s*\z"), F.lit(False)).alias("ok")))
+        ends = F.array_min(F.transform(F.filter(back, lambda b: b["w"].isNull() | ~b["ok"]), lambda b: b["k"]))
+        return F.transform(F.filter(back, lambda b: b["k"] < F.coalesce(ends, F.lit(lead + 1))), lambda b: b["w"])
+
     def slot(i: Column, k: Column) -> Column:
         around = F.array(*[F.struct(F.lit(o).alias("off"), token(i + o).alias("tok"), joined(i, o).alias("joined")) for o in offsets])
-        return F.struct(k.alias("token_index"), i.alias("at"), around.alias("features"), breaks(i).alias("breaks"), *([F.get(hidden, k).alias("expected")] if hidden else []))
+        return F.struct(k.alias("token_index"), i.alias("at"), around.alias("features"), breaks(i).alias("breaks"), *([leading(i).alias("lead")] if lead else []), *([F.get(hidden, k).alias("expected")] if hidden else []))
 
     places = F.filter(F.transform("words", lambda w, i: F.when(w == T.MARK, i)), lambda i: i.isNotNull())
     return rows.select(*keep, F.explode(F.transform(places, slot)).alias("s")).select(*keep, "s.*")
 
 
+#: Phrases up to which they are broadcast.
+PHRASES = 1 << 17
+
+
+def phrase_paths(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """Phrases as paths of a trie that is read from the last word backwards: path (lower-case words, last first) and
+    depth. A path that passes another one's end is left out: the shorter phrase guards wherever it does. Phrases without a
+    word go."""
+    folded = F.regexp_replace(F.regexp_replace(F.lower(phrase), "[’‘]", "'"), r"[\s\x{A0}]+", " ")
+    way = F.reverse(F.filter(F.split(folded, " "), lambda w: w != ""))
+    paths = phrases.select(way.alias("way")).where(F.size("way") > 0).distinct().select("way", F.array_join("way", " ").alias("path"), F.size("way").alias("depth"))
+    above = paths.where("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda k: F.array_join(F.slice("way", 1, k), " "))).alias("end"))
+    longer = above.join(paths.select(F.col("path").alias("end")), "end", "left_semi").select("path")
+    return paths.join(longer, "path", "left_anti").select("path", "depth")
+
+
+def continues(slots: DataFrame, paths: DataFrame) -> DataFrame:
+    """B20 in matching: slots before which one of the phrases stands, however long, do not end a sentence: their ``breaks``
+    become false. slots: track_id, token_index, breaks and lead (``slot_features`` with as many words as the longest
+    phrase); paths: those of ``phrase_paths``. Up to PHRASES paths are broadcast, one lookup a length, and slots stay where
+    they are; more paths meet by key the heads of those slots only that break."""
+    head = lambda k: F.array_join(F.slice("lead", 1, k), " ")
+    depths = sorted(r[0] for r in paths.select("depth").distinct().collect())
+    if not depths:
+        return slots
+    if paths.limit(PHRASES + 1).count() <= PHRASES:
+        rows = slots.withColumn("__held", F.lit(False))
+        for k in depths:
+            same = paths.where(F.col("depth") == k).select(F.col("path").alias("__path"))
+            rows = rows.join(F.broadcast(same), F.col("breaks") & (F.size("lead") >= k) & (head(k) == F.col("__path")), "left")
+            rows = rows.withColumn("__held", F.col("__held") | F.col("__path").isNotNull()).drop("__path")
+        return rows.withColumn("breaks", F.col("breaks") & ~F.col("__held")).drop("__held")
+    heads = F.transform(F.filter(F.array(*map(F.lit, depths)), lambda k: k <= F.size("lead")), head)
+    held = slots.where("breaks").select("track_id", "token_index", F.explode(heads).alias("path")).join(paths, "path", "left_semi")
+    held = held.select("track_id", "token_index", F.lit(True).alias("__held")).distinct()
+    rows = slots.join(held, ["track_id", "token_index"], "left")
+    return rows.withColumn("breaks", F.col("breaks") & F.col("__held").isNull()).select(slots.columns)
+
+
 def discovery_features(texts: DataFrame, before: int = 2, after: int = 2, text: str = "text") -> DataFrame:
     """H2: one row a slot that starts a token: token_index (its number among the markers that are shown) and features, an
     array of (off, tok, boundary) over the white-space tokens around it once cues, notes and tags are blanked; boundary:

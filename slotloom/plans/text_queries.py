@@ -9,6 +9,7 @@ from slotloom.operators import slots as S
 from slotloom.operators import vocabulary as V
 from slotloom.plans import base as B
 from slotloom.plans.registry import Registry
+from slotloom.sources.scratch import cut
 
 R = Registry()
 DOCS = "documents"
@@ -157,6 +158,31 @@ def b20_virtual_punct(spark, d):
     return B.slots(spark, d).select("track_id", "token_index", T.virtual_break(head, tail).alias("ends"))
 
 
+# Tracks without stops, as captions often are: a title-case word right after a slot then opens a sentence.
+_BARE = "bare AS MATERIALIZED (SELECT track_id, creator, pair_class, regexp_replace(text, '[.!?]', '', 'g') AS text, original FROM masked), words AS MATERIALIZED (" + B.CTES["words"].replace("FROM masked", "FROM bare") + "), labelled AS MATERIALIZED (" + B.CTES["labelled"] + "), "
+# Words before a slot that only white space parts from it and each other, two and four of them.
+_LEAD = r"""lead AS MATERIALIZED (SELECT track_id, (row_number() OVER (PARTITION BY track_id ORDER BY spot) - 1)::INT AS token_index,
+    CASE WHEN near AND spot >= 2 AND regexp_full_match(g[spot], '\s*') THEN w[spot - 1] || ' ' || w[spot] END AS p2,
+    CASE WHEN near AND spot >= 4 AND regexp_full_match(g[spot], '\s*') AND regexp_full_match(g[spot - 1], '\s*') AND regexp_full_match(g[spot - 2], '\s*') THEN w[spot - 3] || ' ' || w[spot - 2] || ' ' || w[spot - 1] || ' ' || w[spot] END AS p4
+    FROM (SELECT *, regexp_full_match(g[spot + 1], '\s*') AS near FROM (SELECT *, unnest(range(0, len(w)))::INT AS spot FROM words) WHERE w[spot + 1] = '[__]')),
+    two AS (SELECT p2 FROM lead GROUP BY p2 HAVING count(p2) >= 20), four AS (SELECT p4 FROM lead GROUP BY p4 HAVING count(p4) >= 2)"""
+
+
+@R.add(B.sql("masked", more=_BARE + _LEAD, body="""SELECT track_id, token_index, breaks AS opens, breaks AND two.p2 IS NULL AND four.p4 IS NULL AS breaks
+    FROM labelled JOIN lead USING (track_id, token_index) LEFT JOIN two ON lead.p2 = two.p2 LEFT JOIN four ON lead.p4 = four.p4"""))
+def b20_continuing_phrases(spark, d):
+    """Sentence ends at slots of tracks without stops, before and after phrases guard: pairs of words that 20 slots follow,
+    fours that two follow."""
+    slots = cut(S.slot_features(B.masked(spark, d).select("track_id", F.regexp_replace("text", "[.!?]", "").alias("text")), 1, 1, lead=4).select("track_id", "token_index", "breaks", "lead"), "led-slots")
+
+    def frequent(k, least):
+        rows = slots.where(F.size("lead") >= k).groupBy(F.array_join(F.reverse(F.slice("lead", 1, k)), " ").alias("phrase")).agg(F.count("*").alias("n"))
+        return rows.where(F.col("n") >= least).select("phrase")
+
+    paths = cut(S.phrase_paths(frequent(2, 20).union(frequent(4, 2))), "phrase-paths")
+    return S.continues(slots.withColumn("opens", F.col("breaks")), paths).select("track_id", "token_index", "opens", "breaks")
+
+
 @R.add(B.sql("labelled", body="SELECT a.expected AS a, b.expected AS b, count(*) AS n FROM labelled a JOIN labelled b ON a.track_id = b.track_id AND b.token_index = a.token_index + 1 WHERE a.expected <> b.expected AND (a.expected IN ('this', 'that')) = (b.expected IN ('this', 'that')) GROUP BY ALL"))
 def b21_same_family(spark, d):
     families = {"with": "preposition", "from": "preposition", "this": "pointer", "that": "pointer"}

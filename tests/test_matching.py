@@ -29,6 +29,26 @@ def test_sentence_ends(spark):
     assert [r.w for r in said] == ["w.", "w.", "w", "w.", "w", "w", "w", "w."]
 
 
+def test_phrases_of_any_length_guard(spark, monkeypatch):
+    """A phrase of four words keeps a sentence open at a slot, by a join and by a list; then a rule reaches over it."""
+    texts = ["I have never been to [__] Home", "He said never been to [__] Home", "I have never,been to [__] Home", "they have\u00a0Never  been to [__] Home", "have never been to. [__] Home", "only [__] Home", "[__] Home", "i don’t know [__] Home"]
+    tracks = spark.createDataFrame(list(enumerate(texts)), "track_id long, text string")
+    phrases = ["have never been to", "we have never been to", "don't know", " ", "Only"]
+    want = [False, True, True, False, True, False, True, False]
+    marked = slots.slot_features(tracks, 1, 1, lead=4)
+    paths = slots.phrase_paths(spark.createDataFrame([(p,) for p in phrases + ["only"]], "phrase string"))
+    assert sorted(map(tuple, paths.collect())) == [("know don't", 2), ("only", 1), ("to been never have", 4)]
+    assert [r.breaks for r in marked.orderBy("track_id").collect()] == [True] * 8
+    for most in (slots.PHRASES, 0):
+        monkeypatch.setattr(slots, "PHRASES", most)
+        kept = slots.continues(marked, paths)
+        assert kept.columns == marked.columns and [r.breaks for r in kept.orderBy("track_id").collect()] == want
+    assert [r.breaks for r in slots.slot_features(tracks, 1, 1, continuing=[p for p in phrases if p.strip()]).orderBy("track_id").collect()] == want
+    assert slots.continues(marked, paths.where("false")).where("breaks").count() == 8
+    rule = spark.createDataFrame([("r", [(1, "home")], 1, "home", ["x"], "low", 1)], "rule_id string, conditions array<struct<off int, tok string>>, anchor_off int, anchor_tok string, candidates array<string>, tier string, ord long")
+    assert sorted(r.track_id for r in rules.candidate_matches(slots.continues(marked, paths), rule).collect()) == [i for i, b in enumerate(want) if not b]
+
+
 def test_overlapping_spans_against_a_plain_loop(spark):
     """Random spans, repeated rows, and chains in which every match waits for the one before; one of 10^5 matches."""
     rng, rows = random.Random(4), []
