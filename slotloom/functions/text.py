@@ -104,10 +104,21 @@ def squeeze(word: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(_col(word))), r"([a-z])\1{2,}", "$1")
 
 
-def answers_match(predicted: Column | str, expected: Column | str, same=None) -> Column:
-    """Whether a prediction equals one of the expected words; ``same`` replaces the comparison (Column, Column)."""
+def answers_match(predicted: Column | str, expected: Column | str, same=None, context: Column | str | None = None, compounds: list[tuple[str, str, str, str]] | None = None) -> Column:
+    """Whether a prediction equals one of the expected words; ``same`` replaces the comparison (Column, Column). compounds:
+    (word, answer, before, after): the word is as good as the answer where the context, in which ``[__]`` stands for the
+    slot, has the text ``before`` right before it and ``after`` right after it, white space between (either may be
+    empty): a slot may hide a whole compound of which one part is still to be read."""
     same = same or (lambda a, b: squeeze(a) == squeeze(b))
-    return F.coalesce(F.exists(_col(expected), lambda e: same(_col(predicted), e)), F.lit(False))
+
+    def good(e: Column) -> Column:
+        found = same(_col(predicted), e)
+        for word, answer, before, after in compounds or []:
+            near = (rf"{any_of([before])}\s+" if before else "") + MARK_LOOSE + (rf"\s+{any_of([after])}" if after else "")
+            found = found | (same(_col(predicted), F.lit(word)) & same(e, F.lit(answer)) & F.coalesce(_col(context).rlike("(?i)" + near), F.lit(False)))
+        return found
+
+    return F.coalesce(F.exists(_col(expected), good), F.lit(False))
 
 
 # ASCII and the Latin letters that are their own NFKC form, whatever stands between them.
@@ -178,12 +189,15 @@ def membership_hash(values: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_set(values)), "\n"), 256)
 
 
-def format_case(word: Column | str, before: Column | str) -> Column:
-    """Upper case where the last word before of more than one letter is all upper case, a capital after a sentence's end."""
+def format_case(word: Column | str, before: Column | str, matched: Column | str | None = None) -> Column:
+    """Upper case where the last word before of more than one letter is all upper case, or all of the two or more letters
+    of the matched text (markers aside) are; a capital after a sentence's end."""
     before, word = _col(before), _col(word)
     letters = F.filter(F.regexp_extract_all(before, F.lit(r"([A-Za-z]+(?:['’][A-Za-z]+)*)"), 1), lambda w: F.length(w) > 1)
-    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
     loud = F.coalesce(F.try_element_at(letters, F.lit(-1)).rlike(r"^[A-Z'’]+$"), F.lit(False))
+    if matched is not None:
+        loud = loud | F.coalesce(F.regexp_replace(F.regexp_replace(_col(matched), MARK_LOOSE, ""), "[^A-Za-z]", "").rlike(r"^[A-Z]{2,}\z"), F.lit(False))
     return F.when(loud, F.upper(word)).when(before.rlike(r"[.!?]\s*\z"), capital).otherwise(word)
 
 

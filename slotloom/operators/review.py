@@ -27,6 +27,36 @@ def review_queue(compared: DataFrame, mode: str, external: DataFrame | None = No
     return compared.where({"disagreements": apart, "misses": missed, "review": apart | missed, "triage": F.col("category") != "agreement", "golden": F.lit(True), "false-fills": F.col("a_word").isNotNull()}[mode])
 
 
+def _in_turn(rows: DataFrame, k: int | None) -> DataFrame:
+    """k of the rows (all without k), tracks taking turns; only the first k of an order are brought together."""
+    if k is None:
+        return rows
+    turn = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("track_id").orderBy("token_index")))
+    return turn.orderBy("__turn", "track_id").limit(k).drop("__turn")
+
+
+def limited_queue(compared: DataFrame, mode: str, limit: int = 0, both_empty: int = 25) -> DataFrame:
+    """M1 with limits (0: none). triage: disagreements first, then at most ``both_empty`` slots that both runs leave empty,
+    then the two one-sided kinds by halves, what one leaves unused going to the other; tracks take turns within a kind.
+    golden and others: the first by the hash of the slot. Only four counts come to the driver."""
+    queue = review_queue(compared, mode)
+    if mode != "triage":
+        return queue.orderBy(F.sha2(F.concat_ws(":", "track_id", "token_index"), 256), "track_id", "token_index").limit(limit) if limit else queue
+    kind = lambda c: queue.where(F.col("category") == c)
+    if not limit:
+        return kind("disagreement").union(kind("only-a")).union(kind("only-b")).union(_in_turn(kind("both-empty"), both_empty))
+    n = {r["category"]: r["count"] for r in queue.groupBy("category").count().collect()}
+    take = {"disagreement": min(n.get("disagreement", 0), limit)}
+    left = limit - take["disagreement"]
+    take["both-empty"] = min(n.get("both-empty", 0), both_empty, left)
+    left -= take["both-empty"]
+    first = min(n.get("only-a", 0), (left + 1) // 2)
+    take["only-b"] = min(n.get("only-b", 0), left - first)
+    take["only-a"] = min(n.get("only-a", 0), left - take["only-b"])
+    parts = [_in_turn(kind(c), k) for c, k in take.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def annotation_history(annotations: DataFrame) -> DataFrame:
     """M2: the latest usable label of a slot, unless a later one blocks the slot, or any blocks its fixture.
     annotations: fixture, slot_id (null: the whole fixture), seq, status, word."""

@@ -276,6 +276,16 @@ def m1_review_queue(spark, d):
     return V.review_queue(_modes(spark, d), "triage").select("track_id", "token_index")
 
 
+# 3,000 slots: all disagreements that fit, 25 empty ones, one-sided ones by halves.
+@R.add(f"""WITH {_MODES}, n AS (SELECT count(*) FILTER (category = 'disagreement') AS d, count(*) FILTER (category = 'both-empty') AS e, count(*) FILTER (category = 'only-a') AS a, count(*) FILTER (category = 'only-b') AS b FROM cmp),
+    n2 AS (SELECT *, least(d, 3000) AS td, least(e, 25, 3000 - least(d, 3000)) AS te FROM n), n3 AS (SELECT *, 3000 - td - te AS rest FROM n2), n4 AS (SELECT *, least(b, rest - least(a, (rest + 1) // 2)) AS tb FROM n3),
+    quota AS (SELECT unnest([('disagreement', td), ('both-empty', te), ('only-b', tb), ('only-a', least(a, rest - tb))], recursive := true) FROM n4),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY turn, track_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY category, track_id ORDER BY token_index) AS turn FROM cmp))
+    SELECT track_id, token_index, r.category FROM ranked r JOIN quota q(category, n) ON r.category = q.category AND k <= n""")
+def m1_triage_limits(spark, d):
+    return V.limited_queue(_modes(spark, d), "triage", 3000).select("track_id", "token_index", "category")
+
+
 @R.add(f"""WITH {_ANN}, l AS (SELECT fixture, slot_id, arg_max(status, seq) AS status, arg_max(coalesce(word, chr(1)), seq) AS word FROM ann WHERE slot_id IS NOT NULL AND status IN ('labeled', 'corrected', 'rejected') GROUP BY ALL)
     SELECT fixture, slot_id, nullif(word, chr(1)) AS word FROM l WHERE status <> 'rejected' AND fixture NOT IN (SELECT fixture FROM ann WHERE slot_id IS NULL AND status = 'rejected')""")
 def m2_annotation_history(spark, d):

@@ -117,6 +117,13 @@ def b16_content_fingerprint(spark, d):
     return B.table(spark, d, "pages").select("page_id", T.content_fingerprint("url").alias("fp"))
 
 
+@R.add(B.sql("features", body="SELECT track_id, token_index, expected = 'this' OR expected = 'that' AND starts_with(tok, 'the') AS ok FROM features WHERE off = 1"))
+def b11_compound_answers(spark, d):
+    """``this`` for every slot; it stands for ``that`` where ``the`` follows."""
+    rows = B.labelled(spark, d).select("track_id", "token_index", F.array("expected").alias("expected"), F.concat(F.lit("[__] "), F.get(F.filter("features", lambda f: f["off"] == 1), F.lit(0))["tok"]).alias("near"))
+    return rows.select("track_id", "token_index", T.answers_match(F.lit("this"), "expected", context="near", compounds=[("this", "that", "", "the")]).alias("ok"))
+
+
 @R.add("""SELECT source, sha256(array_to_string(list_sort(list(DISTINCT id)), chr(10))) AS members FROM (SELECT source, 'doc:' || substr(sha256(source || chr(0) || doc_id), 1, 20) AS id FROM documents) GROUP BY source""")
 def b17_stable_id(spark, d):
     rows = B.table(spark, d, DOCS).select("source", T.stable_id("doc", "source", "doc_id").alias("id"))

@@ -145,6 +145,32 @@ def test_review_modes_groups_and_fusion(spark):
     assert metrics.reuse_counts(reused).first().asDict() == {"reused": 2, "computed": 1}
 
 
+def test_compounds_and_case_of_the_match(spark):
+    answers = [("show", "sideshow", "the side [__] now", True), ("show", "sideshow", "SIDE  [ __ ]", True), ("show", "sideshow", "side, [__]", False), ("show", "sideshow", None, False), ("show", "showtime", "[__] times", True), ("showww", "show", None, True), ("time", "showtime", "[__] time", False)]
+    rows = spark.createDataFrame([(i, w, [e], c) for i, (w, e, c, _) in enumerate(answers)], "i int, w string, e array<string>, c string")
+    got = rows.select("i", T.answers_match("w", "e", context="c", compounds=[("show", "sideshow", "side", ""), ("show", "showtime", "", "time")]).alias("ok")).orderBy("i").collect()
+    assert [r.ok for r in got] == [a[3] for a in answers]
+    cases = [("so", "GET [__] NOW", "WORD"), ("so", "Get [__] NOW", "word"), ("so", "I [__]", "word"), ("end. ", "[ __ ] on", "Word"), ("OH", "on [__]", "WORD"), ("so", None, "word")]
+    rows = spark.createDataFrame([(i, b, m) for i, (b, m, _) in enumerate(cases)], "i int, b string, m string")
+    assert [r.w for r in rows.select("i", T.format_case(F.lit("word"), "b", "m").alias("w")).orderBy("i").collect()] == [c[2] for c in cases]
+
+
+def test_limits_of_the_triage(spark):
+    kinds = {"disagreement": 4, "both-empty": 40, "only-a": 9, "only-b": 3, "agreement": 20}
+    rows = [(i % 3, i, "x", "y", k, False) for k, n in kinds.items() for i in range(n)]
+    df = spark.createDataFrame([(a, b + 100 * j, *r) for j, (a, b, *r) in enumerate(rows)], "track_id int, token_index int, a_word string, b_word string, category string, apart boolean")
+
+    def counts(**how):
+        return {r["category"]: r["count"] for r in review.limited_queue(df, "triage", **how).groupBy("category").count().collect()}
+
+    assert counts() == {"disagreement": 4, "both-empty": 25, "only-a": 9, "only-b": 3}
+    assert counts(limit=3) == {"disagreement": 3}
+    assert counts(limit=20, both_empty=6) == {"disagreement": 4, "both-empty": 6, "only-a": 7, "only-b": 3}
+    assert counts(limit=500, both_empty=0) == {"disagreement": 4, "only-a": 9, "only-b": 3}
+    assert sorted(r.track_id for r in review.limited_queue(df.where("category = 'only-a'"), "triage", 3).collect()) == [0, 1, 2]
+    assert review.limited_queue(df, "golden", 10).count() == 10 and review.limited_queue(df, "golden").count() == 76
+
+
 def test_compatibility_forms(spark):
     """All assigned code points, and pairs of a base and a mark, as Python's own tables have them."""
     signs = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
