@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotloom.sources.scratch import cut
+
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order without one task for all: ranks inside range partitions plus the counts
-    of the partitions before (one row a partition)."""
+    of the partitions before (one row a partition). The dealt rows are written once: each shuffle by range draws a sample of
+    its own for its bounds, so ranks and counts of two shuffles need not fit together."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: partition ids stay the same
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     ranged = ranged.withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = cut(ranged, "numbered")
     sizes = ranged.groupBy("__p").agg((F.max("__k") + 1).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
