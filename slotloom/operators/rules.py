@@ -1,8 +1,8 @@
 """Rules: expansion, matching, precedence and fills.
 
 A rule table has rule_id, group_id, tier, ord, lefts and rights (arrays of (off, tok) conditions around a slot),
-candidates, and anchor_off, anchor_tok: the condition that matches are joined on. Rules are a bounded table and are
-broadcast by size only where Spark finds them small; slots never are.
+candidates, and anchor_off, anchor_tok: the condition that matches are joined on. Rules are broadcast up to a number that
+is counted, for estimates do not see what an explode makes of a small file; slots never are.
 """
 
 from __future__ import annotations
@@ -114,6 +114,18 @@ def _in_classes(found: DataFrame, classes: DataFrame, joined: bool) -> DataFrame
     return found.where(F.size("classes") == 0).unionByName(some.join(good, key).where(F.col("__held") == F.size("classes")).select(found.columns))
 
 
+#: Rules up to which these are broadcast.
+RULES = 1 << 16
+
+
+def meet_anchors(keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (anchor_off, anchor_tok) with the rules anchored there. The rules are written and counted; over RULES of them
+    both sides are shuffled, whatever their estimated size."""
+    held = cut(rules, "anchored-rules")
+    few = held.count() <= RULES
+    return keyed.join(F.broadcast(held) if few else held.hint("merge"), ["anchor_off", "anchor_tok"])
+
+
 def candidate_matches(slots: DataFrame, rules: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Anchor join, then every other condition and the guard are verified. slots: track_id, token_index,
     features, an array of (off, tok) from -1 to 1 at least; rules may have blanks and kept (else one and none). Where the
@@ -126,7 +138,7 @@ def candidate_matches(slots: DataFrame, rules: DataFrame, classes: DataFrame | N
         classes = _word_classes(classes)
         tagged = keyed.join(classes, keyed["anchor_tok"] == classes["class_tok"]).withColumn("anchor_tok", F.concat(F.lit("<"), "cls", F.lit(">"))).select(keyed.columns)
         keyed = keyed.unionByName(tagged)
-    joined = keyed.join(rules, ["anchor_off", "anchor_tok"])
+    joined = meet_anchors(keyed, rules)
     found = joined.where(verify_match("conditions", "around", has_joined) & adjacent_guard("around", rules.columns))
     if classes is not None and "classes" in rules.columns:
         found = _in_classes(found, classes, has_joined)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slotloom.operators import sampling
+from slotloom.operators import rules, sampling
 
 
 def test_numbers_do_not_depend_on_the_bounds_drawn(spark):
@@ -15,3 +15,16 @@ def test_numbers_do_not_depend_on_the_bounds_drawn(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_slots_are_never_broadcast(spark, monkeypatch):
+    """Few slots and many rules: neither the exploded slots nor rules over the limit are broadcast."""
+    token = "struct<off:int,tok:string>"
+    slots = spark.createDataFrame([(1, i, [(-1, f"w{i}"), (1, "x")]) for i in range(5)], f"track_id long, token_index int, features array<{token}>")
+    table = spark.range(50).select(F.concat(F.lit("r"), "id").alias("rule_id"), F.array(F.struct(F.lit(-1).alias("off"), F.concat(F.lit("w"), "id").alias("tok"))).alias("conditions"), F.lit(-1).alias("anchor_off"), F.concat(F.lit("w"), "id").alias("anchor_tok"))
+    for most, joins in ((50, "BroadcastHashJoin"), (49, "SortMergeJoin")):
+        monkeypatch.setattr(rules, "RULES", most, raising=False)
+        found = rules.candidate_matches(slots, table)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert joins in plan and "BuildLeft" not in plan
+        assert sorted(r.rule_id for r in found.collect()) == [f"r{i}" for i in range(5)]
