@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slotloom.functions.text import MARK, lexical_words
 from slotloom.operators.chains import align_drifts
+from slotloom.operators.rules import meet_anchors, verify_match, with_anchor
 from slotloom.operators.slots import lexicon_pattern
 
 
@@ -253,7 +254,10 @@ def attach_provenance(slots: DataFrame, provenance: DataFrame) -> DataFrame:
 
 
 def lead_evidence(leads: DataFrame, features: DataFrame) -> DataFrame:
-    """(lead, row_id) where a row meets all conditions of a lead. leads: lead, conditions; features: row_id, off, tok."""
-    wanted = leads.select("lead", F.size("conditions").alias("need"), F.explode("conditions").alias("c")).select("lead", "need", "c.off", "c.tok")
-    hits = features.join(wanted, ["off", "tok"]).groupBy("lead", "row_id", "need").agg(F.count("*").alias("n"))
-    return hits.where("n = need").select("lead", "row_id")
+    """(lead, row_id) where a row meets all conditions of a lead. leads: lead, conditions; features: row_id, off, tok.
+    A lead meets rows on its rarest condition, the others are verified there: one that many leads and rows share pairs
+    nothing."""
+    anchored = with_anchor(leads.select(F.col("lead").alias("rule_id"), "conditions"), features.groupBy("off", "tok").agg(F.count("*").alias("n")))
+    rows = features.groupBy("row_id").agg(F.collect_set(F.struct("off", "tok")).alias("around"))
+    keyed = rows.select("row_id", "around", F.explode("around").alias("f")).select("row_id", "around", F.col("f.off").alias("anchor_off"), F.col("f.tok").alias("anchor_tok"))
+    return meet_anchors(keyed, anchored).where(verify_match("conditions", "around")).select(F.col("rule_id").alias("lead"), "row_id")

@@ -2,7 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from slotloom.operators import rules, sampling
+from slotloom.operators import align, rules, sampling
+
+
+def shuffled(spark) -> int:
+    """Records that shuffles have written so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()).iterator()
+    n = 0
+    while stages.hasNext():
+        n += stages.next().shuffleWriteRecords()
+    return n
 
 
 def test_numbers_do_not_depend_on_the_bounds_drawn(spark):
@@ -17,6 +27,16 @@ def test_numbers_do_not_depend_on_the_bounds_drawn(spark):
             spark.conf.set(k, v)
 
 
+def test_a_condition_of_all_leads_pairs_nothing(spark):
+    features = spark.range(400).select(F.concat(F.lit("r"), "id").alias("row_id"), F.explode(F.array(F.struct(F.lit(2).alias("off"), F.lit("end").alias("tok")), F.struct(F.lit(1).alias("off"), F.concat(F.lit("w"), F.col("id") % 200).alias("tok")))).alias("f")).select("row_id", "f.*")
+    both = F.array(*[F.struct(F.lit(o).alias("off"), t.alias("tok")) for o, t in ((1, F.concat(F.lit("w"), "id")), (2, F.lit("end")))])
+    leads = spark.range(300).select(F.concat(F.lit("l"), "id").alias("lead"), both.alias("conditions"))
+    before = shuffled(spark)
+    got = {(r.lead, r.row_id) for r in align.lead_evidence(leads, features).collect()}
+    assert got == {(f"l{i % 200}", f"r{i}") for i in range(400)}
+    assert shuffled(spark) - before < 20_000
+
+
 def test_slots_are_never_broadcast(spark, monkeypatch):
     """Few slots and many rules: neither the exploded slots nor rules over the limit are broadcast."""
     token = "struct<off:int,tok:string>"
