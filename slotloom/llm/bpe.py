@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from slotloom.llm.wordstream import Memo, Stream, chunks, ragged
@@ -243,6 +244,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(ranks(path).replay, len(ranks(path).length))
 
 
+#: Bytes of text that are Python strings at once.
+SLICE = 1 << 21
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts (second column) of each begin within the same SLICE bytes."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+        place = (np.cumsum(size) - size) // SLICE
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(lo, hi - lo)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``id_col``, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of every
     text; with_ids adds the ids themselves. vocabulary: path of a rank file on every machine."""
@@ -251,7 +266,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = encoder(vocabulary), ranks(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for lo, hi, ids, at in encode(texts):
                 own = [ids[a:b] for a, b in zip(at[:-1], at[1:])]

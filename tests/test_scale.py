@@ -1,7 +1,9 @@
 """What shows only on larger tables, forced on small ones."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from slotloom.llm import bpe
 from slotloom.operators import align, rules, sampling
 
 
@@ -48,3 +50,12 @@ def test_slots_are_never_broadcast(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert joins in plan and "BuildLeft" not in plan
         assert sorted(r.rule_id for r in found.collect()) == [f"r{i}" for i in range(5)]
+
+
+def test_texts_of_a_batch_come_in_slices(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 100)
+    texts = ["a" * 30] * 7 + [None, "ü" * 400, "b", ""] + ["c"] * 300
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(bpe.slices(iter([whole, whole.slice(0, 0)])))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 5
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist() if len(t or "") <= 100) for p in parts) <= 200
