@@ -242,3 +242,46 @@ def test_train_only(spark):
     tags = [(r[0], r[1], off, tok, cls) for r in rows for off, tok, cls in ((-1, "dog", "noun"), (1, "runs", None))]
     got = mining.train_only_check(spark.createDataFrame(tags, "row_id long, half int, off int, tok string, cls string"), spark.createDataFrame(rows, "row_id long, half int, tier string, expected string, creator string"))
     assert {(r.trained_on, r.pattern, r.half, r.n, r.passes) for r in got.collect()} == {(0, "dog [] runs", 1, 2, False), (0, "<noun> [] runs", 1, 2, False), (1, "dog [] runs", 0, 6, True)}
+
+
+def spoken(spark, seed):
+    """Lines of random words in both versions, some without a word, of one word or without a duration."""
+    rng, masked, plain = random.Random(seed), [], []
+    for track in range(6):
+        at = 0
+        for i in range(12):
+            words = [rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 1, 3, 40]))]
+            dur = rng.choice([0, 700 * len(words)])
+            hidden = [rng.random() < 0.2 for _ in words]
+            masked.append((track, i, at, dur, " ".join("[__]" if h else w for w, h in zip(words, hidden))))
+            plain.append((track, i, at, dur, " ".join(words)))
+            at += dur
+    kind = "track_id long, event_index int, start_ms long, dur_ms long, text string"
+    return spark.createDataFrame(masked, kind), spark.createDataFrame(plain, kind)
+
+
+def timed_words(events):
+    """track: (unit, ms) in order, by a plain loop."""
+    out = {}
+    for e in sorted(events.collect(), key=lambda e: (e.track_id, e.event_index)):
+        units = e.text.split()
+        out.setdefault(e.track_id, []).extend((u, round((e.start_ms + e.dur_ms * k / len(units)) / 1000.0 * 1000)) for k, u in enumerate(units))
+    return out
+
+
+def test_spoken_context_never_sorts_words(spark):
+    masked, _ = spoken(spark, 3)
+    want = {}
+    for track, words in timed_words(masked).items():
+        for p, (unit, ms) in enumerate(words):
+            if unit == "[__]":
+                after = words[p + 1] if p + 1 < len(words) else None
+                near = sum(1 for q, (_, m) in enumerate(words) if m >= ms - 3000 and (m < ms or m == ms and q < p))
+                want[track, p] = (near, after[0] if after and after[1] - ms <= 500 and after[0] != "[__]" else None)
+    got = slots.spoken_context(slots.spoken_lines(masked), 3, 0.5)
+    assert {(r.track_id, r.position): (r.preceding, r.next_word) for r in got.collect()} == want and len(want) > 50
+    positions = [(r.track_id, r.position, r.unit) for r in slots.spoken_words(masked).orderBy("track_id", "position").collect()]
+    assert positions == [(t, p, u) for t, words in timed_words(masked).items() for p, (u, _) in enumerate(words)]
+    # one sort, of events, below the words' explode
+    plan = slots.spoken_words(masked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and plan.index("posexplode") < plan.index("Window")
