@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from slotloom.functions.text import MARK, lexical_words
 from slotloom.operators.chains import align_drifts
 from slotloom.operators.rules import meet_anchors, verify_match, with_anchor
-from slotloom.operators.slots import lexicon_pattern
+from slotloom.operators.slots import lexicon_pattern, unit_ms
+from slotloom.sources.scratch import cut
 
 
 def align_direct(masked: DataFrame, plain: DataFrame) -> DataFrame:
@@ -106,6 +107,10 @@ def _near(slots: DataFrame, tokens: DataFrame, around_ms: int, keyed: bool) -> D
         left, right, on = ends(left, "sl", "sr"), ends(right, "lefts", "rights"), [*on, "before", "after"]
     far = F.abs(F.col("time_ms") - F.col("ot"))
     pairs = left.select("*", buckets).join(right, on).where(far <= around_ms)
+    return _based(pairs, far)
+
+
+def _based(pairs: DataFrame, far: Column) -> DataFrame:
     exact = pairs.withColumn("xl", _agree("sl", "lefts")).withColumn("xr", _agree("sr", "rights"))
     base = 5 * (F.col("xl") + F.col("xr")) + F.when((F.col("xl") > 0) & (F.col("xr") > 0), 3).otherwise(0) - 0.05 * far / 1000.0
     held = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(F.col(b), x)))
@@ -116,7 +121,88 @@ def _scored(pairs: DataFrame) -> Column:
     return F.col("base") + common_subsequence("sl", "lefts") + common_subsequence("sr", "rights")
 
 
-def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0, around_ms: int = 10_000) -> DataFrame:
+#: Slots of a track up to which its lines meet them in place.
+SLOTS = 4096
+
+
+def wide_lines(lines: DataFrame, reach: int) -> DataFrame:
+    """Lines (``spoken_lines``) with ``around``: their lower-case units between up to ``reach`` ones of the track before and
+    after, and ``skip``, how many stand before."""
+    low = lines.select("*", F.explode(F.array(F.transform("units", F.lower))).alias("low"))
+    order = Window.partitionBy("track_id").orderBy("event_index")
+    last = lambda c: F.slice(c, F.greatest(F.size(c) - reach, F.lit(0)) + 1, reach)
+    rows = low.withColumn("ahead", F.slice("low", 1, reach)).withColumn("tail", last("low"))
+    rows = rows.withColumn("before", F.flatten(F.collect_list("tail").over(order.rowsBetween(-reach, -1)))).withColumn("after", F.flatten(F.collect_list("ahead").over(order.rowsBetween(1, reach))))
+    rows = rows.withColumn("before", last("before"))
+    around = F.concat("before", "low", F.slice("after", 1, reach))
+    return rows.select("track_id", "start_ms", "dur_ms", "units", "first", F.size("before").alias("skip"), F.explode(F.array(around)).alias("around"))
+
+
+def _unit(k: Column) -> Column:
+    return F.get("around", F.col("skip") + k)
+
+
+def sided(lines: DataFrame, places: Column, reach: int) -> DataFrame:
+    """The units at ``places`` (an array) of ``wide_lines``: track_id, position, time_ms, unit, lefts, rights (nearest
+    first)."""
+    at = F.col("skip") + F.col("k")
+    lefts = F.reverse(F.slice("around", F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))))
+    rows = lines.select("*", F.explode(places).alias("k"))
+    return rows.select("track_id", (F.col("first") + F.col("k")).cast("bigint").alias("position"), unit_ms("k").alias("time_ms"), _unit(F.col("k")).alias("unit"), lefts.alias("lefts"), F.slice("around", at + 2, reach).alias("rights"))
+
+
+def _few(rows: DataFrame, value: Column, most: int) -> DataFrame:
+    """track_id, many (whether it has over ``most`` rows) and held: the values of its rows, none if many."""
+    sized = rows.select("track_id", value.alias("v"), (F.count("*").over(Window.partitionBy("track_id")) > most).alias("many"))
+    return sized.groupBy("track_id", "many").agg(F.collect_list(F.when(~F.col("many"), F.col("v"))).alias("held"))
+
+
+def likely_tokens(lines: DataFrame, slots: DataFrame, reach: int = 15, most: int = SLOTS) -> DataFrame:
+    """``sided`` units of the lines that have the same two words next to them as a slot (lefts, rights) of their track; all
+    others are equal to no slot in E4's keys and E6's. Lines meet the slots of their track in place, so only these units are
+    ever dealt out with their neighbours. Tracks of over ``most`` slots give all their units."""
+    able = slots.where((F.size("lefts") > 0) & (F.size("rights") > 0))
+    held = _few(able, F.xxhash64(F.get("lefts", F.lit(0)), F.get("rights", F.lit(0))), most)
+    places = F.sequence(F.lit(0), F.size("units") - 1)
+    met = wide_lines(lines, reach).join(held, "track_id")
+    ends = F.transform(places, lambda k: F.xxhash64(_unit(k - 1), _unit(k + 1)))
+    keyed = met.select("*", F.explode(F.array(ends)).alias("ends"))
+    keyed = keyed.select("*", F.explode(F.array(F.array_intersect("ends", "held"))).alias("both")).where(F.col("many") | (F.size("both") > 0))
+    hits = F.filter(places, lambda k: F.col("many") | F.array_contains("both", F.get("ends", k)))
+    return sided(keyed, hits, reach)
+
+
+def _rivals(low: DataFrame, lines: DataFrame, around_ms: int, margin: float, most: int = SLOTS // 4) -> DataFrame:
+    """The pairs of ``_near`` for slots (with ``best``) and all units of their time that agree on one side at most and may
+    still come within the margin. Lines meet the slots of their track in place; tracks of over ``most`` such slots are left
+    to a join by time."""
+    cols = ["token_index", "time_ms", "lefts", "rights", "best"]
+    held = cut(_few(low, F.struct(*cols), most), "context-rivals")
+    wide = wide_lines(lines, 15).join(held, "track_id")
+    n = F.size("units")
+    one, other = unit_ms(F.lit(0)), unit_ms(n - 1)
+    timed = wide.where("NOT many").select("*", F.least(one, other).alias("from"), F.greatest(one, other).alias("to"))
+    asked = timed.select("*", F.explode(F.filter("held", lambda s: (s["time_ms"] >= F.col("from") - around_ms) & (s["time_ms"] <= F.col("to") + around_ms))).alias("s")).drop("held")
+
+    def may(k: Column) -> Column:
+        near = F.abs(F.col("s.time_ms") - unit_ms(k)) <= around_ms
+        left, right = F.coalesce(_unit(k - 1) == F.get("s.lefts", F.lit(0)), F.lit(False)), F.coalesce(_unit(k + 1) == F.get("s.rights", F.lit(0)), F.lit(False))
+        # without a shared neighbour only subsequences count, one for each word of the slot at most
+        return near & ~(left & right) & (left | right | (F.col("s.best") - F.size("s.lefts") - F.size("s.rights") < margin))
+
+    pairs = asked.select("track_id", "start_ms", "dur_ms", "units", "skip", "first", "around", "s", F.explode(F.filter(F.sequence(F.lit(0), n - 1), may)).alias("k"))
+    at = F.col("skip") + F.col("k")
+    lefts = F.reverse(F.slice("around", F.greatest(at - 15, F.lit(0)) + 1, F.least(at, F.lit(15))))
+    found = pairs.select("track_id", "s.token_index", F.col("s.lefts").alias("sl"), F.col("s.rights").alias("sr"), "s.best", F.abs(F.col("s.time_ms") - unit_ms("k")).alias("far"), lefts.alias("lefts"), F.slice("around", at + 2, 15).alias("rights"))
+    few = _based(found, F.col("far")).drop("far")
+    crowded = held.where("many").select("track_id")
+    if crowded.isEmpty():
+        return few
+    tokens = sided(wide.where("many"), F.sequence(F.lit(0), n - 1), 15).select("track_id", F.col("position").alias("occ_index"), "time_ms", F.lit(None).cast("string").alias("word"), "lefts", "rights")
+    return few.unionByName(_near(low.join(crowded, "track_id", "left_semi"), tokens, around_ms, False).select(few.columns))
+
+
+def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0, around_ms: int = 10_000, lines: DataFrame | None = None) -> DataFrame:
     """The best candidate within ``around_ms``, if it has a label, leads by the margin and agrees on both sides. slots:
     track_id, token_index, time_ms, lefts, rights (nearest first); tokens: track_id, occ_index, time_ms, word (null: no
     label), lefts, rights.
@@ -133,8 +219,11 @@ def align_context(slots: DataFrame, tokens: DataFrame, margin: float = 3.0, arou
     ranked = near.withColumn("score", _scored(near)).withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
     won = ranked.where("k = 1 AND word IS NOT NULL").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))
     won = won.select("track_id", "token_index", "time_ms", "sl", "sr", "occ_index", "word", "score")
+    if lines is not None:
+        won = cut(won, "context-winners")
     low = won.where(F.col("score") - margin < 5 * F.greatest(F.size("sl"), F.size("sr")) + F.size("sl") + F.size("sr"))
-    rest = _near(low.select("track_id", "token_index", "time_ms", F.col("sl").alias("lefts"), F.col("sr").alias("rights"), F.col("score").alias("best")), tokens, around_ms, False)
+    low = low.select("track_id", "token_index", "time_ms", F.col("sl").alias("lefts"), F.col("sr").alias("rights"), F.col("score").alias("best"))
+    rest = _near(low, tokens, around_ms, False) if lines is None else _rivals(low, lines, around_ms, margin)
     rest = rest.where("xl = 0 OR xr = 0").where(F.col("best") - F.col("base") - F.col("most") < margin)
     beaten = rest.where(F.col("best") - _scored(rest) < margin).select("track_id", "token_index").distinct()
     return won.join(beaten, ["track_id", "token_index"], "left_anti").select("track_id", "token_index", "occ_index", "word", "score")

@@ -285,3 +285,44 @@ def test_spoken_context_never_sorts_words(spark):
     # one sort, of events, below the words' explode
     plan = slots.spoken_words(masked)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and plan.index("posexplode") < plan.index("Window")
+
+
+def test_words_with_neighbours_stay_in_their_line(spark):
+    """E4 and E6 on lines give what they give on all words with their neighbours; few words leave their line."""
+    masked, plain = spoken(spark, 5)
+    side = lambda words, i, n: (words[max(0, i - n) : i][::-1], words[i + 1 : i + n + 1])
+    own, all_ = [], []
+    for track, words in timed_words(masked).items():
+        units = [u for u, _ in words]
+        places = [i for i, u in enumerate(units) if u == "[__]"]
+        own += [(track, k, words[i][1], *side(units, i, 10)) for k, i in enumerate(places)]
+    for track, words in timed_words(plain).items():
+        units = [u for u, _ in words]
+        all_ += [(track, i, ms, u if u in "ab" else None, *side(units, i, 15)) for i, (u, ms) in enumerate(words)]
+    s = spark.createDataFrame(own, f"{TIMED}, {CONTEXT}")
+    o = spark.createDataFrame(all_, f"track_id long, occ_index long, time_ms long, word string, {CONTEXT}")
+    lines = slots.spoken_lines(plain)
+    cols = ["track_id", "position", "time_ms", "unit", "lefts", "rights"]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    every = align.likely_tokens(lines, s, most=0).select(cols)
+    assert rows(every) == rows(o.join(s.select("track_id").distinct(), "track_id", "left_semi").join(every.select("track_id", F.col("position").alias("occ_index"), "unit"), ["track_id", "occ_index"]).select("track_id", F.col("occ_index").alias("position"), "time_ms", "unit", "lefts", "rights"))
+    few = align.likely_tokens(lines, s)
+    assert len(own) <= few.count() < 0.6 * o.count()
+    tokens = few.select("track_id", F.col("position").alias("occ_index"), "time_ms", F.when(F.col("unit").isin("a", "b"), F.col("unit")).alias("word"), "lefts", "rights")
+    for margin in (3.0, 0.0):
+        want = rows(align.align_context(s, o, margin))
+        assert rows(align.align_context(s, tokens, margin, lines=lines)) == want and len(want) > 3
+    wanted = ["track_id", "offset_ms", "pairs"]
+    assert rows(align.track_offset(s, tokens).select(wanted)) == rows(align.track_offset(s, o).select(wanted))
+
+
+def test_rivals_of_crowded_tracks(spark):
+    """Tracks with too many open slots meet their words by time, with the same pairs but such as are surely beaten."""
+    masked, plain = spoken(spark, 7)
+    lines = slots.spoken_lines(plain)
+    marks = F.filter(F.transform("units", lambda u, i: F.when(u == "[__]", i)), lambda i: i.isNotNull())
+    low = align.sided(align.wide_lines(slots.spoken_lines(masked), 10), marks, 10).where((F.size("lefts") > 0) & (F.size("rights") > 0))
+    low = low.select("track_id", F.col("position").alias("token_index"), "time_ms", "lefts", "rights", F.lit(40.0).alias("best"))
+    able = lambda df: sorted(map(repr, df.where("xl = 0 OR xr = 0").where("best - base - most < 3").select("track_id", "token_index", "base", "most").collect()))
+    in_place = able(align._rivals(low, lines, 2000, 3.0))
+    assert in_place == able(align._rivals(low, lines, 2000, 3.0, most=0)) and in_place
