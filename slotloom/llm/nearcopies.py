@@ -46,6 +46,8 @@ STEP = 1.05
 MARKS = 512
 #: Rows of keys (24 bytes each) up to which they are broadcast.
 BROADCAST = 1 << 20
+#: Shared band keys (24 bytes each) up to which they are broadcast.
+KEYS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
@@ -218,6 +220,14 @@ def _across(rows: DataFrame, least: float, paired: int = PAIRED) -> DataFrame:
     return held.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
 
 
+def _of_keys(many: DataFrame, one: DataFrame, counts: DataFrame, most: int = KEYS) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each key ``at`` once (counts: at and n, its rows in ``many``). Up to
+    ``most`` keys are broadcast, so rows of other keys are left out where they are; beyond that all rows are dealt out."""
+    if one.count() <= most:
+        return many.join(F.broadcast(one), "at")
+    return join_unique(many, one, "at", counts, many.count())
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, paired: int = PAIRED, fp_width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """id, hash (xxhash64 of the text), times (rows that have both), component (struct of nameless, id and hash: the least
     of the component) of every distinct (id, text), over links of fingerprints within ``distance`` bits and of shingle
@@ -236,7 +246,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Keys of different bands come from different hash functions: they are equal by chance only.
     keyed = cut(sets_of.select("cls", "n", F.explode("bands").alias("at")), "bands")
     size = cut(keyed.groupBy("at").agg(F.count("*").alias("m"), F.min("cls").alias("first")).where("m > 1"), "band-sizes")
-    held = cut(join_unique(keyed, size, "at", size.select("at", F.col("m").alias("n")), keyed.count()), "held")
+    held = cut(_of_keys(keyed, size, size.select("at", F.col("m").alias("n"))), "held")
     alike = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
     few, many = held.where(F.col("m") <= paired), held.where(F.col("m") > paired)
     # At most ``paired`` classes come together here.
@@ -254,7 +264,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now = many.select("at", "cls", "n").join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         now = cut(now, "crowded")
         open_ = now.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("at", "n")
-        left = cut(join_unique(now.select("at", "cls", "root"), open_.select("at"), "at", open_, now.count()).select("cls", "root").distinct(), "open-classes")
+        open_ = cut(open_, "open-keys")
+        left = cut(_of_keys(now.select("at", "cls", "root"), open_.select("at"), open_).select("cls", "root").distinct(), "open-classes")
         edges = edges.union(_verified(_across(left.join(sets, "cls"), least, paired), sets, least))
 
     named = classes.join(components(edges).withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least", "n")

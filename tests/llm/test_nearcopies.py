@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from slotloom.llm import nearcopies
 
 from tests.llm.test_llm import plain_fingerprint
@@ -127,3 +129,14 @@ def test_one_of_each_keeps_one_of_repeated_rows(spark):
     mixed = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "h i j k l m n", "y"), (2, "a b c d e f g", "z"), (None, "a b c d e f g", "u"), (None, "o p q r s t u", "v"), (None, "o p q r s t u", "w")], "doc_id long, text string, component string")
     got = nearcopies.one_of_each(mixed).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "o p q r s t u"), (1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
+def test_closed_keys_make_no_rows(spark):
+    """Keys whose classes are one component leave no row behind a join, and both forms keep the same rows."""
+    now = spark.createDataFrame([(k, c, 0 if k else c % 2) for k in range(4) for c in range(50)], "at long, cls long, root long")
+    open_ = now.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("at", "n")
+    kept = nearcopies._of_keys(now, open_.select("at"), open_)
+    want = [(0, c, c % 2) for c in range(50)]
+    assert sorted(map(tuple, kept.collect())) == want
+    assert sorted(map(tuple, nearcopies._of_keys(now, open_.select("at"), open_, most=0).select("at", "cls", "root").collect())) == want
+    assert "LeftOuter" not in kept._jdf.queryExecution().optimizedPlan().toString()
