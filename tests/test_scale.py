@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slotloom.llm import bpe
-from slotloom.operators import align, rules, sampling
+from slotloom.operators import align, rules, sampling, slots
 
 
 def shuffled(spark) -> int:
@@ -59,3 +59,14 @@ def test_texts_of_a_batch_come_in_slices(monkeypatch):
     parts = list(bpe.slices(iter([whole, whole.slice(0, 0)])))
     assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 5
     assert max(sum(len(t or "") for t in p.column(1).to_pylist() if len(t or "") <= 100) for p in parts) <= 200
+
+
+def test_a_context_is_made_once_a_line_not_once_a_slot(spark):
+    """A line of 300 slots: its long context is never copied to each of them."""
+    text = "a [__] " * 300
+    events = spark.createDataFrame([(1, 0, 0, 900, text), (1, 1, 900, 300, "no slot"), (2, 0, 0, 300, "[__]")], "track_id long, event_index int, start_ms long, dur_ms long, text string")
+    found = slots.extract_slots(events)
+    got = slots.slotted_contexts(found, events, 0, 0)
+    assert got.count() == 2 and found.count() == 301
+    both = [{r.context_id for r in slots.context_dim(c).collect()} for c in (got, slots.slot_context(found, events, 0, 0))]
+    assert both[0] == both[1] and len(both[0]) == 2
