@@ -18,22 +18,33 @@ __all__ = ["Gate", "creator_gate", "gated_hits", "greedy_select"]
 SUPPORT, PRECISION, CREATORS, MARGINAL_SUPPORT, MARGINAL_PRECISION = 4, 0.92, 2, 3, 0.92
 
 
-def condition_keys(features: Column | str, depth: int = 2, phrase: int = 8) -> Column:
-    """H3: array of leaf keys: every single condition, every pair, and the phrases that touch the slot."""
-    f = F.array_sort(features) if isinstance(features, str) else F.array_sort(features)
+def _conditions(features: Column | str) -> Column:
+    """struct<one, lefts, rights>: a row's single conditions in order of offset, how many stand before the slot and after it."""
+    f = F.array_sort(features)
     one = F.transform(f, lambda c: F.concat(c["off"].cast("string"), F.lit("="), c["tok"]))
+    return F.struct(one.alias("one"), F.size(F.filter(features, lambda c: c["off"] < 0)).alias("lefts"), F.size(F.filter(features, lambda c: c["off"] > 0)).alias("rights"))
+
+
+def _keys(one: Column, lefts: Column, rights: Column, depth: int, phrase: int) -> Column:
     pairs = F.flatten(F.transform(one, lambda a, i: F.transform(F.slice(one, i + 2, F.greatest(F.size(one) - i - 1, F.lit(0))), lambda b: F.concat(a, F.lit("&"), b))))
-    lefts, rights = F.size(F.filter(f, lambda c: c["off"] < 0)), F.size(F.filter(f, lambda c: c["off"] > 0))
     # A phrase is the last a tokens before the slot and the first b after it.
     spans = F.flatten(F.transform(F.sequence(F.lit(0), lefts), lambda a: F.transform(F.sequence(F.lit(0), rights), lambda b: F.when((a + b > 2) & (a + b <= phrase), F.array_join(F.slice(one, lefts - a + 1, a + b), "&")))))
     keys = one if depth < 2 else F.concat(one, pairs)
     return F.array_distinct(F.concat(keys, F.filter(spans, lambda s: s.isNotNull())))
 
 
+def condition_keys(features: Column | str, depth: int = 2, phrase: int = 8) -> Column:
+    """H3: array of leaf keys: every single condition, every pair, and the phrases that touch the slot."""
+    c = _conditions(features)
+    return _keys(c["one"], c["lefts"], c["rights"], depth, phrase)
+
+
 def row_conditions(rows: DataFrame, depth: int = 2, phrase: int = 8) -> DataFrame:
-    """Rows exploded to their leaf keys (features are made once a row)."""
+    """Rows exploded to their leaf keys."""
     keep = [c for c in rows.columns if c != "features"]
-    return rows.select(*keep, F.explode(condition_keys("features", depth, phrase)).alias("leaf_key"))
+    # explode over one element: the conditions are sorted and written once a row, not anew for each pair and phrase
+    held = rows.select(*keep, F.explode(F.array(_conditions("features"))).alias("__c"))
+    return held.select(*keep, F.explode(_keys(F.col("__c.one"), F.col("__c.lefts"), F.col("__c.rights"), depth, phrase)).alias("leaf_key"))
 
 
 def prune_by_support(keyed: DataFrame, support: int = SUPPORT) -> DataFrame:

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slotloom.llm import bpe
-from slotloom.operators import align, rules, sampling, slots
+from slotloom.operators import align, mining, rules, sampling, slots
 
 
 def shuffled(spark) -> int:
@@ -70,3 +70,12 @@ def test_a_context_is_made_once_a_line_not_once_a_slot(spark):
     assert got.count() == 2 and found.count() == 301
     both = [{r.context_id for r in slots.context_dim(c).collect()} for c in (got, slots.slot_context(found, events, 0, 0))]
     assert both[0] == both[1] and len(both[0]) == 2
+
+
+def test_conditions_are_made_once_a_row(spark):
+    """Sorting a row's features and writing its conditions stands once in the plan, not in each pair and phrase of it."""
+    rows = spark.createDataFrame([("r", [(1, "y"), (-1, "x"), (-2, "w"), (2, "z")]), ("s", [(1, "y")]), ("t", [])], "row_id string, features array<struct<off:int,tok:string>>")
+    keyed = mining.row_conditions(rows)
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
+    want = {(r.row_id, k) for r in rows.select("row_id", mining.condition_keys("features").alias("k")).collect() for k in r.k}
+    assert len(want) == 14 and sorted(map(tuple, keyed.collect())) == sorted(want)
