@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ BLOCK_MS, FAN = 600_000, 64
 MATCH = 1 << 40
 NEVER = -(1 << 60)
 ANY = -1
+#: Matches that leave a task at once.
+TOGETHER = 8192
 
 
 class Block:
@@ -41,23 +44,45 @@ class Block:
         # The occurrences that a slot may match lie between these: ends need not rise, their running maximum does.
         self.low = np.searchsorted(np.maximum.accumulate(ends), times - drift, "left") if len(ends) else np.zeros(len(times), np.int64)
         self.high = np.searchsorted(starts, times + drift, "right")
+        self.alone, self.rest = self._split()
+
+    def _split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Slots that share no occurrence with another slot nor with a state at an end of the block: their matches depend on
+        nothing else, and what they add is the same for every state. The others, without those that meet none."""
+        met = np.flatnonzero(self.low < self.high)
+        low, high = self.low[met], self.high[met]
+        # Both rise with time, so neighbours tell.
+        apart = low[1:] >= high[:-1]
+        alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]]) if len(met) else np.zeros(0, bool)
+        if len(self.before):
+            alone &= low > self.before[-1]
+        if len(self.after):
+            alone &= high <= self.after[0]
+        return met[alone], met[~alone]
+
+    def _nearest(self) -> list[tuple[int, int, int]]:
+        """(slot, occurrence, distance) of the slots alone: the nearest within the drift, of equal ones the first."""
+        if not len(self.alone):
+            return []
+        low, size = self.low[self.alone], (self.high - self.low)[self.alone]
+        heads = np.cumsum(size) - size
+        j, t = np.arange(size.sum()) + np.repeat(low - heads, size), np.repeat(self.times[self.alone], size)
+        far = np.maximum(np.maximum(self.starts[j] - t, t - self.ends[j]), 0)
+        best = np.minimum.reduceat((np.where(far <= self.drift, far, self.drift + 1) << 32) + j, heads)
+        ok = best >> 32 <= self.drift
+        return list(zip(self.alone[ok].tolist(), (best[ok] & 0xFFFFFFFF).tolist(), (best[ok] >> 32).tolist()))
 
     def _steps(self, best: np.ndarray, keep: list | None = None) -> np.ndarray:
         """best[s, j]: the value with occurrence j - 1 matched last (j = 0: none of the block), for each state s at the
-        beginning; after all slots. keep: gets for each slot which matches are at least as good, and after which state."""
+        beginning; after all slots but those alone. keep: gets for each slot which matches are at least as good, and after which state."""
         reach, places = np.maximum.accumulate(best, 1), np.arange(best.shape[1])
         rises = lambda part: np.concatenate([np.zeros((len(part), 1), bool), part[:, 1:] > part[:, :-1]], 1)
         # The first place that has each running maximum.
         first = np.maximum.accumulate(np.where(rises(reach), places, 0), 1)
         top = int(self.before[-1]) + 1 if len(self.before) else 0
-        for i, t in enumerate(self.times.tolist()):
-            lo, hi = int(self.low[i]), int(self.high[i])
+        for t, lo, hi in zip(*(x[self.rest].tolist() for x in (self.times, self.low, self.high))):
             if hi > top:  # nothing beyond has been matched yet
                 reach[:, top + 1 : hi + 1], first[:, top + 1 : hi + 1], top = reach[:, top : top + 1], first[:, top : top + 1], hi
-            if lo >= hi:
-                if keep is not None:
-                    keep.append(None)
-                continue
             far = np.maximum(np.maximum(self.starts[lo:hi] - t, t - self.ends[lo:hi]), 0)
             gain = reach[:, lo:hi] + np.where(far <= self.drift, MATCH - far, NEVER)
             if keep is not None:
@@ -92,17 +117,17 @@ class Block:
     def matches(self, state: int, until: int) -> list[tuple[int, int, int]]:
         """(slot, occurrence, distance) between two states, ``until`` = ANY: the best."""
         keep: list = []
+        if not len(self.rest):
+            return self._nearest()
         best = self._steps(self._start([state]), keep)[0]
         if until != ANY:
             best = np.where(self._ends() == until, best, NEVER)
         j, out = int(best.argmax()), []
-        for i in range(len(self.times) - 1, -1, -1):
-            if keep[i] is not None:
-                lo, hi, took, before, far = keep[i]
-                if lo < j <= hi and took[j - 1 - lo]:
-                    out.append((i, j - 1, int(far[j - 1 - lo])))
-                    j = int(before[j - 1 - lo])
-        return out[::-1]
+        for i, (lo, hi, took, before, far) in zip(self.rest[::-1].tolist(), keep[::-1]):
+            if lo < j <= hi and took[j - 1 - lo]:
+                out.append((i, j - 1, int(far[j - 1 - lo])))
+                j = int(before[j - 1 - lo])
+        return sorted(out + self._nearest())
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,10 +173,11 @@ KEYS = ["drift", "track_id", "block"]
 
 def _block(rows: pa.Table, width: int, begin: int) -> tuple[Block, pa.Table, pa.Table]:
     """A block from its rows, which come by side, time and number; and its slots and occurrences."""
-    slot = rows["side"].combine_chunks().to_numpy(zero_copy_only=False) == "s"
-    slots, occurrences = rows.filter(pa.array(slot)), rows.filter(pa.array(~slot))
-    numbers = lambda t, c: t[c].to_numpy().astype(np.int64)
-    return Block(numbers(slots, "a"), numbers(occurrences, "a"), numbers(occurrences, "b"), rows["drift"][0].as_py(), begin, begin + width), slots, occurrences
+    first = pc.index(rows["side"], "s").as_py()  # occurrences come before
+    first = len(rows) if first < 0 else first
+    slots, occurrences = rows.slice(first), rows.slice(0, first)
+    a, b = (rows[c].to_numpy().astype(np.int64) for c in ("a", "b"))
+    return Block(a[first:], a[:first], b[:first], rows["drift"][0].as_py(), begin, begin + width), slots, occurrences
 
 
 def _dealt(df: DataFrame, *more: str) -> DataFrame:
@@ -232,16 +258,29 @@ def align_drifts(slots: DataFrame, occurrences: DataFrame, drifts_ms: tuple[int,
             ends = _states(level, ends, kind)
             ends = cut(ends, "states")
 
+    names = ["drift", "track_id", "token_index", "occ_index", "word", "distance_ms"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, n = [], 0
         for group in _groups(batches, 3):
             block, s, o = _block(group, width, group["origin"][0].as_py() + group["block"][0].as_py() * width)
             if not len(s) or not len(o):
                 continue
             state, until = group["state"][0].as_py(), group["until"][0].as_py()
             found = block.matches(state or 0, ANY if until is None else until)
-            i, j = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())
-            columns = [s["drift"].take(i), s["track_id"].take(i), s["k"].take(i), o["k"].take(j), o["word"].take(j), pa.chunked_array([pa.array([f[2] for f in found], pa.int64())])]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["drift", "track_id", "token_index", "occ_index", "word", "distance_ms"])
+            if not found:
+                continue
+            i, j, far = np.array(found, np.int64).T
+            take = lambda t, c, at: t[c].combine_chunks().take(at)
+            own, met = pa.array(i), pa.array(j)
+            done.append(pa.RecordBatch.from_arrays([take(s, "drift", own), take(s, "track_id", own), take(s, "k", own), take(o, "k", met), take(o, "word", met), pa.array(far)], names))
+            n += len(i)
+            # blocks of few matches leave together, not as a batch each
+            if n >= TOGETHER:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                done, n = [], 0
+        if n:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
     held = rows.join(ends, KEYS, "left") if ends is not None else rows.select("*", F.lit(None).cast("int").alias("state"), F.lit(None).cast("int").alias("until"))
     dealt = _dealt(held, "side", "a", "k").select(*KEYS, "side", "a", "b", "k", "word", "origin", "state", "until")

@@ -1,10 +1,11 @@
 """What shows only on larger tables, forced on small ones."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slotloom.llm import bpe
-from slotloom.operators import align, mining, rules, sampling, slots
+from slotloom.operators import align, chains, mining, rules, sampling, slots
 
 
 def shuffled(spark) -> int:
@@ -91,3 +92,15 @@ def test_timed_units_are_those_of_slots_and_words(spark):
     assert sorted((r.track_id, r.number, r.time_s) for r in marks.collect()) == sorted((r.track_id, r.token_index, r.time_s) for r in by_text.collect())
     words = slots.spoken_words(events).where("lower(unit) = 'that'")
     assert sorted((r.track_id, r.position, r.unit, r.time_s) for r in slots.timed_units(events, lambda u: F.lower(u) == "that").collect()) == sorted(map(tuple, words.collect()))
+
+
+def test_slots_that_stand_alone_need_no_steps():
+    """Only slots that share occurrences, or those over an end of the block, are walked one by one."""
+    times = np.arange(1000) * 10_000
+    starts = np.sort(np.concatenate([times + 300, times + 500, [-100]]))
+    block = chains.Block(times, starts, starts + 200, 1500, 0, 10_000_000)
+    assert block.rest.tolist() == [0] and len(block.alone) == 999
+    want = [(i, 2 * i + 1, 300) for i in range(1, 1000)]
+    assert block.matches(0, chains.ANY)[1:] == want
+    near = chains.Block(np.array([0, 100, 9000]), np.array([50, 8000, 8900]), np.array([60, 8100, 8950]), 1500, -5000, 20_000)
+    assert near.rest.tolist() == [0, 1] and near.matches(0, chains.ANY) == [(1, 0, 40), (2, 2, 50)]
