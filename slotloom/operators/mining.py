@@ -230,10 +230,17 @@ def class_tag(tokens: DataFrame, classes: DataFrame) -> DataFrame:
     return tokens.join(classes, "tok", "left")
 
 
+#: Tokens of a task of H19. Each slot becomes up to 48 patterns, which the task's first sums and sorts hold.
+TOKENS = 1 << 17
+
+
 def class_patterns(tagged: DataFrame) -> DataFrame:
     """Every choice of literal or class for no, one or two tokens on each side of a slot, one token at least; text
-    boundaries are no tokens. tagged: row_id, off from -2 to 2, tok, cls; a slot's (at most four) tokens meet in one row."""
+    boundaries are no tokens. tagged: row_id, off from -2 to 2, tok, cls; a slot's (at most four) tokens meet in one row.
+    Slots are dealt to a counted number of tasks, for sizes before patterns are made do not tell how many there will be."""
     words = tagged.where(F.col("off").between(-2, 2) & ~F.col("tok").isin("<BOS>", "<EOS>"))
+    least = tagged.sparkSession.sparkContext.defaultParallelism
+    words = words.repartition(max(least, -(-words.count() // TOKENS)), "row_id")
     choice = F.array_distinct(F.filter(F.array(F.col("tok"), F.concat(F.lit("<"), "cls", F.lit(">"))), lambda x: x.isNotNull()))
     rows = words.groupBy("row_id").agg(*[F.coalesce(F.max(F.when(F.col("off") == o, choice)), F.array().cast("array<string>")).alias(n) for o, n in ((-2, "a"), (-1, "b"), (1, "c"), (2, "d"))])
     two = lambda p, q: F.flatten(F.transform(p, lambda x: F.transform(q, lambda y: F.concat_ws(" ", x, y))))

@@ -104,3 +104,12 @@ def test_slots_that_stand_alone_need_no_steps():
     assert block.matches(0, chains.ANY)[1:] == want
     near = chains.Block(np.array([0, 100, 9000]), np.array([50, 8000, 8900]), np.array([60, 8100, 8950]), 1500, -5000, 20_000)
     assert near.rest.tolist() == [0, 1] and near.matches(0, chains.ANY) == [(1, 0, 40), (2, 2, 50)]
+
+
+def test_slots_are_dealt_by_number_before_patterns_are_made(spark, monkeypatch):
+    """What a task makes patterns of is bounded by a count, whatever the bytes of the slots."""
+    rows = spark.range(400).select(F.col("id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(o).alias("off"), F.concat(F.lit("w"), F.col("id") % 7).alias("tok"), F.lit("c").alias("cls")) for o in (-2, -1, 1, 2)])).alias("f")).select("row_id", "f.*")
+    whole = sorted(map(tuple, mining.class_patterns(rows).collect()))
+    monkeypatch.setattr(mining, "TOKENS", 40)
+    dealt = mining.class_patterns(rows)
+    assert dealt.rdd.getNumPartitions() == 40 and sorted(map(tuple, dealt.collect())) == whole and len(whole) == 400 * 48
