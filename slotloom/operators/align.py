@@ -297,33 +297,55 @@ def unpaired(tracks: DataFrame, least: int) -> DataFrame:
     return alone.where(F.col("slots") > least).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+def _fits() -> Column:
+    """Of a row with a phrase's ``words`` and an event's ``line`` and ``slots``: where the phrase may start (at), counted from
+    the event's first word, so that all its words that come to stand in the event are met there; with the number of these
+    (covered), whether one is met as a literal word (anchored), and the slots under its markers (tokens)."""
+    n, m = F.size("words"), F.size("line")
+    word, shown = (lambda i: F.get("words", i)), (lambda i: F.get("line", i))
+    slot = lambda i: F.get(F.filter("slots", lambda x: x["at"] == i), F.lit(0))
+    meets = lambda i, j: F.coalesce((shown(j) == word(i)) | ((shown(j) == MARK) & (slot(j)["resolved"] == word(i))), F.lit(False))
+    first = lambda s: F.greatest(F.lit(0), -s)
+    inside = lambda s: F.sequence(first(s), F.least(n, m - s) - 1)
+    starts = F.filter(F.sequence(1 - n, m - 1), lambda s: meets(first(s), s + first(s)) & F.forall(inside(s), lambda i: meets(i, s + i)))
+
+    def fit(s: Column) -> Column:
+        same = F.filter(inside(s), lambda i: shown(s + i) == word(i))
+        tokens = F.transform(F.filter(same, lambda i: word(i) == MARK), lambda i: slot(s + i)["token_index"])
+        return F.struct(s.alias("at"), F.size(inside(s)).alias("covered"), F.exists(same, lambda i: word(i) != MARK).alias("anchored"), F.filter(tokens, lambda x: x.isNotNull()).alias("tokens"))
+
+    return F.when(m > 0, F.transform(starts, fit))
+
+
 def locate_phrase(phrases: DataFrame, timeline: DataFrame, events: int = 4, reach_s: float = 15.0) -> DataFrame:
     """The slots that a displayed phrase shows. phrases: phrase_id, track_id, words, at_s (the playhead); timeline:
     track_id, event_index, start_s, end_s, words: array of (word, token_index, resolved), the last two of slots only. The
     phrase is looked for in the events within ``reach_s`` seconds and ``events`` places of the one nearest the playhead. A
-    slot is met by a marker or by its resolved word. Only one way to map the phrase's markers, with a literal word, counts."""
+    slot is met by a marker or by its resolved word. Only one way to map the phrase's markers, with a literal word, counts.
+    An event's words stay where they meet its phrases; only the places where a phrase may stand go on, and a phrase that
+    runs over several events is put together from those."""
     width = 2 * reach_s
+    bucket = lambda x: F.floor(x / width).cast("bigint")
+    span = lambda a, b: F.explode(F.sequence(bucket(a), bucket(b))).alias("bucket")
     order = Window.partitionBy("track_id").orderBy("start_s", "event_index")
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("bigint"), F.floor(b / width).cast("bigint"))).alias("bucket")
-    placed = timeline.select("track_id", "start_s", "end_s", F.col("words").alias("shown"), F.row_number().over(order).alias("place")).select("*", span(F.col("start_s"), F.col("end_s")))
-    asked = phrases.select("phrase_id", "track_id", "words", "at_s").where(F.exists("words", lambda w: w == MARK)).select("*", span(F.col("at_s") - reach_s, F.col("at_s") + reach_s))
-    near = asked.join(placed, ["track_id", "bucket"]).where((F.col("end_s") >= F.col("at_s") - reach_s) & (F.col("start_s") <= F.col("at_s") + reach_s)).dropDuplicates(["phrase_id", "place"])
-    far = F.greatest(F.col("start_s") - F.col("at_s"), F.col("at_s") - F.col("end_s"), F.lit(0.0))
-    nearest = F.min(F.struct(far.alias("far"), "place")).over(Window.partitionBy("phrase_id"))["place"]
+    line = F.coalesce(F.transform("words", lambda t: t["word"]), F.array().cast("array<string>"))
+    slots = F.filter(F.transform("words", lambda t, i: F.when(t["word"] == MARK, F.struct(i.alias("at"), t["token_index"].alias("token_index"), t["resolved"].alias("resolved")))), lambda x: x.isNotNull())
+    start, end, at = F.col("start_s"), F.col("end_s"), F.col("at_s")
+    placed = timeline.select("track_id", "event_index", "start_s", "end_s", line.alias("line"), slots.alias("slots")).withColumn("place", F.row_number().over(order)).drop("event_index").select("*", span(start, end))
+    asked = phrases.select("phrase_id", "track_id", "words", "at_s").where(F.col("track_id").isNotNull() & F.exists("words", lambda w: w == MARK)).dropDuplicates(["phrase_id"]).select("*", span(at - reach_s, at + reach_s))
+    once = F.col("bucket") == F.greatest(bucket(F.least(start, end)), bucket(at - reach_s))  # of the buckets that both are in
+    met = placed.join(asked, ["track_id", "bucket"]).where((end >= at - reach_s) & (start <= at + reach_s) & once)
+    far = F.greatest(start - at, at - end, F.lit(0.0))
+    near = met.select("phrase_id", F.size("words").alias("n"), "place", far.alias("far"), F.size("line").alias("m"), _fits().alias("fits"))
+    of_phrase = Window.partitionBy("phrase_id").orderBy("place")
+    nearest = F.min(F.struct("far", "place")).over(of_phrase.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["place"]
     kept = near.withColumn("nearest", nearest).where(F.abs(F.col("place") - F.col("nearest")) <= events)
-    around = kept.groupBy("phrase_id").agg(F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("held"))
-    around = around.select("phrase_id", "words", F.explode(F.array(F.flatten(F.transform("held", lambda h: h["shown"])))).alias("line")).where(F.size("line") >= F.size("words"))
-
-    def over(start: Column, one) -> Column:
-        return F.transform("words", lambda w, i: one(w, F.get("line", start + i)))
-
-    meets = lambda w, t: F.coalesce(F.when(t["word"] != MARK, t["word"] == w).otherwise((w == MARK) | (t["resolved"] == w)), F.lit(False))
-    literal = lambda w, t: (t["word"] != MARK) & (t["word"] == w)
-    slot = lambda w, t: F.when((w == MARK) & (t["word"] == MARK), t["token_index"])
-    whole = lambda s: F.forall(over(s, meets), lambda x: x) & F.exists(over(s, literal), lambda x: x)
-    starts = F.filter(F.sequence(F.lit(0), F.size("line") - F.size("words")), whole)
-    maps = F.array_distinct(F.filter(F.transform(starts, lambda s: F.filter(over(s, slot), lambda x: x.isNotNull())), lambda m: F.size(m) > 0))
-    return around.select("phrase_id", maps.alias("maps")).where(F.size("maps") == 1).select("phrase_id", F.get("maps", F.lit(0)).alias("token_indexes"))
+    before = F.coalesce(F.sum("m").over(of_phrase.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = kept.withColumn("before", before).select("phrase_id", "n", "place", "before", F.explode("fits").alias("fit"))
+    tokens = F.sort_array(F.collect_list(F.struct("place", "fit.tokens")))
+    whole = parts.groupBy("phrase_id", "n", (F.col("before") + F.col("fit.at")).alias("start")).agg(F.sum("fit.covered").alias("covered"), F.max("fit.anchored").alias("anchored"), tokens.alias("held")).where("covered = n AND anchored")
+    maps = whole.select("phrase_id", F.flatten(F.transform("held", lambda h: h["tokens"])).alias("map")).where(F.size("map") > 0)
+    return maps.groupBy("phrase_id").agg(F.min("map").alias("token_indexes"), F.max("map").alias("other")).where("token_indexes = other").drop("other")
 
 
 def covers(windows: DataFrame, segments: DataFrame, tolerance_ms: int = 0, width_ms: int = 60_000) -> DataFrame:

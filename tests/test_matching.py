@@ -3,10 +3,12 @@
 import random
 import unicodedata
 
+import duckdb
 from pyspark.sql import functions as F
 
 from slotloom.functions import text as T
 from slotloom.operators import align, metrics, provenance, review, rules, scored, slots
+from slotloom.plans import catalog
 
 RULES = "rule_id string, ord long, tier string, candidates array<string>, conditions array<struct<off:int,tok:string>>, anchor_off int, anchor_tok string"
 
@@ -112,6 +114,48 @@ def test_phrases_are_located(spark):
     assert {(r.phrase_id, tuple(r.token_indexes)) for r in align.locate_phrase(phrases, timeline).collect()} == {("a", (0,)), ("b", (2,)), ("c", (3,))}
 
 
+def located(phrases, timeline, events, reach):
+    """Phrases (id, track, words, playhead) in events (track, index, start, end, words), by trying every start."""
+    out = set()
+    for name, track, words, at in phrases:
+        own = sorted((e for e in timeline if e[0] == track), key=lambda e: (e[2], e[1]))
+        near = [(max(e[2] - at, at - e[3], 0.0), k) for k, e in enumerate(own) if e[3] >= at - reach and e[2] <= at + reach]
+        line = [t for _, k in sorted(near, key=lambda x: x[1]) if abs(k - min(near)[1]) <= events for t in own[k][4] or []]
+        maps = set()
+        for s in range(len(line) - len(words) + 1):
+            pairs = list(zip(words, line[s:]))
+            if all(t[0] == w or t[0] == "[__]" and t[2] == w for w, t in pairs) and any(t[0] == w != "[__]" for w, t in pairs):
+                maps.add(tuple(t[1] for w, t in pairs if w == t[0] == "[__]" and t[1] is not None))
+        if len(maps - {()}) == 1:
+            out.add((name, *(maps - {()})))
+    return out
+
+
+def test_phrases_over_several_events_are_those_of_brute_force(spark):
+    """Phrases longer than an event, events without words, of no time or over others, a phrase twice in its table."""
+    r = random.Random(7)
+    slot = lambda k: ("[__]", r.choice([k, k, None]), r.choice([None, "a", "b"]))
+    word = lambda k: slot(k) if r.random() < 0.3 else (r.choice("ab"), None, None)
+    timeline = [(t, i, at := float(r.randrange(0, 80)), at + r.choice([0, 2, 40]), r.choice([None, [], *[[word(100 * i + k) for k in range(n)] for n in (1, 2, 3, 9)]])) for t in range(6) for i in range(14)]
+    asked = [(f"p{k}", r.randrange(6), [r.choice(["a", "b", "[__]"]) for _ in range(r.randrange(1, 8))], float(r.randrange(-20, 100))) for k in range(1500)]
+    asked = [p for p in asked if "[__]" in p[2]]
+    events = spark.createDataFrame(timeline, "track_id long, event_index int, start_s double, end_s double, words array<struct<word:string,token_index:int,resolved:string>>")
+    phrases = spark.createDataFrame(asked + asked[:9], "phrase_id string, track_id long, words array<string>, at_s double")
+    for near, reach in ((4, 15.0), (1, 6.0)):
+        want = located(asked, timeline, near, reach)
+        assert len(want) > 20 and {(x.phrase_id, tuple(x.token_indexes)) for x in align.locate_phrase(phrases, events, near, reach).collect()} == want
+
+
+def test_a_turn_without_text_hides_no_phrase(spark, tmp_path):
+    texts = ["so that it", None, "", "go this now and", "with me so from it"]
+    rows = [(1, i, "user", x) for i, x in enumerate(texts)] + [(2, i, "user", "a with b that c") for i in range(0, 90, 3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted((r.phrase_id, list(r.token_indexes)) for r in catalog.queries()["e11_locate_phrase"](spark, str(tmp_path)).collect())
+    assert got == sorted((p, list(t)) for p, t in duck.sql(catalog.oracles()["e11_locate_phrase"]).fetchall()) and ("1:1", [1]) in got
+
+
 def test_offsets_need_six_words_and_one_best(spark):
     sides = "lefts array<string>, rights array<string>"
     a = lambda i: [f"a{i}{k}" for k in range(4)]
