@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from slotloom.operators import mining
+from slotloom.operators import greedy, mining
 
 
 def test_selection_goes_on(spark):
@@ -141,3 +141,34 @@ def test_selection_without_a_gate_against_a_plain_loop(spark):
 def test_nothing_to_select(spark):
     none = spark.createDataFrame([], "pattern string, row_id long, half int, tier string, expected string, creator string, predicted string")
     assert mining.greedy_select(mining.gated_hits(none), gate=mining.Gate()).count() == 0
+
+
+def test_a_chain_of_patterns_takes_one_pass(spark):
+    """Each pattern shares a row with the next one, which is a little worse: none but the first stands above its neighbours."""
+    hits = [(f"p{i:02}", "a", 100 * i + k, "a") for i in range(20) for k in range(60 - 2 * i)] + [(f"p{i + 1:02}", "a", 100 * i, "a") for i in range(19)]
+    rounds = []
+    got = mining.greedy_select(spark.createDataFrame(hits, "pattern string, word string, row_id long, expected string"), rounds=rounds).orderBy("rank").collect()
+    assert [(r.pattern, r.score) for r in got] == [(f"p{i:02}", 60 - 2 * i) for i in range(20)]
+    assert rounds == [20]
+
+
+@pytest.mark.parametrize("seed, held, broadcast", [(4, 0, 1 << 18), (4, 120, 1 << 18), (5, 60, 0), (5, 1 << 21, 1 << 18)])
+def test_rounds_and_levels_take_the_same(spark, monkeypatch, seed, held, broadcast):
+    """Many equal rows and few creators, with no, some and all matches held by the driver."""
+    monkeypatch.setattr(greedy, "PATTERNS", broadcast)
+    rng, rows = random.Random(seed), []
+    word_of = {f"p{i:02}": rng.choice("ab") for i in range(30)}
+    for i in range(1500):
+        label, creator, first = rng.choice("ab"), rng.randrange(5), rng.randrange(15)
+        near = [p for p in sorted(word_of)[first : first + 6] if word_of[p] == label]
+        own = set(near[: 1 + rng.randrange(3)]) | ({rng.choice(sorted(word_of))} if rng.random() < 0.03 else set())
+        row = {"row_id": i, "half": creator % 2, "tier": "manual" if i % 3 else "discovery", "expected": label, "creator": f"c{creator}", "predicted": None}
+        rows += [{"pattern": p, **row} for p in sorted(own)]
+    gate, known = mining.Gate(share=0.6, lower=0.2), {}
+    for r in rows:
+        known.setdefault(r["pattern"], []).append(r)
+    df = spark.createDataFrame(rows, "pattern string, row_id long, half int, tier string, expected string, creator string, predicted string")
+    rounds = []
+    got = mining.greedy_select(mining.gated_hits(df, gate), gate=gate, rounds=rounds, held=held).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == plain_greedy(gate, known) and sum(rounds) == len(got) > 4
+    assert len(rounds) <= len(gate.tiers) if held == 1 << 21 else len(rounds) > len(gate.tiers)
