@@ -42,6 +42,16 @@ def test_slots_and_windows(spark):
     assert context.select(slots.only_target("c", "i")).first()[0] == "x … y [__] z"
 
 
+def test_equal_intervals_are_one_island(spark):
+    """Two equal intervals that open an island, dealt in two orders: no interval that is returned overlaps another."""
+    times = {1: [10.2, 10.7, 43.0], 2: [40.0, 40.0, 40.0, 300.0, 300.0], 3: [0.0, 0.0, 500.5, 500.6, 560.0, 1000.0]}
+    rows = [(k, i, t) for k, own in times.items() for i, t in enumerate(own)]
+    want = [(1, 0, 73, 3), (2, 5, 70, 3), (2, 265, 330, 2), (3, 0, 30, 2), (3, 465, 590, 3), (3, 965, 1030, 1)]
+    for dealt in (rows, rows[::-1]):
+        df = spark.createDataFrame(dealt, "track_id long, token_index int, time_s double").repartition(3)
+        assert sorted(tuple(r[c] for c in ("track_id", "start_s", "end_s", "n")) for r in slots.merge_intervals(df).collect()) == want
+
+
 def test_rules(spark):
     patterns = spark.createDataFrame([(1, 2, [["a", "b"], ["c"], ["d", "e"]])], "group_no long, pattern_no long, parts array<array<string>>")
     got = rules.expand_rules(patterns).orderBy("ord").collect()
